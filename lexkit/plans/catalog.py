@@ -128,3 +128,128 @@ def metric_report(spark: SparkSession, sf: str) -> DataFrame:
     m = R.retrieve_and_evaluate(td.corpus(spark, sf), td.queries(spark, sf), td.qrels(spark, sf),
                                 EVAL_K_VALUES)
     return R.metric_report(m)
+
+
+# ---------------------------------------------------------------- text functions
+
+from lexkit.functions import text as T  # noqa: E402
+
+
+@register("normalize_text")
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 over every document text."""
+    d = td.table(spark, sf, "documents")
+    n = T.normalize_text(F.col("text"))
+    return d.select("doc_id", F.md5(n).alias("norm_md5"), F.length(n).cast("bigint").alias("n_chars"))
+
+
+@register("nfd_decompose")
+def nfd_decompose(spark: SparkSession, sf: str) -> DataFrame:
+    """canonical decomposition of every conversation turn (rows-only check)."""
+    c = td.table(spark, sf, "conversations")
+    n = T.nfd(F.col("text"))
+    return c.select("conv_id", "turn", F.length(n).cast("bigint").alias("n_chars_nfd"))
+
+
+@register("simple_tokenize")
+def simple_tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 (uncased) over every document text."""
+    d = td.table(spark, sf, "documents")
+    toks = T.simple_tokenize(F.col("text"), uncased=True)
+    return d.select("doc_id", F.size(toks).cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join(toks, T.RUN_SEP)).alias("tokens_md5"))
+
+
+@register("preprocess_corpus")
+def preprocess_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 + P2: title rule, then normalisation, then lower-casing."""
+    c = td.corpus(spark, sf)
+    t = T.preprocess(T.title_text("title", "text"), normalize=True, lower=True)
+    return c.select("doc_id", F.md5(t).alias("text_md5"))
+
+
+@register("normalize_answer")
+def normalize_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """F4 over every conversation turn."""
+    c = td.table(spark, sf, "conversations")
+    n = T.normalize_answer(F.col("text"))
+    return c.select("conv_id", "turn", F.md5(n).alias("norm_md5"),
+                    F.size(T.answer_tokens(F.col("text"))).cast("bigint").alias("n_words"))
+
+
+# ---------------------------------------------------------------- answers (V9)
+
+from lexkit.operators import qa as QA  # noqa: E402
+
+QA_DEPTH = 20
+
+
+def _qa_inputs(spark: SparkSession, sf: str):
+    """Questions = benchmark passages; passages = their BM25 top-20 documents;
+    answer = the whole benchmark passage."""
+    q = td.queries(spark, sf)
+    run = L.bm25_search(td.corpus(spark, sf), q, QA_DEPTH, doc_title="title")
+    docs = td.table(spark, sf, "documents").select("doc_id", "text")
+    ctxs = (run.join(docs, "doc_id")
+               .select(F.col("query_id").alias("question_id"), (F.col("rank") - 1).alias("ctx_pos"), "text"))
+    answers = q.select(F.col("query_id").alias("question_id"), F.col("text").alias("answer"))
+    return ctxs, answers
+
+
+@register("answer_hits")
+def answer_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Does the passage contain an answer as a contiguous token run?"""
+    ctxs, answers = _qa_inputs(spark, sf)
+    h = QA.passage_hits(ctxs, answers)
+    return h.select(F.col("question_id").cast("bigint").alias("question_id"),
+                    F.col("ctx_pos").cast("bigint").alias("ctx_pos"), "hit")
+
+
+@register("answer_hits_curve")
+def answer_hits_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions whose first hit is within the top k, k = 1..width."""
+    ctxs, answers = _qa_inputs(spark, sf)
+    c = QA.top_k_hits(QA.passage_hits(ctxs, answers))
+    return c.select(F.col("k").cast("bigint").alias("k"), "hits", _r6(F.col("recall")).alias("recall"))
+
+
+@register("answer_recall_at_k")
+def answer_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """R@5, R@10, R@20 (x100) of the answer check."""
+    ctxs, answers = _qa_inputs(spark, sf)
+    r = QA.answer_recall_at(QA.top_k_hits(QA.passage_hits(ctxs, answers)))
+    return r.select(F.col("k").cast("bigint").alias("k"), _r6(F.col("recall")).alias("recall"))
+
+
+# ---------------------------------------------------------------- reader
+
+def _reader_inputs(spark: SparkSession, sf: str):
+    """Predictions = assistant turns; ground truths = the user turns just before
+    and just after (equi-joins on (conv_id, turn +- 1), whole texts)."""
+    c = td.table(spark, sf, "conversations")
+    pid = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    preds = c.filter(F.col("role") == "assistant").select(
+        pid.alias("pred_id"), "conv_id", "turn", F.col("text").alias("prediction"))
+    users = c.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("t_turn"),
+                                                    F.col("text").alias("truth"))
+    before = preds.join(users.withColumn("turn", F.col("t_turn") + 1), ["conv_id", "turn"])
+    after = preds.join(users.withColumn("turn", F.col("t_turn") - 1), ["conv_id", "turn"])
+    truths = before.unionByName(after).select("pred_id", F.col("t_turn").alias("truth_id"), "truth")
+    return preds.select("pred_id", "prediction"), truths
+
+
+@register("reader_scores")
+def reader_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Max exact match and max F1 over the ground truths."""
+    p, t = _reader_inputs(spark, sf)
+    s = QA.reader_scores(p, t)
+    return s.select("pred_id", F.col("em").cast("bigint").alias("em"), _r6(F.col("f1")).alias("f1"))
+
+
+@register("reader_eval")
+def reader_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean EM and F1 (x100) over all predictions."""
+    p, t = _reader_inputs(spark, sf)
+    s = QA.reader_scores(p, t)
+    return s.agg(F.count(F.lit(1)).alias("n"), _r6(F.avg("em") * 100).alias("em"),
+                 _r6(F.avg("f1") * 100).alias("f1"))

@@ -161,3 +161,115 @@ SELECT metric, k::BIGINT AS k, round(avg(value), 6) AS value, count(*)::BIGINT A
 
 
 ORACLE["bm25_eval_by_lang"] = _by_lang_sql()
+
+
+# ---------------------------------------------------------------- text functions
+
+from lexkit.functions.text import (  # noqa: E402
+    ARTICLES, ASCII_PUNCTUATION, NORM_DELETE, NORM_MAP, NORM_MULTI, RUN_SEP)
+
+
+def sql_str(s: str) -> str:
+    """A string literal spelled with chr() so no character needs escaping."""
+    return "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")" if s else "''"
+
+
+def sql_normalize_text(x: str) -> str:
+    src = "".join(chr(cp) for out, cps in NORM_MAP.items() for cp in cps) + "".join(chr(c) for c in NORM_DELETE)
+    dst = "".join(out for out, cps in NORM_MAP.items() for _ in cps)
+    e = f"translate({x}, {sql_str(src)}, {sql_str(dst)})"
+    for a, b in NORM_MULTI:
+        e = f"replace({e}, {sql_str(a)}, {sql_str(b)})"
+    return e
+
+
+_WORD = r"\p{L}\p{N}\p{M}_"
+_ART = ("regexp_replace(@X@, '(^|[^" + _WORD + "])(" + "|".join(ARTICLES) + ")([^" + _WORD + "]|$)', "
+        "'\\1 \\3', 'g')")
+_WS = r"[\s\x{0B}\x{85}\p{Z}]+"
+
+
+def sql_normalize_answer(x: str) -> str:
+    t = f"translate(lower({x}), {sql_str(ASCII_PUNCTUATION)}, '')"
+    # RE2 has no Unicode word boundary: match the boundary characters and put
+    # them back; two passes catch articles whose boundary the previous match used
+    t = _ART.replace("@X@", _ART.replace("@X@", t))
+    return f"trim(regexp_replace({t}, '{_WS}', ' ', 'g'))"
+
+
+def sql_answer_tokens(n: str) -> str:
+    return f"(CASE WHEN length({n}) = 0 THEN []::VARCHAR[] ELSE string_split({n}, ' ') END)"
+
+
+def sql_token_run(toks: str) -> str:
+    return f"(chr(1) || array_to_string({toks}, chr(1)) || chr(1))"
+
+
+assert RUN_SEP == chr(1)
+
+ORACLE["normalize_text"] = f"""SELECT doc_id, md5({sql_normalize_text('text')}) AS norm_md5,
+  length({sql_normalize_text('text')})::BIGINT AS n_chars FROM documents"""
+
+ORACLE["simple_tokenize"] = f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, chr(1))) AS tokens_md5
+FROM (SELECT doc_id, {_tok('lower(text)')} AS t FROM documents)"""
+
+ORACLE["preprocess_corpus"] = f"""WITH corpus AS ({CORPUS})
+SELECT doc_id, md5(lower({sql_normalize_text(DOC_TEXT)})) AS text_md5 FROM corpus"""
+
+ORACLE["normalize_answer"] = f"""SELECT conv_id, turn, md5(n) AS norm_md5, len({sql_answer_tokens('n')})::BIGINT AS n_words
+FROM (SELECT conv_id, turn, {sql_normalize_answer('text')} AS n FROM conversations)"""
+
+
+# ---------------------------------------------------------------- answers (V9)
+
+def _qa_hits_sql() -> str:
+    return f"""{bm25_run(20)},
+ctxs AS (SELECT run.query_id AS question_id, run.rank - 1 AS ctx_pos, d.text FROM run JOIN documents d USING (doc_id)),
+cr AS (SELECT question_id, ctx_pos, text IS NULL AS is_null,
+              {sql_token_run(_tok('lower(nfc_normalize(text))'))} AS trun FROM ctxs),
+ar AS (SELECT question_id, len(t) AS alen, {sql_token_run('t')} AS arun
+       FROM (SELECT item_id AS question_id, {_tok('lower(nfc_normalize(text))')} AS t FROM benchmark)),
+hits AS (SELECT cr.question_id, cr.ctx_pos,
+                bool_or(NOT cr.is_null AND ar.alen IS NOT NULL AND (ar.alen = 0 OR contains(cr.trun, ar.arun))) AS hit
+         FROM cr LEFT JOIN ar USING (question_id) GROUP BY ALL),
+first AS (SELECT question_id, min(CASE WHEN hit THEN ctx_pos END) AS first_hit, count(*) AS n_ctx FROM hits GROUP BY ALL),
+wq AS (SELECT max(n_ctx) AS w, count(*) AS nq FROM first),
+curve AS (SELECT k, (SELECT count(*) FROM first WHERE first_hit IS NOT NULL AND first_hit + 1 <= k) AS hits
+          FROM (SELECT unnest(range(1, (SELECT w FROM wq) + 1)) AS k))"""
+
+
+ORACLE["answer_hits"] = f"""WITH {_qa_hits_sql()}
+SELECT question_id::BIGINT AS question_id, ctx_pos::BIGINT AS ctx_pos, hit FROM hits"""
+
+ORACLE["answer_hits_curve"] = f"""WITH {_qa_hits_sql()}
+SELECT k::BIGINT AS k, hits::BIGINT AS hits, round(hits / nq, 6) AS recall FROM curve, wq"""
+
+ORACLE["answer_recall_at_k"] = f"""WITH {_qa_hits_sql()}
+SELECT k::BIGINT AS k, round(hits / nq * 100e0, 6) AS recall FROM curve, wq WHERE k IN (5, 10, 20, 100)"""
+
+
+# ---------------------------------------------------------------- reader
+
+READER_CTES = f"""
+preds AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS pred_id, conv_id, turn, text AS prediction
+          FROM conversations WHERE role = 'assistant'),
+users AS (SELECT conv_id, turn AS t_turn, text AS truth FROM conversations WHERE role = 'user'),
+pairs AS (SELECT p.pred_id, u.t_turn AS truth_id, p.prediction AS pred, u.truth FROM preds p JOIN users u
+          ON u.conv_id = p.conv_id AND (u.t_turn = p.turn - 1 OR u.t_turn = p.turn + 1)),
+np AS (SELECT pred_id, truth_id, {sql_normalize_answer('pred')} AS npred, {sql_normalize_answer('truth')} AS ntruth FROM pairs),
+tk AS (SELECT pred_id, truth_id, {sql_answer_tokens('npred')} AS pt, {sql_answer_tokens('ntruth')} AS tt,
+              npred = ntruth AS em FROM np),
+pc AS (SELECT pred_id, truth_id, tok, count(*) AS cp FROM (SELECT pred_id, truth_id, unnest(pt) AS tok FROM tk) GROUP BY ALL),
+tc AS (SELECT pred_id, truth_id, tok, count(*) AS ct FROM (SELECT pred_id, truth_id, unnest(tt) AS tok FROM tk) GROUP BY ALL),
+common AS (SELECT pred_id, truth_id, sum(least(cp, ct)) AS same FROM pc JOIN tc USING (pred_id, truth_id, tok) GROUP BY ALL),
+f AS (SELECT tk.pred_id, tk.truth_id, tk.em, coalesce(c.same, 0) AS same, len(pt) AS np, len(tt) AS nt
+      FROM tk LEFT JOIN common c USING (pred_id, truth_id)),
+f1 AS (SELECT pred_id, em, CASE WHEN same = 0 THEN 0e0
+              ELSE 2 * (same / np) * (same / nt) / ((same / np) + (same / nt)) END AS f1 FROM f),
+per AS (SELECT pred_id, max(em::INTEGER) AS em, max(f1) AS f1 FROM f1 GROUP BY pred_id)"""
+
+ORACLE["reader_scores"] = f"""WITH {READER_CTES}
+SELECT pred_id, em::BIGINT AS em, round(f1, 6) AS f1 FROM per"""
+
+ORACLE["reader_eval"] = f"""WITH {READER_CTES}
+SELECT count(*) AS n, round(avg(em) * 100, 6) AS em, round(avg(f1) * 100, 6) AS f1 FROM per"""
