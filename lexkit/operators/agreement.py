@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexkit.operators.windows import ordered_prefix
+from lexkit.session import materialize
 
 
 def inversions(lists: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def inversions(lists: DataFrame) -> DataFrame:
     nmax = lists.groupBy("list_id").count().agg(F.max("count")).first()[0] or 1
     levels = max(1, math.ceil(math.log2(max(nmax, 2))))
     ex = (lists.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-               .withColumn("blk", F.shiftright(F.col("pos"), F.col("lvl") + 1))
-               .withColumn("right", F.shiftright(F.col("pos"), F.col("lvl")).bitwiseAND(1))
+               .withColumn("blk", F.expr("shiftright(pos, lvl + 1)"))
+               .withColumn("right", F.expr("shiftright(pos, lvl) & 1"))
                .withColumn("is_left", (F.col("right") == 0).cast("int")))
     # gold descending; on equal gold the right element comes first (no inversion)
     pre = ordered_prefix(ex, [F.col("gold").desc(), F.col("right").desc(), F.col("pos")],
@@ -60,5 +61,6 @@ def idx_topk(lists: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 def rank_agreement(lists: DataFrame, ks: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
     """Per (list_id, k): inversions, avg_topk, idx_topk."""
+    lists = materialize(lists)
     return (avg_topk(lists, ks).join(idx_topk(lists, ks), ["list_id", "k"], "full")
             .join(inversions(lists), "list_id"))

@@ -26,7 +26,7 @@ from lexkit.functions import scoring as S
 from lexkit.functions import text as T
 from lexkit.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from lexkit.operators.windows import top_k_per_key
-from lexkit.session import checkpoint_dir
+from lexkit.session import materialize as _materialize
 
 
 def analyze(text, lower: bool = True, normalize: bool = False, max_len: int | None = None) -> Column:
@@ -140,22 +140,9 @@ def score(posts: DataFrame, qweights: DataFrame, doc_term: Column, broadcast_que
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
-
-    Used for the postings table, which feeds three consumers (corpus
-    statistics, document frequency, scoring): the text is tokenised once, and
-    the hash-by-doc partitioning is kept for the scoring aggregate.  (The
-    checkpoint records the plan's output partitioning only when the plan is not
-    adaptive, so AQE is paused for this one write.)"""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    key = "spark.sql.adaptive.enabled"
-    prev = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, prev)
+    """Postings feed three consumers (corpus statistics, document frequency,
+    scoring): write them once so the text is tokenised once."""
+    return _materialize(df, pause_aqe=True)
 
 
 def query_side_is_small(qterms: DataFrame) -> bool:

@@ -253,3 +253,68 @@ def reader_eval(spark: SparkSession, sf: str) -> DataFrame:
     s = QA.reader_scores(p, t)
     return s.agg(F.count(F.lit(1)).alias("n"), _r6(F.avg("em") * 100).alias("em"),
                  _r6(F.avg("f1") * 100).alias("f1"))
+
+
+# ---------------------------------------------------------------- vectors
+
+from lexkit.operators import agreement as AG  # noqa: E402
+from lexkit.operators import vectors as V  # noqa: E402
+from lexkit.operators.windows import ordered_index  # noqa: E402
+
+AGREEMENT_KS = (1, 5, 10, 20)
+
+
+def _centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """(label, vec): mean vector of every label group."""
+    return V.as_arrays(V.mean_pool(td.vectors(spark, sf), "label"), "label")
+
+
+@register("label_centroids")
+def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """A26 mean pooling of the embeddings of every label."""
+    m = V.mean_pool(td.vectors(spark, sf), "label")
+    return m.select(F.col("label").cast("bigint").alias("label"), F.col("dim").cast("bigint").alias("dim"),
+                    _r6(F.col("value")).alias("value"))
+
+
+@register("vector_cosine")
+def vector_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Dot, cosine and normalised dot of every vector with its label centroid."""
+    c = V.cosine_to(td.vectors(spark, sf), _centroids(spark, sf), "label")
+    return c.select("vec_id", _r6(F.col("dot")).alias("dot"), _r6(F.col("cos")).alias("cos"),
+                    _r6(F.col("cos_normed")).alias("cos_normed"))
+
+
+@register("embedding_spread")
+def embedding_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: mean over dimensions of the per-dimension sample std, per label."""
+    s = V.embedding_spread(td.vectors(spark, sf), "label")
+    return s.select(F.col("label").cast("bigint").alias("label"), _r6(F.col("spread")).alias("spread"))
+
+
+@register("flat_ip_search")
+def flat_ip_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact inner-product top-10 of every label centroid over all vectors."""
+    q = _centroids(spark, sf).select(F.col("label").alias("query_id"), "vec")
+    r = V.flat_ip_search(q, td.vectors(spark, sf), 10)
+    return r.select(F.col("query_id").cast("bigint").alias("query_id"), "vec_id",
+                    _r6(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _agreement_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label: gold order = exact cosine to the centroid; predicted order =
+    cosine rounded to 2 digits (ties by vec_id).  Both orders are numbered with
+    the range-partitioned ``ordered_index``."""
+    c = V.cosine_to(td.vectors(spark, sf), _centroids(spark, sf), "label").select("vec_id", "label", "cos")
+    g = ordered_index(c, [F.round("cos", 9).desc(), F.col("vec_id")], ["label"], out="gold")
+    p = ordered_index(g, [F.round("cos", 2).desc(), F.col("vec_id")], ["label"], out="pos")
+    return p.select(F.col("label").alias("list_id"), "pos", "gold")
+
+
+@register("rank_agreement")
+def rank_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Inversions, avg_topk and idx_topk per label list."""
+    r = AG.rank_agreement(_agreement_lists(spark, sf), AGREEMENT_KS)
+    return r.select(F.col("list_id").cast("bigint").alias("list_id"), F.col("k").cast("bigint").alias("k"),
+                    _r6(F.col("avg_topk")).alias("avg_topk"), F.col("idx_topk").cast("bigint").alias("idx_topk"),
+                    F.col("inversions").cast("bigint").alias("inversions"))

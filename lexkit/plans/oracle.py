@@ -273,3 +273,44 @@ SELECT pred_id, em::BIGINT AS em, round(f1, 6) AS f1 FROM per"""
 
 ORACLE["reader_eval"] = f"""WITH {READER_CTES}
 SELECT count(*) AS n, round(avg(em) * 100, 6) AS em, round(avg(f1) * 100, 6) AS f1 FROM per"""
+
+
+# ---------------------------------------------------------------- vectors
+
+VEC_CTES = """
+ev AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+cent AS (SELECT label, dim, avg(x) AS value FROM ev GROUP BY ALL),
+cn AS (SELECT label, sqrt(sum(value * value)) AS cnorm FROM cent GROUP BY ALL),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS vnorm FROM ev GROUP BY ALL),
+dots AS (SELECT ev.vec_id, ev.label, sum(ev.x * cent.value) AS dot FROM ev JOIN cent USING (label, dim) GROUP BY ALL),
+cosv AS (SELECT dots.vec_id, dots.label, dot, dot / (vnorm * cnorm) AS cos FROM dots JOIN vn USING (vec_id) JOIN cn USING (label))"""
+
+ORACLE["label_centroids"] = f"""WITH {VEC_CTES}
+SELECT label::BIGINT AS label, dim::BIGINT AS dim, round(value, 6) AS value FROM cent"""
+
+ORACLE["vector_cosine"] = f"""WITH {VEC_CTES}
+SELECT vec_id, round(dot, 6) AS dot, round(cos, 6) AS cos, round(cos, 6) AS cos_normed FROM cosv"""
+
+ORACLE["embedding_spread"] = f"""WITH {VEC_CTES}
+SELECT label::BIGINT AS label, round(avg(sd), 6) AS spread FROM
+  (SELECT label, dim, stddev_samp(x) AS sd FROM ev GROUP BY ALL) GROUP BY label"""
+
+ORACLE["flat_ip_search"] = f"""WITH {VEC_CTES},
+ip AS (SELECT cent.label AS query_id, ev.vec_id, sum(ev.x * cent.value) AS score FROM ev JOIN cent USING (dim) GROUP BY ALL)
+SELECT query_id::BIGINT AS query_id, vec_id::VARCHAR AS vec_id, round(score, 6) AS score, rank::BIGINT AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM ip)
+WHERE rank <= 10"""
+
+ORACLE["rank_agreement"] = f"""WITH {VEC_CTES},
+lists AS (SELECT label AS list_id, vec_id,
+            row_number() OVER (PARTITION BY label ORDER BY round(cos, 9) DESC, vec_id) - 1 AS gold,
+            row_number() OVER (PARTITION BY label ORDER BY round(cos, 2) DESC, vec_id) - 1 AS pos FROM cosv),
+ks AS (SELECT unnest([1, 5, 10, 20]) AS k),
+inv AS (SELECT a.list_id, count(b.vec_id) AS inversions FROM lists a LEFT JOIN lists b
+        ON a.list_id = b.list_id AND a.pos < b.pos AND a.gold > b.gold GROUP BY ALL),
+avgk AS (SELECT list_id, k, avg(CASE WHEN gold < k THEN 1e0 ELSE 0e0 END) AS avg_topk FROM lists JOIN ks ON pos < k GROUP BY ALL),
+idxk AS (SELECT list_id, k, coalesce(max(CASE WHEN gold < k THEN pos + 1 END), count(*)) AS idx_topk
+         FROM lists CROSS JOIN ks GROUP BY ALL)
+SELECT list_id::BIGINT AS list_id, k::BIGINT AS k, round(avg_topk, 6) AS avg_topk, idx_topk::BIGINT AS idx_topk,
+       inversions::BIGINT AS inversions
+FROM avgk JOIN idxk USING (list_id, k) JOIN inv USING (list_id)"""

@@ -62,3 +62,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, pause_aqe: bool = False):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where one intermediate table feeds several consumers (so its inputs
+    are read and transformed once) and where lineage would otherwise grow with
+    an iterative loop.  A lost executor only loses cached copies; the written
+    checkpoint survives.  ``pause_aqe`` plans the write without AQE, so the
+    checkpoint keeps the plan's output partitioning when Spark can record it."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if not pause_aqe:
+        return df.checkpoint(eager=True)
+    key = "spark.sql.adaptive.enabled"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, prev)
