@@ -318,3 +318,124 @@ def rank_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.col("list_id").cast("bigint").alias("list_id"), F.col("k").cast("bigint").alias("k"),
                     _r6(F.col("avg_topk")).alias("avg_topk"), F.col("idx_topk").cast("bigint").alias("idx_topk"),
                     F.col("inversions").cast("bigint").alias("inversions"))
+
+
+# ---------------------------------------------------------------- sampling
+
+from lexkit.functions import arrays as A  # noqa: E402
+from lexkit.functions.hashing import uniform  # noqa: E402
+from lexkit.operators import sampling as SM  # noqa: E402
+from lexkit.operators import windows as W  # noqa: E402
+
+SEED = 17
+CHUNK_LENGTH = 256
+CROP = (0.3, 0.7)
+AUG_P = 0.1
+MASK_ID = 3
+REPLACE_RANGE = (4, 50264)
+BOS, EOS = 0, 2
+PAD_BATCH = 16
+
+
+def ids_md5(c):
+    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+
+
+def _token_corpus(spark: SparkSession, sf: str):
+    return SM.token_id_corpus(td.table(spark, sf, "documents"), "source")
+
+
+@register("token_corpus")
+def token_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 form of the documents: per dataset (source) rows of vocabulary ids."""
+    ids, _ = _token_corpus(spark, sf)
+    return ids.select("dataset_id", "row_id", F.size("input_ids").cast("bigint").alias("n_ids"),
+                      ids_md5(F.col("input_ids")).alias("ids_md5"))
+
+
+@register("pair_crops")
+def pair_crops(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 + P4 + F12 + R4: epoch offset per dataset, chunk, two independent crops."""
+    ids, _ = _token_corpus(spark, sf)
+    offs = SM.epoch_offsets(ids, [1], CHUNK_LENGTH, SEED)
+    pairs = SM.make_pairs(ids, offs, CHUNK_LENGTH, CROP[0], CROP[1], SEED).join(offs.select("dataset_id", "offset"), "dataset_id")
+    return pairs.select("dataset_id", "row_id", F.col("offset").cast("bigint").alias("offset"),
+                        F.size("chunk").cast("bigint").alias("chunk_len"),
+                        F.size("q_tokens").cast("bigint").alias("q_len"), F.size("k_tokens").cast("bigint").alias("k_len"),
+                        ids_md5(F.col("q_tokens")).alias("q_md5"), ids_md5(F.col("k_tokens")).alias("k_md5"))
+
+
+@register("augmentations")
+def augmentations(spark: SparkSession, sf: str) -> DataFrame:
+    """F13-F16 (delete / replace / mask / shuffle), F18, F19, W9 + F21 over whole id lists."""
+    ids, _ = _token_corpus(spark, sf)
+    key = F.col("row_id")
+    x = F.col("input_ids")
+    b = W.assign_batches(ids, PAD_BATCH, [F.col("row_id")])
+    b = W.pad_width(b, "input_ids")
+    b = SM.shuffle_tokens_rows(b, "row_id", "input_ids", AUG_P, SEED, "shuf", "shuffled")
+    return b.select(
+        "row_id",
+        ids_md5(A.delete_tokens(x, AUG_P, SEED, "del", key)).alias("del_md5"),
+        ids_md5(A.replace_tokens(x, REPLACE_RANGE[0], REPLACE_RANGE[1], AUG_P, SEED, "rep", key)).alias("rep_md5"),
+        ids_md5(A.mask_tokens(x, MASK_ID, AUG_P, SEED, "mask", key)).alias("mask_md5"),
+        ids_md5(F.col("shuffled")).alias("shuf_md5"),
+        ids_md5(A.add_bos_eos(x, BOS, EOS)).alias("bos_eos_md5"),
+        ids_md5(A.add_token(x, BOS)).alias("add_md5"),
+        F.col("width").cast("bigint").alias("width"),
+        ids_md5(A.pad(x, F.col("width"))).alias("padded_md5"),
+        F.aggregate(A.pad_mask(x, F.col("width")), F.lit(0), lambda a, m: a + m).cast("bigint").alias("mask_sum"))
+
+
+@register("sampling_probs")
+def sampling_probs(spark: SparkSession, sf: str) -> DataFrame:
+    """dataset probabilities for coefficients 0, 0.5, 1."""
+    sizes = SM.dataset_sizes(td.table(spark, sf, "documents").withColumnRenamed("source", "dataset_id"))
+    out = None
+    for c in (0.0, 0.5, 1.0):
+        p = SM.sampling_prob(sizes, c).select("dataset_id", F.lit(c).alias("coeff"), _r6(F.col("prob")).alias("prob"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("dataset_draws")
+def dataset_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """J9 + R2: one draw per document row: dataset by probability (c = 0.5),
+    then a uniform row inside that dataset."""
+    docs = td.table(spark, sf, "documents").select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("row_id"))
+    return SM.sample_rows(docs, "row_id", docs, 0.5, SEED)
+
+
+@register("shuffle_order")
+def shuffle_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeatable random order of all documents."""
+    d = td.table(spark, sf, "documents").select("doc_id")
+    return SM.shuffle_order(d, "doc_id", SEED)
+
+
+@register("batch_layout")
+def batch_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """W7 + P9 + W9: batches of 32 in shuffled order, last partial batch dropped,
+    pad width per batch."""
+    d = td.table(spark, sf, "documents").select("doc_id", T.simple_tokenize(F.col("text")).alias("tokens"))
+    d = d.withColumn("_u", uniform(SEED, "shuffle", F.col("doc_id")))
+    b = W.drop_last(W.assign_batches(d, 32, [F.col("_u"), F.col("doc_id")]), 32)
+    b = W.pad_width(b, "tokens")
+    return b.select("doc_id", "batch", F.col("pos_in_batch").cast("bigint").alias("pos_in_batch"),
+                    F.col("width").cast("bigint").alias("width"))
+
+
+@register("shards")
+def shards(spark: SparkSession, sf: str) -> DataFrame:
+    """P11 round-robin and P12 contiguous 3-way shards of all documents."""
+    d = td.table(spark, sf, "documents").select("doc_id")
+    rr = W.shard_round_robin(d, 3, [F.col("doc_id")], out="rr_shard")
+    return W.shard_contiguous(rr, 3, [F.col("doc_id")], out="contiguous_shard").select(
+        "doc_id", F.col("rr_shard").cast("bigint").alias("rr_shard"),
+        F.col("contiguous_shard").cast("bigint").alias("contiguous_shard"))
+
+
+@register("maxload_rows")
+def maxload_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: stop after 100 input rows in file order (the cap is the operator)."""
+    return td.table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(100)

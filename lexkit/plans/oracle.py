@@ -314,3 +314,112 @@ idxk AS (SELECT list_id, k, coalesce(max(CASE WHEN gold < k THEN pos + 1 END), c
 SELECT list_id::BIGINT AS list_id, k::BIGINT AS k, round(avg_topk, 6) AS avg_topk, idx_topk::BIGINT AS idx_topk,
        inversions::BIGINT AS inversions
 FROM avgk JOIN idxk USING (list_id, k) JOIN inv USING (list_id)"""
+
+
+# ---------------------------------------------------------------- sampling
+
+from lexkit.functions.hashing import sql_uniform as U  # noqa: E402
+from lexkit.plans.catalog import (  # noqa: E402
+    AUG_P, BOS, CHUNK_LENGTH, CROP, EOS, MASK_ID, PAD_BATCH, REPLACE_RANGE, SEED)
+
+TOKEN_CORPUS_CTES = f"""
+toks AS (SELECT source AS dataset_id, doc_id AS row_id, {_tok('lower(text)')} AS t FROM documents),
+vocab AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT unnest(t) AS token FROM toks)),
+occ AS (SELECT row_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks),
+idl AS (SELECT row_id, list(id ORDER BY pos) AS ids FROM occ JOIN vocab USING (token) GROUP BY row_id),
+corpus_ids AS (SELECT dataset_id, row_id, coalesce(idl.ids, []::BIGINT[]) AS ids FROM toks LEFT JOIN idl USING (row_id))"""
+
+
+def _md5ids(x: str) -> str:
+    return f"md5(array_to_string({x}, ','))"
+
+
+def _crop_sql(tag: str) -> str:
+    lo, hi = CROP
+    ratio = f"({lo!r}e0 + {hi - lo!r}e0 * {U(SEED, tag + ':ratio', 'row_id')})" if "e" not in repr(hi - lo) \
+        else f"({lo!r} + {hi - lo!r} * {U(SEED, tag + ':ratio', 'row_id')})"
+    ln = f"floor(len(chunk)::DOUBLE * {ratio})::BIGINT"
+    st = f"floor({U(SEED, tag + ':start', 'row_id')} * (len(chunk) - {ln} + 1))::BIGINT"
+    return f"list_slice(chunk, {st} + 1, {st} + {ln})"
+
+
+ORACLE["token_corpus"] = f"""WITH {TOKEN_CORPUS_CTES}
+SELECT dataset_id, row_id, len(ids)::BIGINT AS n_ids, {_md5ids('ids')} AS ids_md5 FROM corpus_ids"""
+
+ORACLE["pair_crops"] = f"""WITH {TOKEN_CORPUS_CTES},
+offs AS (SELECT dataset_id, floor({U(SEED, 'offset', 'dataset_id', '1')} * {CHUNK_LENGTH})::BIGINT AS "offset"
+         FROM (SELECT DISTINCT dataset_id FROM corpus_ids)),
+ch AS (SELECT c.dataset_id, c.row_id, o."offset", list_slice(c.ids, o."offset" + 1, o."offset" + {CHUNK_LENGTH}) AS chunk
+       FROM corpus_ids c JOIN offs o USING (dataset_id)),
+cr AS (SELECT *, {_crop_sql('q')} AS q, {_crop_sql('k')} AS k FROM ch)
+SELECT dataset_id, row_id, "offset"::BIGINT AS "offset", len(chunk)::BIGINT AS chunk_len, len(q)::BIGINT AS q_len,
+       len(k)::BIGINT AS k_len, {_md5ids('q')} AS q_md5, {_md5ids('k')} AS k_md5 FROM cr"""
+
+
+def _augment_sql() -> str:
+    lo, hi = REPLACE_RANGE
+    return f"""WITH {TOKEN_CORPUS_CTES},
+el AS (SELECT row_id, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS i FROM corpus_ids),
+eu AS (SELECT *, {U(SEED, 'del', 'row_id', 'i')} AS u_del, {U(SEED, 'rep', 'row_id', 'i')} AS u_rep,
+              {U(SEED, 'rep:id', 'row_id', 'i')} AS u_repid, {U(SEED, 'mask', 'row_id', 'i')} AS u_mask,
+              {U(SEED, 'shuf', 'row_id', 'i')} AS u_shuf, {U(SEED, 'shuf:perm', 'row_id', 'i')} AS u_perm FROM el),
+ch AS (SELECT row_id, i, x, row_number() OVER (PARTITION BY row_id ORDER BY i) AS a,
+              row_number() OVER (PARTITION BY row_id ORDER BY u_perm, i) AS b FROM eu WHERE u_shuf < {AUG_P}e0),
+sh AS (SELECT t.row_id, t.i, s.x AS nx FROM ch t JOIN ch s ON s.row_id = t.row_id AND s.b = t.a),
+agg AS (SELECT eu.row_id,
+          list(x ORDER BY eu.i) FILTER (WHERE u_del > {AUG_P}e0) AS del,
+          list(CASE WHEN u_rep > {AUG_P}e0 THEN x ELSE ({lo} + floor(u_repid * {hi - lo + 1}))::INTEGER END ORDER BY eu.i) AS rep,
+          list(CASE WHEN u_mask > {AUG_P}e0 THEN x ELSE {MASK_ID} END ORDER BY eu.i) AS msk,
+          list(coalesce(sh.nx, x) ORDER BY eu.i) AS shuf
+        FROM eu LEFT JOIN sh ON sh.row_id = eu.row_id AND sh.i = eu.i GROUP BY eu.row_id),
+bt AS (SELECT row_id, ids, (row_number() OVER (ORDER BY row_id) - 1) // {PAD_BATCH} AS batch FROM corpus_ids),
+wd AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width FROM bt)
+SELECT wd.row_id,
+  {_md5ids('coalesce(agg.del, [])')} AS del_md5, {_md5ids('coalesce(agg.rep, [])')} AS rep_md5,
+  {_md5ids('coalesce(agg.msk, [])')} AS mask_md5, {_md5ids('coalesce(agg.shuf, [])')} AS shuf_md5,
+  {_md5ids(f'list_concat([{BOS}], ids, [{EOS}])')} AS bos_eos_md5, {_md5ids(f'list_concat([{BOS}], ids)')} AS add_md5,
+  width::BIGINT AS width, {_md5ids('list_resize(ids, width, 0)')} AS padded_md5,
+  len(ids)::BIGINT AS mask_sum
+FROM wd LEFT JOIN agg USING (row_id)"""
+
+
+ORACLE["augmentations"] = _augment_sql()
+
+_SIZES = "sizes AS (SELECT source AS dataset_id, count(*) AS n FROM documents GROUP BY ALL)"
+
+
+def _probs_sql(c: float) -> str:
+    return f"""(SELECT dataset_id, n, p0 / sum(p0) OVER () AS prob FROM
+      (SELECT dataset_id, n, pow(n / sum(n) OVER (), {c!r}e0) AS p0 FROM sizes))"""
+
+
+ORACLE["sampling_probs"] = f"""WITH {_SIZES}
+{' UNION ALL '.join(f"SELECT dataset_id, {c!r}e0 AS coeff, round(prob, 6) AS prob FROM {_probs_sql(c)}" for c in (0.0, 0.5, 1.0))}"""
+
+ORACLE["dataset_draws"] = f"""WITH {_SIZES},
+iv AS (SELECT dataset_id, n, sum(prob) OVER (ORDER BY dataset_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+       FROM {_probs_sql(0.5)}),
+iv2 AS (SELECT dataset_id, n, coalesce(lag(hi) OVER (ORDER BY dataset_id), 0e0) AS lo,
+               CASE WHEN row_number() OVER (ORDER BY dataset_id DESC) = 1 THEN 1e0 ELSE hi END AS hi FROM iv),
+draws AS (SELECT doc_id AS draw_id, {U(SEED, 'dataset', 'doc_id')} AS u, {U(SEED, 'row', 'doc_id')} AS u2 FROM documents),
+picked AS (SELECT draw_id, iv2.dataset_id, floor(u2 * n)::BIGINT AS row_pos FROM draws JOIN iv2 ON u >= lo AND u < hi),
+pos AS (SELECT source AS dataset_id, doc_id AS row_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_pos
+        FROM documents)
+SELECT draw_id, dataset_id, row_id FROM picked JOIN pos USING (dataset_id, row_pos)"""
+
+ORACLE["shuffle_order"] = f"""SELECT doc_id, (row_number() OVER (ORDER BY {U(SEED, 'shuffle', 'doc_id')}, doc_id) - 1)::BIGINT AS order_pos
+FROM documents"""
+
+ORACLE["batch_layout"] = f"""WITH o AS (SELECT doc_id, len({_tok('lower(text)')}) AS ntok,
+     row_number() OVER (ORDER BY {U(SEED, 'shuffle', 'doc_id')}, doc_id) - 1 AS r FROM documents),
+b AS (SELECT doc_id, ntok, r // 32 AS batch, r % 32 AS pos_in_batch FROM o
+      WHERE r // 32 < (SELECT count(*) // 32 FROM documents))
+SELECT doc_id, batch::BIGINT AS batch, pos_in_batch::BIGINT AS pos_in_batch,
+       max(ntok) OVER (PARTITION BY batch)::BIGINT AS width FROM b"""
+
+ORACLE["shards"] = """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents),
+p AS (SELECT *, n // 3 AS q, n % 3 AS rem FROM o)
+SELECT doc_id, ((r + 1) % 3)::BIGINT AS rr_shard,
+  (CASE WHEN r < rem * (q + 1) THEN r // (q + 1) ELSE rem + (r - rem * (q + 1)) // q END)::BIGINT AS contiguous_shard FROM p"""
+
+ORACLE["maxload_rows"] = "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100"
