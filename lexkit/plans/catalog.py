@@ -439,3 +439,62 @@ def shards(spark: SparkSession, sf: str) -> DataFrame:
 def maxload_rows(spark: SparkSession, sf: str) -> DataFrame:
     """P10: stop after 100 input rows in file order (the cap is the operator)."""
     return td.table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(100)
+
+
+# ---------------------------------------------------------------- fine-tuning examples
+
+FT_NEG_OFFSETS = (1, 2, 3)      # negatives: answers of the next conversations, same turn
+FT_HARD_OFFSETS = (3, 5)        # hard negatives: later answers of the same conversation
+FT_N_NEG, FT_HARD_RATIO, FT_BATCH = 2, 0.5, 8
+
+
+def _qa_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """qa_examples from conversations: question = user turn, positive = the next
+    assistant turn, negatives / hard negatives = assistant turns at fixed
+    offsets (equi-joins on (conv_id, turn); lists bounded by the offsets)."""
+    c = td.table(spark, sf, "conversations")
+    asst = c.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    users = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    ctx = lambda t: F.struct(F.lit("").alias("title"), t.alias("text"))
+    pos = users.join(asst.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ptext")),
+                     ["conv_id", "turn"])
+
+    def listed(offsets, conv_shift: bool, name: str) -> DataFrame:
+        rows = asst.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in offsets])))
+        if conv_shift:
+            rows = rows.select((F.col("conv_id") - F.col("_d")).alias("conv_id"), (F.col("turn") - 1).alias("turn"),
+                               "_d", "text")
+        else:
+            rows = rows.select("conv_id", (F.col("turn") - F.col("_d")).alias("turn"), "_d", "text")
+        return (rows.groupBy("conv_id", "turn")
+                    .agg(F.array_sort(F.collect_list(F.struct("_d", "text"))).alias("_s"))
+                    .select("conv_id", "turn", F.transform("_s", lambda s: ctx(s["text"])).alias(name)))
+
+    ex = (pos.join(listed(FT_NEG_OFFSETS, True, "negative_ctxs"), ["conv_id", "turn"], "left")
+             .join(listed(FT_HARD_OFFSETS, False, "hard_negative_ctxs"), ["conv_id", "turn"], "left"))
+    empty = F.array().cast("array<struct<title:string,text:string>>")
+    return ex.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ex_id"),
+                     "question", F.array(ctx(F.col("ptext"))).alias("positive_ctxs"),
+                     F.coalesce("negative_ctxs", empty).alias("negative_ctxs"),
+                     F.coalesce("hard_negative_ctxs", empty).alias("hard_negative_ctxs"))
+
+
+def _ft_built(spark: SparkSession, sf: str) -> DataFrame:
+    return SM.build_finetune_examples(_qa_examples(spark, sf), training=True, n_negatives=FT_N_NEG,
+                                      hard_ratio=FT_HARD_RATIO, normalize=True, seed=SEED)
+
+
+@register("finetune_examples")
+def finetune_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """R5 + R6 + P1 + F1: training examples with sampled random / hard negatives."""
+    e = _ft_built(spark, sf)
+    return e.select("ex_id", F.md5("query").alias("query_md5"), F.md5("gold").alias("gold_md5"),
+                    F.size("negatives").cast("bigint").alias("n_neg"),
+                    F.md5(F.array_join("negatives", T.RUN_SEP)).alias("negs_md5"))
+
+
+@register("finetune_collate")
+def finetune_collate(spark: SparkSession, sf: str) -> DataFrame:
+    """Per batch of 8, golds then all negatives as one passage list."""
+    col = SM.collate_finetune(_ft_built(spark, sf), FT_BATCH)
+    return col.select("batch", "passage_pos", "is_gold", "ex_id", F.md5("text").alias("text_md5"))

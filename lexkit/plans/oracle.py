@@ -423,3 +423,56 @@ SELECT doc_id, ((r + 1) % 3)::BIGINT AS rr_shard,
   (CASE WHEN r < rem * (q + 1) THEN r // (q + 1) ELSE rem + (r - rem * (q + 1)) // q END)::BIGINT AS contiguous_shard FROM p"""
 
 ORACLE["maxload_rows"] = "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100"
+
+
+# ---------------------------------------------------------------- fine-tuning examples
+
+from lexkit.plans.catalog import FT_BATCH, FT_HARD_OFFSETS, FT_HARD_RATIO, FT_N_NEG, FT_NEG_OFFSETS  # noqa: E402
+
+
+def _ft_sql() -> str:
+    neg_d = ", ".join(str(d) for d in FT_NEG_OFFSETS)
+    hard_d = ", ".join(str(d) for d in FT_HARD_OFFSETS)
+    draws = " + ".join(f"(CASE WHEN {U(SEED, 'nhard', 'ex_id', str(j))} < {FT_HARD_RATIO!r}e0 THEN 1 ELSE 0 END)"
+                       for j in range(FT_N_NEG))
+    return f"""
+asst AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+users AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+ex AS (SELECT u.conv_id, u.turn, u.conv_id::VARCHAR || ':' || u.turn::VARCHAR AS ex_id, u.question, a.text AS gold
+       FROM users u JOIN asst a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+negl AS (SELECT ex.ex_id, a.text, row_number() OVER (PARTITION BY ex.ex_id ORDER BY d.d) - 1 AS i
+         FROM ex CROSS JOIN (SELECT unnest([{neg_d}]) AS d) d
+         JOIN asst a ON a.conv_id = ex.conv_id + d.d AND a.turn = ex.turn + 1),
+hardl AS (SELECT ex.ex_id, a.text, row_number() OVER (PARTITION BY ex.ex_id ORDER BY d.d) - 1 AS i
+          FROM ex CROSS JOIN (SELECT unnest([{hard_d}]) AS d) d
+          JOIN asst a ON a.conv_id = ex.conv_id AND a.turn = ex.turn + d.d),
+cnt AS (SELECT ex.ex_id, (SELECT count(*) FROM negl WHERE negl.ex_id = ex.ex_id) AS n_negs,
+               (SELECT count(*) FROM hardl WHERE hardl.ex_id = ex.ex_id) AS n_hards,
+               {draws} AS draws FROM ex),
+k AS (SELECT ex_id, least(draws, n_hards) AS nh, least({FT_N_NEG} - least(draws, n_hards), n_negs) AS nr FROM cnt),
+picked AS (
+  SELECT ex_id, 0 AS grp, rk, text FROM (SELECT negl.ex_id, negl.text,
+      row_number() OVER (PARTITION BY negl.ex_id ORDER BY {U(SEED, 'rand', 'negl.ex_id', 'negl.i')}, negl.i) AS rk
+      FROM negl) r JOIN k USING (ex_id) WHERE rk <= nr
+  UNION ALL
+  SELECT ex_id, 1 AS grp, rk, text FROM (SELECT hardl.ex_id, hardl.text,
+      row_number() OVER (PARTITION BY hardl.ex_id ORDER BY {U(SEED, 'hard', 'hardl.ex_id', 'hardl.i')}, hardl.i) AS rk
+      FROM hardl) h JOIN k USING (ex_id) WHERE rk <= nh),
+negs AS (SELECT ex_id, list({sql_normalize_text('text')} ORDER BY grp, rk) AS negatives FROM picked GROUP BY ex_id),
+fx AS (SELECT ex.ex_id, {sql_normalize_text('question')} AS query, {sql_normalize_text('gold')} AS gold,
+              coalesce(negs.negatives, []::VARCHAR[]) AS negatives FROM ex LEFT JOIN negs USING (ex_id))"""
+
+
+ORACLE["finetune_examples"] = f"""WITH {_ft_sql()}
+SELECT ex_id, md5(query) AS query_md5, md5(gold) AS gold_md5, len(negatives)::BIGINT AS n_neg,
+       md5(array_to_string(negatives, chr(1))) AS negs_md5 FROM fx"""
+
+ORACLE["finetune_collate"] = f"""WITH {_ft_sql()},
+b AS (SELECT *, (row_number() OVER (ORDER BY ex_id) - 1) // {FT_BATCH} AS batch,
+             (row_number() OVER (ORDER BY ex_id) - 1) % {FT_BATCH} AS pib FROM fx),
+bs AS (SELECT *, count(*) OVER (PARTITION BY batch) AS bsize FROM b),
+nx AS (SELECT batch, pib, bsize, ex_id, unnest(negatives) AS text, generate_subscripts(negatives, 1) AS ni FROM bs)
+SELECT batch::BIGINT AS batch, pib::BIGINT AS passage_pos, true AS is_gold, ex_id, md5(gold) AS text_md5 FROM bs
+UNION ALL
+SELECT batch::BIGINT, (bsize + row_number() OVER (PARTITION BY batch ORDER BY pib, ni) - 1)::BIGINT, false, ex_id, md5(text)
+FROM nx"""
