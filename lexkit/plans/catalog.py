@@ -498,3 +498,60 @@ def finetune_collate(spark: SparkSession, sf: str) -> DataFrame:
     """Per batch of 8, golds then all negatives as one passage list."""
     col = SM.collate_finetune(_ft_built(spark, sf), FT_BATCH)
     return col.select("batch", "passage_pos", "is_gold", "ex_id", F.md5("text").alias("text_md5"))
+
+
+# ---------------------------------------------------------------- contrastive statistics
+
+from lexkit.operators import contrastive as CT  # noqa: E402
+
+CT_BATCH, CT_TEMPERATURE, CT_SMOOTHING, CT_QUEUE_BATCHES = 50, 0.1, 0.1, 2
+LEX_BATCH = 32
+
+
+def _vector_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(batch, pos, qv, kv): each vector is a query whose positive key is its
+    label centroid; batches of 50 in vec_id order."""
+    v = td.vectors(spark, sf)
+    b = W.assign_batches(v, CT_BATCH, [F.col("vec_id")], pos_out="pos")
+    cent = _centroids(spark, sf)
+    return (b.join(F.broadcast(cent), "label")
+             .select("batch", F.col("pos").cast("bigint").alias("pos"), F.col("embedding").alias("qv"),
+                     F.col("vec").alias("kv")))
+
+
+def _ct_out(df: DataFrame) -> DataFrame:
+    return df.select("batch", *[_r6(F.col(c)).alias(c) for c in ("loss", "accuracy", "stdq", "stdk")])
+
+
+@register("inbatch_contrastive")
+def inbatch_contrastive(spark: SparkSession, sf: str) -> DataFrame:
+    """V12 in-batch (J7, J12, A8, A9, A10): per batch loss, accuracy, stdq, stdk."""
+    return _ct_out(CT.in_batch_stats(_vector_rows(spark, sf), CT_TEMPERATURE, CT_SMOOTHING))
+
+
+@register("moco_contrastive")
+def moco_contrastive(spark: SparkSession, sf: str) -> DataFrame:
+    """V12 momentum queue (J8): negatives are the keys of the two previous batches."""
+    return _ct_out(CT.moco_stats(_vector_rows(spark, sf), CT_QUEUE_BATCHES, CT_TEMPERATURE, CT_SMOOTHING))
+
+
+def _lexical_pairs(spark: SparkSession, sf: str):
+    """Batches of 32 (shuffled order, last partial batch dropped) of R4 crop
+    pairs over the token-id corpus, and IDF weights keyed by token id."""
+    ids, vocab = _token_corpus(spark, sf)
+    offs = SM.epoch_offsets(ids, [1], CHUNK_LENGTH, SEED)
+    pairs = SM.make_pairs(ids, offs, CHUNK_LENGTH, CROP[0], CROP[1], SEED)
+    pairs = pairs.withColumn("_u", uniform(SEED, "shuffle", F.col("row_id")))
+    b = W.drop_last(W.assign_batches(pairs, LEX_BATCH, [F.col("_u"), F.col("row_id")], pos_out="pos"), LEX_BATCH)
+    idf = L.build_idf(td.table(spark, sf, "documents"))
+    w = idf.join(vocab, "token").select(F.col("id").alias("token"), F.col("idf").alias("weight"))
+    return b.select("batch", F.col("pos").cast("bigint").alias("pos"), "q_tokens", "k_tokens"), w
+
+
+@register("lexical_validate")
+def lexical_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Symmetric in-batch loss and doc->query accuracy of the
+    lexical scorer (IDF weights, beta = 0) on crop pairs."""
+    pairs, w = _lexical_pairs(spark, sf)
+    r = CT.lexical_batch_loss(pairs, w, 0.0)
+    return r.select("batch", _r6(F.col("loss")).alias("loss"), _r6(F.col("acc")).alias("acc"))

@@ -476,3 +476,87 @@ SELECT batch::BIGINT AS batch, pib::BIGINT AS passage_pos, true AS is_gold, ex_i
 UNION ALL
 SELECT batch::BIGINT, (bsize + row_number() OVER (PARTITION BY batch ORDER BY pib, ni) - 1)::BIGINT, false, ex_id, md5(text)
 FROM nx"""
+
+
+# ---------------------------------------------------------------- contrastive statistics
+
+from lexkit.plans.catalog import CT_BATCH, CT_QUEUE_BATCHES, CT_SMOOTHING, CT_TEMPERATURE, LEX_BATCH  # noqa: E402
+
+CT_ROWS = f"""{VEC_CTES},
+rws AS (SELECT vec_id, label, (row_number() OVER (ORDER BY vec_id) - 1) // {CT_BATCH} AS batch,
+               (row_number() OVER (ORDER BY vec_id) - 1) % {CT_BATCH} AS pos FROM embeddings),
+qe AS (SELECT r.batch, r.pos, ev.dim, ev.x FROM rws r JOIN ev USING (vec_id)),
+ke AS (SELECT r.batch, r.pos, c.dim, c.value AS x FROM rws r JOIN cent c USING (label)),
+spread AS (SELECT q.batch, q.stdq, k.stdk FROM
+  (SELECT batch, avg(sd) AS stdq FROM (SELECT batch, dim, stddev_samp(x) AS sd FROM qe GROUP BY ALL) GROUP BY batch) q
+  JOIN (SELECT batch, avg(sd) AS stdk FROM (SELECT batch, dim, stddev_samp(x) AS sd FROM ke GROUP BY ALL) GROUP BY batch) k
+  USING (batch))"""
+
+
+def _ce_sql(scores: str, pos_expr: str) -> str:
+    """Per-query CE with temperature and label smoothing from (batch, qi, cand, score)."""
+    return f"""z AS (SELECT batch, qi, cand, score / {CT_TEMPERATURE!r}e0 AS z, {pos_expr} AS pos FROM {scores}),
+zm AS (SELECT batch, qi, max(z) AS m, avg(z) AS mz, max(CASE WHEN cand = pos THEN z END) AS zpos FROM z GROUP BY ALL),
+lse AS (SELECT z.batch, z.qi, zm.m + ln(sum(exp(z.z - zm.m))) AS lse, any_value(zm.mz) AS mz, any_value(zm.zpos) AS zpos
+        FROM z JOIN zm USING (batch, qi) GROUP BY z.batch, z.qi, zm.m),
+am AS (SELECT batch, qi, cand = pos AS hit FROM (SELECT *, row_number() OVER (PARTITION BY batch, qi ORDER BY round(z, 9) DESC, cand) AS rn
+       FROM z) WHERE rn = 1),
+per AS (SELECT batch, avg({1 - CT_SMOOTHING!r}e0 * (lse - zpos) + {CT_SMOOTHING!r}e0 * (lse - mz)) AS loss,
+               avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END) * 100 AS accuracy
+        FROM lse JOIN am USING (batch, qi) GROUP BY batch)"""
+
+
+_CT_SELECT = """SELECT batch::BIGINT AS batch, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy,
+       round(stdq, 6) AS stdq, round(stdk, 6) AS stdk FROM per JOIN spread USING (batch)"""
+
+ORACLE["inbatch_contrastive"] = f"""WITH {CT_ROWS},
+sc AS (SELECT q.batch, q.pos AS qi, k.pos AS cand, sum(q.x * k.x) AS score FROM qe q JOIN ke k USING (batch, dim) GROUP BY ALL),
+{_ce_sql('sc', 'qi')}
+{_CT_SELECT}"""
+
+ORACLE["moco_contrastive"] = f"""WITH {CT_ROWS},
+own AS (SELECT q.batch, q.pos AS qi, 0 AS cand, sum(q.x * k.x) AS score FROM qe q JOIN ke k USING (batch, pos, dim) GROUP BY ALL),
+negs AS (SELECT q.batch, q.pos AS qi, k.batch AS kb, k.pos AS kp, sum(q.x * k.x) AS score FROM qe q JOIN ke k
+         ON k.dim = q.dim AND k.batch < q.batch AND k.batch >= q.batch - {CT_QUEUE_BATCHES} GROUP BY ALL),
+sc AS (SELECT batch, qi, cand, score FROM own UNION ALL
+       SELECT batch, qi, row_number() OVER (PARTITION BY batch, qi ORDER BY kb, kp) AS cand, score FROM negs),
+{_ce_sql('sc', '0')}
+{_CT_SELECT}"""
+
+
+def _lexical_sql() -> str:
+    return f"""{TOKEN_CORPUS_CTES},
+offs AS (SELECT dataset_id, floor({U(SEED, 'offset', 'dataset_id', '1')} * {CHUNK_LENGTH})::BIGINT AS "offset"
+         FROM (SELECT DISTINCT dataset_id FROM corpus_ids)),
+ch AS (SELECT c.dataset_id, c.row_id, list_slice(c.ids, o."offset" + 1, o."offset" + {CHUNK_LENGTH}) AS chunk
+       FROM corpus_ids c JOIN offs o USING (dataset_id)),
+cr AS (SELECT row_id, {_crop_sql('q')} AS q, {_crop_sql('k')} AS k FROM ch),
+ord AS (SELECT row_id, q, k, row_number() OVER (ORDER BY {U(SEED, 'shuffle', 'row_id')}, row_id) - 1 AS r FROM cr),
+bt AS (SELECT row_id, q, k, r // {LEX_BATCH} AS batch, r % {LEX_BATCH} AS pos FROM ord
+       WHERE r // {LEX_BATCH} < (SELECT count(*) // {LEX_BATCH} FROM cr)),
+dtok AS (SELECT doc_id, {_tok('lower(text)')} AS t FROM documents),
+ndocs AS (SELECT count(*)::DOUBLE AS n FROM dtok),
+df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM dtok) GROUP BY token),
+w AS (SELECT vocab.id AS token, ln(1e0 + (ndocs.n - df.df + 0.5e0) / (df.df + 0.5e0)) AS weight
+      FROM df JOIN vocab USING (token), ndocs),
+dtf AS (SELECT batch, pos AS d, token, count(*) AS tf FROM (SELECT batch, pos, unnest(k) AS token FROM bt) GROUP BY ALL),
+qp AS (SELECT DISTINCT batch, pos AS q, unnest(q) AS token FROM bt),
+sc AS (SELECT dtf.batch, d, q, sum(w.weight * (tf / (tf + exp(0e0)))) AS score
+       FROM dtf JOIN qp USING (batch, token) JOIN w USING (token) GROUP BY ALL),
+dense AS (SELECT a.batch, a.pos AS d, b.pos AS q, coalesce(sc.score, 0e0) AS score FROM bt a JOIN bt b USING (batch)
+          LEFT JOIN sc ON sc.batch = a.batch AND sc.d = a.pos AND sc.q = b.pos),
+rm AS (SELECT batch, d, max(score) AS m FROM dense GROUP BY ALL),
+rce AS (SELECT x.batch, x.d, rm.m + ln(sum(exp(x.score - rm.m))) - max(CASE WHEN x.d = x.q THEN x.score END) AS ce
+        FROM dense x JOIN rm USING (batch, d) GROUP BY x.batch, x.d, rm.m),
+cm AS (SELECT batch, q, max(score) AS m FROM dense GROUP BY ALL),
+cce AS (SELECT x.batch, x.q, cm.m + ln(sum(exp(x.score - cm.m))) - max(CASE WHEN x.d = x.q THEN x.score END) AS ce
+        FROM dense x JOIN cm USING (batch, q) GROUP BY x.batch, x.q, cm.m),
+hit AS (SELECT batch, d, q = d AS h FROM (SELECT *, row_number() OVER (PARTITION BY batch, d ORDER BY round(score, 9) DESC, q) AS rn
+        FROM dense) WHERE rn = 1)"""
+
+
+ORACLE["lexical_validate"] = f"""WITH {_lexical_sql()}
+SELECT r.batch::BIGINT AS batch, round(r.ce_d + c.ce_q, 6) AS loss, round(h.acc, 6) AS acc FROM
+  (SELECT batch, avg(ce) AS ce_d FROM rce GROUP BY batch) r
+  JOIN (SELECT batch, avg(ce) AS ce_q FROM cce GROUP BY batch) c USING (batch)
+  JOIN (SELECT batch, avg(CASE WHEN h THEN 1e0 ELSE 0e0 END) AS acc FROM hit GROUP BY batch) h USING (batch)"""
