@@ -555,3 +555,141 @@ def lexical_validate(spark: SparkSession, sf: str) -> DataFrame:
     pairs, w = _lexical_pairs(spark, sf)
     r = CT.lexical_batch_loss(pairs, w, 0.0)
     return r.select("batch", _r6(F.col("loss")).alias("loss"), _r6(F.col("acc")).alias("acc"))
+
+
+# ---------------------------------------------------------------- training
+
+from lexkit.operators import training as TR  # noqa: E402
+
+TRAIN_STEPS, TRAIN_LR, TRAIN_WARMUP = 3, 0.01, 12
+
+
+@register("train_lexical_log")
+def train_lexical_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Three AdamW steps of the learned lexical scorer on crop-pair batches
+    (iterative; rows-only check).  Returns the training log (S12)."""
+    pairs, _ = _lexical_pairs(spark, sf)
+    pairs = TR.materialize(pairs)
+    vocab = pairs.select(F.explode("k_tokens").alias("token")).unionByName(
+        pairs.select(F.explode("q_tokens").alias("token"))).distinct()
+    model = TR.init_model(vocab, SEED)
+    model = TR.train_lexical(pairs, model, TRAIN_STEPS, TRAIN_LR, TRAIN_WARMUP, total=TRAIN_STEPS)
+    return TR.training_log(spark, model)
+
+
+@register("lr_schedule")
+def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """Learning-rate factors for every step of one epoch over the
+    documents in batches of 32 (warm-up 12)."""
+    d = td.table(spark, sf, "documents").select("doc_id")
+    b = W.assign_batches(d, 32, [F.col("doc_id")]).select("batch").distinct()
+    total = b.agg(F.count(F.lit(1))).first()[0]
+    return b.select(F.col("batch").cast("bigint").alias("step"),
+                    _r6(SCH.lr_linear(F.col("batch"), 12, total, 0.0)).alias("lr_linear"),
+                    _r6(SCH.lr_cosine(F.col("batch"), 12, total, 0.1)).alias("lr_cosine"))
+
+
+from lexkit.functions import schedules as SCH  # noqa: E402
+
+
+def _idf_weights(spark: SparkSession, sf: str, lang: str | None = None) -> DataFrame:
+    """(token, weight): corpus IDF (optionally of one language), rounded to 9 digits."""
+    d = td.table(spark, sf, "documents")
+    if lang:
+        d = d.filter(F.col("lang") == lang)
+    return L.build_idf(d).select("token", F.round("idf", 9).alias("weight"))
+
+
+@register("momentum_weights")
+def momentum_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """0.9 * (English-corpus IDF) + 0.1 * (whole-corpus IDF) per shared token."""
+    w = TR.momentum_update(_idf_weights(spark, sf, "en"), _idf_weights(spark, sf), 0.9)
+    return w.select("token", _r6(F.col("weight")).alias("weight"))
+
+
+@register("param_count")
+def param_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters of a lexical model over the corpus vocabulary, in millions."""
+    return TR.param_count(_idf_weights(spark, sf)).select(_r6(F.col("params_m")).alias("params_m"))
+
+
+# ---------------------------------------------------------------- weight inspection
+
+TOP_K = 100
+
+
+def _signed_weights(spark: SparkSession, sf: str) -> DataFrame:
+    a = _idf_weights(spark, sf, "en").withColumnRenamed("weight", "wa")
+    b = _idf_weights(spark, sf).withColumnRenamed("weight", "wb")
+    return a.join(b, "token").select("token", F.round(F.col("wa") - F.col("wb"), 9).alias("weight"))
+
+
+@register("vocab_ranking")
+def vocab_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """0-based position of every token in descending IDF order."""
+    r = W.vocab_ranking(_idf_weights(spark, sf))
+    return r.select("token", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("top_weights")
+def top_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """L1: the 100 largest English-corpus IDF weights."""
+    return W.top_weights(_idf_weights(spark, sf, "en"), TOP_K).select("token", "weight")
+
+
+@register("bottom_weights")
+def bottom_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """L2: the 100 smallest English-corpus IDF weights."""
+    return W.top_weights(_idf_weights(spark, sf, "en"), TOP_K, largest=False).select("token", "weight")
+
+
+@register("smallest_magnitude")
+def smallest_magnitude(spark: SparkSession, sf: str) -> DataFrame:
+    """L3: the 100 signed weights (English minus whole-corpus IDF) closest to zero."""
+    return W.smallest_magnitude(_signed_weights(spark, sf), TOP_K).select("token", "weight")
+
+
+@register("tail_of_top")
+def tail_of_top(spark: SparkSession, sf: str) -> DataFrame:
+    """L4: the last 10 of the top 100 English-corpus weights."""
+    top = W.top_weights(_idf_weights(spark, sf, "en"), TOP_K)
+    return top.orderBy(F.col("weight").asc(), F.col("token").desc()).limit(10).select("token", "weight")
+
+
+@register("compare_rankings")
+def compare_rankings(spark: SparkSession, sf: str) -> DataFrame:
+    """L5 + J5 + A27: mean position, in the whole-corpus IDF ordering, of the
+    English model's top-100 and bottom-100 tokens, and their mean token id."""
+    a = _idf_weights(spark, sf, "en")
+    order_b = W.vocab_ranking(_idf_weights(spark, sf))
+    _, vocab = _token_corpus(spark, sf)
+    out = None
+    for name, largest in (("top", True), ("bottom", False)):
+        chosen = W.top_weights(a, TOP_K, largest=largest).select("token")
+        j = chosen.join(order_b, "token").join(vocab, "token")
+        r = j.agg(_r6(F.avg("rank")).alias("mean_rank"), _r6(F.avg("id")).alias("mean_token_id"),
+                  F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("decode_tokens")
+def decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 highest-weighted English tokens decoded into one string in rank order."""
+    top = W.top_weights(_idf_weights(spark, sf, "en"), 20).withColumn("_o", F.struct(-F.col("weight"), F.col("token")))
+    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "token"))),
+                                            lambda s: s["token"]), " ").alias("text"))
+
+
+# ---------------------------------------------------------------- running statistics
+
+from lexkit.operators import stats as ST  # noqa: E402
+
+
+@register("weighted_average")
+def weighted_average(spark: SparkSession, sf: str) -> DataFrame:
+    """Per event type, value averaged with weight 1 + user_id % 3, and the total weight."""
+    e = td.table(spark, sf, "events").select(F.col("event_type").alias("key"), "value",
+                                             (F.lit(1) + F.col("user_id") % 3).alias("weight"))
+    r = ST.weighted_average(e)
+    return r.select("key", _r6(F.col("avg")).alias("avg"), F.col("total_weight").cast("bigint").alias("total_weight"))

@@ -560,3 +560,57 @@ SELECT r.batch::BIGINT AS batch, round(r.ce_d + c.ce_q, 6) AS loss, round(h.acc,
   (SELECT batch, avg(ce) AS ce_d FROM rce GROUP BY batch) r
   JOIN (SELECT batch, avg(ce) AS ce_q FROM cce GROUP BY batch) c USING (batch)
   JOIN (SELECT batch, avg(CASE WHEN h THEN 1e0 ELSE 0e0 END) AS acc FROM hit GROUP BY batch) h USING (batch)"""
+
+
+# ---------------------------------------------------------------- training, weights, statistics
+
+def _idf_sql(name: str, where: str = "") -> str:
+    return f"""{name} AS (SELECT token, round(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)), 9) AS weight FROM
+  (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tok('lower(text)')}) AS token
+     FROM documents {where}) GROUP BY token),
+  (SELECT count(*)::DOUBLE AS n FROM documents {where}))"""
+
+
+_W2 = f"{_idf_sql('wa', "WHERE lang = 'en'")}, {_idf_sql('wb')}"
+
+ORACLE["lr_schedule"] = """WITH b AS (SELECT DISTINCT (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS step FROM documents),
+t AS (SELECT count(*) AS total FROM b)
+SELECT step::BIGINT AS step,
+  round(CASE WHEN step < 12 THEN (1 - 0e0) * step / 12e0
+        ELSE greatest(0e0, 1e0 + (0e0 - 1) * (step - 12e0) / greatest(1, total - 12)::DOUBLE) END, 6) AS lr_linear,
+  round(CASE WHEN step < 12 THEN step / 12e0
+        ELSE 0.1e0 + (1e0 - 0.1e0) * cos(pi() / 2e0 * ((step - 12e0) / greatest(1, total - 12)::DOUBLE)) END, 6) AS lr_cosine
+FROM b, t"""
+
+ORACLE["momentum_weights"] = f"""WITH {_W2}
+SELECT token, round(wa.weight * 0.9e0 + wb.weight * {1 - 0.9!r}e0, 6) AS weight FROM wa JOIN wb USING (token)"""
+
+ORACLE["param_count"] = f"""WITH {_idf_sql('wb')} SELECT round((count(*) + 1) / 1e6, 6) AS params_m FROM wb"""
+
+ORACLE["vocab_ranking"] = f"""WITH {_idf_sql('wb')}
+SELECT token, (row_number() OVER (ORDER BY weight DESC, token) - 1)::BIGINT AS rank FROM wb"""
+
+ORACLE["top_weights"] = f"""WITH {_W2} SELECT token, weight FROM wa ORDER BY weight DESC, token LIMIT 100"""
+
+ORACLE["bottom_weights"] = f"""WITH {_W2} SELECT token, weight FROM wa ORDER BY weight ASC, token LIMIT 100"""
+
+ORACLE["smallest_magnitude"] = f"""WITH {_W2}, sg AS (SELECT token, round(wa.weight - wb.weight, 9) AS weight FROM wa JOIN wb USING (token))
+SELECT token, weight FROM sg ORDER BY abs(weight), token LIMIT 100"""
+
+ORACLE["tail_of_top"] = f"""WITH {_W2}, top AS (SELECT token, weight FROM wa ORDER BY weight DESC, token LIMIT 100)
+SELECT token, weight FROM top ORDER BY weight ASC, token DESC LIMIT 10"""
+
+ORACLE["compare_rankings"] = f"""WITH {_W2}, {TOKEN_CORPUS_CTES},
+ob AS (SELECT token, row_number() OVER (ORDER BY weight DESC, token) - 1 AS rank FROM wb),
+top AS (SELECT token FROM wa ORDER BY weight DESC, token LIMIT 100),
+bot AS (SELECT token FROM wa ORDER BY weight ASC, token LIMIT 100)
+SELECT round(avg(rank), 6) AS mean_rank, round(avg(id), 6) AS mean_token_id, count(*) AS n, 'top' AS side
+  FROM top JOIN ob USING (token) JOIN vocab USING (token)
+UNION ALL
+SELECT round(avg(rank), 6), round(avg(id), 6), count(*), 'bottom' FROM bot JOIN ob USING (token) JOIN vocab USING (token)"""
+
+ORACLE["decode_tokens"] = f"""WITH {_W2}, top AS (SELECT token, weight FROM wa ORDER BY weight DESC, token LIMIT 20)
+SELECT string_agg(token, ' ' ORDER BY weight DESC, token) AS text FROM top"""
+
+ORACLE["weighted_average"] = """SELECT event_type AS key, round(sum(value * (1 + user_id % 3)) / sum(1 + user_id % 3), 6) AS avg,
+  sum(1 + user_id % 3)::BIGINT AS total_weight FROM events GROUP BY event_type"""
