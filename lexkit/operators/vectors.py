@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lexkit.functions import scoring as S
 from lexkit.operators.joins import MAX_BROADCAST_ROWS
 from lexkit.operators.windows import top_k_per_key
+from lexkit.session import materialize
 
 
 def explode_vectors(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -125,3 +126,59 @@ def cosine_to(vecs: DataFrame, targets: DataFrame, on: str, id_col: str = "vec_i
     return j.select(id_col, on, S.dot(vec_col, target_vec).alias("dot"),
                     S.cos_sim(vec_col, target_vec).alias("cos"),
                     S.dot(S.l2_normalize(vec_col), S.l2_normalize(target_vec)).alias("cos_normed"))
+
+
+# ---------------------------------------------------------------- product quantisation (V3)
+
+def pq_split(vecs: DataFrame, m: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, sub, sv ARRAY<DOUBLE>): the vector cut into m equal sub-vectors."""
+    d = F.size(vec_col)
+    return vecs.select(id_col, F.posexplode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_p", "sub"), vec_col).select(
+        id_col, "sub", F.transform(F.slice(vec_col, F.col("sub") * (d / m).cast("int") + 1, (d / m).cast("int")),
+                                   lambda x: x.cast("double")).alias("sv"))
+
+
+def pq_train(vecs: DataFrame, m: int, bits: int = 8, seed: int = 0, id_col: str = "vec_id",
+             vec_col: str = "embedding", max_iter: int = 20) -> DataFrame:
+    """V3 training: one k-means (k = 2^bits, capped by the row count) per
+    sub-space with ``pyspark.ml`` -- each fit is a distributed iterative job;
+    the loop runs over the m sub-spaces only.  Returns the codebook
+    (sub, code, centroid ARRAY<DOUBLE>)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    spark = vecs.sparkSession
+    parts = materialize(pq_split(vecs, m, id_col, vec_col).withColumn("features", array_to_vector("sv")))
+    n = parts.filter(F.col("sub") == 0).count()
+    k = max(1, min(2 ** bits, n))
+    books = []
+    for s in range(m):
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||").fit(parts.filter(F.col("sub") == s))
+        centers = [(s, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        books.append(spark.createDataFrame(centers, "sub int, code int, centroid array<double>"))
+    out = books[0]
+    for b in books[1:]:
+        out = out.unionByName(b)
+    return out
+
+
+def pq_encode(vecs: DataFrame, codebook: DataFrame, m: int, id_col: str = "vec_id",
+              vec_col: str = "embedding") -> DataFrame:
+    """V3 encoding: (id, sub, code) = nearest centroid (squared L2) per sub-space.
+    The codebook (m x 2^bits rows) is broadcast; each sub-vector meets the
+    centroids of its own sub-space only."""
+    p = pq_split(vecs, m, id_col, vec_col)
+    j = p.join(F.broadcast(codebook), "sub")
+    dist = F.aggregate(F.zip_with("sv", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    return j.groupBy(id_col, "sub").agg(F.min_by("code", F.struct(dist, F.col("code"))).alias("code"))
+
+
+def pq_search(queries: DataFrame, codes: DataFrame, codebook: DataFrame, m: int, k: int,
+              query_id: str = "query_id", query_vec: str = "vec", id_col: str = "vec_id") -> DataFrame:
+    """V3 search: lookup table (query, sub, code, ip) -> equi-join with the codes
+    on (sub, code) -> sum over sub-spaces -> top-k (W2)."""
+    qs = pq_split(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")), m, "query_id", "qv")
+    lut = qs.join(F.broadcast(codebook), "sub").select("query_id", "sub", "code", S.dot("sv", "centroid").alias("ip"))
+    n_lut = lut.limit(MAX_BROADCAST_ROWS + 1).count()
+    lut = F.broadcast(lut) if n_lut <= MAX_BROADCAST_ROWS else lut
+    scored = codes.join(lut, ["sub", "code"]).groupBy("query_id", id_col).agg(F.sum("ip").alias("score"))
+    return top_k_per_key(scored, k, key_col="query_id", doc_col=id_col)

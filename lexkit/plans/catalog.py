@@ -693,3 +693,42 @@ def weighted_average(spark: SparkSession, sf: str) -> DataFrame:
                                              (F.lit(1) + F.col("user_id") % 3).alias("weight"))
     r = ST.weighted_average(e)
     return r.select("key", _r6(F.col("avg")).alias("avg"), F.col("total_weight").cast("bigint").alias("total_weight"))
+
+
+# ---------------------------------------------------------------- product quantisation (V3)
+
+PQ_M, PQ_BITS = 8, 4
+
+
+@register("pq_search")
+def pq_search(spark: SparkSession, sf: str) -> DataFrame:
+    """V3: product-quantised inner-product top-10 of every label centroid
+    (k-means codebooks per sub-space; iterative -> rows-only check)."""
+    v = td.vectors(spark, sf)
+    book = V.pq_train(v, PQ_M, PQ_BITS, seed=SEED)
+    codes = V.pq_encode(v, book, PQ_M)
+    q = _centroids(spark, sf).select(F.col("label").alias("query_id"), "vec")
+    r = V.pq_search(q, codes, book, PQ_M, 10)
+    return r.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec_id").cast("string").alias("vec_id"),
+                    F.col("rank").cast("bigint").alias("rank"))
+
+
+# ---------------------------------------------------------------- streaming forms
+
+from lexkit.streaming import running_stats as RS  # noqa: E402
+
+
+@register("stream_document_frequency")
+def stream_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 as a Structured Streaming aggregation over the documents files."""
+    schema = td.table(spark, sf, "documents").schema
+    return RS.stream_document_frequency(spark, sf, schema, file_glob="documents.parquet")
+
+
+@register("stream_weighted_average")
+def stream_weighted_average(spark: SparkSession, sf: str) -> DataFrame:
+    """A11 as a Structured Streaming aggregation over the events files."""
+    schema = td.table(spark, sf, "events").schema
+    r = RS.stream_weighted_average(spark, sf, schema, "event_type", "value", F.lit(1) + F.col("user_id") % 3,
+                                   file_glob="events.parquet")
+    return r.select("key", _r6(F.col("avg")).alias("avg"), F.col("total_weight").cast("bigint").alias("total_weight"))

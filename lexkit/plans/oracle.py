@@ -614,3 +614,8 @@ SELECT string_agg(token, ' ' ORDER BY weight DESC, token) AS text FROM top"""
 
 ORACLE["weighted_average"] = """SELECT event_type AS key, round(sum(value * (1 + user_id % 3)) / sum(1 + user_id % 3), 6) AS avg,
   sum(1 + user_id % 3)::BIGINT AS total_weight FROM events GROUP BY event_type"""
+
+ORACLE["stream_document_frequency"] = f"""SELECT token, count(*) AS df FROM
+  (SELECT DISTINCT doc_id, unnest({_tok('lower(text)')}) AS token FROM documents) GROUP BY token"""
+
+ORACLE["stream_weighted_average"] = ORACLE["weighted_average"]
