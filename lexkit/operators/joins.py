@@ -25,18 +25,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
 
 def substring_pairs(hay: DataFrame, hay_key: str, hay_text: str,
                     needles: DataFrame, needle_key: str, needle_text: str,
-                    gram: int = 16, stride: int = 32) -> DataFrame:
+                    gram: int | None = None) -> DataFrame:
     """All (needle_key, hay_key) pairs where the needle text is a substring of the
     hay text (exact; empty needles match nothing).
 
-    No theta join: the hay side emits one ``gram``-character anchor every
-    ``stride`` characters; the needle side emits its grams at every offset
-    0..stride-1.  Any occurrence of a needle of length L >= gram + stride - 1
-    contains one hay anchor, so an equi-join on the gram finds every candidate;
-    each candidate is then verified by comparing the aligned substring.  gram and
-    stride shrink when short needles exist, so the result stays exact.
-    The hay side is never shuffled when the needle grams fit the broadcast
-    bound; only candidates are joined back to the hay text.
+    No theta join: the hay text is cut into consecutive ``gram``-character
+    anchors; the needle side emits its grams at every offset 0..gram-1.  Any
+    occurrence of a needle of length L >= 2 gram - 1 covers one whole hay
+    anchor, so an equi-join on the gram finds every candidate (needle, hay,
+    start); candidates are then verified by comparing the aligned substring.
+    By default gram is about half the shortest needle (at most 64), which keeps
+    anchors selective and the anchor table at ~1/gram of the text.  The hay side is never shuffled: the
+    needle grams are broadcast (size-checked) and the verification reads the
+    text of candidate rows only, once per hay row.
     """
     nd = (needles.select(F.col(needle_key).alias("_nk"), F.col(needle_text).alias("_nt"))
           .filter(F.length("_nt") > 0)
@@ -44,26 +45,34 @@ def substring_pairs(hay: DataFrame, hay_key: str, hay_text: str,
     lmin = nd.agg(F.min("_nl")).first()[0]
     if lmin is None:
         return hay.sparkSession.createDataFrame([], f"{needle_key} bigint, {hay_key} bigint")
-    g = max(1, min(gram, (lmin + 1) // 2))
-    m = max(1, min(stride, lmin - g + 1))
-    ng = (nd.select("_nk", "_nl", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_off"))
-            .join(nd.select("_nk", "_nt"), "_nk")
+    # anchors are consecutive, non-overlapping gram-length pieces (stride = gram)
+    g = gram or max(1, min(64, (lmin + 1) // 2))
+    m = g
+    if 2 * g - 1 > lmin:
+        raise ValueError("2 * gram - 1 must not exceed the shortest needle")
+    ng = (nd.select("_nk", "_nl", "_nt", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_off"))
             .select("_nk", "_nl", "_off", F.substring("_nt", F.col("_off") + 1, g).alias("_g")))
-    hg = (hay.select(F.col(hay_key).alias("_hk"), F.col(hay_text).alias("_ht"))
-             .filter(F.length("_ht") >= g)
-             .select("_hk", "_ht", F.explode(F.sequence(F.lit(0), F.length("_ht") - g, F.lit(m))).alias("_p"))
-             .select("_hk", "_p", F.substring("_ht", F.col("_p") + 1, g).alias("_g")))
+    # one linear regex pass cuts the text into pieces; substring() at growing
+    # offsets would rescan the UTF-8 text from its start for every anchor
+    pieces = F.regexp_extract_all(F.col(hay_text), F.lit("(?s).{%d}" % g), F.lit(0))
+    hg = (hay.select(F.col(hay_key).alias("_hk"), F.posexplode(pieces).alias("_i", "_g"))
+             .select("_hk", (F.col("_i") * g).alias("_p"), "_g"))
     cand = (hg.join(bounded_broadcast(ng), "_g")
               .select("_hk", "_nk", "_nl", (F.col("_p") - F.col("_off")).alias("_s"))
               .filter(F.col("_s") >= 0)
-              .distinct())
+              .groupBy("_hk").agg(F.collect_set(F.struct("_nk", "_nl", "_s")).alias("_c")))
     # candidates are few; write them once so the hay anchors are scanned once
     checkpoint_dir(hay.sparkSession)
     cand = cand.checkpoint(eager=True)
-    # only the candidate hay rows are read back (semi-join against the candidate keys)
-    hay_c = (hay.select(F.col(hay_key).alias("_hk"), F.col(hay_text).alias("_ht"))
-                .join(bounded_broadcast(cand.select("_hk").distinct()), "_hk", "left_semi"))
-    checked = (cand.join(hay_c, "_hk")
-                   .join(nd.select("_nk", "_nt"), "_nk")
-                   .filter(F.substring("_ht", F.col("_s") + 1, F.col("_nl")) == F.col("_nt")))
+    # each candidate hay row is read once; its candidate starts are checked in place
+    hay_c = hay.select(F.col(hay_key).alias("_hk"), F.col(hay_text).alias("_ht"))
+    checked = (hay_c.join(bounded_broadcast(cand), "_hk")
+                    .select("_hk", "_ht", F.explode("_c").alias("c"))
+                    .select("_hk", "_ht", "c.*")
+                    .join(F.broadcast(nd.select("_nk", "_nt")) if _small(nd) else nd.select("_nk", "_nt"), "_nk")
+                    .filter(F.substring("_ht", F.col("_s") + 1, F.col("_nl")) == F.col("_nt")))
     return checked.select(F.col("_nk").alias(needle_key), F.col("_hk").alias(hay_key)).distinct()
+
+
+def _small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows

@@ -19,6 +19,7 @@ from lexkit.functions import text as T
 from lexkit.functions.hashing import uniform
 from lexkit.operators.joins import bounded_broadcast
 from lexkit.operators.windows import ordered_index
+from lexkit.session import materialize
 
 DEFAULT_SEED = 0
 
@@ -40,8 +41,10 @@ def token_id_corpus(docs: DataFrame, dataset_col: str, id_col: str = "doc_id", t
     skew splitting) and regrouped per row in position order."""
     toks = docs.select(F.col(dataset_col).alias("dataset_id"), F.col(id_col).alias("row_id"),
                        T.simple_tokenize(F.col(text_col), uncased=lower).alias("tokens"))
+    # the token lists feed the vocabulary and the id mapping: tokenise once
+    toks = materialize(toks)
     occ = toks.select("dataset_id", "row_id", F.posexplode_outer("tokens").alias("pos", "token"))
-    vocab = vocabulary(occ.filter(F.col("token").isNotNull()))
+    vocab = materialize(vocabulary(toks.select(F.explode("tokens").alias("token"))))
     ids = (occ.join(bounded_broadcast(vocab), "token", "left")
               .groupBy("dataset_id", "row_id")
               .agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(),
