@@ -141,8 +141,9 @@ def score(posts: DataFrame, qweights: DataFrame, doc_term: Column, broadcast_que
 
 def materialize(df: DataFrame) -> DataFrame:
     """Postings feed three consumers (corpus statistics, document frequency,
-    scoring): write them once so the text is tokenised once."""
-    return _materialize(df, pause_aqe=True)
+    scoring): write them once, bucketed by doc_id, so the text is tokenised
+    once and the (query, doc) aggregate of the scoring join needs no shuffle."""
+    return _materialize(df, bucket_by="doc_id")
 
 
 def query_side_is_small(qterms: DataFrame) -> bool:

@@ -64,22 +64,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-def materialize(df, pause_aqe: bool = False):
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def materialize(df, bucket_by: str | None = None, buckets: int | None = None):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back: the lineage is cut, every consumer scans compact columnar files,
+    and a lost executor never forces recomputation of the inputs.
 
-    Used where one intermediate table feeds several consumers (so its inputs
-    are read and transformed once) and where lineage would otherwise grow with
-    an iterative loop.  A lost executor only loses cached copies; the written
-    checkpoint survives.  ``pause_aqe`` plans the write without AQE, so the
-    checkpoint keeps the plan's output partitioning when Spark can record it."""
+    With ``bucket_by`` the table is written bucketed on that column (as a
+    catalog table located in the same folder), so later aggregates and joins
+    keyed by it need no exchange."""
+    import uuid
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    if not pause_aqe:
-        return df.checkpoint(eager=True)
-    key = "spark.sql.adaptive.enabled"
-    prev = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, prev)
+    name = "lexkit_" + uuid.uuid4().hex[:16]
+    path = scratch_path(spark, name)
+    if bucket_by:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (df.repartition(n, bucket_by).write.mode("overwrite").option("path", path)
+           .bucketBy(n, bucket_by).saveAsTable(name))
+        return spark.table(name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
