@@ -74,6 +74,7 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, k_values: Sequence[int]
     wi = Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), F.col("doc_id"))
     ideal = (qrels.filter(F.col("relevance") > 0)
                   .withColumn("irank", F.row_number().over(wi))
+                  .filter(F.col("irank") <= kmax)  # per-query top-k limit, reduced before the shuffle
                   .withColumn("k", _ks_at_least("irank", k_values))
                   .groupBy("query_id", "k")
                   .agg(F.sum(F.col("relevance") / F.log2(F.col("irank") + 1)).alias("idcg")))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexkit.operators import lexical as L
+from lexkit.operators.joins import bounded_broadcast
 from lexkit.operators import metrics as M
 from lexkit.plans import retrieval as R
 from lexkit.sources import testdata as td
@@ -189,7 +190,9 @@ def _qa_inputs(spark: SparkSession, sf: str):
     answer = the whole benchmark passage."""
     q = td.queries(spark, sf)
     run = L.bm25_search(td.corpus(spark, sf), q, QA_DEPTH, doc_title="title")
-    docs = td.table(spark, sf, "documents").select("doc_id", "text")
+    # only the retrieved documents are read back (semi-join on the size-checked hit list)
+    docs = (td.table(spark, sf, "documents").select("doc_id", "text")
+              .join(bounded_broadcast(run.select("doc_id").distinct()), "doc_id", "left_semi"))
     ctxs = (run.join(docs, "doc_id")
                .select(F.col("query_id").alias("question_id"), (F.col("rank") - 1).alias("ctx_pos"), "text"))
     answers = q.select(F.col("query_id").alias("question_id"), F.col("text").alias("answer"))
@@ -514,7 +517,7 @@ def _vector_rows(spark: SparkSession, sf: str) -> DataFrame:
     v = td.vectors(spark, sf)
     b = W.assign_batches(v, CT_BATCH, [F.col("vec_id")], pos_out="pos")
     cent = _centroids(spark, sf)
-    return (b.join(F.broadcast(cent), "label")
+    return (b.join(bounded_broadcast(cent), "label")
              .select("batch", F.col("pos").cast("bigint").alias("pos"), F.col("embedding").alias("qv"),
                      F.col("vec").alias("kv")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexkit.operators import lexical as L
+from lexkit.operators.joins import bounded_broadcast
 from lexkit.operators import metrics as M
 
 
@@ -54,7 +55,7 @@ def evaluate_multi(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, data
     qt = L.query_terms(judged.withColumn("qk", F.struct("dataset", "query_id")), "qk", "text")
     qt = qt.select(F.col("query_id.dataset").alias("dataset"), F.col("query_id.query_id").alias("query_id"), "token")
     from lexkit.functions import scoring as S
-    qw = (qt.join(df, ["dataset", "token"]).join(F.broadcast(stats), "dataset")
+    qw = (qt.join(df, ["dataset", "token"]).join(bounded_broadcast(stats), "dataset")
             .select("dataset", "query_id", "token", S.idf(F.col("n"), F.col("df")).alias("weight"), "avgdl"))
     small = L.query_side_is_small(qt)
     scored = (posts.join(F.broadcast(qw) if small else qw, ["dataset", "token"])

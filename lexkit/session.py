@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
+_LOCAL_DIR: str | None = None
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -47,13 +48,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only in local mode, when it is unset, a private folder is created so tests
     and local runs work.
     """
+    global _LOCAL_DIR
     d = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
     if not d:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        d = tempfile.mkdtemp(prefix="lexkit-ckpt-")
-        spark.conf.set(_CKPT_KEY, d)
+        if _LOCAL_DIR is None:
+            _LOCAL_DIR = tempfile.mkdtemp(prefix="lexkit-ckpt-")
+        d = _LOCAL_DIR
+        try:
+            spark.conf.set(_CKPT_KEY, d)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

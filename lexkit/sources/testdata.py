@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexkit.operators.joins import substring_pairs
+from lexkit.session import materialize
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -40,8 +41,9 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     q = table(spark, sf_dir, "benchmark")
     pairs = substring_pairs(docs, "doc_id", "text", q, "item_id", "text")
-    return pairs.select(F.col("item_id").alias("query_id"), "doc_id",
-                        F.lit(1).cast("int").alias("relevance"))
+    # small, and read by several consumers (judged-query filter, metrics): write once
+    return materialize(pairs.select(F.col("item_id").alias("query_id"), "doc_id",
+                                    F.lit(1).cast("int").alias("relevance")))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
