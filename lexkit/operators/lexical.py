@@ -62,7 +62,8 @@ def postings_from_tokens(toks: DataFrame) -> DataFrame:
     until the per-query top-k (which is reduced to k rows per partition first)."""
     # explode_outer + null filter: a plain explode makes the optimizer add a
     # size(tokens) > 0 filter below the projection, which evaluates the regex twice
-    return (toks.repartition("doc_id")
+    n = int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (toks.repartition(n, "doc_id")
                 .select("doc_id", "dl", F.explode_outer("tokens").alias("token"))
                 .filter(F.col("token").isNotNull())
                 .groupBy("doc_id", "token")

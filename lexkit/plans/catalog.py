@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexkit.operators import lexical as L
 from lexkit.operators.joins import bounded_broadcast
+from lexkit.session import materialize
 from lexkit.operators import metrics as M
 from lexkit.plans import retrieval as R
 from lexkit.sources import testdata as td
@@ -189,7 +190,7 @@ def _qa_inputs(spark: SparkSession, sf: str):
     """Questions = benchmark passages; passages = their BM25 top-20 documents;
     answer = the whole benchmark passage."""
     q = td.queries(spark, sf)
-    run = L.bm25_search(td.corpus(spark, sf), q, QA_DEPTH, doc_title="title")
+    run = materialize(L.bm25_search(td.corpus(spark, sf), q, QA_DEPTH, doc_title="title"))
     # only the retrieved documents are read back (semi-join on the size-checked hit list)
     docs = (td.table(spark, sf, "documents").select("doc_id", "text")
               .join(bounded_broadcast(run.select("doc_id").distinct()), "doc_id", "left_semi"))

@@ -84,9 +84,10 @@ def materialize(df, bucket_by: str | None = None, buckets: int | None = None):
     name = "lexkit_" + uuid.uuid4().hex[:16]
     path = scratch_path(spark, name)
     if bucket_by:
+        # callers hash-partition by the bucket column into the same number of
+        # partitions first, so every task writes exactly one bucket file
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (df.repartition(n, bucket_by).write.mode("overwrite").option("path", path)
-           .bucketBy(n, bucket_by).saveAsTable(name))
+        df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).saveAsTable(name)
         return spark.table(name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
