@@ -736,3 +736,87 @@ def stream_weighted_average(spark: SparkSession, sf: str) -> DataFrame:
     r = RS.stream_weighted_average(spark, sf, schema, "event_type", "value", F.lit(1) + F.col("user_id") % 3,
                                    file_glob="events.parquet")
     return r.select("key", _r6(F.col("avg")).alias("avg"), F.col("total_weight").cast("bigint").alias("total_weight"))
+
+
+# ---------------------------------------------------------------- file sources end to end
+
+import uuid  # noqa: E402
+
+from lexkit.session import scratch_path  # noqa: E402
+from lexkit.sources import readers as RD  # noqa: E402
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("passages_tsv")
+def passages_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + P5: the corpus written as a headed TSV (id, text, title) and read back."""
+    path = _scratch(spark, "passages")
+    c = td.corpus(spark, sf)
+    (c.select(F.col("doc_id").cast("string").alias("id"), "text", "title")
+      .write.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
+      .option("emptyValue", "").csv(path))
+    p = RD.read_passages(spark, path)
+    return p.select(F.col("id").cast("bigint").alias("doc_id"), F.md5(F.coalesce("title", F.lit(""))).alias("title_md5"),
+                    F.md5("text").alias("text_md5"))
+
+
+@register("beir_files_eval")
+def beir_files_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 + V7: corpus.jsonl, queries.jsonl and qrels/test.tsv written from the
+    tables, read back with the dataset reader, retrieved and evaluated."""
+    root = _scratch(spark, "beir")
+    c = td.corpus(spark, sf)
+    c.select(F.col("doc_id").cast("string").alias("_id"), "title", "text").write.json(f"{root}/corpus.jsonl")
+    td.queries(spark, sf).select(F.col("query_id").cast("string").alias("_id"), "text").write.json(f"{root}/queries.jsonl")
+    (td.qrels(spark, sf).select(F.col("query_id").cast("string").alias("query-id"),
+                                F.col("doc_id").cast("string").alias("corpus-id"), F.col("relevance").alias("score"))
+       .write.option("sep", "\t").option("header", "true").csv(f"{root}/qrels/{RD.split_for('quora')}.tsv"))
+    corpus, queries, qrels = RD.read_beir(spark, root, RD.split_for("quora"))
+    # numeric ids again, so ties order exactly as in the table-based evaluation
+    corpus = corpus.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    queries = queries.withColumn("query_id", F.col("query_id").cast("bigint"))
+    qrels = qrels.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                         "relevance")
+    m = R.retrieve_and_evaluate(corpus, queries, qrels, EVAL_K_VALUES)
+    return m.select("metric", F.col("k").cast("bigint").alias("k"), _r6(F.col("value")).alias("value"))
+
+
+@register("qa_results_recall")
+def qa_results_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 + V9: retrieval results written as JSON lines (question, answers,
+    ctxs), read back by glob, answer-checked, R@k per file."""
+    root = _scratch(spark, "qa-results")
+    ctxs, answers = _qa_inputs(spark, sf)
+    q = td.queries(spark, sf).select(F.col("query_id").alias("question_id"), F.col("text").alias("question"))
+    lists = ctxs.groupBy("question_id").agg(  # bounded by the retrieval depth
+        F.array_sort(F.collect_list(F.struct("ctx_pos", "text"))).alias("_c"))
+    rec = (q.join(lists, "question_id", "left")
+             .join(answers.groupBy("question_id").agg(F.collect_list("answer").alias("answers")), "question_id")
+             .select("question_id", "question", "answers",
+                     F.transform(F.coalesce("_c", F.array().cast("array<struct<ctx_pos:bigint,text:string>>")),
+                                 lambda s: F.struct(s["ctx_pos"].cast("string").alias("id"), s["text"].alias("text")))
+                     .alias("ctxs")))
+    rec.orderBy("question_id").drop("question_id").write.json(f"{root}/run")
+    res = RD.read_qa_results(spark, f"{root}/run/*.json")
+    c2, a2 = RD.explode_qa_results(res)
+    hits = QA.passage_hits(c2.drop("file"), a2.drop("file"))
+    r = QA.answer_recall_at(QA.top_k_hits(hits))
+    return r.select(F.col("k").cast("bigint").alias("k"), _r6(F.col("recall")).alias("recall"))
+
+
+QA_MAXLOAD, QA_RANK, QA_WORLD = 150, 1, 3
+
+
+@register("qa_examples_files")
+def qa_examples_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 + P10 + P11: fine-tuning examples written as JSON lines (in ex_id
+    order), read back with a 150-row load cap and round-robin shard 1 of 3."""
+    root = _scratch(spark, "qa-examples")
+    ex = _qa_examples(spark, sf)
+    ex.orderBy("ex_id").write.json(f"{root}/examples")
+    got = RD.read_qa_examples(spark, [f"{root}/examples"], maxload=QA_MAXLOAD, rank=QA_RANK, world=QA_WORLD)
+    return got.select(F.col("_row").alias("row"), F.md5("question").alias("question_md5"),
+                      F.size("hard_negative_ctxs").cast("bigint").alias("n_hard"))

@@ -619,3 +619,24 @@ ORACLE["stream_document_frequency"] = f"""SELECT token, count(*) AS df FROM
   (SELECT DISTINCT doc_id, unnest({_tok('lower(text)')}) AS token FROM documents) GROUP BY token"""
 
 ORACLE["stream_weighted_average"] = ORACLE["weighted_average"]
+
+
+# ---------------------------------------------------------------- file sources end to end
+
+ORACLE["passages_tsv"] = f"""WITH corpus AS ({CORPUS})
+SELECT doc_id, md5(title) AS title_md5, md5(text) AS text_md5 FROM corpus"""
+
+ORACLE["beir_files_eval"] = ORACLE["bm25_eval"]
+
+ORACLE["qa_results_recall"] = ORACLE["answer_recall_at_k"]
+
+from lexkit.plans.catalog import QA_MAXLOAD, QA_RANK, QA_WORLD  # noqa: E402
+
+ORACLE["qa_examples_files"] = f"""WITH asst AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'),
+ex AS (SELECT u.conv_id::VARCHAR || ':' || u.turn::VARCHAR AS ex_id, u.conv_id, u.turn, u.text AS question
+       FROM conversations u JOIN asst a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'),
+o AS (SELECT *, row_number() OVER (ORDER BY ex_id) - 1 AS rn FROM ex),
+hc AS (SELECT o.rn, count(h.turn) AS n_hard FROM o LEFT JOIN asst h
+       ON h.conv_id = o.conv_id AND (h.turn = o.turn + 3 OR h.turn = o.turn + 5) GROUP BY o.rn)
+SELECT o.rn::BIGINT AS row, md5(o.question) AS question_md5, hc.n_hard::BIGINT AS n_hard
+FROM o JOIN hc USING (rn) WHERE o.rn < {QA_MAXLOAD} AND (o.rn + 1) % {QA_WORLD} = {QA_RANK}"""

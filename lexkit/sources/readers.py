@@ -86,8 +86,10 @@ def _ordered_rows(df: DataFrame) -> DataFrame:
 
 def read_qa_examples(spark: SparkSession, paths: Sequence[str], maxload: int | None = None,
                      rank: int = -1, world: int = 1) -> DataFrame:
-    """S4 + P10 + P11: '.jsonl' or '.json' (array) files concatenated in the
-    given path order; the running row number counts over all files; rows past
+    """S4 + P10 + P11: '.json' files hold one JSON array; anything else
+    ('.jsonl' files, folders of JSON-lines part files) one example per line.
+    Files are concatenated in the given path order (part files of a folder in
+    name order); the running row number counts over all files; rows past
     ``maxload`` are dropped, then rows whose 1-based number mod world != rank."""
     parts = []
     for i, p in enumerate(paths):
