@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexkit.functions import scoring as S
+from lexkit.session import materialize
 
 
 # ---------------------------------------------------------------- generic CE over a score table
@@ -146,7 +147,8 @@ def lexical_batch_loss(pairs: DataFrame, weights: DataFrame, beta) -> DataFrame:
     averaged over the batch; accuracy = share of docs whose best query is their
     own (a fraction, doc -> query, as the lexical trainer reports it).
     Rows with no shared token at all are included through the zero rule."""
-    sc = lexical_pair_scores(pairs, weights, beta)
+    # scores are read by four aggregates (row / column maxima and sums): write once
+    sc = materialize(lexical_pair_scores(pairs, weights, beta))
     bs = pairs.groupBy("batch").agg(F.count(F.lit(1)).cast("bigint").alias("B"))
     rows_all = pairs.select("batch", F.col("pos").cast("bigint").alias("i"))
     by_doc = _sparse_ce(sc, "d", "q", bs)

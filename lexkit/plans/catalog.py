@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexkit.functions import scoring as S
 from lexkit.operators import lexical as L
 from lexkit.operators.joins import bounded_broadcast
 from lexkit.session import materialize
@@ -547,9 +548,14 @@ def _lexical_pairs(spark: SparkSession, sf: str):
     pairs = SM.make_pairs(ids, offs, CHUNK_LENGTH, CROP[0], CROP[1], SEED)
     pairs = pairs.withColumn("_u", uniform(SEED, "shuffle", F.col("row_id")))
     b = W.drop_last(W.assign_batches(pairs, LEX_BATCH, [F.col("_u"), F.col("row_id")], pos_out="pos"), LEX_BATCH)
-    idf = L.build_idf(td.table(spark, sf, "documents"))
-    w = idf.join(vocab, "token").select(F.col("id").alias("token"), F.col("idf").alias("weight"))
-    return b.select("batch", F.col("pos").cast("bigint").alias("pos"), "q_tokens", "k_tokens"), w
+    # IDF keyed by token id, from the id lists already built (no second tokenisation)
+    n_docs = ids.agg(F.count(F.lit(1)).cast("double")).scalar()
+    w = (ids.select(F.explode(F.array_distinct("input_ids")).alias("token"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+            .select("token", S.idf(n_docs, F.col("df")).alias("weight")))
+    # the batched pairs feed several aggregates of the loss: write them once
+    pairs = materialize(b.select("batch", F.col("pos").cast("bigint").alias("pos"), "q_tokens", "k_tokens"))
+    return pairs, w
 
 
 @register("lexical_validate")
@@ -573,7 +579,6 @@ def train_lexical_log(spark: SparkSession, sf: str) -> DataFrame:
     """Three AdamW steps of the learned lexical scorer on crop-pair batches
     (iterative; rows-only check).  Returns the training log (S12)."""
     pairs, _ = _lexical_pairs(spark, sf)
-    pairs = TR.materialize(pairs)
     vocab = pairs.select(F.explode("k_tokens").alias("token")).unionByName(
         pairs.select(F.explode("q_tokens").alias("token"))).distinct()
     model = TR.init_model(vocab, SEED)
