@@ -177,8 +177,10 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: s
         p, stats = posts, corpus_stats(posts)
     qt = query_terms(queries, query_id, query_text, lower, normalize, max_len)
     small = query_side_is_small(qt)
-    # full-vocabulary df from the shared postings exchange (no second tokenisation)
-    qw = bm25_query_weights(qt, idf_table(p, stats.n_docs) if idf is None else idf)
+    # df only for the query tokens: the written postings are scanned again with a
+    # semi-join on the (size-checked) query-token list, so only those tokens'
+    # partial counts cross the shuffle -- not the whole vocabulary
+    qw = bm25_query_weights(qt, idf_table(p, stats.n_docs, qt) if idf is None else idf)
     return top_k_per_key(score(p, qw, bm25_doc_term(stats), small), k)
 
 

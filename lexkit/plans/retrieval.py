@@ -49,11 +49,13 @@ def evaluate_multi(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, data
                          "token", "tf", "dl")
     stats = posts.groupBy("dataset", "doc_id").agg(F.first("dl").alias("dl")) \
                  .groupBy("dataset").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    df = posts.groupBy("dataset", "token").agg(F.count(F.lit(1)).alias("df"))
     qrels_d = qrels.join(sub.select("dataset", "doc_id"), "doc_id")
     judged = queries.join(qrels_d.select("dataset", "query_id").distinct(), "query_id")
     qt = L.query_terms(judged.withColumn("qk", F.struct("dataset", "query_id")), "qk", "text")
     qt = qt.select(F.col("query_id.dataset").alias("dataset"), F.col("query_id.query_id").alias("query_id"), "token")
+    # df of the query tokens only (semi-join on the size-checked token list)
+    df = (posts.join(bounded_broadcast(qt.select("dataset", "token").distinct()), ["dataset", "token"], "left_semi")
+               .groupBy("dataset", "token").agg(F.count(F.lit(1)).alias("df")))
     from lexkit.functions import scoring as S
     qw = (qt.join(df, ["dataset", "token"]).join(bounded_broadcast(stats), "dataset")
             .select("dataset", "query_id", "token", S.idf(F.col("n"), F.col("df")).alias("weight"), "avgdl"))
