@@ -70,6 +70,12 @@ def postings_from_tokens(toks: DataFrame) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
 
 
+def drop_pad(df: DataFrame, pad_token, token_col: str = "token") -> DataFrame:
+    """Remove a padding token from postings / presence rows (lists built
+    here are never padded, so this only matters for padded inputs)."""
+    return df.filter(F.col(token_col) != F.lit(pad_token))
+
+
 def term_presence(df: DataFrame, id_col: str, tokens_col: str = "tokens",
                   out_id: str = "query_id") -> DataFrame:
     """A2: one row per distinct token of each row (0/1 presence)."""

@@ -95,3 +95,12 @@ def test_random_crop_inside_chunk(spark):
 
 def test_chunk_past_end(spark):
     assert one(spark, A.chunk(F.array(F.lit(1), F.lit(2)), F.lit(5), 3)) == []
+
+
+def test_augment_dispatch(spark):
+    x = F.array(*[F.lit(i) for i in range(10)])
+    assert one(spark, A.augment(x, "none", 0.5, 1, "a", F.lit(1))) == list(range(10))
+    assert one(spark, A.augment(x, "mask", 1.0, 1, "a", F.lit(1), mask_id=9)) == [9] * 10
+    r = one(spark, A.augment(x, "replace", 1.0, 1, "a", F.lit(1), lo=100, hi=105))
+    assert all(100 <= v <= 105 for v in r)
+    assert one(spark, A.augment(x, "delete", 1.0, 1, "a", F.lit(1))) == []

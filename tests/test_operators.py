@@ -139,3 +139,19 @@ def test_lexical_loss_matches_dense(spark):
     r = CT.lexical_batch_loss(pairs, w, beta).first()
     assert r["loss"] == pytest.approx(want_loss, abs=1e-9)
     assert r["acc"] == pytest.approx(want_acc)
+
+
+def test_pooling(spark):
+    from lexkit.operators import vectors as V
+    rows = [(1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0]), (2, 0, [5.0, 6.0])]
+    tv = spark.createDataFrame(rows, "g int, pos int, embedding array<double>")
+    cls = {r["g"]: r["embedding"] for r in V.cls_pool(tv, "g").collect()}
+    assert cls == {1: [1.0, 2.0], 2: [5.0, 6.0]}
+    mean = V.as_arrays(V.mean_pool(tv.withColumnRenamed("pos", "vec_id"), "g"), "g").collect()
+    assert {r["g"]: r["vec"] for r in mean} == {1: [2.0, 3.0], 2: [5.0, 6.0]}
+
+
+def test_drop_pad(spark):
+    from lexkit.operators import lexical as L
+    df = spark.createDataFrame([(1, 1), (1, 5)], "doc_id int, token int")
+    assert [r["token"] for r in L.drop_pad(df, 1).collect()] == [5]
