@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexkit.functions import text as T
+from lexkit.session import materialize
 
 
 def passage_hits(ctxs: DataFrame, answers: DataFrame, decompose: bool = True) -> DataFrame:
@@ -36,9 +37,10 @@ def top_k_hits(hits: DataFrame, width: str = "max") -> DataFrame:
     """(k, hits) for k = 1..width: number of questions whose first hit is at
     position <= k.  ``width='max'`` uses the longest passage list; ``'first'``
     the list of the smallest question id (the reference's choice)."""
-    first = hits.groupBy("question_id").agg(
+    # one row per question, read by three aggregates below: write once
+    first = materialize(hits.groupBy("question_id").agg(
         F.min(F.when(F.col("hit"), F.col("ctx_pos"))).alias("first_hit"),
-        F.count(F.lit(1)).alias("n_ctx"))
+        F.count(F.lit(1)).alias("n_ctx")))
     if width == "first":
         w = first.orderBy("question_id").limit(1).select("n_ctx").scalar()
     else:

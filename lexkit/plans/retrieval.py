@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexkit.operators import lexical as L
 from lexkit.operators.joins import bounded_broadcast
 from lexkit.operators import metrics as M
+from lexkit.session import materialize
 
 
 def retrieve_and_evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame,
@@ -31,7 +32,9 @@ def retrieve_and_evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFram
                                lower=lower, normalize=normalize, max_len=max_len)
     if exclude_self:
         run = M.exclude_self(run)
-    return M.evaluate(run.select("query_id", "doc_id", "score"), qrels, k_values)
+    # the run (queries x depth rows) is read by several metric aggregates: write once
+    run = materialize(run.select("query_id", "doc_id", "score"))
+    return M.evaluate(run, qrels, k_values)
 
 
 def evaluate_multi(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, dataset_col: str,
@@ -65,7 +68,7 @@ def evaluate_multi(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, data
                    .agg(F.sum(F.col("weight") * S.bm25_tf(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score")))
     from lexkit.operators.windows import top_k_per_key
     run = top_k_per_key(scored.withColumn("dq", F.struct("dataset", "query_id")), max(k_values), key_col="dq")
-    run = run.select("dataset", "query_id", "doc_id", "score")
+    run = materialize(run.select("dataset", "query_id", "doc_id", "score"))
     per = M.evaluate(run, qrels_d, k_values, group_cols=["dataset"])
     return per, M.macro_average(per, "dataset", expected_members)
 
