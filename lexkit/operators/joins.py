@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexkit.session import checkpoint_dir
+from lexkit.session import materialize
 
 # Default row bound for broadcasting a data-dependent side.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -62,8 +62,7 @@ def substring_pairs(hay: DataFrame, hay_key: str, hay_text: str,
               .filter(F.col("_s") >= 0)
               .groupBy("_hk").agg(F.collect_set(F.struct("_nk", "_nl", "_s")).alias("_c")))
     # candidates are few; write them once so the hay anchors are scanned once
-    checkpoint_dir(hay.sparkSession)
-    cand = cand.checkpoint(eager=True)
+    cand = materialize(cand)
     # each candidate hay row is read once; its candidate starts are checked in place
     hay_c = hay.select(F.col(hay_key).alias("_hk"), F.col(hay_text).alias("_ht"))
     checked = (hay_c.join(bounded_broadcast(cand), "_hk")

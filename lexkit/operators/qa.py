@@ -33,33 +33,50 @@ def passage_hits(ctxs: DataFrame, answers: DataFrame, decompose: bool = True) ->
     return pairs.groupBy("question_id", "ctx_pos").agg(F.bool_or(hit).alias("hit"))
 
 
-def top_k_hits(hits: DataFrame, width: str = "max") -> DataFrame:
-    """(k, hits) for k = 1..width: number of questions whose first hit is at
-    position <= k.  ``width='max'`` uses the longest passage list; ``'first'``
-    the list of the smallest question id (the reference's choice)."""
+def top_k_hits(hits: DataFrame, width: str = "max", group_cols=()) -> DataFrame:
+    """(k, hits, recall) for k = 1..width: number of questions whose first
+    hit is at position <= k.  ``width='max'`` uses the longest passage list;
+    ``'first'`` the list of the smallest question id (the reference's choice).
+    ``group_cols`` (e.g. the result file) computes one curve per group."""
+    g = list(group_cols)
     # one row per question, read by three aggregates below: write once
-    first = materialize(hits.groupBy("question_id").agg(
+    first = materialize(hits.groupBy(*g, "question_id").agg(
         F.min(F.when(F.col("hit"), F.col("ctx_pos"))).alias("first_hit"),
         F.count(F.lit(1)).alias("n_ctx")))
     if width == "first":
-        w = first.orderBy("question_id").limit(1).select("n_ctx").scalar()
+        wq = Window.partitionBy(*g).orderBy("question_id") if g else Window.orderBy("question_id")
+        per = (first.withColumn("_r", F.row_number().over(wq)).filter(F.col("_r") == 1)
+                    .select(*g, F.col("n_ctx").alias("_w")))
     else:
-        w = first.agg(F.max("n_ctx")).scalar()
-    by_pos = first.filter(F.col("first_hit").isNotNull()).groupBy("first_hit").agg(F.count(F.lit(1)).alias("c"))
-    # one row per cut-off k (bounded by the passage list width)
-    ks = hits.sparkSession.range(1).select(F.explode(F.sequence(F.lit(1), w.cast("int"))).alias("k"))
-    counts = ks.join(by_pos, F.col("k") == F.col("first_hit") + 1, "left").fillna({"c": 0})
-    cum = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    n_q = first.agg(F.count(F.lit(1))).scalar()
-    return counts.select(F.col("k").cast("int").alias("k"),
+        per = first.groupBy(*g).agg(F.max("n_ctx").alias("_w"))
+    if g:
+        per = per.join(first.groupBy(*g).agg(F.count(F.lit(1)).alias("_nq")), g)
+    else:
+        per = per.withColumn("_nq", first.agg(F.count(F.lit(1))).scalar())
+    by_pos = first.filter(F.col("first_hit").isNotNull()).groupBy(*g, "first_hit").agg(F.count(F.lit(1)).alias("c"))
+    # one row per (group, cut-off k); k is bounded by the passage-list width
+    ks = per.select(*g, "_nq", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int"))).alias("k"))
+    counts = ks.join(by_pos.withColumn("k", (F.col("first_hit") + 1).cast("int")).drop("first_hit"), [*g, "k"], "left") \
+               .fillna({"c": 0})
+    cum = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.select(*g, F.col("k").cast("int").alias("k"),
                          F.sum("c").over(cum).cast("bigint").alias("hits"),
-                         (F.sum("c").over(cum) / n_q).alias("recall"))
+                         (F.sum("c").over(cum) / F.col("_nq")).alias("recall"))
 
 
-def answer_recall_at(hits_curve: DataFrame, ks: Sequence[int] = (5, 10, 20, 100)) -> DataFrame:
+def answer_recall_at(hits_curve: DataFrame, ks: Sequence[int] = (5, 10, 20, 100), group_cols=()) -> DataFrame:
     """100 * hits[k] / questions at the listed k that fit the width."""
     return (hits_curve.filter(F.col("k").isin(list(ks)))
-                      .select("k", (F.col("recall") * 100.0).alias("recall")))
+                      .select(*group_cols, "k", (F.col("recall") * 100.0).alias("recall")))
+
+
+def recall_report(recall: DataFrame, group_col: str = "file", ks: Sequence[int] = (20, 100)) -> DataFrame:
+    """S11 for answer recall: per k, the values of all groups (files) at one
+    decimal, tab-joined in group order."""
+    r = recall.filter(F.col("k").isin(list(ks)))
+    return r.groupBy("k").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(group_col), F.format_number("recall", 1).alias("v")))),
+        lambda s: s["v"]), "\t").alias("values"))
 
 
 def f1_pairs(pairs: DataFrame, key_cols: Sequence[str]) -> DataFrame:

@@ -155,3 +155,19 @@ def test_drop_pad(spark):
     from lexkit.operators import lexical as L
     df = spark.createDataFrame([(1, 1), (1, 5)], "doc_id int, token int")
     assert [r["token"] for r in L.drop_pad(df, 1).collect()] == [5]
+
+
+def test_top_k_hits_per_file_and_report(spark):
+    rows = []
+    for f, firsts in (("a", [0, 1]), ("b", [None, 0, 2])):
+        for q, first in enumerate(firsts):
+            for p in range(3):
+                rows.append((f, q, p, first is not None and p == first))
+    hits = spark.createDataFrame(rows, "file string, question_id int, ctx_pos int, hit boolean")
+    curve = QA.top_k_hits(hits, group_cols=["file"])
+    got = {(r["file"], r["k"]): r["hits"] for r in curve.collect()}
+    assert [got[("a", k)] for k in (1, 2, 3)] == [1, 2, 2]
+    assert [got[("b", k)] for k in (1, 2, 3)] == [1, 1, 2]
+    rec = QA.answer_recall_at(curve, ks=(1, 3), group_cols=["file"])
+    rep = {r["k"]: r["values"] for r in QA.recall_report(rec, ks=(1, 3)).collect()}
+    assert rep[1] == "50.0\t33.3" and rep[3] == "100.0\t66.7"
