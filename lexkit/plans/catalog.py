@@ -542,17 +542,22 @@ def moco_contrastive(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lexical_pairs(spark: SparkSession, sf: str):
     """Batches of 32 (shuffled order, last partial batch dropped) of R4 crop
-    pairs over the token-id corpus, and IDF weights keyed by token id."""
-    ids, vocab = _token_corpus(spark, sf)
-    offs = SM.epoch_offsets(ids, [1], CHUNK_LENGTH, SEED)
-    pairs = SM.make_pairs(ids, offs, CHUNK_LENGTH, CROP[0], CROP[1], SEED)
+    pairs, and IDF weights per token.  The pairs are built on the token lists
+    themselves: crops are positional and tf / presence / df only need token
+    identity, so the numbers equal those over vocabulary ids (the oracle uses
+    ids) without the id mapping's extra join."""
+    d = td.table(spark, sf, "documents")
+    toks = materialize(d.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("row_id"),
+                                T.simple_tokenize(F.col("text"), uncased=True).alias("input_ids")))
+    offs = SM.epoch_offsets(toks, [1], CHUNK_LENGTH, SEED)
+    pairs = SM.make_pairs(toks, offs, CHUNK_LENGTH, CROP[0], CROP[1], SEED)
     pairs = pairs.withColumn("_u", uniform(SEED, "shuffle", F.col("row_id")))
     b = W.drop_last(W.assign_batches(pairs, LEX_BATCH, [F.col("_u"), F.col("row_id")], pos_out="pos"), LEX_BATCH)
-    # IDF keyed by token id, from the id lists already built (no second tokenisation)
-    n_docs = ids.agg(F.count(F.lit(1)).cast("double")).scalar()
-    w = (ids.select(F.explode(F.array_distinct("input_ids")).alias("token"))
-            .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-            .select("token", S.idf(n_docs, F.col("df")).alias("weight")))
+    # IDF per token from the same token lists (no second tokenisation)
+    n_docs = toks.agg(F.count(F.lit(1)).cast("double")).scalar()
+    w = (toks.select(F.explode(F.array_distinct("input_ids")).alias("token"))
+             .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+             .select("token", S.idf(n_docs, F.col("df")).alias("weight")))
     # the batched pairs feed several aggregates of the loss: write them once
     pairs = materialize(b.select("batch", F.col("pos").cast("bigint").alias("pos"), "q_tokens", "k_tokens"))
     return pairs, w
