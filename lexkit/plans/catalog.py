@@ -830,3 +830,17 @@ def qa_examples_files(spark: SparkSession, sf: str) -> DataFrame:
     got = RD.read_qa_examples(spark, [f"{root}/examples"], maxload=QA_MAXLOAD, rank=QA_RANK, world=QA_WORLD)
     return got.select(F.col("_row").alias("row"), F.md5("question").alias("question_md5"),
                       F.size("hard_negative_ctxs").cast("bigint").alias("n_hard"))
+
+
+@register("token_corpora_files")
+def token_corpora_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The id corpus written as one folder per dataset and opened with the
+    multi-corpus reader (dataset key = folder path)."""
+    root = _scratch(spark, "token-corpora")
+    ids, _ = _token_corpus(spark, sf)
+    ids.write.partitionBy("dataset_id").parquet(root)
+    folders = [f"{root}/dataset_id={r['dataset_id']}" for r in
+               ids.select("dataset_id").distinct().orderBy("dataset_id").collect()]  # one row per dataset
+    c = RD.read_token_corpora(spark, folders)
+    return c.select(F.regexp_extract("dataset_id", r"dataset_id=([^/]+)$", 1).alias("dataset_id"), "row_id",
+                    F.size("input_ids").cast("bigint").alias("n_ids"), ids_md5(F.col("input_ids")).alias("ids_md5"))

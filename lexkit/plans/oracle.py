@@ -640,3 +640,5 @@ hc AS (SELECT o.rn, count(h.turn) AS n_hard FROM o LEFT JOIN asst h
        ON h.conv_id = o.conv_id AND (h.turn = o.turn + 3 OR h.turn = o.turn + 5) GROUP BY o.rn)
 SELECT o.rn::BIGINT AS row, md5(o.question) AS question_md5, hc.n_hard::BIGINT AS n_hard
 FROM o JOIN hc USING (rn) WHERE o.rn < {QA_MAXLOAD} AND (o.rn + 1) % {QA_WORLD} = {QA_RANK}"""
+
+ORACLE["token_corpora_files"] = ORACLE["token_corpus"]
