@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
@@ -52,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
     if not d:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         if _LOCAL_DIR is None:
             _LOCAL_DIR = tempfile.mkdtemp(prefix="lexkit-ckpt-")
@@ -71,6 +73,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def new_scratch(spark: SparkSession) -> str:
+    """A fresh folder name under the shared checkpoint folder."""
+    return scratch_path(spark, "lexkit_" + uuid.uuid4().hex[:16])
+
+
+def written(df) -> tuple:
+    """Write ``df`` as parquet under the shared folder; return (table, path).
+
+    The path can be given to ``discard`` once every reader of the table is done."""
+    path = new_scratch(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove written intermediate tables that no plan reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def materialize(df, bucket_by: str | None = None, buckets: int | None = None):
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back: the lineage is cut, every consumer scans compact columnar files,
@@ -78,19 +106,18 @@ def materialize(df, bucket_by: str | None = None, buckets: int | None = None):
 
     With ``bucket_by`` the table is written bucketed on that column (as a
     catalog table located in the same folder), so later aggregates and joins
-    keyed by it need no exchange."""
-    import uuid
+    keyed by it need no exchange.  Only a refusal of the catalog (analysis
+    error, before any row is computed) falls back to plain files."""
     spark = df.sparkSession
-    name = "lexkit_" + uuid.uuid4().hex[:16]
-    path = scratch_path(spark, name)
+    path = new_scratch(spark)
     if bucket_by:
         # callers hash-partition by the bucket column into the same number of
         # partitions first, so every task writes exactly one bucket file
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         try:
-            df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).saveAsTable(name)
-            return spark.table(name)
-        except Exception:  # noqa: BLE001 - no usable catalog: plain files (same rows, no bucket spec)
+            (df.write.mode("overwrite").option("path", path)
+               .bucketBy(buckets or shuffle_partitions(spark), bucket_by).saveAsTable(os.path.basename(path)))
+            return spark.table(os.path.basename(path))
+        except AnalysisException:
             path = path + "-plain"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
