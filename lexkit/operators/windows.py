@@ -6,8 +6,8 @@ input partition first.
 
 Global orderings (vocabulary ranks, batch numbers, contiguous shards) never use
 an un-partitioned window: ``ordered_index`` range-partitions the rows on the
-order key, numbers them inside each partition, and adds per-partition offsets
-from a table with one row per (partition, group).  A hot group is spread over
+order key once, writes them with their place in their partition, and adds
+per-partition offsets from a table with one row per (partition, group).  A hot group is spread over
 as many range partitions as its size requires.
 """
 
@@ -18,51 +18,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexkit.session import materialize, shuffle_partitions
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _names(xs) -> list[str]:
-    return [x if isinstance(x, str) else None for x in xs]
-
-
 def ordered_prefix(df: DataFrame, order_by: Sequence, group_by: Sequence[str] = (),
                    weight: str | Column | None = None, out: str = "idx",
                    num_partitions: int | None = None) -> DataFrame:
     """Exclusive prefix sum of ``weight`` (default 1 = 0-based row index) within
     each group, in the given order.  ``order_by`` must be a total order inside a
     group (add a unique tie-breaker), so the numbering is repeatable when a lost
-    partition is recomputed.
-
-    Plan: range exchange on (group, order) -> sort -> windowed running sum keyed by
-    (partition id, group) -> per-(partition, group) totals -> offsets over
-    partitions (a table with at most partitions x groups rows) -> join back.
-    """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partition is recomputed.  Null group keys form a group of their own.
+
+    The rows are range-partitioned and sorted once; the partition number and the
+    position in it come from ``monotonically_increasing_id`` of that very pass,
+    which is written.  Totals per (partition, group) and their offsets are
+    derived from the written table, so rows and offsets cannot disagree."""
+    n = num_partitions or shuffle_partitions(df.sparkSession)
     group_by = list(group_by)
     keys = _cols(group_by) + _cols(order_by)
     w_col = F.lit(1).cast("bigint") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast("double")
-    s = (df.withColumn("_w", w_col)
-           .repartitionByRange(n, *keys)
-           .sortWithinPartitions(*keys)
-           .withColumn("_pid", F.spark_partition_id()))
-    tot = s.groupBy("_pid", *group_by).agg(F.sum("_w").alias("_tot"))
-    local_w = Window.partitionBy("_pid", *group_by).orderBy(*_cols(order_by))
-    s = s.withColumn("_local", F.coalesce(
-        F.sum("_w").over(local_w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    off_w = Window.partitionBy(*group_by).orderBy("_pid") if group_by else Window.orderBy("_pid")
+    s = materialize(df.withColumn("_w", w_col)
+                      .repartitionByRange(n, *keys)
+                      .sortWithinPartitions(*keys)
+                      .withColumn("_at", F.monotonically_increasing_id()))
+    s = s.withColumn("_pid", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    tot = s.groupBy("_pid", *group_by).agg(F.sum("_w").alias("_tot"), F.min("_at").alias("_first"))
     # at most one row per (partition, group); the un-keyed case has one row per partition
-    offs = tot.withColumn("_off", F.coalesce(
-        F.sum("_tot").over(off_w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_tot")
+    off_w = Window.partitionBy(*group_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o{i}") for i, g in enumerate(group_by)],
+                      "_first", F.coalesce(F.sum("_tot").over(off_w), F.lit(0)).alias("_off"))
+    if weight is None:
+        # rows of a group are neighbours in the sorted partition
+        local = F.col("_at") - F.col("_first")
+    else:
+        run = Window.partitionBy("_pid", *group_by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        s = s.withColumn("_run", F.coalesce(F.sum("_w").over(run), F.lit(0)))
+        local = F.col("_run")
+    on = F.col("_pid") == F.col("_opid")
+    for i, g in enumerate(group_by):
+        on = on & F.col(g).eqNullSafe(F.col(f"_o{i}"))
     if not group_by:
         offs = F.broadcast(offs)  # bounded by the number of partitions
-    res = s.join(offs, ["_pid", *group_by]).withColumn(out, F.col("_off") + F.col("_local"))
+    res = s.join(offs, on).withColumn(out, F.col("_off") + local)
     if weight is None:
         res = res.withColumn(out, F.col(out).cast("bigint"))
-    return res.drop("_pid", "_local", "_off", "_w")
+    return res.select(*[c for c in df.columns if c != out], out)
 
 
 def ordered_index(df: DataFrame, order_by: Sequence, group_by: Sequence[str] = (),
