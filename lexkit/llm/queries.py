@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from lexkit.llm.mixing import op3_cube_mix
 from lexkit.llm.sharding import op4_external_shuffle
 
 REGISTRY = {f.__name__: f for f in (
-    op4_external_shuffle,
+    op3_cube_mix, op4_external_shuffle,
 )}
 ORACLE: dict[str, str] = {}
