@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexkit.llm.common import documents, free_names
+from lexkit.operators.joins import MAX_BROADCAST_ROWS
 from lexkit.session import materialize, shuffle_partitions
 
 BUCKET_BYTES = 32 << 20
@@ -75,6 +76,8 @@ def external_shuffle(df: DataFrame, key: str, size, seed: int = SEED, bucket_byt
         shuffle_bucket, StructType([StructField(f.name, f.dataType, True) for f in fields]
                                    + [StructField(at, LongType())])))
     base = bucket_offsets(done.groupBy(b).agg(F.count(F.lit(1)).alias("n")), b)
+    if buckets <= MAX_BROADCAST_ROWS:  # one row a bucket: at most 64 TB of records
+        base = F.broadcast(base)
     return done.join(base, b).withColumn(place, F.col("base") + F.col(at)).drop(b, at, "base")
 
 
