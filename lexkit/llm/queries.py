@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from lexkit.llm.mixing import op3_cube_mix
+from lexkit.llm.packing import op1_hilbert_pack
 from lexkit.llm.sharding import op4_external_shuffle
 
 REGISTRY = {f.__name__: f for f in (
-    op3_cube_mix, op4_external_shuffle,
+    op1_hilbert_pack, op3_cube_mix, op4_external_shuffle,
 )}
 ORACLE: dict[str, str] = {}
