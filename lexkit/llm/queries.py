@@ -6,8 +6,9 @@ from lexkit.llm.mixing import op3_cube_mix
 from lexkit.llm.packing import op1_hilbert_pack
 from lexkit.llm.sharding import op4_external_shuffle
 from lexkit.llm.substrings import op7_line_hash_dedup
+from lexkit.llm.toxicity import op2_weak_supervision
 
 REGISTRY = {f.__name__: f for f in (
-    op1_hilbert_pack, op3_cube_mix, op4_external_shuffle, op7_line_hash_dedup,
+    op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle, op7_line_hash_dedup,
 )}
 ORACLE: dict[str, str] = {}
