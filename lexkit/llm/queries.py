@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexkit.llm.mixing import op3_cube_mix
+from lexkit.llm.neighbours import op9_adaptive_scan
 from lexkit.llm.packing import op1_hilbert_pack
 from lexkit.llm.sharding import op4_external_shuffle
 from lexkit.llm.substrings import op7_line_hash_dedup
@@ -10,5 +11,6 @@ from lexkit.llm.toxicity import op2_weak_supervision
 
 REGISTRY = {f.__name__: f for f in (
     op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle, op7_line_hash_dedup,
+    op9_adaptive_scan,
 )}
 ORACLE: dict[str, str] = {}
