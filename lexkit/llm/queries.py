@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexkit.llm.language_model import op6_deleted_interpolation
 from lexkit.llm.mixing import op3_cube_mix
 from lexkit.llm.neighbours import op9_adaptive_scan
 from lexkit.llm.packing import op1_hilbert_pack
@@ -10,7 +11,8 @@ from lexkit.llm.substrings import op7_line_hash_dedup
 from lexkit.llm.toxicity import op2_weak_supervision
 
 REGISTRY = {f.__name__: f for f in (
-    op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle, op7_line_hash_dedup,
+    op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle,
+    op6_deleted_interpolation, op7_line_hash_dedup,
     op9_adaptive_scan,
 )}
 ORACLE: dict[str, str] = {}
