@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexkit.llm.blocks import numbers, pack_sorted, planes, unpack_sorted
 from lexkit.llm.common import crc_mod, documents
 from lexkit.llm.flatwords import U64, Words, mix
 from lexkit.session import shuffle_partitions, written
@@ -52,25 +53,6 @@ END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _STEP = U64(0xD6E8FEB86659FD93)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The numbers' bytes, all first bytes first: equal bytes stand together,
-    which the shuffle's compression needs."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def _numbers(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    return _planes(np.diff(keys, prepend=U64(0)))
-
-
-def _unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(_numbers(raw, np.uint64), dtype=np.uint64)
-
-
 class Chunk:
     """Tokens of a chunk's texts and its sorted distinct unigrams and bigrams."""
 
@@ -92,7 +74,7 @@ class Chunk:
     def events(self, answers: pa.Table, column: str, n_docs: int) -> tuple[np.ndarray, ...]:
         """Per token: count of the token, of its bigram and of its context."""
         groups, blocks = answers.column("g").to_numpy(), answers.column(column)
-        parts = [_numbers(blocks[int(i)].as_py(), np.uint32) for i in np.argsort(groups)]
+        parts = [numbers(blocks[int(i)].as_py(), np.uint32) for i in np.argsort(groups)]
         table = np.concatenate(parts) if parts else np.empty(0, np.uint32)
         m = len(self.keys[0])
         one = table[:m][self.at[0]].astype(np.int64)
@@ -154,16 +136,16 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         out = []
         for order, (keys, n) in enumerate(zip(chunk.keys, chunk.n, strict=True)):
             border = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64))
-            out += [(order * ranges + r, number, kind, _pack_keys(keys[a:b]), _planes(n[a:b].astype(np.uint32)))
+            out += [(order * ranges + r, number, kind, pack_sorted(keys[a:b]), planes(n[a:b].astype(np.uint32)))
                     for r, (a, b) in enumerate(zip(border[:-1], border[1:], strict=True)) if b > a]
         return pa.table({name: pa.array(c, kind) for name, c, kind in zip(
             ("g", "chunk", "kind", "keys", "n"), zip(*out, strict=True),
             (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     def answer(t: pa.Table) -> pa.Table:
-        keys = [_unpack_keys(x.as_py()) for x in t.column("keys")]
+        keys = [unpack_sorted(x.as_py()) for x in t.column("keys")]
         kinds, length = t.column("kind").to_numpy(), [len(k) for k in keys]
-        n = np.concatenate([_numbers(x.as_py(), np.uint32) for x in t.column("n")]).astype(float)
+        n = np.concatenate([numbers(x.as_py(), np.uint32) for x in t.column("n")]).astype(float)
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         of = np.repeat(kinds, length)
         kept = np.bincount(at, n * (of == KEPT), len(distinct)).astype(np.uint32)
@@ -176,8 +158,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             seen[0], total[0], total_kept[0] = (every > 0).sum(), every.sum(dtype=np.int64), kept.sum(dtype=np.int64)
         return pa.table({
             "g": t.column("g"), "chunk": t.column("chunk"), "kind": t.column("kind"),
-            "every": pa.array([_planes(x) for x in np.split(every[at], cuts)], pa.binary()),
-            "kept": pa.array([_planes(x) if k == DELETED else b"" for k, x in zip(kinds, np.split(kept[at], cuts), strict=True)],
+            "every": pa.array([planes(x) for x in np.split(every[at], cuts)], pa.binary()),
+            "kept": pa.array([planes(x) if k == DELETED else b"" for k, x in zip(kinds, np.split(kept[at], cuts), strict=True)],
                              pa.binary()),
             "v": pa.array(seen), "total": pa.array(total), "total_kept": pa.array(total_kept)})
 

@@ -6,6 +6,7 @@ from lexkit.llm.language_model import op6_deleted_interpolation
 from lexkit.llm.mixing import op3_cube_mix
 from lexkit.llm.near_vectors import op8_nn_descent
 from lexkit.llm.neighbours import op9_adaptive_scan
+from lexkit.llm.ngram_join import op10_set_relation_join
 from lexkit.llm.packing import op1_hilbert_pack
 from lexkit.llm.sharding import op4_external_shuffle
 from lexkit.llm.substrings import op7_line_hash_dedup
@@ -14,5 +15,6 @@ from lexkit.llm.toxicity import op2_weak_supervision
 REGISTRY = {f.__name__: f for f in (
     op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle,
     op6_deleted_interpolation, op7_line_hash_dedup, op8_nn_descent, op9_adaptive_scan,
+    op10_set_relation_join,
 )}
 ORACLE: dict[str, str] = {}
