@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lexkit.llm.common import documents
 from lexkit.llm.flatwords import U64, Words, as_long, mix, text_slices
-from lexkit.session import written
+from lexkit.session import materialize, written
 
 MIN_WORDS = 8
 _A, _B = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -91,6 +91,8 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
     groups = (all_units.groupBy("d1", "d2").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("occurrences"))
                        .filter("occurrences > 1"))
+    # written, so that the join deals both sides anew and can split a hot digest
+    groups = materialize(groups)
     return (all_units.withColumn("rank", rank).join(groups, ["d1", "d2"]).filter(F.col("rank") != F.col("kept"))
                      .select("doc_id", "start", "end", "words", F.col("kept.doc_id").alias("kept_doc_id"),
                              F.col("kept.start").alias("kept_start"), "occurrences", "row"))
