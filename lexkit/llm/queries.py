@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexkit.llm.language_model import op6_deleted_interpolation
+from lexkit.llm.line_dedup import op5_set_similarity_lines
 from lexkit.llm.mixing import op3_cube_mix
 from lexkit.llm.near_vectors import op8_nn_descent
 from lexkit.llm.neighbours import op9_adaptive_scan
@@ -14,7 +15,7 @@ from lexkit.llm.toxicity import op2_weak_supervision
 
 REGISTRY = {f.__name__: f for f in (
     op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle,
-    op6_deleted_interpolation, op7_line_hash_dedup, op8_nn_descent, op9_adaptive_scan,
+    op5_set_similarity_lines, op6_deleted_interpolation, op7_line_hash_dedup, op8_nn_descent, op9_adaptive_scan,
     op10_set_relation_join,
 )}
 ORACLE: dict[str, str] = {}
