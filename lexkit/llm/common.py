@@ -24,6 +24,23 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs``, a stored table, with a unique number per row that is the same
+    in every pass over it.  The number follows from how the files are split;
+    that must not depend on how many cores happen to be alive, so the least
+    number of splits is fixed for the session where it is not."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """``df``, a table of a few numbers per row that is already written, marked
+    for broadcast if it has at most ``max_rows`` rows."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the decimal text of an id, modulo ``m`` (null id: -1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % m, F.lit(-1)).cast("int")

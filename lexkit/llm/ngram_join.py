@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexkit.llm.blocks import pack_sorted, unpack_sorted
-from lexkit.llm.common import components, documents
+from lexkit.llm.common import checked_broadcast, components, documents, free_names, numbered
 from lexkit.llm.flatwords import U64, as_long, mix, shingle_sets
 from lexkit.session import materialize, shuffle_partitions, written
 
@@ -89,8 +89,8 @@ def shingle_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     bits = int(min(63, max(32, np.ceil(np.log2(max(size / 4, 2))) + SPARE_BITS)))
     range_bits = max(int(np.ceil(np.log2(max(size / 6 / RANGE_KEYS, partitions, 2)))), 1)
     ranges, shift = 1 << range_bits, U64(bits - range_bits)
-    place = F.monotonically_increasing_id()
-    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), place.alias("row"))
+    row, = free_names(docs, "_row")
+    src = numbered(docs, row).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(row).alias("row"))
     src = src.withColumn("chunk", F.shiftright("row", 33) * (1 << 24)
                          + F.floor(F.col("row").bitwiseAND((1 << 33) - 1) / CHUNK_ROWS)).withColumn(
         "chunk", F.col("chunk").cast("bigint"))
@@ -249,7 +249,8 @@ def set_links(sets: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, row, n_shingles, component_id."""
+    """One row per document: doc_id, row, n_shingles, component_id, kept (the
+    first document of its component)."""
     table, _ = written(shingle_table(docs, key, text))
     # equal sets are one: its first row stands for it
     same = materialize(table.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("first")))
@@ -260,8 +261,18 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                    .join(linked, "first", "left")
                    .select("doc_id", "row", "n", F.coalesce("component", "first", "row").alias("group")))
     member = materialize(member)
-    name = member.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return member.join(name, "group").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    name = materialize(member.groupBy("group").agg(first.alias("first")))
+    return member.join(name, "group").select("doc_id", "row", F.col("n").alias("n_shingles"),
+                                             F.col("first.doc_id").alias("component_id"),
+                                             (F.col("first.row") == F.col("row")).alias("kept"))
+
+
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without all but the first document, by id, of every component."""
+    row, = free_names(docs, "_row")
+    dropped = materialize(ngram_components(docs, key, text).filter(~F.col("kept")).select(F.col("row").alias(row)))
+    return numbered(docs, row).join(checked_broadcast(dropped), row, "left_anti").select(*docs.columns)
 
 
 def op10_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from lexkit.llm.common import crc_mod, documents
 from lexkit.llm.flatwords import U64, Words, as_long, text_slices
+from lexkit.llm.vectortable import lists, matrix
 from lexkit.session import materialize
 
 FOLDS = 5
@@ -224,57 +225,87 @@ def fit_logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                label: str = "toxic") -> DataFrame:
-    """One row per document: doc_id, row, held_out, score (of label 1).
+@dataclass
+class Scorer:
+    """Lexicons and classifier weights; without lexicons every score is ``share``."""
+
+    lexicons: list[list[np.ndarray]]
+    weights: np.ndarray
+    share: float
+
+    def of_hits(self, hits: np.ndarray) -> np.ndarray:
+        z = features(hits) @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        return self.of_hits(hit_counts(texts, self.lexicons)) if self.lexicons else np.full(len(texts), self.share)
+
 
-    ``row`` is ``monotonically_increasing_id`` of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+        label: str = "toxic") -> tuple[Scorer, DataFrame]:
+    """The scorer, and the table (doc_id, held_out, hits, pattern) it was fitted on:
+    one row per document, hits null if there was nothing to learn from."""
     y = (labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_y"))
                .filter("_y IS NOT NULL AND _id IS NOT NULL").groupBy("_id")
                .agg((F.avg("_y") >= 0.5).cast("int").alias("y"))
                .filter(crc_mod("_id", FOLDS) != 0))
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("doc_id"),
-                      F.col(text).alias("text")).withColumn("held_out", crc_mod("doc_id", FOLDS) == 0)
+    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")) \
+              .withColumn("held_out", crc_mod("doc_id", FOLDS) == 0)
     labelled = src.join(y, F.col("doc_id") == F.col("_id")).select("text", "y")
     n1, n = y.join(docs.select(F.col(key).alias("_id")).distinct(), "_id").agg(F.sum("y"), F.count("y")).first()
     n1 = n1 or 0
     if n1 == 0 or n1 == n:
-        return src.select("doc_id", "row", "held_out", F.lit(float(n1) / n if n else 0.0).alias("score"))
+        return Scorer([], np.zeros(1), n1 / n if n else 0.0), src.select(
+            "doc_id", "held_out", F.lit(None).cast("array<double>").alias("hits"), F.lit(0).cast("bigint").alias("pattern"))
     lexicons = induce_lexicons(labelled, n1, n - n1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 hits = hit_counts(part.column("text"), lexicons)
-                flat = pa.array(hits.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(hits) + 1, dtype=np.int32) * hits.shape[1]), flat),
-                     pa.array(pattern_code(votes(hits)))], ["row", "doc_id", "held_out", "hits", "pattern"])
+                    [part.column("doc_id"), part.column("held_out"), lists(hits), pa.array(pattern_code(votes(hits)))],
+                    ["doc_id", "held_out", "hits", "pattern"])
 
-    table = materialize(src.select("row", "doc_id", "held_out", "text").mapInArrow(
-        run, "row bigint, doc_id bigint, held_out boolean, hits array<double>, pattern bigint"))
+    table = materialize(src.select("doc_id", "held_out", "text").mapInArrow(
+        run, "doc_id bigint, held_out boolean, hits array<double>, pattern bigint"))
     train = table.filter(~F.col("held_out")).join(y, F.col("doc_id") == F.col("_id"), "left")
     # at most 3 ** voters patterns x 3 label states, however many documents
     patterns = train.groupBy("pattern", F.coalesce("y", F.lit(-1)).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
     model = LabelModel().fit(pattern_votes(np.array([r[0] for r in patterns])),
                              np.array([r[1] for r in patterns]), np.array([r[2] for r in patterns], float))
-    sample = (table.filter(~F.col("held_out")).select("hits", "pattern", F.xxhash64("doc_id", "row").alias("h"))
-                   .orderBy("h").limit(SAMPLE_ROWS).collect())
-    hits = np.array([r[0] for r in sample], float)
+    sample = (table.filter(~F.col("held_out")).orderBy(F.xxhash64("doc_id", "pattern"), "doc_id")
+                   .select("hits", "pattern").limit(SAMPLE_ROWS).collect())
     q = model.posterior(pattern_votes(np.array([r[1] for r in sample])).astype(float))
-    weights = fit_logistic(features(hits), q)
+    return Scorer(lexicons, fit_logistic(features(np.array([r[0] for r in sample], float)), q), n1 / n), table
+
+
+def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                label: str = "toxic") -> DataFrame:
+    """One row per document: doc_id, held_out, score (of label 1)."""
+    scorer, table = fit(docs, labels, key, text, label)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column("hits").flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, hits.shape[1]))
-            z = features(h) @ weights[:-1] + weights[-1]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), b.column("held_out"),
-                 pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "row", "held_out", "score"])
-
-    return (table.select("doc_id", "row", "held_out", "hits")
-                 .mapInArrow(score, "doc_id bigint, row bigint, held_out boolean, score double"))
+            if b.num_rows:
+                s = scorer.of_hits(matrix(b.column("hits"))) if scorer.lexicons else np.full(b.num_rows, scorer.share)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s)],
+                                                 ["doc_id", "held_out", "score"])
+
+    return table.select("doc_id", "held_out", "hits").mapInArrow(score, "doc_id bigint, held_out boolean, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                  threshold: float = 0.5) -> DataFrame:
+    """``docs`` without those whose score reaches ``threshold``."""
+    scorer, _ = fit(docs, labels, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text):
+                yield part.filter(pa.array(scorer.of_texts(part.column(text)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
