@@ -41,6 +41,15 @@ def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def hash_sample(df: DataFrame, rows: int, *keys: str, seed: int = 1) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has no more), chosen by a seeded
+    hash of the keys: the same ones whatever the partitioning."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the decimal text of an id, modulo ``m`` (null id: -1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % m, F.lit(-1)).cast("int")

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexkit.llm.common import hash_sample
 from lexkit.llm.vectortable import cosine_pairs, lists, matrix, unit, usable
 from lexkit.session import materialize
 
@@ -127,7 +128,7 @@ class Index:
         self.spark = vectors.sparkSession
         rows = usable(vectors, key, vector).groupBy(F.col(key).alias("id")).agg(F.min("vector").alias("vector"))
         rows = materialize(rows)
-        sample = rows.orderBy(F.xxhash64(F.lit(SEED), "id")).limit(SAMPLE_ROWS).select("vector").toArrow()
+        sample = hash_sample(rows, SAMPLE_ROWS, "id", seed=SEED).select("id", "vector").toArrow().sort_by("id")
         self.n = rows.count()
         if not self.n:
             self.lists = 0

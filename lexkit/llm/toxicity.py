@@ -1,6 +1,7 @@
 """Operator 2, toxicity: weak supervision.
 
-1. Lexicons.  Over the labelled training rows, the document frequency of every
+1. Lexicons.  Over the labelled training rows (at most about LABELLED_ROWS of
+   them, chosen by a hash of the id), the document frequency of every
    word and of every word beginning (4 to 7 bytes) is counted per label; those
    tied to label 1 form lexicons by how sure the tie is (lower bound of the
    log-odds).  The lexicons are bounded top lists.
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexkit.llm.common import crc_mod, documents
+from lexkit.llm.common import crc_mod, documents, hash_sample
 from lexkit.llm.flatwords import U64, Words, as_long, text_slices
 from lexkit.llm.vectortable import lists, matrix
 from lexkit.session import materialize
@@ -46,6 +47,7 @@ FOLDS = 5
 PREFIX_BYTES = (4, 5, 6, 7)
 TIERS = (4.0, 2.75, 1.5)          # lower bounds of the log-odds of a lexicon
 TIER_WORDS = 4096                 # most entries of one lexicon
+LABELLED_ROWS = 200_000           # labelled rows that are learnt from
 SAMPLE_ROWS = 40_000              # training rows of the classifier
 EM_ROUNDS = 40
 KINDS = 2                         # words, beginnings
@@ -245,14 +247,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         label: str = "toxic") -> tuple[Scorer, DataFrame]:
     """The scorer, and the table (doc_id, held_out, hits, pattern) it was fitted on:
     one row per document, hits null if there was nothing to learn from."""
-    y = (labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_y"))
-               .filter("_y IS NOT NULL AND _id IS NOT NULL").groupBy("_id")
-               .agg((F.avg("_y") >= 0.5).cast("int").alias("y"))
-               .filter(crc_mod("_id", FOLDS) != 0))
+    y = materialize(labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_y"))
+                    .filter("_y IS NOT NULL AND _id IS NOT NULL").groupBy("_id")
+                    .agg((F.avg("_y") >= 0.5).cast("int").alias("y"))
+                    .filter(crc_mod("_id", FOLDS) != 0))
+    # bounded: two numbers for each of about LABELLED_ROWS rows
+    y = F.broadcast(hash_sample(y, LABELLED_ROWS, "_id"))
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")) \
               .withColumn("held_out", crc_mod("doc_id", FOLDS) == 0)
     labelled = src.join(y, F.col("doc_id") == F.col("_id")).select("text", "y")
-    n1, n = y.join(docs.select(F.col(key).alias("_id")).distinct(), "_id").agg(F.sum("y"), F.count("y")).first()
+    n1, n = labelled.agg(F.sum("y"), F.count("y")).first()
     n1 = n1 or 0
     if n1 == 0 or n1 == n:
         return Scorer([], np.zeros(1), n1 / n if n else 0.0), src.select(
@@ -274,8 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     patterns = train.groupBy("pattern", F.coalesce("y", F.lit(-1)).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
     model = LabelModel().fit(pattern_votes(np.array([r[0] for r in patterns])),
                              np.array([r[1] for r in patterns]), np.array([r[2] for r in patterns], float))
-    sample = (table.filter(~F.col("held_out")).orderBy(F.xxhash64("doc_id", "pattern"), "doc_id")
-                   .select("hits", "pattern").limit(SAMPLE_ROWS).collect())
+    sample = hash_sample(table.filter(~F.col("held_out")), SAMPLE_ROWS, "doc_id").select("hits", "pattern").collect()
     q = model.posterior(pattern_votes(np.array([r[1] for r in sample])).astype(float))
     return Scorer(lexicons, fit_logistic(features(np.array([r[0] for r in sample], float)), q), n1 / n), table
 
