@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexkit.functions import scoring as S
+from lexkit.functions.arrays import chunk
 from lexkit.functions import text as T
 from lexkit.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
-from lexkit.operators.windows import top_k_per_key
+from lexkit.operators.windows import ordered_index, top_k_per_key
 from lexkit.session import materialize as _materialize
 
 
@@ -41,7 +42,7 @@ def doc_tokens(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, tokens, dl): tokens of P1(title, text); dl = number of tokens."""
     txt = T.title_text(title_col, text_col) if title_col else F.col(text_col)
     return (corpus.select(F.col(id_col).alias("doc_id"), analyze(txt, lower, normalize, max_len).alias("tokens"))
-                  .withColumn("dl", F.size("tokens")))
+                  .withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0))))
 
 
 def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -53,9 +54,12 @@ def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return postings_from_tokens(doc_tokens(corpus, id_col, text_col, title_col, lower, normalize, max_len))
 
 
-def postings_from_tokens(toks: DataFrame) -> DataFrame:
+def postings_from_tokens(toks: DataFrame, keep_empty: bool = False) -> DataFrame:
     """(doc_id, tokens, dl) -> (doc_id, token, tf, dl), hash-partitioned by doc_id.
 
+    With ``keep_empty`` a document without tokens has one row (token null, tf 0),
+    so the corpus statistics taken from the postings count it.
+
     The token arrays (one compact row per document) cross one shuffle keyed by
     doc_id; the tf count then runs in place, and every later aggregate keyed by
     (query, doc) is already clustered, so scoring needs no further exchange
@@ -63,11 +67,10 @@ def postings_from_tokens(toks: DataFrame) -> DataFrame:
     # explode_outer + null filter: a plain explode makes the optimizer add a
     # size(tokens) > 0 filter below the projection, which evaluates the regex twice
     n = int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (toks.repartition(n, "doc_id")
-                .select("doc_id", "dl", F.explode_outer("tokens").alias("token"))
-                .filter(F.col("token").isNotNull())
-                .groupBy("doc_id", "token")
-                .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    rows = toks.repartition(n, "doc_id").select("doc_id", "dl", F.explode_outer("tokens").alias("token"))
+    if not keep_empty:
+        rows = rows.filter(F.col("token").isNotNull())
+    return rows.groupBy("doc_id", "token").agg(F.count("token").alias("tf"), F.first("dl").alias("dl"))
 
 
 def drop_pad(df: DataFrame, pad_token, token_col: str = "token") -> DataFrame:
@@ -94,7 +97,7 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 def document_frequency(posts: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """A3: (token, df).  With ``tokens`` given, only those tokens are counted
     (semi-join against the size-checked token list)."""
-    p = posts
+    p = posts.filter(F.col("token").isNotNull())
     if tokens is not None:
         p = p.join(bounded_broadcast(tokens.select("token").distinct()), "token", "left_semi")
     return p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -170,47 +173,82 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: s
                 doc_text: str = "text", doc_title: str | None = None, query_id: str = "query_id",
                 query_text: str = "text", lower: bool = True, normalize: bool = False,
                 max_len: int | None = None, posts: DataFrame | None = None,
-                idf: DataFrame | None = None) -> DataFrame:
+                idf: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
     """V4 + V5 + J1 + W2 with BM25 weights: top-k (query_id, doc_id, score, rank).
 
-    Only documents sharing a token with the query are ranked (documents with
-    score 0 are not used to fill the depth)."""
-    if posts is None:
-        toks = doc_tokens(corpus, doc_id, doc_text, doc_title, lower, normalize, max_len)
-        p = materialize(postings_from_tokens(toks))
-        stats = corpus_stats(p)
-    else:
-        p, stats = posts, corpus_stats(posts)
+    Only documents sharing a token with the query are ranked (IDF is positive, so
+    a document without one is never nearer).  N and avgdl count documents
+    without tokens too.  With ``exclude_self`` (P6) a document with the query's
+    own id is left out before the cut."""
+    p = posts if posts is not None else written_postings(corpus, doc_id, doc_text, doc_title, lower, normalize, max_len)
+    stats = corpus_stats(p)
     qt = query_terms(queries, query_id, query_text, lower, normalize, max_len)
     small = query_side_is_small(qt)
     # df only for the query tokens: the written postings are scanned again with a
     # semi-join on the (size-checked) query-token list, so only those tokens'
     # partial counts cross the shuffle -- not the whole vocabulary
     qw = bm25_query_weights(qt, idf_table(p, stats.n_docs, qt) if idf is None else idf)
-    return top_k_per_key(score(p, qw, bm25_doc_term(stats), small), k)
+    return top_k_per_key(_others(score(p, qw, bm25_doc_term(stats), small), exclude_self), k)
+
+
+def written_postings(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", doc_title: str | None = None,
+                     lower: bool = True, normalize: bool = False, max_len: int | None = None) -> DataFrame:
+    """The postings artefact of a corpus: written once, documents without tokens
+    kept as a row without token."""
+    return materialize(postings_from_tokens(doc_tokens(corpus, doc_id, doc_text, doc_title, lower, normalize, max_len), True))
+
+
+def _others(scored: DataFrame, exclude_self: bool) -> DataFrame:
+    """Scored pairs without a query's own document (ids compared as strings)."""
+    return scored.filter(F.col("query_id").cast("string") != F.col("doc_id").cast("string")) if exclude_self else scored
+
+
+def _with_zeros(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Scored pairs plus the unscored documents (score 0) that can reach the top
+    k: for a query with s scored documents, the first unscored ones are among
+    the first s + k by id, so no more than that many are looked at."""
+    need = (queries.select("query_id").distinct()
+            .join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("s"),
+                                                 F.sum((F.col("score") > 0).cast("int")).alias("up")), "query_id", "left")
+            .fillna({"s": 0, "up": 0}).filter(F.col("up") < k))
+    at = ordered_index(docs.select("doc_id").distinct(), [F.col("doc_id")], out="at")
+    tries = need.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") + F.lit(k - 1))).alias("at"))
+    zeros = (tries.join(at, "at").select("query_id", "doc_id")
+                  .join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+                  .withColumn("score", F.lit(0.0)))
+    return scored.unionByName(zeros)
 
 
 def learned_search(corpus: DataFrame, queries: DataFrame, weights: DataFrame, beta: float, k: int = 10,
                    *, doc_id: str = "doc_id", doc_text: str = "text", doc_title: str | None = None,
                    query_id: str = "query_id", query_text: str = "text", lower: bool = True,
                    normalize: bool = False, max_len: int | None = None,
-                   posts: DataFrame | None = None) -> DataFrame:
-    """V6 learned retriever: weights (token, weight) and saturation beta."""
-    p = posts if posts is not None else materialize(
-        postings(corpus, doc_id, doc_text, doc_title, lower, normalize, max_len))
+                   posts: DataFrame | None = None, exclude_self: bool = False, fill_zero: bool = True) -> DataFrame:
+    """V6 learned retriever: weights (token, weight) and saturation beta.
+
+    Weights can be negative, so with ``fill_zero`` documents that share no token
+    with the query compete with score 0."""
+    p = posts if posts is not None else written_postings(corpus, doc_id, doc_text, doc_title, lower, normalize, max_len)
     qt = query_terms(queries, query_id, query_text, lower, normalize, max_len)
-    qw = learned_query_weights(qt, weights)
-    return top_k_per_key(score(p, qw, learned_doc_term(beta), query_side_is_small(qt)), k)
+    scored = score(p, learned_query_weights(qt, weights), learned_doc_term(beta), query_side_is_small(qt))
+    if fill_zero:
+        # one more, in case the query's own document is left out
+        scored = _with_zeros(_materialize(scored), queries.select(F.col(query_id).alias("query_id")), p, k + 1)
+    return top_k_per_key(_others(scored, exclude_self), k)
 
 
 def build_idf(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               title_col: str | None = None, chunk_length: int | None = None,
-              lower: bool = True) -> DataFrame:
+              lower: bool = True, offset: int | Column = 0) -> DataFrame:
     """IDF over the whole corpus (token, df, idf); one shuffle on token.
 
-    With ``chunk_length`` each row counts only its first chunk of tokens (the
-    unit the statistics job of the reference counts)."""
-    toks = doc_tokens(corpus, id_col, text_col, title_col, lower, False, chunk_length)
+    With ``chunk_length`` a row counts the chunk of tokens that starts at
+    ``offset`` (P4: the dataset's epoch offset, the unit the statistics job of
+    the reference counts)."""
+    toks = doc_tokens(corpus, id_col, text_col, title_col, lower)
+    if chunk_length:
+        offs = corpus.select(F.col(id_col).alias("doc_id"), (F.lit(offset) if isinstance(offset, int) else offset).alias("_off"))
+        toks = toks.join(offs, "doc_id").withColumn("tokens", chunk(F.col("tokens"), F.col("_off"), chunk_length))
     pres = term_presence(toks, "doc_id", out_id="doc_id")
     n = toks.agg(F.count(F.lit(1)).cast("double")).scalar()
     return pres.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", S.idf(n, F.col("df")))

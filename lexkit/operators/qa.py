@@ -33,20 +33,26 @@ def passage_hits(ctxs: DataFrame, answers: DataFrame, decompose: bool = True) ->
     return pairs.groupBy("question_id", "ctx_pos").agg(F.bool_or(hit).alias("hit"))
 
 
-def top_k_hits(hits: DataFrame, width: str = "max", group_cols=()) -> DataFrame:
+def top_k_hits(hits: DataFrame, width: str = "max", group_cols=(), questions: DataFrame | None = None) -> DataFrame:
     """(k, hits, recall) for k = 1..width: number of questions whose first
     hit is at position <= k.  ``width='max'`` uses the longest passage list;
     ``'first'`` the list of the smallest question id (the reference's choice).
-    ``group_cols`` (e.g. the result file) computes one curve per group."""
+    ``group_cols`` (e.g. the result file) computes one curve per group.
+
+    ``questions`` (group columns, question_id) is the denominator: a question
+    without any passage counts as one without a hit."""
     g = list(group_cols)
-    # one row per question, read by three aggregates below: write once
-    first = materialize(hits.groupBy(*g, "question_id").agg(
+    first = hits.groupBy(*g, "question_id").agg(
         F.min(F.when(F.col("hit"), F.col("ctx_pos"))).alias("first_hit"),
-        F.count(F.lit(1)).alias("n_ctx")))
+        F.count(F.lit(1)).alias("n_ctx"))
+    if questions is not None:
+        first = (questions.select(*g, "question_id").distinct().join(first, [*g, "question_id"], "left")
+                          .fillna({"n_ctx": 0}))
+    # one row per question, read by three aggregates below: write once
+    first = materialize(first)
     if width == "first":
-        wq = Window.partitionBy(*g).orderBy("question_id") if g else Window.orderBy("question_id")
-        per = (first.withColumn("_r", F.row_number().over(wq)).filter(F.col("_r") == 1)
-                    .select(*g, F.col("n_ctx").alias("_w")))
+        # a minimum per group, not a window over all questions
+        per = first.groupBy(*g).agg(F.min_by("n_ctx", "question_id").alias("_w"))
     else:
         per = first.groupBy(*g).agg(F.max("n_ctx").alias("_w"))
     if g:
@@ -55,7 +61,7 @@ def top_k_hits(hits: DataFrame, width: str = "max", group_cols=()) -> DataFrame:
         per = per.withColumn("_nq", first.agg(F.count(F.lit(1))).scalar())
     by_pos = first.filter(F.col("first_hit").isNotNull()).groupBy(*g, "first_hit").agg(F.count(F.lit(1)).alias("c"))
     # one row per (group, cut-off k); k is bounded by the passage-list width
-    ks = per.select(*g, "_nq", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int"))).alias("k"))
+    ks = per.filter("_w > 0").select(*g, "_nq", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int"))).alias("k"))
     counts = ks.join(by_pos.withColumn("k", (F.col("first_hit") + 1).cast("int")).drop("first_hit"), [*g, "k"], "left") \
                .fillna({"c": 0})
     cum = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -79,18 +85,21 @@ def recall_report(recall: DataFrame, group_col: str = "file", ks: Sequence[int]
         lambda s: s["v"]), "\t").alias("values"))
 
 
-def f1_pairs(pairs: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """F6 over (key..., pred, truth) rows: token-multiset F1 after F4.
+def common_tokens(a, b):
+    """Size of the multiset intersection of two token arrays, inside the row: the
+    i-th occurrence of a token is made a token of its own, then sets meet."""
+    def occurrences(x):
+        s = F.array_sort(x)
+        return F.transform(s, lambda t, i: F.concat_ws(T.RUN_SEP, t, (i - F.array_position(s, t)).cast("string")))
+    return F.size(F.array_intersect(occurrences(a), occurrences(b)))
+
 
-    Tokens are exploded and counted per pair (grouped aggregates, no per-row
-    Python); the common count is sum(least(count_pred, count_truth))."""
+def f1_pairs(pairs: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """F6 over (key..., pred, truth) rows: token-multiset F1 after F4, computed
+    inside the row (no shuffle)."""
     k = list(key_cols)
     base = pairs.select(*k, T.answer_tokens(F.col("pred")).alias("pt"), T.answer_tokens(F.col("truth")).alias("tt"))
-    lens = base.select(*k, F.size("pt").alias("np"), F.size("tt").alias("nt"))
-    pc = base.select(*k, F.explode("pt").alias("tok")).groupBy(*k, "tok").agg(F.count(F.lit(1)).alias("cp"))
-    tc = base.select(*k, F.explode("tt").alias("tok")).groupBy(*k, "tok").agg(F.count(F.lit(1)).alias("ct"))
-    common = pc.join(tc, [*k, "tok"]).groupBy(*k).agg(F.sum(F.least("cp", "ct")).alias("same"))
-    j = lens.join(common, k, "left").fillna({"same": 0})
+    j = base.select(*k, common_tokens(F.col("pt"), F.col("tt")).alias("same"), F.size("pt").alias("np"), F.size("tt").alias("nt"))
     prec = F.col("same") / F.col("np")
     rec = F.col("same") / F.col("nt")
     f1 = F.when(F.col("same") == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
@@ -103,7 +112,6 @@ def reader_scores(preds: DataFrame, truths: DataFrame) -> DataFrame:
     preds: (pred_id, prediction); truths: (pred_id, truth_id, truth)."""
     pairs = (preds.join(truths, "pred_id")
                   .select("pred_id", "truth_id", F.col("prediction").alias("pred"), F.col("truth")))
-    em = pairs.select("pred_id", "truth_id", T.exact_match(F.col("pred"), F.col("truth")).cast("int").alias("em"))
-    f1 = f1_pairs(pairs, ["pred_id", "truth_id"])
-    return (em.join(f1, ["pred_id", "truth_id"])
-              .groupBy("pred_id").agg(F.max("em").alias("em"), F.max("f1").alias("f1")))
+    em = T.exact_match(F.col("pred"), F.col("truth")).cast("int")
+    both = f1_pairs(pairs.withColumn("em", em), ["pred_id", "truth_id", "em"])
+    return both.groupBy("pred_id").agg(F.max("em").alias("em"), F.max("f1").alias("f1"))

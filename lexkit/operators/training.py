@@ -21,6 +21,7 @@ executor never forces a replay of earlier steps.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -43,6 +44,7 @@ class LexicalModel:
     beta_v: float = 0.0
     step: int = 0
     log: list = field(default_factory=list)
+    options: dict = field(default_factory=dict)     # schedule of the run that saved it
 
 
 def init_model(vocab: DataFrame, seed: int = 0) -> LexicalModel:
@@ -102,7 +104,7 @@ def adamw(model: LexicalModel, grad_w: DataFrame, grad_b: float, lr: float) -> L
     bv = ADAM_BETA2 * model.beta_v + (1 - ADAM_BETA2) * grad_b * grad_b
     beta = model.beta * (1 - lr * WEIGHT_DECAY)
     beta = beta - lr * (bm / c1) / (math.sqrt(bv / c2) + ADAM_EPS)
-    return LexicalModel(materialize(w), beta, bm, bv, t, model.log)
+    return LexicalModel(materialize(w), beta, bm, bv, t, model.log, model.options)
 
 
 def lr_at(step: int, base_lr: float, warmup: int, total: int, scheduler: str = "linear", ratio: float = 0.0) -> float:
@@ -125,6 +127,7 @@ def train_lexical(pairs: DataFrame, model: LexicalModel, steps: int, base_lr: fl
     steps and at the end when ``save_dir`` is given (S9)."""
     from lexkit.operators.contrastive import lexical_batch_loss
     total = total or steps
+    model.options = {"base_lr": base_lr, "warmup": warmup, "total": total, "scheduler": scheduler, "lr_ratio": lr_ratio}
     n_batches = pairs.agg(F.max("batch")).first()[0] + 1
     for i in range(steps):
         b = pairs.filter(F.col("batch") == (i % n_batches))
@@ -146,9 +149,10 @@ def training_log(spark: SparkSession, model: LexicalModel) -> DataFrame:
 def save_model(model: LexicalModel, root: str) -> None:
     """Weights and optimiser state under step=N; parameters in a side table."""
     model.weights.write.mode("overwrite").parquet(f"{root}/weights_step_{model.step}")
+    row = (model.step, model.beta, model.beta_m, model.beta_v, json.dumps(model.options, sort_keys=True))
     model.weights.sparkSession.createDataFrame(
-        [(model.step, model.beta, model.beta_m, model.beta_v)],
-        "step int, beta double, beta_m double, beta_v double").write.mode("append").parquet(f"{root}/params")
+        [row], "step int, beta double, beta_m double, beta_v double, options string"
+    ).coalesce(1).write.mode("overwrite").parquet(f"{root}/params/saved_step={model.step}")
 
 
 def load_model(spark: SparkSession, root: str, step: int | str = "latest", reset_params: bool = False) -> LexicalModel:
@@ -157,12 +161,18 @@ def load_model(spark: SparkSession, root: str, step: int | str = "latest", reset
     params = spark.read.parquet(f"{root}/params")
     if step == "latest":
         step = params.agg(F.max("step")).first()[0]
-    p = params.filter(F.col("step") == step).orderBy(F.desc("beta")).first()
+    p = params.filter(F.col("step") == step).first()
     w = spark.read.parquet(f"{root}/weights_step_{step}").select("token", "weight", "m", "v")
     if reset_params:
         w = w.withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0))
         return LexicalModel(w, p["beta"], 0.0, 0.0, int(step))
-    return LexicalModel(w, p["beta"], p["beta_m"], p["beta_v"], int(step))
+    return LexicalModel(w, p["beta"], p["beta_m"], p["beta_v"], int(step), options=json.loads(p["options"]))
+
+
+def continue_training(spark: SparkSession, root: str, pairs: DataFrame, steps: int) -> LexicalModel:
+    """Go on from the latest saved step with its schedule and options."""
+    model = load_model(spark, root)
+    return train_lexical(pairs, model, steps, save_dir=root, **model.options)
 
 
 def momentum_update(key_weights: DataFrame, query_weights: DataFrame, m: float) -> DataFrame:

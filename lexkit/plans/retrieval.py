@@ -26,12 +26,10 @@ def retrieve_and_evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFram
     depth = max(k_values)
     if scorer == "bm25":
         run = L.bm25_search(corpus, judged, depth, doc_title=doc_title, lower=lower,
-                            normalize=normalize, max_len=max_len)
+                            normalize=normalize, max_len=max_len, exclude_self=exclude_self)
     else:
         run = L.learned_search(corpus, judged, weights, beta, depth, doc_title=doc_title,
-                               lower=lower, normalize=normalize, max_len=max_len)
-    if exclude_self:
-        run = M.exclude_self(run)
+                               lower=lower, normalize=normalize, max_len=max_len, exclude_self=exclude_self)
     # the run (queries x depth rows) is read by several metric aggregates: write once
     run = materialize(run.select("query_id", "doc_id", "score"))
     return M.evaluate(run, qrels, k_values)
@@ -47,7 +45,7 @@ def evaluate_multi(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, data
     # scope document ids by dataset so one postings table serves all datasets
     toks = L.doc_tokens(sub.withColumn("doc_key", F.struct("dataset", "doc_id")), "doc_key", "text",
                         doc_title, True, False, None)
-    posts = L.materialize(L.postings_from_tokens(toks))
+    posts = L.materialize(L.postings_from_tokens(toks, keep_empty=True))
     posts = posts.select(F.col("doc_id.dataset").alias("dataset"), F.col("doc_id.doc_id").alias("doc_id"),
                          "token", "tf", "dl")
     stats = posts.groupBy("dataset", "doc_id").agg(F.first("dl").alias("dl")) \

@@ -40,6 +40,11 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
     return sorted(str(s.getPath().toString()) for s in stats if s.isFile())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_token_corpora(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Every directory is one dataset keyed by its path; (dataset_id, row_id, input_ids)."""
     out = None
@@ -51,8 +56,9 @@ def read_token_corpora(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def read_shards(spark: SparkSession, path: str, mode: str = "full", rank: int = 0, world: int = 1) -> DataFrame | None:
     """Sorted ``*.p*`` files; 'full' = all, 'single' = first file, 'split' =
-    this worker's contiguous share of the file list (P12 sizes); unreadable
-    files are skipped.  None when there is nothing to read."""
+    this worker's contiguous share of the file list (P12 sizes), where unreadable
+    files are skipped; the other modes fail on one.  None when there is nothing
+    to read."""
     files = list_files(spark, path, "*.p*")
     if mode == "single":
         files = files[:1]
@@ -62,18 +68,21 @@ def read_shards(spark: SparkSession, path: str, mode: str = "full", rank: int =
         files = files[start:start + q + (1 if rank < r else 0)]
     if not files:
         return None
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(*files)
+    return spark.read.option("ignoreCorruptFiles", str(mode == "split").lower()).parquet(*files)
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
     """S3 + P5: '.jsonl' -> JSON rows; otherwise TSV (id, text, title) with CSV
-    quoting, a header row whose first field is 'id' dropped."""
+    quoting, a header row whose first field is 'id' dropped (a row with an empty
+    id stays).  A path that does not exist yields no passage."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "id string, title string, text string")
     if path.endswith(".jsonl"):
         schema = "id string, title string, text string"
         return spark.read.schema(schema).json(path).select("id", "title", "text")
     df = (spark.read.option("sep", "\t").option("quote", '"').option("escape", '"').option("multiLine", "true")
           .schema("id string, text string, title string").csv(path))
-    return df.filter(F.col("id") != "id").select("id", "title", "text")
+    return df.filter(F.col("id").isNull() | (F.col("id") != "id")).select("id", "title", "text")
 
 
 def _ordered_rows(df: DataFrame) -> DataFrame:
@@ -133,7 +142,8 @@ def read_qa_results(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def explode_qa_results(results: DataFrame):
-    """S6 rows -> (ctxs, answers) in the exploded form the answer check uses."""
+    """S6 rows -> (ctxs, answers) in the exploded form the answer check uses;
+    ``results`` itself is the question table (one row each, ctxs or not)."""
     ctxs = results.select("file", "question_id", F.posexplode("ctxs").alias("ctx_pos", "c")) \
         .select("file", "question_id", "ctx_pos", F.col("c.text").alias("text"))
     answers = results.select("file", "question_id", F.explode("answers").alias("answer"))
