@@ -5,15 +5,16 @@ computed on the exploded (vec_id, dim, x) form with grouped aggregates, so a
 large group never has to fit in one task; only per-group vectors of length d
 (the dimension) are ever collected.
 
-Exact inner-product search (V1) streams the vector table once: each task
-multiplies its Arrow batches by the broadcast query block with numpy and keeps
-a local top-k; the global top-k (W2) then only sees k rows per query per task.
+Exact inner-product search (V1) scans the vector table once: blocks of vectors
+meet blocks of queries, each pair is a numpy matrix product that keeps a local
+top-k; the global top-k (W2) then only sees k rows per query per block.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,51 +59,46 @@ def embedding_spread(vecs: DataFrame, group_col: str, id_col: str = "vec_id", ve
               .groupBy(group_col).agg(F.avg("sd").alias("spread")))
 
 
-def _local_topk_fn(q_ids: np.ndarray, q_mat: np.ndarray, k: int, id_col: str, vec_col: str):
-    def fn(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            scores = q_mat @ m.T                      # (n_queries, batch)
-            kk = min(k, scores.shape[1])
-            idx = np.argpartition(-scores, kk - 1, axis=1)[:, :kk]
-            rows_q = np.repeat(q_ids, kk)
-            cols = idx.reshape(-1)
-            yield pd.DataFrame({"query_id": rows_q,
-                                id_col: pdf[id_col].to_numpy()[cols],
-                                "score": scores[np.repeat(np.arange(len(q_ids)), kk), cols]})
+def _block_topk(k: int):
+    """Top k rows per query of one (query block, vector block): score rounded to
+    9 digits, then id, the order of ``rank_hits``."""
+    def fn(q: pa.Table, x: pa.Table) -> pa.Table:
+        if not len(q) or not len(x):
+            return pa.table({"query_id": q.column("query_id").slice(0, 0), "id": x.column("id").slice(0, 0),
+                             "score": pa.array([], pa.float64())})
+        qm, xm = (np.array(t.column("v").to_pylist(), np.float64) for t in (q, x))
+        order = pc.sort_indices(x.column("id")).to_numpy()
+        scores = qm @ xm[order].T
+        best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(qm)), best.shape[1])
+        col = best.ravel()
+        return pa.table({"query_id": q.column("query_id").take(pa.array(row)),
+                         "id": x.column("id").take(pa.array(order[col])), "score": pa.array(scores[row, col])})
     return fn
 
 
 def flat_ip_search(queries: DataFrame, vecs: DataFrame, k: int, *, query_id: str = "query_id",
                    query_vec: str = "vec", id_col: str = "vec_id", vec_col: str = "embedding",
-                   block: int = 2048) -> DataFrame:
+                   block: int = 2048, vector_block: int = 8192) -> DataFrame:
     """Exact inner-product top-k of every query over all vectors.
 
-    Queries are processed in blocks of ``block`` rows (each block is broadcast
-    to the tasks as a numpy matrix inside the function closure); every block is
-    one pass over the vector table, and its local top-k rows are unioned.
+    Queries and vectors are dealt to blocks by a hash of their id; an equi-join
+    on the pair of blocks brings them together (queries copied to every vector
+    block, vectors to every query block), each pair is one matrix product that
+    leaves k rows per query, and a window keeps the best k.  Nothing passes
+    through the driver, and the vectors are scanned once.
     Returns (query_id, vec_id STRING (J4), score, rank)."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv"))
-    n = q.count()
-    if n > MAX_BROADCAST_ROWS:
-        raise ValueError("query table too large for exact search blocks")
-    # the query side is size-checked above; it is collected in blocks
-    qpdf = q.orderBy("query_id").toPandas()
-    id_type = dict(vecs.dtypes)[id_col]
-    schema = f"query_id {dict(q.dtypes)['query_id']}, {id_col} {id_type}, score double"
-    parts = []
-    for s in range(0, len(qpdf), block):
-        blk = qpdf.iloc[s:s + block]
-        qm = np.stack(blk["qv"].to_numpy()).astype(np.float64)
-        fn = _local_topk_fn(blk["query_id"].to_numpy(), qm, k, id_col, vec_col)
-        parts.append(vecs.select(id_col, vec_col).mapInPandas(fn, schema))
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    top = top_k_per_key(local, k, key_col="query_id", doc_col=id_col)
-    return top.select("query_id", F.col(id_col).cast("string").alias(id_col), "score", "rank")
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("v"))
+    x = vecs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    nq, nx = -(-q.count() // block) or 1, -(-x.count() // vector_block) or 1
+    qb = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
+           .withColumn("xb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx - 1).cast("bigint")))))
+    xb = (x.withColumn("xb", F.pmod(F.xxhash64("id"), F.lit(nx)))
+           .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint")))))
+    schema = f"query_id {dict(q.dtypes)['query_id']}, id {dict(x.dtypes)['id']}, score double"
+    local = qb.groupBy("qb", "xb").cogroup(xb.groupBy("qb", "xb")).applyInArrow(_block_topk(k), schema)
+    top = top_k_per_key(local, k, key_col="query_id", doc_col="id")
+    return top.select("query_id", F.col("id").cast("string").alias(id_col), "score", "rank")
 
 
 def ip_scores_sql_form(queries: DataFrame, vecs: DataFrame, *, query_id: str = "query_id",

@@ -120,17 +120,29 @@ metrics AS (
                       ("rr", "MRR"), ("rcap", "R_cap"), ("hole", "Hole")))})"""
 
 
-_EVAL_KS = (1, 3, 5, 10, 100)
+_EVAL_KS = (1, 3, 5, 10, 100, 1000)
 _JUDGED_ONLY = f"WHERE qt.query_id IN (SELECT query_id FROM ({QRELS_SELECT}))"
 
-ORACLE["bm25_eval"] = f"""WITH {_metrics_sql(bm25_run(100, _JUDGED_ONLY), _EVAL_KS)}
+ORACLE["bm25_eval"] = f"""WITH {_metrics_sql(bm25_run(1000, _JUDGED_ONLY), _EVAL_KS)}
 SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM metrics"""
 
-ORACLE["metric_report"] = f"""WITH {_metrics_sql(bm25_run(100, _JUDGED_ONLY), _EVAL_KS)}
+ORACLE["metric_report"] = f"""WITH {_metrics_sql(bm25_run(1000, _JUDGED_ONLY), _EVAL_KS)}
 SELECT metric || '@' || k::VARCHAR AS name, format('{{:.1f}}', value) AS value FROM metrics"""
 
-ORACLE["exclude_self"] = f"""WITH {bm25_run(10)}
-SELECT query_id, doc_id, rank::BIGINT AS rank FROM run WHERE query_id::VARCHAR <> doc_id::VARCHAR"""
+ORACLE["exclude_self"] = f"""WITH {bm25_run(10).replace('qt AS (', 'qt0 AS (').replace('qw AS (', f"""holder AS (SELECT query_id, min(doc_id) AS own FROM ({QRELS_SELECT}) GROUP BY query_id),
+owner AS (SELECT own, min(query_id) AS query_id FROM holder GROUP BY own),
+qt AS (SELECT coalesce(own, -1 - qt0.query_id) AS query_id, token FROM qt0 LEFT JOIN owner USING (query_id)),
+qw AS (""").replace('JOIN dl USING (doc_id), st GROUP', 'JOIN dl USING (doc_id), st WHERE qw.query_id <> post.doc_id GROUP')}
+SELECT query_id, doc_id, rank::BIGINT AS rank FROM run"""
+
+ORACLE["learned_fill_zero"] = f"""WITH {BASE_CTES},
+qw AS (SELECT qt.query_id, qt.token, {IDF} - 8e0 AS weight FROM qt JOIN dft USING (token), st),
+sc AS (SELECT qw.query_id, post.doc_id, sum(qw.weight * (post.tf / (post.tf + exp(0e0)))) AS score
+       FROM post JOIN qw USING (token) GROUP BY qw.query_id, post.doc_id),
+every AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(sc.score, 0e0) AS score FROM benchmark b CROSS JOIN documents d
+          LEFT JOIN sc ON sc.query_id = b.item_id AND sc.doc_id = d.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score, rank::BIGINT AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM every) WHERE rank <= 10"""
 
 ORACLE["learned_top10"] = f"""WITH {BASE_CTES},
 qw AS (SELECT qt.query_id, qt.token, {IDF} AS weight FROM qt JOIN dft USING (token), st),
@@ -223,7 +235,7 @@ FROM (SELECT conv_id, turn, {sql_normalize_answer('text')} AS n FROM conversatio
 # ---------------------------------------------------------------- answers (V9)
 
 def _qa_hits_sql() -> str:
-    return f"""{bm25_run(20)},
+    return f"""{bm25_run(100)},
 ctxs AS (SELECT run.query_id AS question_id, run.rank - 1 AS ctx_pos, d.text FROM run JOIN documents d USING (doc_id)),
 cr AS (SELECT question_id, ctx_pos, text IS NULL AS is_null,
               {sql_token_run(_tok('lower(nfc_normalize(text))'))} AS trun FROM ctxs),
@@ -233,7 +245,7 @@ hits AS (SELECT cr.question_id, cr.ctx_pos,
                 bool_or(NOT cr.is_null AND ar.alen IS NOT NULL AND (ar.alen = 0 OR contains(cr.trun, ar.arun))) AS hit
          FROM cr LEFT JOIN ar USING (question_id) GROUP BY ALL),
 first AS (SELECT question_id, min(CASE WHEN hit THEN ctx_pos END) AS first_hit, count(*) AS n_ctx FROM hits GROUP BY ALL),
-wq AS (SELECT max(n_ctx) AS w, count(*) AS nq FROM first),
+wq AS (SELECT max(n_ctx) AS w, (SELECT count(*) FROM benchmark) AS nq FROM first),
 curve AS (SELECT k, (SELECT count(*) FROM first WHERE first_hit IS NOT NULL AND first_hit + 1 <= k) AS hits
           FROM (SELECT unnest(range(1, (SELECT w FROM wq) + 1)) AS k))"""
 
@@ -590,14 +602,14 @@ ORACLE["param_count"] = f"""WITH {_idf_sql('wb')} SELECT round((count(*) + 1) /
 ORACLE["vocab_ranking"] = f"""WITH {_idf_sql('wb')}
 SELECT token, (row_number() OVER (ORDER BY weight DESC, token) - 1)::BIGINT AS rank FROM wb"""
 
-ORACLE["top_weights"] = f"""WITH {_W2} SELECT token, weight FROM wa ORDER BY weight DESC, token LIMIT 100"""
+ORACLE["top_weights"] = f"""WITH {_W2} SELECT token, weight FROM wb ORDER BY weight DESC, token LIMIT 100"""
 
-ORACLE["bottom_weights"] = f"""WITH {_W2} SELECT token, weight FROM wa ORDER BY weight ASC, token LIMIT 100"""
+ORACLE["bottom_weights"] = f"""WITH {_W2} SELECT token, weight FROM wb ORDER BY weight ASC, token LIMIT 100"""
 
 ORACLE["smallest_magnitude"] = f"""WITH {_W2}, sg AS (SELECT token, round(wa.weight - wb.weight, 9) AS weight FROM wa JOIN wb USING (token))
 SELECT token, weight FROM sg ORDER BY abs(weight), token LIMIT 100"""
 
-ORACLE["tail_of_top"] = f"""WITH {_W2}, top AS (SELECT token, weight FROM wa ORDER BY weight DESC, token LIMIT 100)
+ORACLE["tail_of_top"] = f"""WITH {_W2}, top AS (SELECT token, weight FROM wb ORDER BY weight DESC, token LIMIT 100)
 SELECT token, weight FROM top ORDER BY weight ASC, token DESC LIMIT 10"""
 
 ORACLE["compare_rankings"] = f"""WITH {_W2}, {TOKEN_CORPUS_CTES},
@@ -609,7 +621,7 @@ SELECT round(avg(rank), 6) AS mean_rank, round(avg(id), 6) AS mean_token_id, cou
 UNION ALL
 SELECT round(avg(rank), 6), round(avg(id), 6), count(*), 'bottom' FROM bot JOIN ob USING (token) JOIN vocab USING (token)"""
 
-ORACLE["decode_tokens"] = f"""WITH {_W2}, top AS (SELECT token, weight FROM wa ORDER BY weight DESC, token LIMIT 20)
+ORACLE["decode_tokens"] = f"""WITH {_W2}, top AS (SELECT token, weight FROM wb ORDER BY weight DESC, token LIMIT 20)
 SELECT string_agg(token, ' ' ORDER BY weight DESC, token) AS text FROM top"""
 
 ORACLE["weighted_average"] = """SELECT event_type AS key, round(sum(value * (1 + user_id % 3)) / sum(1 + user_id % 3), 6) AS avg,
@@ -628,7 +640,15 @@ SELECT doc_id, md5(title) AS title_md5, md5(text) AS text_md5 FROM corpus"""
 
 ORACLE["beir_files_eval"] = ORACLE["bm25_eval"]
 
-ORACLE["qa_results_recall"] = ORACLE["answer_recall_at_k"]
+ORACLE["qa_results_recall"] = f"""WITH {_qa_hits_sql()},
+fq AS (SELECT b.item_id AS question_id, b.item_id % 2 AS half,
+              CASE WHEN b.item_id % 3 = 0 THEN NULL ELSE f.first_hit END AS first_hit,
+              CASE WHEN b.item_id % 3 = 0 THEN 0 ELSE coalesce(f.n_ctx, 0) END AS n_ctx
+       FROM benchmark b LEFT JOIN first f ON f.question_id = b.item_id),
+fw AS (SELECT half, max(n_ctx) AS w, count(*) AS nq FROM fq GROUP BY half),
+rc AS (SELECT fw.half, ks.k, any_value(nq) AS nq, count(CASE WHEN first_hit + 1 <= ks.k THEN 1 END) AS hits
+       FROM fw JOIN (SELECT unnest([5, 10, 20, 100]) AS k) ks ON ks.k <= fw.w JOIN fq USING (half) GROUP BY fw.half, ks.k)
+SELECT k::BIGINT AS k, string_agg(format('{{:.1f}}', 100e0 * hits / nq), chr(9) ORDER BY half) AS "values" FROM rc GROUP BY k"""
 
 from lexkit.plans.catalog import QA_MAXLOAD, QA_RANK, QA_WORLD  # noqa: E402
 
