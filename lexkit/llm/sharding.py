@@ -3,9 +3,10 @@
 Pass one scatters whole records uniformly over memory-sized buckets by a seeded
 hash of the key and the row's place in its input split, so a repeated key does
 not fill one bucket.  Pass two loads one bucket at a time, Fisher-Yates
-shuffles it and writes it.  Buckets in order form one uniform permutation of
-all records, which is dealt out to the shards in turn (law ``rows``: shard
-sizes differ by at most one row).
+shuffles it; ``write_shards`` writes the result.  Buckets in order form one
+uniform permutation of all records, which is dealt out to the shards in turn
+(law ``rows``: shard sizes differ by at most one row).  ``df`` is a stored table
+(its rows are numbered by their place, the same in every pass).
 
 Defined cases: null keys and null texts are records like others; repeated rows
 stay repeated; an empty table gives an empty table; other columns pass through
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexkit.llm.common import documents, free_names
+from lexkit.llm.common import documents, free_names, numbered
 from lexkit.operators.joins import MAX_BROADCAST_ROWS
 from lexkit.session import materialize, shuffle_partitions
 
@@ -62,9 +63,11 @@ def external_shuffle(df: DataFrame, key: str, size, seed: int = SEED, bucket_byt
     spark = df.sparkSession
     total = df.agg(F.sum(size)).first()[0] or 0
     buckets = max(-(-int(total) // bucket_bytes), BUCKETS_PER_PARTITION * shuffle_partitions(spark))
-    b, h, at = free_names(df, "_bucket", "_hash", "_at")
-    scattered = (df.withColumn(h, F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()))
-                   .withColumn(b, F.pmod(F.xxhash64(F.lit(seed), F.col(h)), F.lit(buckets))))
+    b, h, at, row = free_names(df, "_bucket", "_hash", "_at", "_row")
+    scattered = (numbered(df, row).withColumn(h, F.xxhash64(F.lit(seed), F.col(key), F.col(row))).drop(row)
+                 .withColumn(b, F.pmod(F.xxhash64(F.lit(seed), F.col(h)), F.lit(buckets))))
+    # the buckets' sizes follow from keys alone: a pass that reads no record
+    base = materialize(bucket_offsets(scattered.groupBy(b).agg(F.count(F.lit(1)).alias("n")), b))
 
     def shuffle_bucket(t: pa.Table) -> pa.Table:
         t = t.take(pc.sort_indices(t, sort_keys=[(h, "ascending")]))
@@ -72,10 +75,9 @@ def external_shuffle(df: DataFrame, key: str, size, seed: int = SEED, bucket_byt
         return t.take(pa.array(perm)).drop_columns([h]).append_column(at, pa.array(np.arange(len(t), dtype=np.int64)))
 
     fields = [f for f in scattered.schema.fields if f.name != h]
-    done = materialize(scattered.groupBy(b).applyInArrow(
+    done = scattered.groupBy(b).applyInArrow(
         shuffle_bucket, StructType([StructField(f.name, f.dataType, True) for f in fields]
-                                   + [StructField(at, LongType())])))
-    base = bucket_offsets(done.groupBy(b).agg(F.count(F.lit(1)).alias("n")), b)
+                                   + [StructField(at, LongType())]))
     if buckets <= MAX_BROADCAST_ROWS:  # one row a bucket: at most 64 TB of records
         base = F.broadcast(base)
     return done.join(base, b).withColumn(place, F.col("base") + F.col(at)).drop(b, at, "base")
