@@ -180,26 +180,27 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", source: st
               text: str = "text") -> DataFrame:
     """The mix itself: every document as many times as it is taken, a document
     taken in part cut after that part's last word.  Columns as in ``docs``."""
-    cols = docs.columns
-    takes = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"),
-                          "taken").agg(F.count(F.lit(1)).alias("_n"))
+    takes = mixed.groupBy("doc_id", "source", "size", "taken").agg(F.count(F.lit(1)).alias("n"))
     # equal rows differ in at most three values: whole part, one more, one in part
-    takes = takes.groupBy("_id", "_src", "_size").agg(F.sort_array(F.collect_list(F.struct("taken", "_n"))).alias("_takes"),
-                                                      F.sum("_n").alias("_rows"))
-    j = docs.withColumn("_words", word_count(text))
-    j = j.join(takes, F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_src"))
-               & (F.col("_words") == F.col("_size")))
-    one = j.filter("_rows = 1").withColumn("_t", F.expr("_takes[0].taken"))
-    many = ordered_index(j.filter("_rows > 1"), [text], ["_id", "_src", "_size"], out="_nth")
-    many = many.withColumn("_t", F.expr("CASE WHEN _nth < _takes[0]._n THEN _takes[0].taken WHEN _nth < _takes[0]._n "
-                                        "+ get(_takes, 1)._n THEN get(_takes, 1).taken ELSE get(_takes, 2).taken END"))
-    j = one.unionByName(many.drop("_nth")).filter("_t > 0")
-    full = F.expr("array_repeat(_size, cast(_t div greatest(_size, 1) as int))")
-    part = F.expr("IF(_t % greatest(_size, 1) > 0, array(_t % greatest(_size, 1)), array())")
-    j = j.withColumn("_take", F.explode(F.concat(full, part)))
-    lead = F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("_take").cast("int"))
-    cut = F.when(F.col("_take") >= F.col("_size"), F.col(text)).otherwise(F.concat_ws(" ", lead))
-    return j.withColumn(text, cut).select(*cols)
+    takes = takes.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n"))).alias("takes"),
+                                                          F.sum("n").alias("rows"))
+    # the document travels as one column, so its own column names meet no others
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).cast("bigint").alias("id"), F.col(source).alias("src"),
+                    word_count(text).alias("words"))
+    j = d.join(takes, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source"))
+               & (F.col("words") == F.col("size"))).select("doc", "id", "src", "size", "takes", "rows")
+    one = j.filter("rows = 1").withColumn("t", F.expr("takes[0].taken"))
+    many = ordered_index(j.filter("rows > 1"), [F.col("doc")[text]], ["id", "src", "size"], out="nth")
+    many = many.withColumn("t", F.expr("CASE WHEN nth < takes[0].n THEN takes[0].taken WHEN nth < takes[0].n "
+                                       "+ get(takes, 1).n THEN get(takes, 1).taken ELSE get(takes, 2).taken END"))
+    j = one.unionByName(many.drop("nth")).filter("t > 0")
+    full = F.expr("array_repeat(size, cast(t div greatest(size, 1) as int))")
+    part = F.expr("IF(t % greatest(size, 1) > 0, array(t % greatest(size, 1)), array())")
+    j = j.withColumn("take", F.explode(F.concat(full, part)))
+    whole = F.col("doc")[text]
+    lead = F.slice(F.regexp_extract_all(whole, F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("take").cast("int"))
+    cut = F.when(F.col("take") >= F.col("size"), whole).otherwise(F.concat_ws(" ", lead))
+    return j.select(*[cut.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,8 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(perm, np.int64)
 
 
-def bucket_offsets(counts: DataFrame, bucket: str) -> DataFrame:
-    """(bucket, base): records in all earlier buckets, as running sums inside
+def bucket_offsets(counts: DataFrame, bucket: str, base: str) -> DataFrame:
+    """(bucket, ``base``): records in all earlier buckets, as running sums inside
     blocks of buckets plus running sums over the blocks' totals."""
     c = counts.withColumn("_block", F.floor(F.col(bucket) / PREFIX_BLOCK))
     inside = Window.partitionBy("_block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +52,7 @@ def bucket_offsets(counts: DataFrame, bucket: str) -> DataFrame:
     block = (c.groupBy("_block").agg(F.sum("n").alias("_n"))
               .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
     return (c.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(block, "_block")
-             .select(bucket, (F.col("_in") + F.col("_base")).alias("base")))
+             .select(bucket, (F.col("_in") + F.col("_base")).alias(base)))
 
 
 def external_shuffle(df: DataFrame, key: str, size, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES,
@@ -63,11 +63,11 @@ def external_shuffle(df: DataFrame, key: str, size, seed: int = SEED, bucket_byt
     spark = df.sparkSession
     total = df.agg(F.sum(size)).first()[0] or 0
     buckets = max(-(-int(total) // bucket_bytes), BUCKETS_PER_PARTITION * shuffle_partitions(spark))
-    b, h, at, row = free_names(df, "_bucket", "_hash", "_at", "_row")
+    b, h, at, row, first = free_names(df, "_bucket", "_hash", "_at", "_row", "_first")
     scattered = (numbered(df, row).withColumn(h, F.xxhash64(F.lit(seed), F.col(key), F.col(row))).drop(row)
                  .withColumn(b, F.pmod(F.xxhash64(F.lit(seed), F.col(h)), F.lit(buckets))))
     # the buckets' sizes follow from keys alone: a pass that reads no record
-    base = materialize(bucket_offsets(scattered.groupBy(b).agg(F.count(F.lit(1)).alias("n")), b))
+    base = materialize(bucket_offsets(scattered.groupBy(b).agg(F.count(F.lit(1)).alias("n")), b, first))
 
     def shuffle_bucket(t: pa.Table) -> pa.Table:
         t = t.take(pc.sort_indices(t, sort_keys=[(h, "ascending")]))
@@ -80,14 +80,16 @@ def external_shuffle(df: DataFrame, key: str, size, seed: int = SEED, bucket_byt
                                    + [StructField(at, LongType())]))
     if buckets <= MAX_BROADCAST_ROWS:  # one row a bucket: at most 64 TB of records
         base = F.broadcast(base)
-    return done.join(base, b).withColumn(place, F.col("base") + F.col(at)).drop(b, at, "base")
+    return done.join(base, b).withColumn(place, F.col(first) + F.col(at)).drop(b, at, first)
 
 
 def shard_rows(df: DataFrame, key: str, size, shards: int = SHARDS, **options) -> DataFrame:
-    """``df`` with ``shard`` and ``slot``: the shuffled records dealt in turn."""
-    out = external_shuffle(df, key, size, **options)
-    return (out.withColumn("shard", (F.col("place") % shards).cast("int"))
-               .withColumn("slot", F.floor(F.col("place") / shards).cast("bigint")).drop("place"))
+    """``df`` with ``shard`` and ``slot`` (replacing columns of these names): the
+    shuffled records dealt in turn."""
+    place, = free_names(df, "_place")
+    out = external_shuffle(df, key, size, place=place, **options)
+    return (out.withColumn("shard", (F.col(place) % shards).cast("int"))
+               .withColumn("slot", F.floor(F.col(place) / shards).cast("bigint")).drop(place))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

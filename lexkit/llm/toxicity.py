@@ -23,9 +23,8 @@ lang, source and id are no input of a score.
 
 Defined cases: null and empty texts get features of zero hits and a score; a
 null id is a training row without a label; repeated label rows count as their
-mean; without any labelled row, or without both labels, the score is the share
-of label 1 (0 if unknown); an empty table gives an empty table; texts are read
-whole.
+mean; without labelled rows of both labels nothing can be told apart and every
+score is 0; an empty table gives an empty table; texts are read whole.
 """
 
 from __future__ import annotations
@@ -229,18 +228,17 @@ def fit_logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int =
 
 @dataclass
 class Scorer:
-    """Lexicons and classifier weights; without lexicons every score is ``share``."""
+    """Lexicons and classifier weights; without lexicons every score is 0."""
 
     lexicons: list[list[np.ndarray]]
     weights: np.ndarray
-    share: float
 
     def of_hits(self, hits: np.ndarray) -> np.ndarray:
         z = features(hits) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def of_texts(self, texts: pa.Array) -> np.ndarray:
-        return self.of_hits(hit_counts(texts, self.lexicons)) if self.lexicons else np.full(len(texts), self.share)
+        return self.of_hits(hit_counts(texts, self.lexicons)) if self.lexicons else np.zeros(len(texts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -259,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n1, n = labelled.agg(F.sum("y"), F.count("y")).first()
     n1 = n1 or 0
     if n1 == 0 or n1 == n:
-        return Scorer([], np.zeros(1), n1 / n if n else 0.0), src.select(
+        return Scorer([], np.zeros(1)), src.select(
             "doc_id", "held_out", F.lit(None).cast("array<double>").alias("hits"), F.lit(0).cast("bigint").alias("pattern"))
     lexicons = induce_lexicons(labelled, n1, n - n1)
 
@@ -280,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                              np.array([r[1] for r in patterns]), np.array([r[2] for r in patterns], float))
     sample = hash_sample(table.filter(~F.col("held_out")), SAMPLE_ROWS, "doc_id").select("hits", "pattern").collect()
     q = model.posterior(pattern_votes(np.array([r[1] for r in sample])).astype(float))
-    return Scorer(lexicons, fit_logistic(features(np.array([r[0] for r in sample], float)), q), n1 / n), table
+    return Scorer(lexicons, fit_logistic(features(np.array([r[0] for r in sample], float)), q)), table
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -291,7 +289,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                s = scorer.of_hits(matrix(b.column("hits"))) if scorer.lexicons else np.full(b.num_rows, scorer.share)
+                s = scorer.of_hits(matrix(b.column("hits"))) if scorer.lexicons else np.zeros(b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s)],
                                                  ["doc_id", "held_out", "score"])
 
