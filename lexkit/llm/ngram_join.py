@@ -14,10 +14,11 @@ different sets is found, at least through the component it makes.
    set from now on.
 3. Index lists.  For each remaining prefix shingle, the sets that hold it, with
    length and position.
-4. Computed answers.  In each list the smallest set leads; a set is verified
-   against the two leaders it shares most lists with.  Links give first
-   components, so a group of thousands of near copies is joined by a star and
-   not by all its pairs.
+4. Computed answers.  In each list the set with the fewest shingles of its own
+   leads: among near copies that is the text the others were made from.  A set
+   is verified against the two leaders it shares most lists with.  Links give
+   first components, so a group of thousands of near copies is joined by a star
+   and not by all its pairs.
 5. Derived answers.  Only lists over several components go on.  They are sorted
    by length and scanned in blocks; lengths out of reach skip blocks,
    positions that leave too little room skip pairs, and for two sets with the
@@ -215,9 +216,9 @@ def set_links(sets: DataFrame) -> DataFrame:
     ``sets``: row, n, u, prefix, shingles, one row per distinct set."""
     spark = sets.sparkSession
     lists = materialize(sets.select("row", "n", "u", F.posexplode("prefix").alias("k", "token"))
-                            .select("token", "row", "n", (F.col("u") + F.col("k")).alias("pos")))
+                            .select("token", "row", "n", "u", (F.col("u") + F.col("k")).alias("pos")))
     near = F.least("n", "ln") * DEN >= F.greatest("n", "ln") * NUM
-    lead = (lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "row")).alias("first"))
+    lead = (lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("u", "n", "row")).alias("first"))
                  .filter("m > 1").select("token", F.col("first.row").alias("leader"), F.col("first.n").alias("ln")))
     best = Window.partitionBy("row").orderBy(F.col("shared").desc(), "leader")
     star = (lists.join(materialize(lead), "token").filter(near & (F.col("row") != F.col("leader")))

@@ -23,8 +23,8 @@ lang, source and id are no input of a score.
 
 Defined cases: null and empty texts get features of zero hits and a score; a
 null id is a training row without a label; repeated label rows count as their
-mean; without labelled rows of both labels nothing can be told apart and every
-score is 0; an empty table gives an empty table; texts are read whole.
+mean; without labelled rows of both labels, or without a word that is tied to
+label 1, nothing can be told apart and every score is 0; an empty table gives an empty table; texts are read whole.
 """
 
 from __future__ import annotations
@@ -256,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     labelled = src.join(y, F.col("doc_id") == F.col("_id")).select("text", "y")
     n1, n = labelled.agg(F.sum("y"), F.count("y")).first()
     n1 = n1 or 0
-    if n1 == 0 or n1 == n:
+    lexicons = induce_lexicons(labelled, n1, n - n1) if 0 < n1 < n else []
+    if not any(len(tier) for kind in lexicons for tier in kind):
         return Scorer([], np.zeros(1)), src.select(
             "doc_id", "held_out", F.lit(None).cast("array<double>").alias("hits"), F.lit(0).cast("bigint").alias("pattern"))
-    lexicons = induce_lexicons(labelled, n1, n - n1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
