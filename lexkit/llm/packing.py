@@ -40,6 +40,7 @@ from lexkit.session import shuffle_partitions, written
 #: The vocabulary of byte_bpe_50k.json in the form of the faster library: the same ids.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 1
+STORED = np.dtype("<u2")        # ids between the passes; enough for 65,536 ids
 SEQUENCE = 2048
 HASH_BUCKETS = 4096
 DIMS = 4
@@ -177,8 +178,8 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY,
               end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids as little-endian 32-bit numbers, n, p0..): ids with the end
-    id, and the projection of the text."""
+    """(doc_id, ids as little-endian numbers of STORED type, n, p0..): ids with the
+    end id, and the projection of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(name)
@@ -187,8 +188,11 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
                 ids, counts = encoder.texts(part.column("text"))
                 p = projections(ids, counts)
                 ends = np.cumsum(counts)
-                with_end = np.insert(ids, ends, end_id).astype("<i4")
-                ends = (ends + np.arange(1, len(ends) + 1)) * 4
+                with_end = np.insert(ids, ends, end_id)
+                if with_end.max(initial=0) > np.iinfo(STORED).max:
+                    raise ValueError("the vocabulary has more ids than the stored type")
+                with_end = with_end.astype(STORED)
+                ends = (ends + np.arange(1, len(ends) + 1)) * with_end.itemsize
                 blob = pa.Array.from_buffers(pa.binary(), len(part), [
                     None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(with_end)])
                 yield pa.RecordBatch.from_arrays(
@@ -255,7 +259,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", sequence: int
 
         for batch in batches:
             for doc_id, place, total, ids, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ids = memoryview(ids)
+                ids = memoryview(np.frombuffer(ids, STORED).astype("<u4").tobytes())
                 start = 0
                 while start < total:
                     take = min(sequence - fill, total - start)
