@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexkit.session import materialize
 
@@ -17,10 +18,31 @@ from lexkit.session import materialize
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+# Default bound of the same side's data, by column sizes.
+MAX_BROADCAST_BYTES = 256 << 20
+
+
+def _bytes_of(field: T.StructField):
+    """Approximate bytes of a value: strings and arrays by their length."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(field.dataType, T.ArrayType):
+        inner = field.dataType.elementType
+        each = F.aggregate(c, F.lit(0), lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0))) \
+            if isinstance(inner, T.StringType) else F.size(c) * 8
+        return F.coalesce(each, F.lit(0))
+    return F.lit(8)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows and about ``max_bytes``
+    bytes, else ``df``.  Give it a written or cheap table: it is read to be measured."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        size = size + _bytes_of(f)
+    n, total = df.select(size.cast("bigint").alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if n <= max_rows and (total or 0) <= max_bytes else df
 
 
 def substring_pairs(hay: DataFrame, hay_key: str, hay_text: str,
