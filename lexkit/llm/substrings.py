@@ -15,7 +15,8 @@ once are joined back, so a sentence in a third of all documents is no hot group
 Defined cases: null and empty texts have no unit; a row with a null id ranks
 after all others; repeated rows count as copies, the later ones (by id, then
 content) are removed; an empty table gives an empty table; texts are processed
-whole; other columns are ignored whatever their names.
+whole; other columns are ignored whatever their names (a column ``removed`` is replaced in
+``without_repeats``).  ``docs`` is a stored table.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexkit.llm.common import documents
+from lexkit.llm.common import documents, free_names, numbered
 from lexkit.llm.flatwords import U64, Words, as_long, mix, text_slices
 from lexkit.session import materialize, written
 
@@ -79,8 +81,8 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
                 yield pa.RecordBatch.from_arrays([part.column("row").take(at), part.column("doc_id").take(at),
                                                   *[pa.array(c.astype(np.int64)) for c in columns]], schema=UNITS)
 
-    src = docs.select(F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("row"),
-                      F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    row, = free_names(docs, "_row")
+    src = numbered(docs, row).select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return src.mapInArrow(run, "row bigint, doc_id bigint, start bigint, end bigint, words bigint, d1 bigint, d2 bigint")
 
 
@@ -88,7 +90,7 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """One row per removed occurrence: doc_id, start, end, words, kept_doc_id,
     kept_start, occurrences, row (tells rows with equal ids apart)."""
     all_units, _ = written(units(docs, key, text, min_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("doc_id", "row").alias("h"), "row", "start")
     groups = (all_units.groupBy("d1", "d2").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("occurrences"))
                        .filter("occurrences > 1"))
     # written, so that the join deals both sides anew and can split a hot digest
@@ -98,6 +100,30 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                              F.col("kept.start").alias("kept_start"), "occurrences", "row"))
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the removed occurrences; ``removed`` lists their original
+    character offsets (start, end), in order (empty: nothing was removed)."""
+    row, = free_names(docs, "_row")
+    gone = (repeated_units(docs, key, text, min_words).groupBy(F.col("row").alias(row))
+            .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(t: str | None, removed) -> str | None:
+            if t is None or removed is None or not len(removed):
+                return t
+            at, kept = 0, []
+            for s in removed:
+                kept.append(t[at:s["start"]])
+                at = s["end"]
+            return "".join([*kept, t[at:]])
+        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    j = numbered(docs.drop("removed"), row).join(gone, row, "left")
+    j = j.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    return j.withColumn(text, cut(F.col(text), F.col("removed"))).drop(row)
+
+
 def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every removed repeat of a sentence or line, with the place it repeats."""
     return repeated_units(documents(spark, sf_dir)).drop("row")

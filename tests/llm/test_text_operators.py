@@ -303,6 +303,20 @@ def test_repeated_units(docs, data):
     assert got == brute_units(data)
 
 
+def test_without_repeats(docs, data):
+    spans = defaultdict(list)
+    for (i, start, end, _, _), n in brute_units(data).items():
+        spans[i].append((start, end))
+    for r in substrings.without_repeats(docs).collect():
+        if r["doc_id"] is None or r["doc_id"] == 8:
+            continue
+        text = next(x[1] for x in data if x[0] == r["doc_id"])
+        assert [(s["start"], s["end"]) for s in r["removed"]] == sorted(spans[r["doc_id"]])
+        for start, end in sorted(spans[r["doc_id"]], reverse=True):
+            text = text[:start] + text[end:]
+        assert r["text"] == text
+
+
 def test_units_empty(empty):
     assert substrings.repeated_units(empty).count() == 0
 
