@@ -1,11 +1,19 @@
-"""Operator 7, substring dedup: line and sentence hashing.
-
-A document is cut into lines and these into sentences (a unit ends at a line
-break or at ``. ! ?`` before white space).  A unit is normalised to its
-lower-cased words; a 128-bit digest of them groups equal units over the whole
-corpus.  Of each group the earliest occurrence, by (document, position), is
-kept and every other one is removed, with its original character offsets.
-Units of fewer than ``min_words`` words stay: short sentences repeat by chance.
+"""Operator 7, substring dedup: paragraph, line and sentence hashing.
+
+A document is cut into paragraphs (at blank lines), these into lines and these
+into sentences (at ``. ! ?`` before white space); between lines and paragraphs
+stand runs of lines of fewer than ``min_words`` words (verse, lists).  A unit is
+normalised to its lower-cased words (above lines also to its line breaks); a
+128-bit digest of them groups equal units over the whole corpus.  Of each group
+the earliest occurrence, by (document, position), is kept and every other one is
+removed, with its original character offsets.
+
+The minimum of ``min_words`` words holds for the unit that repeats, at every
+level.  A shorter sentence belongs to the smallest line, run or paragraph around
+it that has as many words and goes with it, so a repeated line or paragraph is
+removed as a whole: its long sentences as repeated sentences, what stands
+between them as pieces of the unit.  Words in no repeated unit of ``min_words``
+words stay: short sentences repeat by chance.
 
 The occurrences of a digest are never gathered: the earliest one is a minimum
 aggregate (combined before the shuffle), and only digests that occur more than
@@ -35,43 +43,80 @@ from lexkit.session import materialize, written
 
 MIN_WORDS = 8
 _A, _B = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
+_LINE = U64(0x8EBC6AF09C88C6E3)
 UNITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
                    ("words", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
+def _digests(w: Words, first: np.ndarray, count: np.ndarray, line: np.ndarray | None = None) -> list[np.ndarray]:
+    """Two 64-bit halves of the words of every unit (and of their line breaks)."""
+    place = np.arange(len(w.hash)) - np.repeat(first, count)
+    halves = []
+    for salt in (_A, _B):
+        powers = np.cumprod(np.full(int(count.max()) + 1, salt, U64), dtype=U64)
+        value = w.hash ^ salt if line is None else (w.hash ^ salt) + line * _LINE
+        halves.append(mix(np.add.reduceat(mix(value) * powers[place], first) + count.astype(U64)))
+    return halves
+
+
 def unit_table(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
     """(row number, first character, end character, words, digest halves) of
-    every unit of at least ``min_words`` words."""
+    every sentence of at least ``min_words`` words and of every piece: sentences
+    below that side by side in one line, run of short lines or paragraph of at
+    least as many words.  A piece's digest is that of the unit and its place in it."""
     w = Words(texts)
     data, m = w.data, len(w.hash)
     if not m:
         return tuple(np.empty(0, np.int64) for _ in range(6))
     last = data[w.end - 1]
     stop = (last == 46) | (last == 33) | (last == 63)
-    broken = np.concatenate([[0], np.cumsum((data == 10) | (data == 13))])
-    newline = broken[w.start[1:]] > broken[w.end[:-1]]
-    cut = np.empty(m, bool)
-    cut[0] = True
-    cut[1:] = stop[:-1] | newline | (w.doc[1:] != w.doc[:-1])
-    first = np.flatnonzero(cut)
-    count = np.diff(np.append(first, m))
-    place = np.arange(m) - np.repeat(first, count)
-    halves = []
-    for salt in (_A, _B):
-        powers = np.cumprod(np.full(int(count.max()) + 1, salt, U64), dtype=U64)
-        halves.append(mix(np.add.reduceat(mix(w.hash ^ salt) * powers[place], first) + count.astype(U64)))
-    keep = count >= min_words
-    first, count = first[keep], count[keep]
+    other = w.doc[1:] != w.doc[:-1]
+    feeds, returns = (np.diff(np.concatenate([[0], np.cumsum(data == c)])[np.stack([w.end[:-1], w.start[1:]])], axis=0)[0]
+                      for c in (10, 13))
+    sentence, line, paragraph = np.ones((3, m), bool)
+    line[1:] = other | (feeds > 0) | (returns > 0)
+    paragraph[1:] = other | (feeds > 1) | (returns > 1)
+    sentence[1:] = stop[:-1] | line[1:]
+    long = np.diff(np.append(np.flatnonzero(line), m))[np.cumsum(line) - 1] >= min_words
+    run = line & (paragraph | long | np.roll(long, 1))
+
+    levels = []
+    for cut in (sentence, line, run, paragraph):
+        first = np.flatnonzero(cut)
+        levels.append((first, np.diff(np.append(first, m)), np.cumsum(cut) - 1))
+    first, count, _ = levels[0]
+    # the smallest unit of enough words around every sentence
+    level, unit = np.full(len(first), -1), np.zeros(len(first), np.int64)
+    for k, (_, size, at) in enumerate(levels):
+        here = (level < 0) & (size[at[first]] >= min_words)
+        level[here], unit[here] = k, at[first][here]
+    fresh = np.ones(len(first), bool)
+    fresh[1:] = (level[1:] != level[:-1]) | (unit[1:] != unit[:-1])
+    begin = np.flatnonzero(fresh)
+    words = np.add.reduceat(count, begin)
+    first, level, unit = first[begin], level[begin], unit[begin]
+    d1, d2 = np.zeros((2, len(first)), U64)
+    for k, (start, size, _) in enumerate(levels):
+        here = level == k
+        if here.any():
+            for d, half, salt in zip((d1, d2), _digests(w, start, size, line if k > 1 else None), (_A, _B), strict=True):
+                d[here] = half[unit[here]]
+                if k:
+                    place = (first[here] - start[unit[here]]).astype(U64)
+                    d[here] = mix(d[here] ^ mix(place * U64(4) + U64(k) ^ salt))
+
+    keep = level >= 0
+    first, words = first[keep], words[keep]
     # characters before a byte = bytes before it that do not continue a character
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     doc = w.doc[first]
     base = chars[w.offsets[doc]]
-    return (doc, chars[w.start[first]] - base, chars[w.end[first + count - 1]] - base, count,
-            as_long(halves[0][keep]), as_long(halves[1][keep]))
+    return (doc, chars[w.start[first]] - base, chars[w.end[first + words - 1]] - base, words,
+            as_long(d1[keep]), as_long(d2[keep]))
 
 
 def units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, doc_id, start, end, words, d1, d2): every unit with its offsets."""
+    """(row, doc_id, start, end, words, d1, d2): every sentence and piece with its offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,5 +170,5 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
 
 
 def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every removed repeat of a sentence or line, with the place it repeats."""
+    """Every removed repeat of a sentence or piece of a line or paragraph, with the place it repeats."""
     return repeated_units(documents(spark, sf_dir)).drop("row")

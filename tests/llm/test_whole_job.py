@@ -1,0 +1,41 @@
+"""Work that operators once left undone."""
+from fixtures import stored
+
+from lexkit.llm import substrings
+
+DOCS = "doc_id bigint, text string"
+
+
+def cleaned(spark, data):
+    return {r["doc_id"]: r["text"] for r in substrings.without_repeats(stored(spark, data, DOCS)).collect()}
+
+
+def test_repeated_line_of_short_sentences_goes(spark):
+    talk = " ".join(f"Said {w} to me. Why not, {w}?" for w in "abcdefgh")
+    mixed = "Yes indeed. " + " ".join(f"w{i}" for i in range(20)) + ". No, never. Oh well!"
+    got = cleaned(spark, [(1, f"first words\n{talk}\n{mixed}"), (2, f"other start\n{mixed.upper()}\nmiddle\n{talk}\nYes indeed.")])
+    assert got[1] == f"first words\n{talk}\n{mixed}"
+    assert got[2].split() == "other start middle Yes indeed.".split()
+
+
+def test_repeated_verse_and_paragraph_go(spark):
+    verse = "\n".join(f"roses are {w}" for w in "abcdef")
+    long = " ".join(f"x{i}" for i in range(15))
+    rest = " ".join(f"y{i}" for i in range(15))
+    got = cleaned(spark, [(1, f"{long}\n{verse}\n{rest}\n\nHead line\n{long}z\nsigned me\n\nend"),
+                          (2, f"A title\n\n{verse}\n\n{rest}2\r\n\r\nHead line\r\n{long}z\r\nsigned me\r\n\r\nHead line"),
+                          (3, verse.replace("\n", " "))])
+    assert got[2].split() == ["A", "title", *f"{rest}2".split(), "Head", "line"]
+    assert got[3] == verse.replace("\n", " ")
+
+
+def test_short_pieces_stay_outside_repeated_units(spark):
+    data = [(1, "Good day. Who is it?"), (2, "Good day. Who is it? " + " ".join(f"a{i}" for i in range(9)) + "."), (3, "Good day. Who is it?")]
+    assert cleaned(spark, data) == dict(data)
+
+
+def test_spans_of_pieces_are_the_words(spark):
+    line = "Émile, come. No — I won't. Then stay there! Well, I may."
+    rows = substrings.repeated_units(stored(spark, [(1, line), (2, f"é {line}"), (3, f"ü\n {line} ")], DOCS)).collect()
+    assert [(r["doc_id"], r["kept_doc_id"], r["kept_start"], r["words"]) for r in rows] == [(3, 1, 0, len(line.split()))]
+    assert f"ü\n {line} "[rows[0]["start"]:rows[0]["end"]] == line
