@@ -1,9 +1,12 @@
 """Work that operators once left undone."""
+import numpy as np
+import pytest
 from fixtures import stored
 
-from lexkit.llm import substrings
+from lexkit.llm import near_vectors, substrings
 
 DOCS = "doc_id bigint, text string"
+VECTORS = "vec_id bigint, embedding array<double>, label int"
 
 
 def cleaned(spark, data):
@@ -39,3 +42,58 @@ def test_spans_of_pieces_are_the_words(spark):
     rows = substrings.repeated_units(stored(spark, [(1, line), (2, f"é {line}"), (3, f"ü\n {line} ")], DOCS)).collect()
     assert [(r["doc_id"], r["kept_doc_id"], r["kept_start"], r["words"]) for r in rows] == [(3, 1, 0, len(line.split()))]
     assert f"ü\n {line} "[rows[0]["start"]:rows[0]["end"]] == line
+
+
+def clumps(pairs=6, size=20, d=32, seed=1):
+    """Pairs of tight clumps, the two of a pair linked at 0.98 to 0.99."""
+    rng = np.random.default_rng(seed)
+    v = []
+    for _ in range(pairs):
+        a, b = np.linalg.qr(rng.normal(size=(d, 2)))[0].T
+        for centre in (a, 0.9835 * a + np.sqrt(1 - 0.9835**2) * b):
+            v += list(centre + rng.normal(scale=0.0005, size=(size, d)))
+    v += list(rng.normal(size=(60, d)))
+    v = np.array(v)
+    return v[rng.permutation(len(v))]
+
+
+def brute_links(v):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    comp = np.arange(len(v))
+    while True:
+        low = np.where(near, comp[None], len(v)).min(1)
+        if (low == comp).all():
+            return {i: (int(near[i].sum()) - 1, int(comp[i])) for i in range(len(v))}
+        comp = low
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_links_between_clumps_that_fill_their_lists(spark, monkeypatch, blind):
+    v = clumps()
+    if blind:       # the descent gives nothing, and the exact comparison is all there is
+        monkeypatch.setattr(near_vectors, "K", 0)
+        monkeypatch.setattr(near_vectors, "descend", lambda nodes, graph, k, buckets: (graph, spark.createDataFrame([], "src bigint, dst bigint")))
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(stored(spark, rows, VECTORS), k=8).collect()}
+    assert got == brute_links(v)
+
+
+def test_audit_counts_small_groups_like_large_ones(spark):
+    big, small = np.eye(8)[0] + np.random.default_rng(0).normal(scale=0.001, size=(300, 8)), np.eye(8)[1:4]
+    v = np.concatenate([big, small, small + 0.001])
+    nodes = spark.createDataFrame([(i, 1, x.tolist(), 1) for i, x in enumerate(v)], "id bigint, label bigint, vector array<double>, copies bigint")
+    comp = spark.createDataFrame([(i, 0) for i in range(300)], "id bigint, component bigint")
+    linked = spark.createDataFrame([(i, 299) for i in range(300)], "id bigint, n bigint")
+    assert not near_vectors.enough_found(nodes, comp, linked)
+
+
+def test_audit_is_not_outweighed_by_copies(spark):
+    """Two near vectors with many copies hide, by weight, what two clumps lose."""
+    v = np.array([x for x in clumps(pairs=1, size=12) if np.linalg.norm(x) < 1.5])
+    assert len(v) == 24
+    few = stored(spark, [(i, x.tolist(), 1) for i, x in enumerate(v)], VECTORS)
+    many = spark.range(60_000).selectExpr(
+        "id + 1000 vec_id", "transform(sequence(1, 32), i -> IF(i = 1, 1D, IF(i = 2, CAST(id % 2 AS double) / 100, 0D))) embedding", "2 label")
+    rows = near_vectors.near_vectors(few.unionByName(many), k=8).filter("vec_id < 1000").collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == brute_links(v)
