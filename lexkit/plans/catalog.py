@@ -813,9 +813,10 @@ def beir_files_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("qa_results_recall")
 def qa_results_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """S6 + V9 + S11: retrieval results written as two JSON-lines files (question,
-    answers, ctxs; a question without a hit has an empty list), read back by
-    glob, answer-checked: per k, the recall of either file, tab-joined."""
+    """S6 + V9 + S11: retrieval results written as two result sets, folders of
+    JSON lines (question, answers, ctxs; a question without a hit has an empty
+    list), read back by glob, answer-checked: per k, the recall of either
+    folder, tab-joined."""
     root = _scratch(spark, "qa-results")
     ctxs, answers = _qa_inputs(spark, sf)
     q = td.queries(spark, sf).select(F.col("query_id").alias("question_id"), F.col("text").alias("question"))
@@ -827,12 +828,11 @@ def qa_results_recall(spark: SparkSession, sf: str) -> DataFrame:
                      F.transform(F.coalesce("_c", F.array().cast("array<struct<ctx_pos:bigint,text:string>>")),
                                  lambda s: F.struct(s["ctx_pos"].cast("string").alias("id"), s["text"].alias("text")))
                      .alias("ctxs")))
-    # every third question has no passages in the files
-    rec = rec.withColumn("ctxs", F.when(F.col("question_id") % 3 == 0, F.slice("ctxs", 1, 0)).otherwise(F.col("ctxs")))
-    for half in (0, 1):
-        # one result file each, as a retrieval job writes it: a line per question
-        rec.filter(F.col("question_id") % 2 == half).drop("question_id").coalesce(1).write.json(f"{root}/run-{half}")
-    res = RD.read_qa_results(spark, f"{root}/run-*/*.json")
+    # one folder of part files per result set, a line per question
+    (rec.withColumn("run", F.pmod("question_id", F.lit(2))).drop("question_id")
+        .write.partitionBy("run").json(f"{root}/runs"))
+    res = RD.read_qa_results(spark, f"{root}/runs/run=*/*.json")
+    res = res.withColumn("file", F.regexp_replace("file", "/[^/]*$", ""))  # the folder is the key
     c2, a2 = RD.explode_qa_results(res)
     files = res.select("question_id", "file")
     hits = QA.passage_hits(c2.drop("file"), a2.drop("file")).join(files, "question_id")
