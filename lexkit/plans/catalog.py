@@ -593,18 +593,20 @@ def lexical_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 from lexkit.operators import training as TR  # noqa: E402
 
-TRAIN_STEPS, TRAIN_LR, TRAIN_WARMUP = 3, 0.01, 12
+TRAIN_LR, TRAIN_WARMUP = 0.01, 12
 
 
 @register("train_lexical_log")
 def train_lexical_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Three AdamW steps of the learned lexical scorer on crop-pair batches
+    """One epoch of the learned lexical scorer, an AdamW step per crop-pair batch
     (iterative; rows-only check).  Returns the training log (S12)."""
     pairs, _ = _lexical_pairs(spark, sf)
     vocab = pairs.select(F.explode("k_tokens").alias("token")).unionByName(
         pairs.select(F.explode("q_tokens").alias("token"))).distinct()
     model = TR.init_model(vocab, SEED)
-    model = TR.train_lexical(pairs, model, TRAIN_STEPS, TRAIN_LR, TRAIN_WARMUP, total=TRAIN_STEPS)
+    steps = pairs.select("batch").distinct().count()
+    if steps:
+        model = TR.train_lexical(pairs, model, steps, TRAIN_LR, TRAIN_WARMUP, total=steps)
     return TR.training_log(spark, model)
 
 

@@ -11,3 +11,11 @@ def test_every_question_is_checked(spark, tmp_path):
     spark.createDataFrame(list(passages.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalog.qa_results_recall(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(5, "66.7\t33.3")]
+
+
+def test_training_takes_every_batch_of_the_epoch(spark):
+    sf = "/root/testdata/sf0.001"
+    batches = catalog._lexical_pairs(spark, sf)[0].select("batch").distinct().count()
+    log = catalog.train_lexical_log(spark, sf).collect()
+    assert batches > 3 and [r["step"] for r in log] == list(range(1, batches + 1))
+    assert log[-1]["lr"] == catalog.TRAIN_LR * ((batches - 1) / catalog.TRAIN_WARMUP)
