@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from lexkit.llm import decontamination, divergence
+from lexkit.llm.decontamination import op11_suffix_decontaminate
+from lexkit.llm.divergence import op12_source_divergence
 from lexkit.llm.language_model import op6_deleted_interpolation
 from lexkit.llm.line_dedup import op5_set_similarity_lines
 from lexkit.llm.mixing import op3_cube_mix
@@ -16,6 +19,6 @@ from lexkit.llm.toxicity import op2_weak_supervision
 REGISTRY = {f.__name__: f for f in (
     op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle,
     op5_set_similarity_lines, op6_deleted_interpolation, op7_line_hash_dedup, op8_nn_descent, op9_adaptive_scan,
-    op10_set_relation_join,
+    op10_set_relation_join, op11_suffix_decontaminate, op12_source_divergence,
 )}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_suffix_decontaminate": decontamination.ORACLE, "op12_source_divergence": divergence.ORACLE}
