@@ -34,6 +34,7 @@ their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,7 +194,7 @@ def hit_rows(shard: Shard, block: Block) -> dict[int, tuple[list[dict], list[str
     pair = np.unique(doc_of(place) * max(len(block.length), 1) + window)
     doc, w = np.divmod(pair, max(len(block.length), 1))
     cut = np.flatnonzero(np.diff(doc, prepend=-1))
-    return {int(doc[a]): (spans[int(doc[a])], block.items(w[a:b])) for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)}
+    return {int(doc[a]): (spans[int(doc[a])], block.items(w[a:b])) for a, b in itertools.pairwise([*cut, len(doc)])}
 
 
 def match_rows(shard: Shard, block: Block) -> list[tuple[int, int, str, int, int]]:
@@ -209,7 +210,7 @@ def match_rows(shard: Shard, block: Block) -> list[tuple[int, int, str, int, int
     new = np.ones(len(item), bool)
     new[1:] = (np.diff(item) != 0) | (np.diff(place - j) != 0) | (np.diff(place) != 1)
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(item)) - 1
+    tail = np.append(head, len(item))[1:] - 1
     doc = np.searchsorted(shard.first, place[head], side="right") - 1
     return [(d, p, block.names[i], a, n) for d, p, i, a, n in zip(
         doc.tolist(), (place[head] - shard.first[doc]).tolist(), item[head].tolist(), j[head].tolist(),
@@ -234,12 +235,12 @@ def _shards(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Shard]]:
         yield part, Shard.of(part.column("text"))
 
 
-def _hits_table(ids: pa.Array, shard: Shard, block: Block, **more: pa.Array) -> pa.RecordBatch:
-    found = hit_rows(shard, block)
+def _hits_table(ids: pa.Array, texts: Shard, block: Block, **more: pa.Array) -> pa.RecordBatch:
+    found = hit_rows(texts, block)
     none: tuple[list, list] = ([], [])
     rows = [found.get(i, none) for i in range(len(ids))]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    columns = {**more, "doc_id": ids, "n_words": pa.array(shard.n_words.astype(np.int64)),
+    columns = {**more, "doc_id": ids, "n_words": pa.array(texts.n_words.astype(np.int64)),
                "spans": pa.array([r[0] for r in rows], span), "items": pa.array([r[1] for r in rows], pa.list_(pa.string()))}
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 

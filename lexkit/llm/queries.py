@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexkit.llm import decontamination, divergence
+from lexkit.llm.alignment import op13_anchor_align
 from lexkit.llm.decontamination import op11_suffix_decontaminate
 from lexkit.llm.divergence import op12_source_divergence
 from lexkit.llm.language_model import op6_deleted_interpolation
@@ -19,6 +20,6 @@ from lexkit.llm.toxicity import op2_weak_supervision
 REGISTRY = {f.__name__: f for f in (
     op1_hilbert_pack, op2_weak_supervision, op3_cube_mix, op4_external_shuffle,
     op5_set_similarity_lines, op6_deleted_interpolation, op7_line_hash_dedup, op8_nn_descent, op9_adaptive_scan,
-    op10_set_relation_join, op11_suffix_decontaminate, op12_source_divergence,
+    op10_set_relation_join, op11_suffix_decontaminate, op12_source_divergence, op13_anchor_align,
 )}
 ORACLE: dict[str, str] = {"op11_suffix_decontaminate": decontamination.ORACLE, "op12_source_divergence": divergence.ORACLE}
