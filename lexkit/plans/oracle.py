@@ -642,8 +642,7 @@ ORACLE["beir_files_eval"] = ORACLE["bm25_eval"]
 
 ORACLE["qa_results_recall"] = f"""WITH {_qa_hits_sql()},
 fq AS (SELECT b.item_id AS question_id, b.item_id % 2 AS half,
-              CASE WHEN b.item_id % 3 = 0 THEN NULL ELSE f.first_hit END AS first_hit,
-              CASE WHEN b.item_id % 3 = 0 THEN 0 ELSE coalesce(f.n_ctx, 0) END AS n_ctx
+              f.first_hit, coalesce(f.n_ctx, 0) AS n_ctx
        FROM benchmark b LEFT JOIN first f ON f.question_id = b.item_id),
 fw AS (SELECT half, max(n_ctx) AS w, count(*) AS nq FROM fq GROUP BY half),
 rc AS (SELECT fw.half, ks.k, any_value(nq) AS nq, count(CASE WHEN first_hit + 1 <= ks.k THEN 1 END) AS hits
