@@ -5,14 +5,16 @@ spaces, both over the bytes of space + text.
 
 1. Tokenisation.  Neither tokenizer joins a character that is no white space
    with the space after it (B: checked on its vocabulary), so texts split there
-   without changing an id; each distinct piece is encoded once per task.  The
+   without changing an id; each distinct piece of a slice is encoded once.  The
    tokens' bytes are compared with the text; a text that differs has no tokens.
 2. Anchors are byte offsets where tokens of both end (verified on the running
    offsets of both) and the next tokens start with a space, and the end of the
    text.  They split a text into windows, tuples of A ids and B ids.
 3. Equal tuples have equal alignments.  Windows are numbered by an exact
-   dictionary of their id tuples; a distinct window is aligned once per task: cut
-   at shared ends into groups, overlapping pairs as links.
+   dictionary of their id tuples; a distinct window of a slice is aligned once: cut
+   at shared ends into groups, overlapping pairs as links.  All distinct windows
+   are aligned together: between two neighbouring ends of either side lies exactly
+   one pair of overlapping tokens.
 4. Links are counted over the corpus: every slice of the documents hands on its
    distinct id pairs with their counts, Spark adds them up (combined before the
    shuffle) and marks the pairs with the highest count of their B id.
@@ -31,6 +33,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,14 +47,15 @@ from pyspark.sql import functions as F
 
 from lexkit.llm.blocks import numbers, planes
 from lexkit.llm.common import documents
-from lexkit.llm.flatwords import text_slices
+from lexkit.llm.flatwords import buffer_of, text_slices
+from lexkit.llm.packing import encoding
 from lexkit.operators.joins import bounded_broadcast
 from lexkit.session import written
 
-BYTE_LEVEL = "byte_bpe_50k.json"
+#: The byte-level vocabulary in the form of the faster library (the same ids).
+BYTE_LEVEL = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
-KEPT_PIECES = 400_000      # encoded pieces a task remembers
-KEPT_WINDOWS = 400_000     # aligned windows a task remembers
+SLICE = 4 << 20            # bytes of text aligned together
 SPACE_MARK = "▁"
 ROWS = pa.schema([("slice", pa.string()), ("kind", pa.string()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                   ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("data", pa.binary()),
@@ -61,11 +65,22 @@ _ROWS = ("slice string, kind string, doc_id bigint, n_a bigint, n_b bigint, n_gr
 _loaded: dict[tuple[str, str], Pair] = {}
 
 
-def _byte_of() -> dict[str, int]:
-    """The printable character a byte-level vocabulary writes for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from ``begin[i]`` on, ``length[i]`` of them, for every i."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Strings:
+    """Byte strings by number, to be strung together."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, which: np.ndarray) -> np.ndarray:
+        return self.data[_ranges(self.begin[which], self.size[which])]
 
 
 class Pair:
@@ -75,25 +90,26 @@ class Pair:
     def __init__(self, byte_level: str, pieces: str):
         import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        a = Tokenizer.from_file(public_tokenizers.path(byte_level))
-        a.encode_special_tokens = True
         b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces))
-        byte = _byte_of()
-        entry = lambda t: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
-        self.bytes_a = [entry(a.id_to_token(i) or "") for i in range(a.get_vocab_size())]
+        with open(public_tokenizers.path(byte_level), "rb") as f:
+            entries = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, f)}
+        self.encode_a = encoding(byte_level)
+        self.bytes_a = Strings([entries.get(i, b"") for i in range(max(entries) + 1)])
         names = [b.id_to_piece(i) for i in range(b.vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE_MARK, " ").encode()
-                        for i, p in enumerate(names)]
+        self.bytes_b = Strings([bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE_MARK, " ").encode()
+                                for i, p in enumerate(names)])
         # a piece that goes on after a word into the next space would cross a cut
         self.cut = not any(x != SPACE_MARK and y == SPACE_MARK for p in names for x, y in zip(p, p[1:], strict=False))
-        self.encode_a = lambda texts: [x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)]
         # the tokenizer adds the first space itself, but not to an empty string
         space = [b.piece_to_id(SPACE_MARK)]
         self.encode_b = lambda texts: [x or space for x in b.encode([t[1:] for t in texts], num_threads=1)]
-        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        # decimal numbers with what follows them: nothing , | ;
+        self.decimals = Strings([b"%d%s" % (i, c) for c in (b"", b",", b"|", b";") for i in range(self.most)])
+
+    @property
+    def most(self) -> int:
+        return max(len(self.bytes_a.size), len(self.bytes_b.size))
 
 
 def tokenizers(byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> Pair:
@@ -109,14 +125,12 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     before = data[:-1]
     solid = (before > 32) & (before < 127)
     # after a longer character, unless its first byte is one white space begins with
-    lead = np.zeros(len(data), np.uint8)
     first = np.flatnonzero(data >= 0xC0)
     if len(first):
         back = np.zeros(len(data), np.int64)
         back[first] = first
-        lead = data[np.maximum.accumulate(back)]
-    high = before >= 0x80
-    solid |= high & ~np.isin(lead[:-1], [0xC2, 0xE1, 0xE2, 0xE3])
+        lead = data[np.maximum.accumulate(back)[:-1]]
+        solid |= (before >= 0x80) & ~np.isin(lead, [0xC2, 0xE1, 0xE2, 0xE3])
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = solid & (data[1:] == 32)
     cut[offsets[:-1]] = True
@@ -136,120 +150,105 @@ class Tokens:
     first_byte: np.ndarray
 
 
-class Tokenised:
-    """Encodes slices of texts, remembering the distinct pieces."""
-
-    def __init__(self, pair: Pair):
-        self.pair = pair
-        self.known: dict[str, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known.clear()
-        self.a: list[list[int]] = []
-        self.b: list[list[int]] = []
-        self.good: list[bool] = []
-
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        if len(self.known) > KEPT_PIECES:
-            self._reset()
-        new = [p for p in pieces if p not in self.known]
-        p = self.pair
-        for text, a, b in zip(new, p.encode_a(new), p.encode_b(new), strict=True):
-            self.known[text] = len(self.a)
-            self.a.append(a)
-            self.b.append(b)
-            raw = text.encode()
-            self.good.append(b"".join([p.bytes_a[i] for i in a]) == raw and b"".join([p.bytes_b[i] for i in b]) == raw)
-        return np.fromiter((self.known[x] for x in pieces), np.int64, len(pieces))
-
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, Tokens]:
-        """(numbers of the texts with tokens, their tokens)."""
-        texts = pc.fill_null(texts, "")
-        kept = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-        spaced = pc.binary_join_element_wise("", texts.take(pa.array(kept)), " ")
-        if isinstance(spaced, pa.ChunkedArray):
-            spaced = spaced.combine_chunks()
-        offsets = np.frombuffer(spaced.buffers()[1], np.int32, len(spaced) + 1).astype(np.int64) if len(spaced) else np.zeros(1, np.int64)
-        data = np.frombuffer(spaced.buffers()[2], np.uint8, int(offsets[-1])) if len(spaced) else np.empty(0, np.uint8)
-        starts = piece_starts(data, offsets) if self.pair.cut and len(data) else offsets[:-1]
-        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, offsets[-1]).astype(np.int32)), pa.py_buffer(data))
-        coded = pieces.dictionary_encode()
-        code = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(starts) \
-            else np.empty(0, np.int64)
-        border = np.searchsorted(starts, offsets)
-        good = np.array(self.good, bool)[code]
-        ok = np.ones(len(kept), bool)
-        for d in np.unique(np.searchsorted(border, np.flatnonzero(~good), side="right") - 1):
-            part, raw = code[border[d]:border[d + 1]], data[offsets[d]:offsets[d + 1]].tobytes()
-            ok[d] = all(b"".join([names[i] for c in part for i in ids[c]]) == raw
-                        for names, ids in ((self.pair.bytes_a, self.a), (self.pair.bytes_b, self.b)))
-        use = np.repeat(ok, np.diff(border))
-        code, pieces_of = code[use], np.diff(border)[ok]
-        first_piece = np.concatenate([[0], np.cumsum(pieces_of)])
-        a, each = self._flat(self.a, code)
-        first_a = np.concatenate([[0], np.cumsum(each)])[first_piece]
-        b, each = self._flat(self.b, code)
-        first_b = np.concatenate([[0], np.cumsum(each)])[first_piece]
-        return kept[ok], Tokens(a, b, first_a, first_b, data[np.repeat(ok, np.diff(offsets))],
-                                np.concatenate([[0], np.cumsum(np.diff(offsets)[ok])]))
-
-    @staticmethod
-    def _flat(table: list[list[int]], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the coded pieces in a row, and how many each has."""
-        used, at = np.unique(code, return_inverse=True)
-        rows = [table[i] for i in used.tolist()]
-        length = np.fromiter(map(len, rows), np.int64, len(rows))
-        begin = np.cumsum(length) - length
-        pool = np.fromiter(chain.from_iterable(rows), np.int32, int(length.sum()))
-        each = length[at]
-        ends = np.cumsum(each)
-        return pool[np.repeat(begin[at] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)], each
-
-
-def align(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
-    """(groups as text, links) of a window whose two sides cover the same bytes."""
-    groups, links = [], []
-    i = j = from_a = from_b = 0
-    end_a, end_b = int(size_a[a[0]]), int(size_b[b[0]])
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[from_a:i + 1])) + "|" + ",".join(map(str, b[from_b:j + 1])))
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), links
-            from_a, from_b = i, j
-            end_a, end_b = end_a + int(size_a[a[i]]), end_b + int(size_b[b[j]])
-        elif end_a < end_b:
-            i += 1
-            end_a += int(size_a[a[i]])
-        else:
-            j += 1
-            end_b += int(size_b[b[j]])
-
-
-class Windows:
-    """Aligned windows by their id tuple."""
-
-    def __init__(self, pair: Pair):
-        self.pair = pair
-        self.known: dict[bytes, tuple[str, list[tuple[int, int]]]] = {}
-
-    def __getitem__(self, key: bytes) -> tuple[str, list[tuple[int, int]]]:
-        if key not in self.known:
-            if len(self.known) > KEPT_WINDOWS:
-                self.known.clear()
-            ids = np.frombuffer(key, np.int32)
-            cut = int(ids[0]) + 1
-            self.known[key] = align(ids[1:cut].tolist(), ids[cut:].tolist(), self.pair.size_a, self.pair.size_b)
-        return self.known[key]
-
-
-def windows(t: Tokens, pair: Pair) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(first window of each text, number of the tuple of each window, tuples):
-    a tuple is the number of A ids, the A ids, the B ids, as 32-bit numbers."""
-    end_a, end_b = np.cumsum(pair.size_a[t.a]), np.cumsum(pair.size_b[t.b])
+def _before(values: np.ndarray) -> np.ndarray:
+    """0 and the running sums."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values from ``first[i]`` to ``first[i + 1]``."""
+    total = _before(values)
+    return total[first[1:]] - total[first[:-1]]
+
+
+def _encoded(ids: list[list[int]], strings: Strings, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat ids, ids per piece, which pieces come back): the pieces' bytes are
+    ``data``, ``size`` of them each."""
+    length = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))
+    good = _sums(strings.size[flat], _before(length)) == size
+    # pieces of another length are left out of the comparison of bytes
+    back = strings.joined(flat[np.repeat(good, length)])
+    differs = _sums(back != data[np.repeat(good, size)], _before(size[good]))
+    good[good] = differs == 0
+    return flat, length, good
+
+
+def tokenise(pair: Pair, texts: pa.Array) -> tuple[np.ndarray, Tokens]:
+    """(numbers of the texts with tokens, their tokens)."""
+    texts = pc.fill_null(texts, "")
+    kept = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+    spaced = pc.binary_join_element_wise("", texts.take(pa.array(kept)), " ")
+    data, offsets = buffer_of(spaced)
+    starts = piece_starts(data, offsets) if pair.cut and len(data) else offsets[:-1]
+    pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
+    coded = pieces.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = coded.dictionary.to_pylist()
+    raw, borders = buffer_of(coded.dictionary)
+    sides = [(strings, *_encoded(encode(distinct), strings, raw, np.diff(borders)))
+             for strings, encode in ((pair.bytes_a, pair.encode_a), (pair.bytes_b, pair.encode_b))]
+    good = sides[0][3] & sides[1][3]
+    border = np.searchsorted(starts, offsets)
+    ok = np.ones(len(kept), bool)
+    for d in np.unique(np.searchsorted(border, np.flatnonzero(~good[code]), side="right") - 1):
+        part = code[border[d]:border[d + 1]]
+        ok[d] = all(np.array_equal(strings.joined(flat[_ranges((np.cumsum(length) - length)[part], length[part])]),
+                                   data[offsets[d]:offsets[d + 1]]) for strings, flat, length, _ in sides)
+    code, first = code[np.repeat(ok, np.diff(border))], _before(np.diff(border)[ok])
+    (_, a, length_a, _), (_, b, length_b, _) = sides
+    ids = [flat[_ranges((np.cumsum(length) - length)[code], length[code])] for flat, length in ((a, length_a), (b, length_b))]
+    return kept[ok], Tokens(*ids, _before(length_a[code])[first], _before(length_b[code])[first],
+                            data[np.repeat(ok, np.diff(offsets))], _before(np.diff(offsets)[ok]))
+
+
+@dataclass
+class Aligned:
+    """Alignments of distinct windows: the window's groups as text, how many, and
+    its links, 64-bit numbers of A id and B id, ``first[i]:first[i + 1]``."""
+
+    texts: list[str]
+    groups: np.ndarray
+    links: np.ndarray
+    first: np.ndarray
+
+
+def align(pair: Pair, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Aligned:
+    """Align windows of ``n_a[i]`` and ``n_b[i]`` ids each, whose two sides cover the same bytes."""
+    end_a, end_b = np.cumsum(pair.bytes_a.size[a]), np.cumsum(pair.bytes_b.size[b])
+    total = int(end_a[-1]) if len(end_a) else 0
+    is_a, is_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+    is_a[end_a], is_b[end_b] = True, True
+    end = np.flatnonzero(is_a | is_b)
+    is_a, is_b = is_a[end], is_b[end]
+    links = a[np.cumsum(is_a) - is_a].astype(np.int64) << 32 | b[np.cumsum(is_b) - is_b]
+    both = is_a & is_b
+    group = np.cumsum(both) - both
+    groups = int(both.sum())
+    group_a, group_b = group[is_a], group[is_b]
+    many_a, many_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+    last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)          # tokens up to each window's end
+    # decimals in the order of the text: a group's A ids, then its B ids
+    after_a, after_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
+    after_a[np.cumsum(many_a) - 1] = 2
+    after_b[np.cumsum(many_b) - 1] = 3
+    after_b[last_b - 1] = 0
+    order = np.empty(len(a) + len(b), np.int64)
+    order[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = a + after_a * pair.most
+    order[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b + after_b * pair.most
+    chars = pair.decimals.joined(order)
+    borders = _before(pair.decimals.size[order])[np.concatenate([[0], last_a + last_b])]
+    texts = pa.StringArray.from_buffers(len(n_a), pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(chars))
+    to = np.concatenate([[0], np.searchsorted(end, end_a[last_a - 1], side="right")]) if len(n_a) else np.zeros(1, np.int64)
+    return Aligned(texts.to_pylist(), _sums(both, to), links, to)
+
+
+def windows(t: Tokens, pair: Pair) -> tuple[np.ndarray, np.ndarray, Aligned]:
+    """(first window of each text, number of the tuple of each window, alignments
+    of the tuples): a tuple is the number of A ids, the A ids, the B ids."""
+    end_a, end_b = np.cumsum(pair.bytes_a.size[t.a]), np.cumsum(pair.bytes_b.size[t.b])
     here = np.zeros(len(t.data) + 1, bool)
     here[end_a] = True
     shared = end_b[here[end_b]]
@@ -267,35 +266,31 @@ def windows(t: Tokens, pair: Pair) -> tuple[np.ndarray, np.ndarray, list[bytes]]
     tuples = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(begin, len(flat)).astype(np.int64) * 4),
                                                                   pa.py_buffer(flat)])
     coded = tuples.dictionary_encode()
-    return (np.searchsorted(anchor, t.first_byte, side="right"), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-            coded.dictionary.to_pylist())
-
-
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[first[1:]] - total[first[:-1]]
+    size = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) // 4
+    raw = coded.dictionary.buffers()[2]
+    flat, begin = np.frombuffer(raw, np.int32) if raw is not None else np.empty(0, np.int32), np.cumsum(size) - size
+    n_a = flat[begin].astype(np.int64)
+    n_b = size - n_a - 1
+    aligned = align(pair, flat[_ranges(begin + 1, n_a)], flat[_ranges(begin + 1 + n_a, n_b)], n_a, n_b)
+    return (np.searchsorted(anchor, t.first_byte, side="right"), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), aligned)
 
 
-def slice_rows(name: str, ids: pa.Array, texts: pa.Array, encoder: Tokenised, known: Windows) -> Iterator[pa.RecordBatch]:
+def slice_rows(name: str, ids: pa.Array, texts: pa.Array, pair: Pair) -> Iterator[pa.RecordBatch]:
     """Rows of one slice, by kind: ``doc`` per document (``data``: its windows,
     numbered inside the slice), one ``window`` row (links of every distinct
     window), ``pair`` per distinct id pair with its count in the slice."""
-    kept, t = encoder.of(texts)
-    first, code, tuples = windows(t, encoder.pair)
-    aligned = [known[x] for x in tuples]
-    strings = [x[0] for x in aligned]
-    links = np.fromiter((len(x[1]) for x in aligned), np.int64, len(aligned))
-    groups = np.fromiter((x.count(";") + 1 for x in strings), np.int64, len(strings))
-    flat = np.array([p for x in aligned for p in x[1]], np.int64).reshape(-1, 2)
-    pairs, at = np.unique(flat[:, 0] << 32 | flat[:, 1], return_inverse=True)
-    times = np.bincount(code, minlength=len(aligned))
+    kept, t = tokenise(pair, texts)
+    first, code, found = windows(t, pair)
+    links, strings = np.diff(found.first), found.texts
+    pairs, at = np.unique(found.links, return_inverse=True)
+    times = np.bincount(code, minlength=len(links))
     n = np.bincount(at, np.repeat(times, links), len(pairs)).astype(np.int64)
 
     rows = len(texts)
     zero = lambda: np.zeros(rows, np.int64)
     n_a, n_b, n_groups, n_links = zero(), zero(), zero(), zero()
     n_a[kept], n_b[kept] = np.diff(t.first_a), np.diff(t.first_b)
-    n_groups[kept], n_links[kept] = _sums(groups[code], first), _sums(links[code], first)
+    n_groups[kept], n_links[kept] = _sums(found.groups[code], first), _sums(links[code], first)
     digest, data = [""] * rows, [b""] * rows
     for d, a, b in zip(kept.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
         of = code[a:b]
@@ -322,11 +317,10 @@ def slices(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_level:
         from pyspark import TaskContext
 
         pair = tokenizers(byte_level, pieces)
-        encoder, known = Tokenised(pair), Windows(pair)
         partition, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                yield from slice_rows(f"{partition}-{number}", part.column("doc_id"), part.column("text"), encoder, known)
+            for part in text_slices(batch, "text", SLICE):
+                yield from slice_rows(f"{partition}-{number}", part.column("doc_id"), part.column("text"), pair)
                 number += 1
 
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))

@@ -47,7 +47,7 @@ from lexkit.session import materialize, shuffle_partitions
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
-COMBINED = 1 << 20         # distinct (group, term) counts a task holds before it hands them on
+COMBINED = 1 << 18         # distinct (group, term) counts a task holds before it hands them on
 PATH_NODES = 1 << 18       # path items of one slice of the tree
 #: Letters and every non-ASCII character.
 INSIDE = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))

@@ -241,17 +241,13 @@ def test_alignment_equals_brute_force(spark, data):
     assert any(r[1] == 0 and t[1] for r, t in zip(want, data, strict=True))           # a text that does not come back
 
 
-def test_windows_remember_and_forget(spark, docs, data, monkeypatch):
-    monkeypatch.setattr(alignment, "KEPT_PIECES", 5)
-    monkeypatch.setattr(alignment, "KEPT_WINDOWS", 5)
+def test_a_slice_alone(data):
     import pyarrow as pa
-    pair = alignment.tokenizers()
-    encoder, known = alignment.Tokenised(pair), alignment.Windows(pair)
-    texts = [r[1] for r in data[:30]]
-    for name in ("0", "1"):
-        rows_of = [b for b in alignment.slice_rows(name, pa.array(range(30), pa.int64()), pa.array(texts), encoder, known)]
-        want = brute_alignment(enumerate(texts))
-        assert rows_of[0].column("groups_sha256").to_pylist() == [w[-1] for w in want]
+    texts = [r[1] for r in data]
+    doc, window, pair = alignment.slice_rows("0", pa.array(range(len(texts)), pa.int64()), pa.array(texts), alignment.tokenizers())
+    want = brute_alignment(enumerate(texts))
+    assert doc.column("groups_sha256").to_pylist() == [w[-1] for w in want]
+    assert sum(pair.column("n").to_pylist()) == sum(w[4] for w in want)
 
 
 def test_alignment_of_an_empty_table(empty):
