@@ -26,9 +26,10 @@ one node.
    goes on; past 16 K the cells of all nodes, not of the saturated ones alone,
    are compared, which is exact.
 
-Defined cases: vectors that are null, zero, of another length than the
-commonest or hold null or non-finite components, and rows without label, link
-with nothing (0 links, their own component); a single row has 0 links; rows
+Defined cases: vectors that are null, zero or hold null or non-finite components,
+and rows without label or id, link with nothing (0 links, their own component, a
+null one without an id, kept); vectors of different lengths never link, each
+length is compared by itself; a single row has 0 links; rows
 repeating an id count as copies when their vectors are equal; an empty table
 gives an empty table; other columns are ignored.
 """
@@ -399,9 +400,23 @@ def joined(nodes: DataFrame, links: DataFrame, chosen: DataFrame) -> tuple[DataF
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
                  k: int = K) -> DataFrame:
     """One row per row of ``vectors``: key, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    rows = usable(vectors, key, vector, F.col(label).cast("bigint").alias("label")).filter("label IS NOT NULL")
-    rows = materialize(rows.withColumnRenamed(key, "id"))
+    member, seen = None, None
+    for rows in usable(vectors, key, vector, F.col(label).cast("bigint").alias("label")):
+        rows = materialize(rows.filter("label IS NOT NULL").withColumnRenamed(key, "id"))
+        part = _linked_rows(rows, k)
+        member = part if member is None else member.unionByName(part)
+        seen = rows.select("id") if seen is None else seen.unionByName(rows.select("id"))
+    # a null id meets no other: such a row links with nothing and is kept
+    rest = (vectors.select(F.col(key).cast("bigint").alias("id"))
+            .join(seen.distinct(), "id", "left_anti")
+            .select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
+    return member.unionByName(rest).select(F.col("id").alias(key), "n_links", "component_id",
+                                           F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked_rows(rows: DataFrame, k: int) -> DataFrame:
+    """(id, n_links, component_id) of vectors of one length (id, label, vector)."""
+    spark = rows.sparkSession
     nodes = rows.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
     def add_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,13 +445,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     node = (nodes.select(F.col("label").alias("l"), F.col("vector").alias("v"), F.col("id").alias("node"), "copies")
             .join(comp.withColumnRenamed("id", "node"), "node", "left").join(linked.withColumnRenamed("id", "node"), "node", "left")
             .withColumn("component", F.coalesce("component", "node")).withColumn("n", F.coalesce("n", F.lit(0))))
-    member = (rows.join(node, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")))
-              .select("id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id")))
-    rest = (vectors.select(F.col(key).cast("bigint").alias("id"))
-            .join(rows.select("id").distinct(), "id", "left_anti")
-            .select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
-    return member.unionByName(rest).select(F.col("id").alias(key), "n_links", "component_id",
-                                           (F.col("id") == F.col("component_id")).alias("kept"))
+    return (rows.join(node, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")))
+            .select("id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id")))
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

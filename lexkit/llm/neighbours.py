@@ -19,8 +19,11 @@ queries the true neighbours are found by brute force over all rows, and the
 queries visit as many lists as reach ``target`` recall there (all lists, if
 need be).
 
-Defined cases: vectors that are null, zero, of another length than the table's
-commonest one or hold null or non-finite components take no part; equal vectors
+A list that many queries visit meets them in blocks.
+
+Defined cases: vectors that are null, zero or hold null or non-finite components,
+and rows without an id, take no part; vectors of different lengths have no cosine,
+so each length has an index of its own; equal vectors
 tie exactly, the smaller id is nearer; a query never finds its own id; fewer
 than k candidates: all of them; rows repeating an id count once, with the first
 vector; an empty table gives no row; other columns are ignored.
@@ -43,6 +46,7 @@ TOP = 5
 SAMPLE_ROWS = 20_000        # rows the centroids are fitted on
 MOST_LISTS = 1024
 PART_ROWS = 4096            # rows of one part of a list
+QUERY_ROWS = 4096           # queries that a part is scanned for at once
 BLOCK = 16                  # columns per step of the scan
 ERROR = 2.1                 # error bound of the abandoning test, in 1 / sqrt(columns read)
 CHUNK = 512                 # candidates scanned at once
@@ -126,7 +130,7 @@ class Index:
 
     def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"):
         self.spark = vectors.sparkSession
-        rows = usable(vectors, key, vector).groupBy(F.col(key).alias("id")).agg(F.min("vector").alias("vector"))
+        rows = vectors.groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("vector"))
         rows = materialize(rows)
         sample = hash_sample(rows, SAMPLE_ROWS, "id", seed=SEED).select("id", "vector").toArrow().sort_by("id")
         self.n = rows.count()
@@ -181,8 +185,15 @@ class Index:
                                  "score": pa.array([], pa.float64())})
             return _nearest(q, x, k)
 
-        hits = (self.probes(queries, count).groupBy("list", "part")
-                .cogroup(self.rows.groupBy("list", "part")).applyInArrow(scan, "query_id bigint, id bigint, score double"))
+        # a list that many queries visit is scanned for one block of them at a time
+        probes = materialize(self.probes(queries, count))
+        blocks = probes.filter("part = 0").groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
+        blocks = F.broadcast(materialize(blocks))          # one row per list
+        asked = probes.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        rows = self.rows.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        hits = (asked.drop("blocks").groupBy("list", "part", "block")
+                .cogroup(rows.drop("blocks").groupBy("list", "part", "block"))
+                .applyInArrow(scan, "query_id bigint, id bigint, score double"))
         return best_rows(hits, k)
 
     def calibrated(self, queries: DataFrame, k: int, target: float = TARGET) -> int:
@@ -220,11 +231,13 @@ def best_rows(hits: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, every: int, k: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows of every row whose id is divisible by ``every``."""
-    index = Index(vectors, key, vector)
-    if not index.lists:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    queries = index.rows.filter(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
-    return index.search(queries, k, index.calibrated(queries, k))
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    for rows in usable(vectors, key, vector):
+        index = Index(rows, key, "vector")
+        if index.lists:
+            queries = index.rows.filter(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
+            out = out.unionByName(index.search(queries, k, index.calibrated(queries, k)))
+    return out
 
 
 def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@
 2. The projections are centred and scaled by their corpus mean and deviation
    (one row of numbers), cut into a grid, and the cell's place on the Hilbert
    curve is the sort key.
-3. Rows are range-partitioned and sorted by (Hilbert key, id), so neighbours on
-   the curve, documents with similar words, come together; the id in the key
-   splits a large group of equal texts over many partitions.
+3. Rows are range-partitioned and sorted by (Hilbert key, id, row number), so
+   neighbours on the curve, documents with similar words, come together; id and
+   number split a large group of equal texts or rows over many partitions.
 4. Each partition packs its documents one after the other into sequences of
    2048 tokens, cutting documents at the border.  What is left at the end of a
    partition is cut into sequences whose lengths are powers of two, so no
@@ -40,8 +40,11 @@ from lexkit.session import shuffle_partitions, written
 #: The vocabulary of byte_bpe_50k.json in the form of the faster library: the same ids.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 1
+#: Fixed value: the vocabulary's special token, which the named tokenizer finds in texts.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 STORED = np.dtype("<u2")        # ids between the passes; enough for 65,536 ids
 SEQUENCE = 2048
+PARTITION_TOKENS = 8 << 20
 HASH_BUCKETS = 4096
 DIMS = 4
 BITS = 8
@@ -80,7 +83,8 @@ class Encoder:
     A byte-level BPE never joins a non-space character with the space after it,
     so a text splits before every such space without changing its ids.  Each
     distinct piece is encoded once a batch; texts with white space before a
-    space are encoded as they are."""
+    space are encoded as they are.  The special token's string in a text is that
+    token, and the text on both sides of it is encoded by itself."""
 
     KEEP = 300_000
 
@@ -99,7 +103,8 @@ class Encoder:
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids per text)."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, SPACE_BEFORE_SPACE).to_numpy(zero_copy_only=False)
+        whole = pc.or_(pc.match_substring_regex(texts, SPACE_BEFORE_SPACE), pc.match_substring(texts, SPECIAL))
+        whole = whole.to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = pc.list_flatten(parts)
@@ -126,7 +131,8 @@ class Encoder:
     def _whole(self, texts: pa.Array, whole: np.ndarray) -> list[list[int] | None]:
         out: list[list[int] | None] = [None] * len(texts)
         for i in np.flatnonzero(whole):
-            out[i] = self.encode([texts[int(i)].as_py()])[0]
+            first, *others = self.encode(texts[int(i)].as_py().split(SPECIAL))
+            out[i] = list(chain(first, *([SPECIAL_ID, *ids] for ids in others)))
         return out
 
 
@@ -178,11 +184,13 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY,
               end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids as little-endian numbers of STORED type, n, p0..): ids with the
-    end id, and the projection of the text."""
+    """(doc_id, row, ids as little-endian numbers of STORED type, n, p0..): ids with
+    the end id, and the projection of the text; ``row`` tells equal rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(name)
+        from pyspark import TaskContext
+
+        encoder, row = Encoder(name), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in text_slices(batch, "text"):
                 ids, counts = encoder.texts(part.column("text"))
@@ -196,11 +204,12 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
                 blob = pa.Array.from_buffers(pa.binary(), len(part), [
                     None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(with_end)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), blob, pa.array(counts + 1), *[pa.array(p[:, d]) for d in range(DIMS)]],
-                    ["doc_id", "ids", "n", *[f"p{d}" for d in range(DIMS)]])
+                    [part.column("doc_id"), pa.array(np.arange(row, row + len(part))), blob, pa.array(counts + 1),
+                     *[pa.array(p[:, d]) for d in range(DIMS)]], ["doc_id", "row", "ids", "n", *[f"p{d}" for d in range(DIMS)]])
+                row += len(part)
 
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, ids binary, n bigint, "
+    return src.mapInArrow(run, "doc_id bigint, row bigint, ids binary, n bigint, "
                           + ", ".join(f"p{d} double" for d in range(DIMS)))
 
 
@@ -230,9 +239,11 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", sequence: int
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit),
     ids_crc32, doc_tokens, sequence_id, offset, place (on the curve)."""
     tokens, _ = written(tokenised(docs, key, text))
-    n = shuffle_partitions(docs.sparkSession)
-    ordered = (with_hilbert_key(tokens).select("doc_id", "place", "n", "ids")
-               .repartitionByRange(n, "place", "doc_id").sortWithinPartitions("place", "doc_id", "n")
+    # partitions of a bounded size, whatever the setting: they grow in number with the input
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-total // PARTITION_TOKENS))
+    ordered = (with_hilbert_key(tokens).select("doc_id", "row", "place", "n", "ids")
+               .repartitionByRange(n, "place", "doc_id", "row").sortWithinPartitions("place", "doc_id", "row").drop("row")
                .withColumn("part", F.spark_partition_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

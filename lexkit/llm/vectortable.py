@@ -8,18 +8,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexkit.session import materialize
 
-def usable(vectors: DataFrame, key: str, vector: str, *others: str) -> DataFrame:
-    """(key, vector as array<double>, others) of the vectors that take part:
-    not null, of the table's commonest length, all components finite, not zero."""
+
+def usable(vectors: DataFrame, key: str, vector: str, *others: str) -> list[DataFrame]:
+    """(key, vector as array<double>, others) of the vectors that take part: with
+    an id, not null, all components finite, not zero.  One written table per
+    vector length (vectors of different lengths have no cosine)."""
     v = F.col(vector).cast("array<double>")
     ok = (F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
           & F.exists(v, lambda x: x != 0))
     good = vectors.select(F.col(key).cast("bigint").alias(key), v.alias("vector"), *others).filter(
-        F.col("vector").isNotNull() & F.coalesce(ok, F.lit(False)))
-    size = (good.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-                .orderBy(F.col("n").desc(), "d").first())
-    return good.filter(F.size("vector") == (size["d"] if size else 0))
+        F.col(key).isNotNull() & F.col("vector").isNotNull() & F.coalesce(ok, F.lit(False)))
+    sizes = sorted(r[0] for r in good.select(F.size("vector")).distinct().collect())
+    if len(sizes) < 2:
+        return [good]
+    good = materialize(good)
+    return [good.filter(F.size("vector") == n) for n in sizes]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:

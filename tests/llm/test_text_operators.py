@@ -51,10 +51,18 @@ def test_words_and_shingles(data):
     assert [len(s) for s in shingle_sets(pa.array(texts))] == [len(shingles(t)) for t in texts]
 
 
+def named_ids(text):
+    """The named tokenizer as its file has it, special token included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_equals_the_named_tokenizer(data):
     import pyarrow as pa
     texts = [r[1] for r in data] + ["a  b", " a", "a ", "x\n y", "  ", "a  b", "don't  stop"]
-    want = packing.encoding("byte_bpe_50k.json")([t or "" for t in texts])
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext|", "é<|endoftext|>  y"]
+    want = [named_ids(t or "") for t in texts]
     ids, counts = packing.Encoder().texts(pa.array(texts))
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
@@ -66,10 +74,16 @@ def test_hilbert_neighbours_differ_by_one_step():
     assert len(set(key.tolist())) == 512 and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def test_a_row_repeated_often_is_split(spark):
+    """Rows equal in everything are dealt over the partitions by their number."""
+    docs = stored(spark, [(None, "one two three " * 20)] * 400, "doc_id bigint, text string")
+    parts = {r["sequence_id"] >> 40 for r in packing.pack(docs).collect()}
+    assert len(parts) > 4
+
+
 def test_pack_round_trip(docs, data):
     got = packing.pack(docs).collect()
-    encode = packing.encoding("byte_bpe_50k.json")
-    want = Counter((r[0], tuple(encode([r[1] or ""])[0] + [1])) for r in data)
+    want = Counter((r[0], tuple([*named_ids(r[1] or ""), 1])) for r in data)
     by_sequence = defaultdict(list)
     pieces = defaultdict(list)
     for r in got:

@@ -59,7 +59,19 @@ def test_near_vectors_empty(spark):
     assert [tuple(r) for r in one] == [(7, 0, 7, True)]
 
 
-def test_nearest_recall_and_order(spark):
+def test_vectors_without_id_and_of_several_lengths(spark):
+    rows = [(0, [1.0, 0.0, 0.0], 1, 1, ""), (50, [1.0, 0.0, 0.0], 1, 1, ""), (1, [1.0, 1.0], 1, 1, ""), (2, [1.0, 1.0], 1, 1, ""),
+            (100, [1.0, 0.9], 1, 1, ""), (None, [1.0, 1.0], 1, 1, ""), (None, None, 1, 1, ""), (3, [], 1, 1, "")]
+    got = sorted((tuple(r) for r in near_vectors.near_vectors(stored(spark, rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(0, 1, 0, True), (50, 1, 0, False), (1, 2, 1, True), (2, 2, 1, False), (100, 2, 1, False), (3, 0, 3, True),
+                          (None, 0, None, True), (None, 0, None, True)], key=str)
+    hits = sorted((r["query_id"], r["rank"], r["id"]) for r in neighbours.nearest(stored(spark, rows, SCHEMA), 50).collect())
+    assert hits == [(0, 1, 50), (50, 1, 0), (100, 1, 1), (100, 2, 2)]
+
+
+@pytest.mark.parametrize("block", [neighbours.QUERY_ROWS, 3])
+def test_nearest_recall_and_order(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", block)
     rows = table(1)
     got = {}
     for r in neighbours.nearest(stored(spark, rows, SCHEMA), 10).collect():
