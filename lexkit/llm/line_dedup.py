@@ -2,29 +2,36 @@
 
 Only DataFrame and SQL functions: the work stays in the JVM.
 
-A line's tokens are its distinct 5-word shingles (words lower-cased).  Two lines
-match when the Jaccard similarity of their token sets is at least 0.75; of a
-match the later line, by (document, line), is removed.  Lines of fewer than five
-words stay: they repeat by chance.
-
-1. Equal lines (same words in the same order) are one class with its earliest
-   occurrence; every other occurrence is a later match of that one.
+A line's tokens are its distinct 5-word shingles (A-Z lower-cased); a line of
+fewer words is one token.  Two lines match when the Jaccard similarity of their
+token sets is at least 0.75; of a match the later line, by (document, line), is
+removed.
+
+1. Equal lines (same words in the same order, compared as normalised strings by
+   a 128-bit digest) are one class with its earliest occurrence; every other
+   occurrence is a later match of that one.  Lines of under five words can only
+   match so.
 2. Tokens are ordered by rarity.  Rarity is the count, over the whole corpus, of
    a token's hash bucket: a table of fixed size (2 ** 16 counts) that tells
    common tokens, whatever the size of the corpus.  Any one order gives the same
    result; this one puts tokens of very common passages last.
-3. Matching lines share one of their first n - ceil(0.75 n) + 1 tokens.  Each
-   class lists itself under its prefix tokens; tokens with one class drop out.
+3. Matching lines share one of their first n - ceil(0.75 n) + 1 tokens.  Prefix
+   tokens are counted (combined before the shuffle); a class lists itself under
+   those of its tokens that more than one class has.
 4. Every class is verified against the earliest class of its lists (length and
    positional filter first).  A match settles it, so a group of thousands of
    near copies costs a star of pairs and not all of them.
 5. Classes still unsettled meet every earlier class of their lists that passes
    the filters; Jaccard is verified on the full token sets.
 
-Defined cases: null and empty texts have no line; a null id ranks after all
-others; repeated rows are later occurrences; a line's removal never depends on
-whether the line it matches is itself removed; an empty table gives an empty
-table; texts and lines of any length are whole; other columns pass through.
+The result names one earlier line that a removed line matches: the best of those
+it was verified against, not necessarily the best of all.  Links are not listed.
+
+Defined cases: null and empty texts and wordless lines have no line; a null id
+ranks after all others; repeated rows are later occurrences; a line's removal
+never depends on whether the line it matches is itself removed; an empty table
+gives an empty table; texts and lines of any length are whole; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -43,41 +50,56 @@ LEADERS = 2
 LAST = (1 << 63) - 1
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased words of a line (split at [\\x20\\x09-\\x0D])."""
-    for blank in ("\t", "\x0b", "\x0c", "\r"):
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(F.lower(line), " "), "")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _normal(line: Column) -> Column:
+    """A line's lower-cased words with one space between (blanks: [\\x20\\x09-\\x0D])."""
+    line = F.trim(F.translate(line, _UPPER + "\t\x0b\x0c\r", _LOWER + "    "))
+    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " {2,}", " ")).otherwise(line)
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, row, line_no, line): line breaks are line feeds."""
+    """(doc_id, row, line_no, line): normalised lines; line breaks are line feeds."""
     row, = free_names(docs, "_row")
     src = numbered(docs, row).select(F.col(key).cast("bigint").alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text"))
-    return src.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return src.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
+              .withColumn("line", _normal(F.col("line")))
 
 
-def token_sets(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``h`` (word hashes) and ``tokens`` (distinct shingle hashes;
-    null for a line of fewer than five words).
+def digested(lines: DataFrame) -> DataFrame:
+    """``lines`` with words, and the two halves of the line's digest."""
+    return lines.filter("line <> ''").withColumn("d1", F.xxhash64("line")).withColumn("d2", F.xxhash64(F.lit(7), "line"))
 
-    No filter on either column may follow: it would be pushed below the
-    projection and compute ``h`` once more for every shingle."""
-    h = lines.withColumn("h", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    shingle = lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WORDS)])
-    return h.withColumn("tokens", F.when(F.size("h") >= WORDS, F.array_distinct(
-        F.transform(F.sequence(F.lit(0), F.size("h") - WORDS), shingle))))
+
+def hashed_words(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``h``, the hashes of their words, for lines of five words on.
+
+    No filter on ``h`` may follow: it would be pushed below the projection and
+    compute ``h`` once more."""
+    return lines.withColumn("h", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+
+
+def token_sets(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``tokens`` (distinct shingle hashes; null for a line of fewer
+    than five words)."""
+    # the hash of a slice is the hash of its elements in turn, as in rarity_codes
+    return hashed_words(lines).withColumn("tokens", F.when(F.size("h") >= WORDS, F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.size("h") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("h", i, F.lit(WORDS)))))))
 
 
 def _bucket(token: Column) -> Column:
     return F.shiftrightunsigned(token, 64 - BUCKET_BITS).cast("int")
 
 
-def rarity_codes(sets: DataFrame) -> Column:
+def rarity_codes(lines: DataFrame) -> Column:
     """Array of 2 ** 16 codes, the logarithm of each bucket's count, as a literal
     (its size does not depend on the corpus)."""
-    # explode_outer: explode would add a filter on the tokens (see token_sets)
-    seen = sets.select(F.explode_outer("tokens").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(
+    # one row per shingle inside the scan stage, where its hash is compiled code
+    at = hashed_words(lines).select("h", F.explode_outer(F.when(F.size("h") >= WORDS, F.sequence(
+        F.lit(0), F.size("h") - WORDS))).alias("i"))
+    token = F.xxhash64(*[F.get("h", F.col("i") + k) for k in range(WORDS)])
+    seen = at.select(F.when(F.col("i").isNotNull(), _bucket(token)).alias("b")).groupBy("b").agg(
         F.floor(8 * F.log2(F.count(F.lit(1)) + 1)).alias("code"))
     codes = ["0"] * (1 << BUCKET_BITS)
     for b, code in seen.filter("b IS NOT NULL").collect():
@@ -85,17 +107,17 @@ def rarity_codes(sets: DataFrame) -> Column:
     return F.split(F.lit(",".join(codes)), ",").cast("array<bigint>")
 
 
-def classes(sets: DataFrame, codes: Column) -> DataFrame:
-    """One row per distinct line: id, first (earliest occurrence), n, prefix."""
+def classes(lines: DataFrame, codes: Column) -> DataFrame:
+    """One row per distinct line: id, d1, d2, first (earliest occurrence),
+    occurrences, n, prefix (both null for a line of under five words)."""
     low = (1 << (64 - BUCKET_BITS)) - 1
     order = lambda t: F.shiftleft(F.get(codes, _bucket(t)), 64 - BUCKET_BITS).bitwiseOR(t.bitwiseAND(F.lit(low)))
     n = F.size("tokens")
-    ranked = sets.select("doc_id", "row", "line_no", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(7), "h").alias("d2"),
-                         n.alias("n"), F.slice(F.sort_array(F.transform("tokens", order)), F.lit(1),
-                                               n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix"))
-    return (ranked.groupBy("d1", "d2").agg(F.min(occurrence()).alias("first"), F.first("n").alias("n"),
-                                           F.first("prefix").alias("prefix"))
-                  .filter("n IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))
+    ranked = token_sets(digested(lines)).select("doc_id", "row", "line_no", "d1", "d2", n.alias("n"), F.slice(
+        F.sort_array(F.transform("tokens", order)), F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix"))
+    return (ranked.groupBy("d1", "d2").agg(F.min(occurrence()).alias("first"), F.count(F.lit(1)).alias("occurrences"),
+                                           F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+                  .withColumn("id", F.monotonically_increasing_id()))
 
 
 def occurrence() -> Column:
@@ -126,13 +148,14 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per removed line: doc_id, row, line_no, kept_doc_id, kept_row,
-    kept_line_no, similarity (the earlier line it matches best)."""
+    kept_line_no, similarity (an earlier line that it matches)."""
     lines = lines_of(docs, key, text)
-    sets = token_sets(lines)
-    table = materialize(classes(sets, rarity_codes(sets)))
-    entries = table.select("id", "first", "n", F.posexplode("prefix").alias("pos", "token"))
-    inside = Window.partitionBy("token")
-    lists = materialize(entries.withColumn("m", F.count(F.lit(1)).over(inside)).filter("m > 1").drop("m"))
+    table = materialize(classes(lines, rarity_codes(lines)))
+    # tokens that more than one class has; the others list nobody
+    shared = materialize(table.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+                         .filter("m > 1").select("token"))
+    lists = materialize(table.select("id", "first", "n", F.posexplode("prefix").alias("pos", "token"))
+                        .join(checked_broadcast(shared), "token"))
     lead = materialize(lists.groupBy("token").agg(F.min(F.struct("first", "id", "n", "pos")).alias("x"))
                        .select("token", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")))
     star = (lists.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "token")
@@ -161,9 +184,9 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 .join(table.select(F.col("id").alias("a"), F.col("first").alias("kept")), "a")
                 .select("first", "kept", "similarity"))
     # later occurrences of a class match its first one
-    digest = token_sets(lines).select("doc_id", "row", "line_no", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(7), "h").alias("d2"))
-    copies = (digest.withColumn("first", occurrence()).join(table.select("d1", "d2", F.col("first").alias("kept")), ["d1", "d2"])
-                    .filter(F.col("first") != F.col("kept")).select("first", "kept", F.lit(1.0).alias("similarity")))
+    again = checked_broadcast(materialize(table.filter("occurrences > 1").select("d1", "d2", F.col("first").alias("kept"))))
+    copies = (digested(lines).select("d1", "d2", occurrence().alias("first")).join(again, ["d1", "d2"])
+              .filter(F.col("first") != F.col("kept")).select("first", "kept", F.lit(1.0).alias("similarity")))
     out = near.unionByName(copies)
     name = lambda c: F.when(F.col(c) == LAST, F.lit(None)).otherwise(F.col(c)).cast("bigint")
     return out.select(name("first.doc").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.line").alias("line_no"),
