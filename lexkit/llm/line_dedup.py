@@ -2,15 +2,14 @@
 
 Only DataFrame and SQL functions: the work stays in the JVM.
 
-A line's tokens are its distinct 5-word shingles (A-Z lower-cased); a line of
-fewer words is one token.  Two lines match when the Jaccard similarity of their
+A line's tokens are its distinct 5-word shingles (words lower-cased); a line of
+fewer words has one token, all its words.  Two lines match when the Jaccard similarity of their
 token sets is at least 0.75; of a match the later line, by (document, line), is
 removed.
 
-1. Equal lines (same words in the same order, compared as normalised strings by
-   a 128-bit digest) are one class with its earliest occurrence; every other
-   occurrence is a later match of that one.  Lines of under five words can only
-   match so.
+1. Equal strings (by a 128-bit digest of the line) are one class with its
+   earliest occurrence; every other occurrence is a later match of that one.
+   Lines that differ in case or blanks only are classes with equal token sets.
 2. Tokens are ordered by rarity.  Rarity is the count, over the whole corpus, of
    a token's hash bucket: a table of fixed size (2 ** 16 counts) that tells
    common tokens, whatever the size of the corpus.  Any one order gives the same
@@ -50,42 +49,42 @@ LEADERS = 2
 LAST = (1 << 63) - 1
 
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _normal(line: Column) -> Column:
-    """A line's lower-cased words with one space between (blanks: [\\x20\\x09-\\x0D])."""
-    line = F.trim(F.translate(line, _UPPER + "\t\x0b\x0c\r", _LOWER + "    "))
-    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " {2,}", " ")).otherwise(line)
+def _words(line: Column) -> Column:
+    """Lower-cased words of a line (split at [\\x20\\x09-\\x0D])."""
+    for blank in ("\t", "\x0b", "\x0c", "\r"):
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, row, line_no, line): normalised lines; line breaks are line feeds."""
+    """(doc_id, row, line_no, line): line breaks are line feeds."""
     row, = free_names(docs, "_row")
     src = numbered(docs, row).select(F.col(key).cast("bigint").alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text"))
-    return src.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
-              .withColumn("line", _normal(F.col("line")))
+    return src.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def digested(lines: DataFrame) -> DataFrame:
-    """``lines`` with words, and the two halves of the line's digest."""
-    return lines.filter("line <> ''").withColumn("d1", F.xxhash64("line")).withColumn("d2", F.xxhash64(F.lit(7), "line"))
+    """``lines`` with the two halves of the line's digest."""
+    return lines.withColumn("d1", F.xxhash64("line")).withColumn("d2", F.xxhash64(F.lit(7), "line"))
+
+
+def _shingle(i: Column) -> Column:
+    return F.xxhash64(*[F.get("h", i + k) for k in range(WORDS)])
 
 
 def hashed_words(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``h``, the hashes of their words, for lines of five words on.
+    """``lines`` with ``h``, the hashes of their words.
 
     No filter on ``h`` may follow: it would be pushed below the projection and
-    compute ``h`` once more."""
-    return lines.withColumn("h", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+    compute ``h`` once more for every shingle."""
+    return lines.withColumn("h", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
 
 
 def token_sets(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``tokens`` (distinct shingle hashes; null for a line of fewer
-    than five words)."""
-    # the hash of a slice is the hash of its elements in turn, as in rarity_codes
-    return hashed_words(lines).withColumn("tokens", F.when(F.size("h") >= WORDS, F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.size("h") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("h", i, F.lit(WORDS)))))))
+    """``lines`` with ``tokens``, their distinct shingle hashes (empty for a line without words)."""
+    some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WORDS), _shingle))
+    return hashed_words(lines).withColumn("tokens", F.when(F.size("h") >= WORDS, some).when(
+        F.size("h") > 0, F.array(F.xxhash64("h"))).otherwise(F.array().cast("array<bigint>")))
 
 
 def _bucket(token: Column) -> Column:
@@ -93,31 +92,32 @@ def _bucket(token: Column) -> Column:
 
 
 def rarity_codes(lines: DataFrame) -> Column:
-    """Array of 2 ** 16 codes, the logarithm of each bucket's count, as a literal
-    (its size does not depend on the corpus)."""
+    """Array of 2 ** 16 numbers, the logarithm of each bucket's count in the high
+    bits, as a literal (its size does not depend on the corpus).  Lines of under
+    five words are not counted: their token is alone in its set."""
     # one row per shingle inside the scan stage, where its hash is compiled code
     at = hashed_words(lines).select("h", F.explode_outer(F.when(F.size("h") >= WORDS, F.sequence(
         F.lit(0), F.size("h") - WORDS))).alias("i"))
-    token = F.xxhash64(*[F.get("h", F.col("i") + k) for k in range(WORDS)])
+    token = _shingle(F.col("i"))
     seen = at.select(F.when(F.col("i").isNotNull(), _bucket(token)).alias("b")).groupBy("b").agg(
         F.floor(8 * F.log2(F.count(F.lit(1)) + 1)).alias("code"))
     codes = ["0"] * (1 << BUCKET_BITS)
     for b, code in seen.filter("b IS NOT NULL").collect():
-        codes[b] = str(code)
+        codes[b] = str(code << (64 - BUCKET_BITS))
     return F.split(F.lit(",".join(codes)), ",").cast("array<bigint>")
 
 
 def classes(lines: DataFrame, codes: Column) -> DataFrame:
-    """One row per distinct line: id, d1, d2, first (earliest occurrence),
-    occurrences, n, prefix (both null for a line of under five words)."""
-    low = (1 << (64 - BUCKET_BITS)) - 1
-    order = lambda t: F.shiftleft(F.get(codes, _bucket(t)), 64 - BUCKET_BITS).bitwiseOR(t.bitwiseAND(F.lit(low)))
+    """One row per distinct line with words: id, d1, d2, first (earliest
+    occurrence), occurrences, n, prefix."""
+    low = F.lit((1 << (64 - BUCKET_BITS)) - 1)
+    order = lambda t: F.get(codes, _bucket(t)) + t.bitwiseAND(low)
     n = F.size("tokens")
     ranked = token_sets(digested(lines)).select("doc_id", "row", "line_no", "d1", "d2", n.alias("n"), F.slice(
         F.sort_array(F.transform("tokens", order)), F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix"))
     return (ranked.groupBy("d1", "d2").agg(F.min(occurrence()).alias("first"), F.count(F.lit(1)).alias("occurrences"),
                                            F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-                  .withColumn("id", F.monotonically_increasing_id()))
+                  .filter("n > 0").withColumn("id", F.monotonically_increasing_id()))
 
 
 def occurrence() -> Column:

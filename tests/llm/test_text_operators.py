@@ -205,7 +205,7 @@ def brute_lines(data):
     seen, removed = [], Counter()
     for i in order:
         for k, line in enumerate((data[i][1] or "").split("\n")):
-            w = tuple(tokens(line))
+            w = tuple(tokens(line.lower()))
             if not w:
                 continue
             s = frozenset(w[a:a + 5] for a in range(max(len(w) - 4, 1)))
@@ -221,11 +221,11 @@ def test_line_matches(docs, data):
 
 
 def test_short_lines_and_blanks(spark):
-    """A line of under five words is one token; blanks and A-Z do not tell lines apart, other letters do."""
+    """A line of under five words is one token; blanks and case do not tell lines apart."""
     texts = ["ok then go\nOK\tthen  go \nok then", "\x0bok then\r\nÉ a b c d e f\n\n \n", "é a b c d e f\nok  then go x", "ok then go x"]
     data = [(i, x, "en", "s", 0, 1, "", 1, 1, "") for i, x in enumerate(texts)]
     got = Counter((r["doc_id"], r["line_no"]) for r in line_dedup.line_matches(stored(spark, data)).collect())
-    assert got == brute_lines(data) == Counter([(0, 1), (1, 0), (3, 0)])
+    assert got == brute_lines(data) == Counter([(0, 1), (1, 0), (2, 0), (3, 0)])
 
 
 def test_near_lines(spark):
