@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexkit.functions import scoring as S
+from lexkit.operators import batch_scores
 from lexkit.session import materialize
 
 
@@ -104,63 +105,9 @@ def moco_stats(rows: DataFrame, queue_batches: int, temperature: float = 1.0,
 
 # ---------------------------------------------------------------- sparse lexical scorer
 
-def lexical_pair_scores(pairs: DataFrame, weights: DataFrame, beta) -> DataFrame:
-    """Scores S[d, q] of the learned lexical scorer within each batch.
-
-    pairs: (batch, pos, q_tokens, k_tokens); documents are the k crops (tf
-    counts), queries the q crops (presence).  Returns (batch, d, q, score) for
-    pairs sharing a token (equi-join on (batch, token))."""
-    docs = (pairs.select("batch", F.col("pos").alias("d"), F.explode("k_tokens").alias("token"))
-                 .groupBy("batch", "d", "token").agg(F.count(F.lit(1)).alias("tf")))
-    qs = pairs.select("batch", F.col("pos").alias("q"), F.explode(F.array_distinct("q_tokens")).alias("token"))
-    return (docs.join(qs, ["batch", "token"]).join(weights.select("token", "weight"), "token")
-                .groupBy("batch", "d", "q")
-                .agg(F.sum(F.col("weight") * S.saturate(F.col("tf"), beta)).alias("score")))
-
-
-def _sparse_ce(scores: DataFrame, row: str, col: str, batch_sizes: DataFrame) -> DataFrame:
-    """Per (batch, row): log-sum-exp over all B columns with absent pairs = 0,
-    minus the diagonal score; and the argmax hit (lowest index on ties)."""
-    agg = scores.groupBy("batch", row).agg(
-        F.max("score").alias("_mx"), F.count(F.lit(1)).alias("_cnt"),
-        F.max(F.when(F.col(row) == F.col(col), F.col("score"))).alias("_diag"),
-        F.max_by(F.col(col), F.struct(F.round(F.col("score"), 9), -F.col(col))).alias("_arg"),
-        F.collect_set(col).alias("_present"))  # bounded by the batch size
-    agg = agg.join(batch_sizes, "batch")
-    m = F.when(F.col("_cnt") < F.col("B"), F.greatest(F.col("_mx"), F.lit(0.0))).otherwise(F.col("_mx"))
-    agg = agg.withColumn("_m", m)
-    sums = scores.join(agg.select("batch", row, "_m"), ["batch", row]).groupBy("batch", row).agg(
-        F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_se"))
-    j = agg.join(sums, ["batch", row])
-    lse = F.col("_m") + F.log(F.col("_se") + (F.col("B") - F.col("_cnt")) * F.exp(-F.col("_m")))
-    # the best absent candidate has score 0 and the lowest absent index
-    mex = F.array_min(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.col("B") - 1), F.col("_present")))
-    best_absent_wins = (F.col("_cnt") < F.col("B")) & (
-        (F.col("_mx") < 0) | ((F.col("_mx") == 0) & (mex < F.col("_arg"))))
-    arg = F.when(best_absent_wins, mex).otherwise(F.col("_arg"))
-    return j.select("batch", F.col(row).alias("i"), (lse - F.coalesce(F.col("_diag"), F.lit(0.0))).alias("ce"),
-                    (arg == F.col(row)).cast("double").alias("hit"))
-
-
 def lexical_batch_loss(pairs: DataFrame, weights: DataFrame, beta) -> DataFrame:
     """A7 + A9 per batch: CE over rows (docs) + CE over columns (queries), both
     averaged over the batch; accuracy = share of docs whose best query is their
-    own (a fraction, doc -> query, as the lexical trainer reports it).
-    Rows with no shared token at all are included through the zero rule."""
-    # scores are read by four aggregates (row / column maxima and sums): write once
-    sc = materialize(lexical_pair_scores(pairs, weights, beta))
-    bs = pairs.groupBy("batch").agg(F.count(F.lit(1)).cast("bigint").alias("B"))
-    rows_all = pairs.select("batch", F.col("pos").cast("bigint").alias("i"))
-    by_doc = _sparse_ce(sc, "d", "q", bs)
-    by_query = _sparse_ce(sc, "q", "d", bs)
-
-    def complete(part: DataFrame) -> DataFrame:
-        # a row without any scored pair: all B scores are 0 -> ce = ln B, argmax = index 0
-        full = rows_all.join(part, ["batch", "i"], "left").join(bs, "batch")
-        return full.select("batch", "i",
-                           F.coalesce("ce", F.log(F.col("B").cast("double"))).alias("ce"),
-                           F.coalesce("hit", (F.col("i") == 0).cast("double")).alias("hit"))
-
-    d = complete(by_doc).groupBy("batch").agg(F.avg("ce").alias("ce_d"), F.avg("hit").alias("acc"))
-    q = complete(by_query).groupBy("batch").agg(F.avg("ce").alias("ce_q"))
-    return d.join(q, "batch").select("batch", (F.col("ce_d") + F.col("ce_q")).alias("loss"), "acc")
+    own (a fraction, doc -> query, as the lexical trainer reports it)."""
+    # read by two aggregates: written once
+    return batch_scores.batch_loss(materialize(batch_scores.block_pass(pairs, weights, float(beta))))

@@ -188,7 +188,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, *, doc_id: s
     # semi-join on the (size-checked) query-token list, so only those tokens'
     # partial counts cross the shuffle -- not the whole vocabulary
     qw = bm25_query_weights(qt, idf_table(p, stats.n_docs, qt) if idf is None else idf)
-    return top_k_per_key(_others(score(p, qw, bm25_doc_term(stats), small), exclude_self), k)
+    return top_k_per_key(without_own(score(p, qw, bm25_doc_term(stats), small), exclude_self), k)
 
 
 def written_postings(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", doc_title: str | None = None,
@@ -198,15 +198,16 @@ def written_postings(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str =
     return materialize(postings_from_tokens(doc_tokens(corpus, doc_id, doc_text, doc_title, lower, normalize, max_len), True))
 
 
-def _others(scored: DataFrame, exclude_self: bool) -> DataFrame:
+def without_own(scored: DataFrame, exclude_self: bool) -> DataFrame:
     """Scored pairs without a query's own document (ids compared as strings)."""
     return scored.filter(F.col("query_id").cast("string") != F.col("doc_id").cast("string")) if exclude_self else scored
 
 
-def _with_zeros(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def with_zeros(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Scored pairs plus the unscored documents (score 0) that can reach the top
     k: for a query with s scored documents, the first unscored ones are among
     the first s + k by id, so no more than that many are looked at."""
+    scored = _materialize(scored)
     need = (queries.select("query_id").distinct()
             .join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("s"),
                                                  F.sum((F.col("score") > 0).cast("int")).alias("up")), "query_id", "left")
@@ -233,8 +234,8 @@ def learned_search(corpus: DataFrame, queries: DataFrame, weights: DataFrame, be
     scored = score(p, learned_query_weights(qt, weights), learned_doc_term(beta), query_side_is_small(qt))
     if fill_zero:
         # one more, in case the query's own document is left out
-        scored = _with_zeros(_materialize(scored), queries.select(F.col(query_id).alias("query_id")), p, k + 1)
-    return top_k_per_key(_others(scored, exclude_self), k)
+        scored = with_zeros(scored, queries.select(F.col(query_id).alias("query_id")), p, k + 1)
+    return top_k_per_key(without_own(scored, exclude_self), k)
 
 
 def build_idf(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -250,5 +251,5 @@ def build_idf(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         offs = corpus.select(F.col(id_col).alias("doc_id"), (F.lit(offset) if isinstance(offset, int) else offset).alias("_off"))
         toks = toks.join(offs, "doc_id").withColumn("tokens", chunk(F.col("tokens"), F.col("_off"), chunk_length))
     pres = term_presence(toks, "doc_id", out_id="doc_id")
-    n = toks.agg(F.count(F.lit(1)).cast("double")).scalar()
+    n = corpus.agg(F.count(F.lit(1)).cast("double")).scalar()       # the texts are not read for it
     return pres.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", S.idf(n, F.col("df")))

@@ -85,33 +85,54 @@ def recall_report(recall: DataFrame, group_col: str = "file", ks: Sequence[int]
         lambda s: s["v"]), "\t").alias("values"))
 
 
+def with_occurrences(df: DataFrame, tokens_col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the tokens of a list with the number of the occurrence
+    each is (t#0, t#1, ...), so multisets become sets.  Linear in the list after
+    one sort: equal tokens stand together, and their runs are numbered."""
+    sorted_, starts = f"_{out}_sorted", f"_{out}_starts"
+    places = F.when(F.size(sorted_) > 0, F.sequence(F.lit(0), F.size(sorted_) - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+    run = lambda p, j: F.transform(
+        F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(sorted_)) - p - 1),
+        lambda n: F.concat_ws(T.RUN_SEP, F.get(sorted_, p), n.cast("string")))
+    return (df.withColumn(sorted_, F.sort_array(tokens_col)).withColumn(starts, first)
+              .withColumn(out, F.flatten(F.transform(starts, run))).drop(sorted_, starts))
+
+
 def common_tokens(a, b):
-    """Size of the multiset intersection of two token arrays, inside the row: the
-    i-th occurrence of a token is made a token of its own, then sets meet."""
-    def occurrences(x):
-        s = F.array_sort(x)
-        return F.transform(s, lambda t, i: F.concat_ws(T.RUN_SEP, t, (i - F.array_position(s, t)).cast("string")))
-    return F.size(F.array_intersect(occurrences(a), occurrences(b)))
+    """Size of the multiset intersection of two ``with_occurrences`` lists."""
+    return F.size(F.array_intersect(a, b))
+
+
+def token_bags(texts: DataFrame, key_cols: Sequence[str], text_col: str, prefix: str) -> DataFrame:
+    """(key..., <prefix>text, <prefix>n, <prefix>bag): a text after F4, the number
+    of its tokens and the tokens with their occurrences; once per text."""
+    base = texts.select(*key_cols, T.normalize_answer(F.col(text_col)).alias(prefix + "text"))
+    empty = F.array().cast("array<string>")
+    base = base.withColumn("_tokens", F.when(F.length(prefix + "text") == 0, empty).otherwise(F.split(prefix + "text", " ")))
+    return (with_occurrences(base, "_tokens", prefix + "bag").withColumn(prefix + "n", F.size("_tokens")).drop("_tokens"))
+
+
+def _f1(same, n_pred, n_truth):
+    prec, rec = same / n_pred, same / n_truth
+    return F.when(same == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
 
 
 def f1_pairs(pairs: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """F6 over (key..., pred, truth) rows: token-multiset F1 after F4, computed
     inside the row (no shuffle)."""
-    k = list(key_cols)
-    base = pairs.select(*k, T.answer_tokens(F.col("pred")).alias("pt"), T.answer_tokens(F.col("truth")).alias("tt"))
-    j = base.select(*k, common_tokens(F.col("pt"), F.col("tt")).alias("same"), F.size("pt").alias("np"), F.size("tt").alias("nt"))
-    prec = F.col("same") / F.col("np")
-    rec = F.col("same") / F.col("nt")
-    f1 = F.when(F.col("same") == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
-    return j.select(*k, f1.alias("f1"))
+    both = token_bags(token_bags(pairs, [*key_cols, "truth"], "pred", "p"), [*key_cols, "pn", "pbag"], "truth", "t")
+    return (both.select(*key_cols, "pn", "tn", common_tokens(F.col("pbag"), F.col("tbag")).alias("same"))
+                .select(*key_cols, _f1(F.col("same"), F.col("pn"), F.col("tn")).alias("f1")))
 
 
 def reader_scores(preds: DataFrame, truths: DataFrame) -> DataFrame:
     """Per prediction, max EM and max F1 over its ground truths.
 
-    preds: (pred_id, prediction); truths: (pred_id, truth_id, truth)."""
-    pairs = (preds.join(truths, "pred_id")
-                  .select("pred_id", "truth_id", F.col("prediction").alias("pred"), F.col("truth")))
-    em = T.exact_match(F.col("pred"), F.col("truth")).cast("int")
-    both = f1_pairs(pairs.withColumn("em", em), ["pred_id", "truth_id", "em"])
-    return both.groupBy("pred_id").agg(F.max("em").alias("em"), F.max("f1").alias("f1"))
+    preds: (pred_id, prediction); truths: (pred_id, truth_id, truth).  Every text
+    is normalised and counted once, before the join, whatever the pairs it is in."""
+    p = token_bags(preds, ["pred_id"], "prediction", "p")
+    t = token_bags(truths, ["pred_id"], "truth", "t")
+    both = p.join(t, "pred_id").select("pred_id", (F.col("ptext") == F.col("ttext")).cast("int").alias("em"), "pn", "tn",
+                                       common_tokens(F.col("pbag"), F.col("tbag")).alias("same"))
+    return both.groupBy("pred_id").agg(F.max("em").alias("em"), F.max(_f1(F.col("same"), F.col("pn"), F.col("tn"))).alias("f1"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexkit.functions import arrays as A
+from lexkit.functions import scoring as S
 from lexkit.functions import text as T
 from lexkit.functions.hashing import uniform
 from lexkit.operators.joins import bounded_broadcast
@@ -113,6 +114,54 @@ def sample_rows(draws: DataFrame, draw_id: str, corpus: DataFrame, coeff: float
     return picked.join(positions, ["dataset_id", "row_pos"]).select("draw_id", "dataset_id", "row_id")
 
 
+def crop_counts(draws: DataFrame, chunks: DataFrame, ratio_min: float, ratio_max: float, seed: int = DEFAULT_SEED,
+                tag: str = "k") -> DataFrame:
+    """Draws with replacement as multiplicities: (dataset_id, row_id, start, length,
+    times), how often a row was drawn with that crop (F12) of its chunk.
+
+    draws: (draw_id, dataset_id, row_id); chunks: (dataset_id, row_id, chunk).
+    Every draw crops by its own id.  A row drawn often has at most one row here
+    per crop its chunk has, whatever the number of draws; the counts combine
+    before the shuffle and no row of the corpus is copied."""
+    sizes = chunks.select("dataset_id", "row_id", F.size("chunk").alias("n"))
+    ratio = F.lit(float(ratio_min)) + F.lit(float(ratio_max - ratio_min)) * uniform(seed, tag + ":ratio", F.col("draw_id"))
+    length = F.floor(F.col("n").cast("double") * ratio).cast("bigint")
+    start = F.floor(uniform(seed, tag + ":start", F.col("draw_id")) * (F.col("n") - F.col("length") + 1)).cast("bigint")
+    return (draws.join(sizes, ["dataset_id", "row_id"]).withColumn("length", length).withColumn("start", start)
+                 .groupBy("dataset_id", "row_id", "start", "length").agg(F.count(F.lit(1)).alias("times")))
+
+
+def sampled_presence(corpus: DataFrame, offsets: DataFrame, chunk_length: int, ratio_min: float, ratio_max: float,
+                     batch_size: int, coeff: float = 0.0, seed: int = DEFAULT_SEED) -> DataFrame:
+    """R10 over one epoch of draws: (token, df), the number of draws whose crop
+    holds the token.  As many rows are drawn as the corpus has, in whole batches
+    of ``batch_size`` (R1 offset, R2 draw, P4 chunk, F12 crop, A2 presence).
+
+    corpus: (dataset_id, row_id, tokens), written: it is read for the sizes, the
+    positions and the chunks."""
+    n = corpus.count()
+    draws = corpus.sparkSession.range(n // batch_size * batch_size).withColumnRenamed("id", "draw_id")
+    chunks = materialize(corpus.join(bounded_broadcast(offsets.select("dataset_id", "offset")), "dataset_id")
+                         .select("dataset_id", "row_id", A.chunk(F.col("tokens"), F.col("offset"), chunk_length).alias("chunk")))
+    crops = crop_counts(sample_rows(draws, "draw_id", corpus, coeff, seed), chunks, ratio_min, ratio_max, seed)
+    seen = chunks.join(crops.filter("length > 0"), ["dataset_id", "row_id"]).select(
+        "times", F.slice("chunk", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("crop"))
+    return (seen.select("times", F.explode_outer(F.array_distinct("crop")).alias("token")).filter(F.col("token").isNotNull())
+                .groupBy("token").agg(F.sum("times").alias("df")))
+
+
+def sampled_idf(corpus: DataFrame, offsets: DataFrame, chunk_length: int, ratio_min: float, ratio_max: float,
+                batch_size: int, coeff: float = 0.0, seed: int = DEFAULT_SEED, pad_token=None) -> DataFrame:
+    """R10, the statistics job: (token, df, idf) of every token of the corpus from
+    one epoch of draws; tokens in no crop, and a padding token (P7), have df 0."""
+    df = sampled_presence(corpus, offsets, chunk_length, ratio_min, ratio_max, batch_size, coeff, seed)
+    if pad_token is not None:
+        df = df.filter(F.col("token") != F.lit(pad_token))
+    tokens = corpus.select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull()).distinct()
+    n = corpus.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return (tokens.join(df, "token", "left").na.fill(0, ["df"]).withColumn("idf", S.idf(n, F.col("df"))))
+
+
 def shuffle_order(df: DataFrame, key_col: str, seed: int = DEFAULT_SEED, out: str = "order_pos") -> DataFrame:
     """A repeatable random permutation (hash order, key breaks ties)."""
     return ordered_index(df.withColumn("_u", uniform(seed, "shuffle", F.col(key_col))),

@@ -4,19 +4,17 @@ The model is one weight per vocabulary token plus one saturation scalar beta:
     S[d, q] = sum over shared tokens t of w_t * tf/(tf + e^beta)   (J1 + F9)
 with the symmetric in-batch loss of ``contrastive.lexical_batch_loss`` (A7).
 
-One optimisation step is a handful of Spark jobs:
-* contribution rows (batch doc d, batch query q, token t) from an equi-join on
-  (batch, token) -- at most B^2 pairs per batch;
-* the score, the row / column log-sum-exp (zero rule for absent pairs) and
-  G = dL/dS for present pairs -- grouped aggregates;
-* dL/dw_t = sum G * sat(tf), dL/dbeta = sum G * w_t * dsat/dbeta -- grouped sums;
-* AdamW over the whole weight table (decay, moments and bias correction apply to
-  every token, as a dense optimizer does) -- one projection of weights LEFT JOIN
-  gradients.
-Pairs absent from the sparse table (no shared token) have dS/dw = 0, so the
-sparse gradient is exact.  The weight table is written to the checkpoint
+One optimisation step is two writes: the blocked pass over the batch
+(``batch_scores``), which gives loss and gradients without a row per (document,
+query, token), and AdamW over the whole weight table (decay, moments and bias
+correction apply to every token, as a dense optimizer does), one projection of
+weights LEFT JOIN gradients.
+
+The pairs are written sorted by batch, so a step reads the row groups of its
+batch and not the whole table.  The weight table is written to the checkpoint
 folder after every step, so lineage never grows with the loop and a lost
-executor never forces a replay of earlier steps.
+executor never forces a replay of earlier steps; tables of earlier steps are
+removed.
 """
 
 from __future__ import annotations
@@ -30,7 +28,8 @@ from pyspark.sql import functions as F
 
 from lexkit.functions import schedules as SCH
 from lexkit.functions.hashing import uniform
-from lexkit.session import materialize
+from lexkit.operators import batch_scores
+from lexkit.session import discard, materialize, written
 
 # Optimizer defaults of the reference trainer.
 ADAM_BETA1, ADAM_BETA2, ADAM_EPS, WEIGHT_DECAY = 0.9, 0.98, 1e-6, 0.01
@@ -45,6 +44,7 @@ class LexicalModel:
     step: int = 0
     log: list = field(default_factory=list)
     options: dict = field(default_factory=dict)     # schedule of the run that saved it
+    path: str | None = None       # written weights of the latest step
 
 
 def init_model(vocab: DataFrame, seed: int = 0) -> LexicalModel:
@@ -57,36 +57,10 @@ def init_model(vocab: DataFrame, seed: int = 0) -> LexicalModel:
 
 
 def step_gradients(pairs: DataFrame, weights: DataFrame, beta: float):
-    """Loss, doc->query accuracy, dL/dw (token, g) and dL/dbeta for one set of
-    batches (pairs: batch, pos, q_tokens, k_tokens)."""
-    eb = math.exp(beta)
-    docs = (pairs.select("batch", F.col("pos").alias("d"), F.explode("k_tokens").alias("token"))
-                 .groupBy("batch", "d", "token").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    qs = pairs.select("batch", F.col("pos").alias("q"), F.explode(F.array_distinct("q_tokens")).alias("token"))
-    contrib = (docs.join(qs, ["batch", "token"]).join(weights.select("token", "weight"), "token")
-                   .withColumn("sat", F.col("tf") / (F.col("tf") + F.lit(eb)))
-                   .withColumn("dsat", -F.col("tf") * F.lit(eb) / F.pow(F.col("tf") + F.lit(eb), 2)))
-    contrib = materialize(contrib)
-    sc = contrib.groupBy("batch", "d", "q").agg(F.sum(F.col("weight") * F.col("sat")).alias("score"))
-    bs = pairs.groupBy("batch").agg(F.count(F.lit(1)).cast("bigint").alias("B"))
-
-    def lse(row: str) -> DataFrame:
-        a = sc.groupBy("batch", row).agg(F.max("score").alias("_mx"), F.count(F.lit(1)).alias("_cnt")).join(bs, "batch")
-        a = a.withColumn("_m", F.when(F.col("_cnt") < F.col("B"), F.greatest("_mx", F.lit(0.0))).otherwise(F.col("_mx")))
-        s = sc.join(a.select("batch", row, "_m"), ["batch", row]).groupBy("batch", row).agg(
-            F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_se"))
-        return a.join(s, ["batch", row]).select(
-            "batch", row, "B", (F.col("_m") + F.log(F.col("_se") + (F.col("B") - F.col("_cnt")) * F.exp(-F.col("_m"))))
-            .alias(f"lse_{row}"))
-
-    g = (sc.join(lse("d").drop("B"), ["batch", "d"]).join(lse("q"), ["batch", "q"])
-           .withColumn("G", ((F.exp(F.col("score") - F.col("lse_d")) - (F.col("d") == F.col("q")).cast("double"))
-                             + (F.exp(F.col("score") - F.col("lse_q")) - (F.col("d") == F.col("q")).cast("double")))
-                       / F.col("B")))
-    per = contrib.join(g.select("batch", "d", "q", "G"), ["batch", "d", "q"])
-    grad_w = per.groupBy("token").agg(F.sum(F.col("G") * F.col("sat")).alias("g"))
-    grad_b = per.agg(F.sum(F.col("G") * F.col("weight") * F.col("dsat"))).first()[0] or 0.0
-    return grad_w, float(grad_b)
+    """dL/dw (token, g) and dL/dbeta for one set of batches (pairs: batch, pos,
+    q_tokens, k_tokens)."""
+    _, grad_w, grad_b = batch_scores.loss_and_gradients(pairs, weights, beta)
+    return grad_w, grad_b
 
 
 def adamw(model: LexicalModel, grad_w: DataFrame, grad_b: float, lr: float) -> LexicalModel:
@@ -104,7 +78,8 @@ def adamw(model: LexicalModel, grad_w: DataFrame, grad_b: float, lr: float) -> L
     bv = ADAM_BETA2 * model.beta_v + (1 - ADAM_BETA2) * grad_b * grad_b
     beta = model.beta * (1 - lr * WEIGHT_DECAY)
     beta = beta - lr * (bm / c1) / (math.sqrt(bv / c2) + ADAM_EPS)
-    return LexicalModel(materialize(w), beta, bm, bv, t, model.log, model.options)
+    table, path = written(w)
+    return LexicalModel(table, beta, bm, bv, t, model.log, model.options, path)
 
 
 def lr_at(step: int, base_lr: float, warmup: int, total: int, scheduler: str = "linear", ratio: float = 0.0) -> float:
@@ -125,19 +100,24 @@ def train_lexical(pairs: DataFrame, model: LexicalModel, steps: int, base_lr: fl
 
     Logs (step, loss, acc, lr) per step; saves at step 1, every ``save_every``
     steps and at the end when ``save_dir`` is given (S9)."""
-    from lexkit.operators.contrastive import lexical_batch_loss
     total = total or steps
     model.options = {"base_lr": base_lr, "warmup": warmup, "total": total, "scheduler": scheduler, "lr_ratio": lr_ratio}
+    spark = pairs.sparkSession
+    pairs, pairs_path = written(pairs.select("batch", "pos", "q_tokens", "k_tokens").repartitionByRange("batch")
+                                     .sortWithinPartitions("batch"))
     n_batches = pairs.agg(F.max("batch")).first()[0] + 1
     for i in range(steps):
         b = pairs.filter(F.col("batch") == (i % n_batches))
         lr = lr_at(model.step, base_lr, warmup, total, scheduler, lr_ratio)
-        stats = lexical_batch_loss(b, model.weights, model.beta).first()
-        grad_w, grad_b = step_gradients(b, model.weights, model.beta)
+        stats, grad_w, grad_b = batch_scores.loss_and_gradients(b, model.weights, model.beta)
+        stats, before = stats.first(), model.path
         model = adamw(model, grad_w, grad_b, lr)
+        if before:
+            discard(spark, before)
         model.log.append((model.step, float(stats["loss"]), float(stats["acc"]), lr))
         if save_dir and (model.step == 1 or model.step % save_every == 0 or i == steps - 1):
             save_model(model, save_dir)
+    discard(spark, pairs_path)
     return model
 
 

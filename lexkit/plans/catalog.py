@@ -347,6 +347,7 @@ def rank_agreement(spark: SparkSession, sf: str) -> DataFrame:
 from lexkit.functions import arrays as A  # noqa: E402
 from lexkit.functions.hashing import uniform  # noqa: E402
 from lexkit.operators import sampling as SM  # noqa: E402
+from lexkit.operators.store import build_retriever, load_retriever, save_retriever  # noqa: E402
 from lexkit.operators import windows as W  # noqa: E402
 
 SEED = 17
@@ -428,6 +429,55 @@ def dataset_draws(spark: SparkSession, sf: str) -> DataFrame:
     return SM.sample_rows(docs, "row_id", docs, 0.5, SEED)
 
 
+SAMPLED_BATCH = 64
+
+
+def _sampled_idf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = td.table(spark, sf, "documents")
+    corpus = materialize(docs.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("row_id"),
+                                     L.analyze(F.col("text")).alias("tokens")))
+    offs = SM.epoch_offsets(corpus, [1], CHUNK_LENGTH, SEED)
+    return SM.sampled_idf(corpus, offs, CHUNK_LENGTH, CROP[0], CROP[1], SAMPLED_BATCH, 0.0, SEED)
+
+
+@register("idf_sampled")
+def idf_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics job over one epoch of draws: as many draws as documents
+    (whole batches), each a dataset (source), a row, the epoch's chunk and a crop;
+    df counts the crops that hold a token."""
+    return _sampled_idf(spark, sf).select("token", "df", _r6(F.col("idf")).alias("idf"))
+
+
+@register("stored_bm25_eval")
+def stored_bm25_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """S8 + V6 + V7: the sampled IDF is written, read back as the weights of a BM25
+    retriever, the retriever is saved, loaded by kind, searched and evaluated."""
+    root = _scratch(spark, "store")
+    RD.write_idf(_sampled_idf(spark, sf), f"{root}/idf")
+    weights = RD.read_idf(spark, f"{root}/idf").select("token", F.col("idf").alias("weight"))
+    save_retriever(build_retriever(td.corpus(spark, sf), "bm25", weights, doc_title="title"), f"{root}/retriever")
+    m = R.evaluate_retriever(load_retriever(spark, f"{root}/retriever", "bm25"), td.queries(spark, sf), td.qrels(spark, sf),
+                             EVAL_K_VALUES)
+    return m.select("metric", F.col("k").cast("bigint").alias("k"), _r6(F.col("value")).alias("value"))
+
+
+@register("trained_eval")
+def trained_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """R8 + S9 + V6 + V7: the lexical model is trained over one epoch and saved, the
+    saved step is loaded into a learned retriever, which is saved, loaded by kind,
+    searched and evaluated; the run is written and read back (S10)."""
+    root = _scratch(spark, "trained")
+    _trained(spark, sf, f"{root}/model")
+    model = TR.load_model(spark, f"{root}/model")
+    save_retriever(build_retriever(td.corpus(spark, sf), "learned", model.weights, model.beta, doc_title="title"),
+                   f"{root}/retriever")
+    qrels = td.qrels(spark, sf)
+    judged = td.queries(spark, sf).join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    RD.write_run(load_retriever(spark, f"{root}/retriever", "learned").search(judged, max(EVAL_K_VALUES)), f"{root}/run")
+    m = M.evaluate(spark.read.parquet(f"{root}/run"), qrels, EVAL_K_VALUES)
+    return m.select("metric", F.col("k").cast("bigint").alias("k"), _r6(F.col("value")).alias("value"))
+
+
 @register("shuffle_order")
 def shuffle_order(spark: SparkSession, sf: str) -> DataFrame:
     """Repeatable random order of all documents."""
@@ -600,14 +650,21 @@ TRAIN_LR, TRAIN_WARMUP = 0.01, 12
 def train_lexical_log(spark: SparkSession, sf: str) -> DataFrame:
     """One epoch of the learned lexical scorer, an AdamW step per crop-pair batch
     (iterative; rows-only check).  Returns the training log (S12)."""
+    return TR.training_log(spark, _trained(spark, sf))
+
+
+def _trained(spark: SparkSession, sf: str, save_dir: str | None = None) -> TR.LexicalModel:
+    """One epoch over the crop pairs of all documents."""
     pairs, _ = _lexical_pairs(spark, sf)
     vocab = pairs.select(F.explode("k_tokens").alias("token")).unionByName(
         pairs.select(F.explode("q_tokens").alias("token"))).distinct()
     model = TR.init_model(vocab, SEED)
     steps = pairs.select("batch").distinct().count()
     if steps:
-        model = TR.train_lexical(pairs, model, steps, TRAIN_LR, TRAIN_WARMUP, total=steps)
-    return TR.training_log(spark, model)
+        model = TR.train_lexical(pairs, model, steps, TRAIN_LR, TRAIN_WARMUP, total=steps, save_dir=save_dir)
+    elif save_dir:
+        TR.save_model(model, save_dir)
+    return model
 
 
 @register("lr_schedule")

@@ -332,7 +332,7 @@ FROM avgk JOIN idxk USING (list_id, k) JOIN inv USING (list_id)"""
 
 from lexkit.functions.hashing import sql_uniform as U  # noqa: E402
 from lexkit.plans.catalog import (  # noqa: E402
-    AUG_P, BOS, CHUNK_LENGTH, CROP, EOS, MASK_ID, PAD_BATCH, REPLACE_RANGE, SEED)
+    AUG_P, BOS, CHUNK_LENGTH, CROP, EOS, MASK_ID, PAD_BATCH, REPLACE_RANGE, SAMPLED_BATCH, SEED)
 
 TOKEN_CORPUS_CTES = f"""
 toks AS (SELECT source AS dataset_id, doc_id AS row_id, {_tok('lower(text)')} AS t FROM documents),
@@ -419,6 +419,43 @@ pos AS (SELECT source AS dataset_id, doc_id AS row_id, row_number() OVER (PARTIT
         FROM documents)
 SELECT draw_id, dataset_id, row_id FROM picked JOIN pos USING (dataset_id, row_pos)"""
 
+
+
+def _sampled_idf_sql() -> str:
+    """CTEs ending in sampled(token, df, idf): one epoch of draws, whole batches."""
+    lo, hi = CROP
+    ratio = f"({lo!r}::DOUBLE + {hi - lo!r}::DOUBLE * {U(SEED, 'k:ratio', 'draw_id')})"
+    return f"""{_SIZES},
+siv AS (SELECT dataset_id, n, sum(prob) OVER (ORDER BY dataset_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+        FROM {_probs_sql(0.0)}),
+siv2 AS (SELECT dataset_id, n, coalesce(lag(hi) OVER (ORDER BY dataset_id), 0e0) AS lo,
+                CASE WHEN row_number() OVER (ORDER BY dataset_id DESC) = 1 THEN 1e0 ELSE hi END AS hi FROM siv),
+sdraw AS (SELECT unnest(range((SELECT count(*) // {SAMPLED_BATCH} * {SAMPLED_BATCH} FROM documents))) AS draw_id),
+spick AS (SELECT draw_id, dataset_id, floor({U(SEED, 'row', 'draw_id')} * n)::BIGINT AS row_pos
+          FROM (SELECT draw_id, {U(SEED, 'dataset', 'draw_id')} AS u FROM sdraw) JOIN siv2 ON u >= lo AND u < hi),
+stok AS (SELECT source AS dataset_id, {_tok('lower(text)')} AS t,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_pos FROM documents),
+soff AS (SELECT dataset_id, floor({U(SEED, 'offset', 'dataset_id', '1')} * {CHUNK_LENGTH})::BIGINT AS "offset"
+         FROM (SELECT DISTINCT dataset_id FROM stok)),
+schunk AS (SELECT draw_id, list_slice(t, "offset" + 1, "offset" + {CHUNK_LENGTH}) AS chunk
+           FROM spick JOIN stok USING (dataset_id, row_pos) JOIN soff USING (dataset_id)),
+slen AS (SELECT *, floor(len(chunk)::DOUBLE * {ratio})::BIGINT AS length FROM schunk),
+scrop AS (SELECT draw_id, list_slice(chunk, st + 1, st + length) AS crop FROM
+          (SELECT *, floor({U(SEED, 'k:start', 'draw_id')} * (len(chunk) - length + 1))::BIGINT AS st FROM slen) WHERE length > 0),
+sdf AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT draw_id, unnest(crop) AS token FROM scrop) GROUP BY token),
+sampled AS (SELECT token, coalesce(df, 0) AS df,
+                   ln(1e0 + ((SELECT count(*) FROM documents) - coalesce(df, 0) + 0.5e0) / (coalesce(df, 0) + 0.5e0)) AS idf
+            FROM (SELECT DISTINCT unnest(t) AS token FROM stok) LEFT JOIN sdf USING (token))"""
+
+
+ORACLE["idf_sampled"] = f"""WITH {_sampled_idf_sql()}
+SELECT token, df::BIGINT AS df, round(idf, 6) AS idf FROM sampled"""
+
+ORACLE["stored_bm25_eval"] = f"""WITH {_sampled_idf_sql()},
+{_metrics_sql(bm25_run(1000, _JUDGED_ONLY), _EVAL_KS).replace(f"SELECT qt.query_id, qt.token, {IDF} AS weight FROM qt JOIN dft USING (token), st",
+                                                              "SELECT qt.query_id, qt.token, sampled.idf AS weight FROM qt JOIN sampled USING (token)")}
+SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM metrics"""
+
 ORACLE["shuffle_order"] = f"""SELECT doc_id, (row_number() OVER (ORDER BY {U(SEED, 'shuffle', 'doc_id')}, doc_id) - 1)::BIGINT AS order_pos
 FROM documents"""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexkit.operators import lexical as L
 from lexkit.operators.joins import bounded_broadcast
 from lexkit.operators import metrics as M
+from lexkit.operators.store import Retriever
 from lexkit.session import materialize
 
 
@@ -35,6 +36,15 @@ def retrieve_and_evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFram
     return M.evaluate(run, qrels, k_values)
 
 
+def evaluate_retriever(retriever: Retriever, queries: DataFrame, qrels: DataFrame,
+                       k_values: Sequence[int] = M.K_VALUES, exclude_self: bool = False) -> DataFrame:
+    """V7 with a stored retriever: its postings, weights and parameters as they
+    were saved; only judged queries are retrieved."""
+    judged = queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    run = materialize(retriever.search(judged, max(k_values), exclude_self).select("query_id", "doc_id", "score"))
+    return M.evaluate(run, qrels, k_values)
+
+
 def evaluate_multi(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, dataset_col: str,
                    k_values: Sequence[int] = M.K_VALUES, *, doc_title: str | None = "title",
                    expected_members: int | None = None) -> tuple[DataFrame, DataFrame]:
