@@ -19,14 +19,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexkit.functions import scoring as S
 from lexkit.functions.arrays import chunk
 from lexkit.functions import text as T
 from lexkit.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
-from lexkit.operators.windows import ordered_index, top_k_per_key
+from lexkit.operators.windows import assign_batches, ordered_index, top_k_per_key
 from lexkit.session import materialize as _materialize
 
 
@@ -198,6 +198,27 @@ def written_postings(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str =
     return materialize(postings_from_tokens(doc_tokens(corpus, doc_id, doc_text, doc_title, lower, normalize, max_len), True))
 
 
+def batch_average_length(corpus: DataFrame, posts: DataFrame, batch_size: int, doc_id: str = "doc_id", doc_text: str = "text",
+                         doc_title: str | None = None) -> DataFrame:
+    """A5, batch scope: (doc_id, avgdl), the mean length of the batch a document is
+    encoded in.  Batches of ``batch_size`` follow the texts' length, longest first."""
+    chars = F.coalesce(F.length(T.title_text(doc_title, doc_text) if doc_title else F.col(doc_text)), F.lit(0))
+    order = corpus.select(F.col(doc_id).alias("doc_id"), chars.alias("chars"))
+    batches = assign_batches(order, batch_size, [F.col("chars").desc(), F.col("doc_id")])
+    lengths = batches.join(posts.groupBy("doc_id").agg(F.first("dl").alias("dl")), "doc_id")
+    return lengths.select("doc_id", F.avg("dl").over(Window.partitionBy("batch")).alias("avgdl"))   # bounded by batch_size
+
+
+def bm25_batch_search(corpus: DataFrame, queries: DataFrame, k: int, batch_size: int, doc_title: str | None = None) -> DataFrame:
+    """BM25 whose average length is that of a document's batch (A5, batch scope)."""
+    p = written_postings(corpus, doc_title=doc_title)
+    lengths = _materialize(batch_average_length(corpus, p, batch_size, doc_title=doc_title))
+    terms = query_terms(queries)
+    qw = bm25_query_weights(terms, idf_table(p, corpus_stats(p).n_docs, terms))
+    factor = S.bm25_tf(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return top_k_per_key(score(p.join(lengths, "doc_id"), qw, factor, query_side_is_small(terms)), k)
+
+
 def without_own(scored: DataFrame, exclude_self: bool) -> DataFrame:
     """Scored pairs without a query's own document (ids compared as strings)."""
     return scored.filter(F.col("query_id").cast("string") != F.col("doc_id").cast("string")) if exclude_self else scored

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexkit.functions import text as T
+from lexkit.operators.joins import bounded_broadcast
 from lexkit.session import materialize
 
 
@@ -33,6 +34,25 @@ def passage_hits(ctxs: DataFrame, answers: DataFrame, decompose: bool = True) ->
     return pairs.groupBy("question_id", "ctx_pos").agg(F.bool_or(hit).alias("hit"))
 
 
+def retrieved_hits(run: DataFrame, docs: DataFrame, answers: DataFrame, decompose: bool = True) -> DataFrame:
+    """J10 over a ranking: (question_id, ctx_pos, hit) for run rows (question_id,
+    ctx_pos, doc_id) and documents (doc_id, text).
+
+    A document is read and tokenised once, however many questions retrieved it;
+    the run with its answers meets it in place (broadcast if it is small enough),
+    and only flags are shuffled."""
+    a = answers.select("question_id", T.qa_tokens(F.col("answer"), decompose).alias("_at"))
+    a = a.select("question_id", F.size("_at").alias("_alen"), T.token_run(F.col("_at")).alias("_arun"))
+    asked = materialize(run.select("question_id", "ctx_pos", "doc_id").join(a, "question_id", "left"))
+    wanted = bounded_broadcast(asked.select("doc_id").distinct())
+    d = docs.join(wanted, "doc_id", "left_semi").select(
+        "doc_id", F.col("text").isNull().alias("_null"), T.token_run(T.qa_tokens(F.col("text"), decompose)).alias("_run"))
+    hit = (~F.col("_null")) & F.col("_alen").isNotNull() & (
+        (F.col("_alen") == 0) | (F.instr(F.col("_run"), F.col("_arun")) > 0))
+    return (d.join(bounded_broadcast(asked), "doc_id")
+             .groupBy("question_id", "ctx_pos").agg(F.bool_or(hit).alias("hit")))
+
+
 def top_k_hits(hits: DataFrame, width: str = "max", group_cols=(), questions: DataFrame | None = None) -> DataFrame:
     """(k, hits, recall) for k = 1..width: number of questions whose first
     hit is at position <= k.  ``width='max'`` uses the longest passage list;

@@ -54,6 +54,19 @@ QRELS_CTE = f"qrels AS ({QRELS_SELECT})"
 ORACLE["bm25_top10"] = f"""WITH {bm25_run(10)}
 SELECT query_id, doc_id, round(score, 6) AS score, rank::BIGINT AS rank FROM run"""
 
+ORACLE["bm25_block_max"] = f"""WITH {bm25_run(10).replace("qt AS (SELECT DISTINCT item_id AS query_id, unnest(" + _tok('lower(text)') + ") AS token FROM benchmark)",
+    "qt AS (SELECT DISTINCT query_id, unnest(" + _tok('lower(text)') + """) AS token FROM (SELECT 'b' || item_id::VARCHAR AS query_id, text FROM benchmark
+      UNION ALL SELECT 'c:' || conv_id::VARCHAR || ':' || turn::VARCHAR, text FROM conversations WHERE role = 'user'))""")}
+SELECT query_id, doc_id, round(score, 6) AS score, rank::BIGINT AS rank FROM run"""
+
+ORACLE["bm25_batch_avgdl"] = f"""WITH {bm25_run(10).replace("/ st.avgdl)", "/ bl.avgdl)").replace("JOIN dl USING (doc_id), st GROUP", "JOIN dl USING (doc_id) JOIN bl USING (doc_id), st GROUP").replace("\nst AS (", """
+bl AS (
+  SELECT doc_id, avg(dl) OVER (PARTITION BY r // 128) AS avgdl FROM (SELECT c.doc_id, dl.dl, row_number() OVER (
+    ORDER BY coalesce(length(CASE WHEN length(title) > 0 THEN title || ' ' || text ELSE text END), 0) DESC, c.doc_id) - 1 AS r
+    FROM corpus c JOIN dl USING (doc_id))),
+st AS (""", 1)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank::BIGINT AS rank FROM run"""
+
 ORACLE["qrels_contains"] = f"""WITH {QRELS_CTE} SELECT query_id, doc_id, relevance::INTEGER AS relevance FROM qrels"""
 
 ORACLE["term_frequency"] = f"""WITH {BASE_CTES}
@@ -300,6 +313,11 @@ cosv AS (SELECT dots.vec_id, dots.label, dot, dot / (vnorm * cnorm) AS cos FROM
 ORACLE["label_centroids"] = f"""WITH {VEC_CTES}
 SELECT label::BIGINT AS label, dim::BIGINT AS dim, round(value, 6) AS value FROM cent"""
 
+ORACLE["masked_pooling"] = f"""WITH {VEC_CTES},
+sq AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, dim, x, (vec_id % 4 <> 3 AND (vec_id // 16) % 5 <> 4) AS used FROM ev)
+SELECT seq::BIGINT AS seq, dim::BIGINT AS dim, round(arg_min(x, pos), 6) AS first,
+       round(avg(x) FILTER (used), 6) AS mean, round(avg(x) FILTER (used), 6) AS grouped FROM sq GROUP BY seq, dim"""
+
 ORACLE["vector_cosine"] = f"""WITH {VEC_CTES}
 SELECT vec_id, round(dot, 6) AS dot, round(cos, 6) AS cos, round(cos, 6) AS cos_normed FROM cosv"""
 
@@ -332,7 +350,8 @@ FROM avgk JOIN idxk USING (list_id, k) JOIN inv USING (list_id)"""
 
 from lexkit.functions.hashing import sql_uniform as U  # noqa: E402
 from lexkit.plans.catalog import (  # noqa: E402
-    AUG_P, BOS, CHUNK_LENGTH, CROP, EOS, MASK_ID, PAD_BATCH, REPLACE_RANGE, SAMPLED_BATCH, SEED)
+    AUG_P, BOS, CHUNK_LENGTH, CROP, EOS, MASK_ID, PAD_BATCH, PQ_BITS, PQ_M, PQ_ROUNDS, REPLACE_RANGE,
+    SAMPLED_BATCH, SEED)
 
 TOKEN_CORPUS_CTES = f"""
 toks AS (SELECT source AS dataset_id, doc_id AS row_id, {_tok('lower(text)')} AS t FROM documents),
@@ -421,6 +440,35 @@ SELECT draw_id, dataset_id, row_id FROM picked JOIN pos USING (dataset_id, row_p
 
 
 
+def _pq_sql() -> str:
+    """CTEs of the codebooks c0..cR of all sub-spaces, the codes and the scores."""
+    k = 2 ** PQ_BITS
+    width = f"((SELECT count(DISTINCT dim) FROM ev) // {PQ_M})"
+    def near(i: int) -> str:
+        return f"""SELECT vec_id, sub, code FROM (SELECT vec_id, sub, code,
+      row_number() OVER (PARTITION BY vec_id, sub ORDER BY round(d, 9), code) AS rn FROM
+      (SELECT sv.vec_id, sv.sub, c.code, sum((sv.x - c.v) * (sv.x - c.v)) AS d FROM sv JOIN c{i} c USING (sub, j) GROUP BY ALL))
+      WHERE rn = 1"""
+    ctes = [f"sv AS MATERIALIZED (SELECT vec_id, dim // {width} AS sub, dim % {width} AS j, x FROM ev)",
+            f"""start AS MATERIALIZED (SELECT vec_id, rn - 1 AS code FROM (SELECT vec_id, row_number() OVER (
+      ORDER BY {U(SEED, 'pq', 'vec_id')}, vec_id) AS rn FROM embeddings) WHERE rn <= {k})""",
+            "c0 AS MATERIALIZED (SELECT sub, code, j, x AS v FROM sv JOIN start USING (vec_id))"]
+    for i in range(PQ_ROUNDS):
+        ctes += [f"a{i} AS MATERIALIZED ({near(i)})",
+                 f"""c{i + 1} AS MATERIALIZED (SELECT c.sub, c.code, c.j, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN
+      (SELECT sub, code, j, avg(x) AS v FROM a{i} JOIN sv USING (vec_id, sub) GROUP BY ALL) n USING (sub, code, j))"""]
+    return ",\n".join([*ctes, f"codes AS MATERIALIZED ({near(PQ_ROUNDS)})",
+                       f"""lut AS (SELECT cent.label AS query_id, c.sub, c.code, sum(cent.value * c.v) AS ip
+      FROM (SELECT label, dim // {width} AS sub, dim % {width} AS j, value FROM cent) cent JOIN c{PQ_ROUNDS} c USING (sub, j) GROUP BY ALL),
+pqs AS (SELECT query_id, vec_id, sum(ip) AS score FROM codes JOIN lut USING (sub, code) GROUP BY ALL)"""])
+
+
+ORACLE["pq_search"] = f"""WITH {VEC_CTES},
+{_pq_sql()}
+SELECT query_id::BIGINT AS query_id, vec_id::VARCHAR AS vec_id, rank::BIGINT AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pqs) WHERE rank <= 10"""
+
+
 def _sampled_idf_sql() -> str:
     """CTEs ending in sampled(token, df, idf): one epoch of draws, whole batches."""
     lo, hi = CROP

@@ -56,8 +56,8 @@ def test_pq_with_enough_codes_is_exact(spark):
     queries = spark.createDataFrame([(100 + j, [float(x) for x in rng.normal(size=8)]) for j in range(3)],
                                     "query_id long, vec array<double>")
     book = V.pq_train(vecs, 2, bits=3, seed=1)   # 8 codes >= 6 distinct sub-vectors
-    codes = V.pq_encode(vecs, book, 2)
-    pq = {(r["query_id"], r["vec_id"]): r["score"] for r in V.pq_search(queries, codes, book, 2, 6).collect()}
+    codes = V.pq_encode(vecs, book)
+    pq = {(r["query_id"], r["vec_id"]): r["score"] for r in V.pq_search(queries, codes, book, 6).collect()}
     exact = {(r["query_id"], int(r["vec_id"])): r["score"] for r in V.flat_ip_search(queries, vecs, 6).collect()}
     assert set(pq) == set(exact)
     for k, v in exact.items():
