@@ -86,7 +86,7 @@ def normalize_text(text) -> Column:
 @F.pandas_udf(StringType())
 def nfd(s: pd.Series) -> pd.Series:
     """Unicode canonical decomposition (Arrow-batched; no SQL built-in exists)."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFD", x))
 
 
 def simple_tokenize(text, uncased: bool = True) -> Column:

@@ -45,8 +45,9 @@ def retrieved_hits(run: DataFrame, docs: DataFrame, answers: DataFrame, decompos
     a = a.select("question_id", F.size("_at").alias("_alen"), T.token_run(F.col("_at")).alias("_arun"))
     asked = materialize(run.select("question_id", "ctx_pos", "doc_id").join(a, "question_id", "left"))
     wanted = bounded_broadcast(asked.select("doc_id").distinct())
-    d = docs.join(wanted, "doc_id", "left_semi").select(
-        "doc_id", F.col("text").isNull().alias("_null"), T.token_run(T.qa_tokens(F.col("text"), decompose)).alias("_run"))
+    # written: compiled code would put the tokenizer into the loop over a document's questions
+    d = materialize(docs.join(wanted, "doc_id", "left_semi").select(
+        "doc_id", F.col("text").isNull().alias("_null"), T.token_run(T.qa_tokens(F.col("text"), decompose)).alias("_run")))
     hit = (~F.col("_null")) & F.col("_alen").isNotNull() & (
         (F.col("_alen") == 0) | (F.instr(F.col("_run"), F.col("_arun")) > 0))
     return (d.join(bounded_broadcast(asked), "doc_id")
