@@ -82,23 +82,12 @@ class Encoder:
 
     A byte-level BPE never joins a non-space character with the space after it,
     so a text splits before every such space without changing its ids.  Each
-    distinct piece is encoded once a batch; texts with white space before a
+    distinct piece of a slice is encoded once; texts with white space before a
     space are encoded as they are.  The special token's string in a text is that
     token, and the text on both sides of it is encoded by itself."""
 
-    KEEP = 300_000
-
     def __init__(self, name: str = VOCABULARY):
         self.encode = encoding(name)
-        self.known: dict[str, list[int]] = {}
-
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        if len(self.known) > self.KEEP:
-            self.known.clear()
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        known.update(zip(new, self.encode(new), strict=True))
-        return [known[p] for p in pieces]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids per text)."""
@@ -112,9 +101,9 @@ class Encoder:
         opens = np.zeros(len(flat), bool)
         opens[first] = True
         coded = flat.filter(pa.array(~opens)).dictionary_encode()
-        table = self.pieces(pc.binary_join_element_wise(" ", coded.dictionary, "").to_pylist())
+        table = self.encode(pc.binary_join_element_wise(" ", coded.dictionary, "").to_pylist())
         lead = [e if w is None else w for e, w in zip(
-            self.pieces(flat.filter(pa.array(opens)).to_pylist()),
+            self.encode(flat.filter(pa.array(opens)).to_pylist()),
             self._whole(texts, whole), strict=True)]
         table, size = table + lead, len(table)
         code = np.empty(len(flat), np.int64)
