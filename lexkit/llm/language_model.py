@@ -14,7 +14,8 @@ rows.
 Counting without a row per token: documents are grouped into memory-sized
 chunks; a chunk sends, per range of n-gram hashes, one block of its sorted
 distinct n-grams with their counts (combined before the shuffle, so a frequent
-n-gram is no hot key).  A range adds up all blocks and answers each chunk with
+n-gram is no hot key).  Rows are dealt by their place in the table, so a row
+repeated often is spread over all chunks.  A range adds up all blocks and answers each chunk with
 a block of corpus counts in the chunk's own order.  The chunk, grouped again
 with its answers, scores its texts.  What is gathered grows with the corpus; no
 vocabulary or count table is ever collected or broadcast.
@@ -25,7 +26,7 @@ scale) whose size does not grow with the corpus; the EM runs over that grid.
 Defined cases: null and empty texts have the end as their only token; a null id
 is a training row; repeated rows count as often as they occur; without training
 rows all counts are 0; an empty table gives an empty table; whole texts are
-read; words are hashed to 64 bits.
+read; corpus counts are 64 bits wide; ``docs`` is a stored table; words are hashed to 64 bits.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexkit.llm.blocks import numbers, pack_sorted, planes, unpack_sorted
-from lexkit.llm.common import crc_mod, documents
+from lexkit.llm.common import crc_mod, documents, free_names, numbered
 from lexkit.llm.flatwords import U64, Words, mix
 from lexkit.session import shuffle_partitions, written
 
@@ -74,8 +75,8 @@ class Chunk:
     def events(self, answers: pa.Table, column: str, n_docs: int) -> tuple[np.ndarray, ...]:
         """Per token: count of the token, of its bigram and of its context."""
         groups, blocks = answers.column("g").to_numpy(), answers.column(column)
-        parts = [numbers(blocks[int(i)].as_py(), np.uint32) for i in np.argsort(groups)]
-        table = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        parts = [numbers(blocks[int(i)].as_py(), np.uint64) for i in np.argsort(groups)]
+        table = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         m = len(self.keys[0])
         one = table[:m][self.at[0]].astype(np.int64)
         two = table[m:][self.at[1]].astype(np.int64)
@@ -116,7 +117,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     base_score, score."""
     spark = docs.sparkSession
     fold = crc_mod("doc_id", FOLDS)
-    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    row, = free_names(docs, "_row")
+    src = numbered(docs, row).select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                                     F.col(row).alias("row"))
     src = src.withColumn("kind", F.when(fold == SCORED_FOLD, SCORED).when(fold == DELETED_FOLD, DELETED).otherwise(KEPT))
     size, n_docs, n_kept = src.agg(F.sum(F.octet_length("text")), F.sum((F.col("kind") != SCORED).cast("int")),
                                    F.sum((F.col("kind") == KEPT).cast("int"))).first()
@@ -126,7 +129,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     few = -(-chunks // (FOLDS - 2))        # chunks of the two folds of their own
     many = F.when(F.col("kind") == KEPT, F.lit(chunks)).otherwise(F.lit(few))
     start = F.when(F.col("kind") == KEPT, F.lit(0)).when(F.col("kind") == DELETED, F.lit(chunks)).otherwise(F.lit(chunks + few))
-    src = src.withColumn("chunk", (start + F.pmod(F.xxhash64("doc_id", "text"), many)).cast("bigint"))
+    src = src.withColumn("chunk", (start + F.pmod(F.xxhash64("row"), many)).cast("bigint")).drop("row")
     bits = max(int(np.ceil(np.log2(max(size / 8 / RANGE_KEYS, partitions, 2)))), 1)
     shift, ranges = U64(64 - bits), 1 << bits
 
@@ -148,8 +151,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         n = np.concatenate([numbers(x.as_py(), np.uint32) for x in t.column("n")]).astype(float)
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         of = np.repeat(kinds, length)
-        kept = np.bincount(at, n * (of == KEPT), len(distinct)).astype(np.uint32)
-        every = np.bincount(at, n * (of != SCORED), len(distinct)).astype(np.uint32)
+        kept = np.bincount(at, n * (of == KEPT), len(distinct)).astype(np.uint64)
+        every = np.bincount(at, n * (of != SCORED), len(distinct)).astype(np.uint64)
         first = t.column("g")[0].as_py() < ranges
         cuts = np.cumsum(length)[:-1]
         zero = np.zeros(len(keys), np.int64)
