@@ -6,6 +6,11 @@ A stage is (name, function); the function takes (spark, docs, sf_dir) and gives
 the documents it keeps, which are written as Parquet and read again by the next
 one.  All but the last stage return the columns of ``documents``; the last one
 returns a row per packed piece.
+
+Defined cases, for every stage: documents with null or empty texts are clean, have
+no lines and link with nothing, and the mix leaves them out; null ids and sources
+are kept like others; repeated rows are copies, of which one stays; an empty
+table gives an empty one; texts are read whole.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
-    return packing.pack(docs).drop("ids")
+    """Pieces of the packed sequences with their token ids (little-endian, 32 bits):
+    the mix repeats and cuts documents, so only the ids tell what was packed."""
+    return packing.pack(docs)
 
 
 STAGES = [
