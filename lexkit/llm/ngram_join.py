@@ -51,7 +51,7 @@ from lexkit.session import materialize, shuffle_partitions, written
 WORDS = 5
 NUM, DEN = 3, 4             # similarity of at least NUM / DEN
 CHUNK_ROWS = 1000
-RANGE_KEYS = 1 << 20
+RANGE_KEYS = 1 << 19
 SPARE_BITS = 7              # hash bits beyond those that number all shingles
 LEADERS = 2
 LIST_ROWS = 8192            # longest list scanned in one piece
