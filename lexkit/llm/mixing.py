@@ -35,6 +35,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_ROWS = 4096
+COPIES = 65_536             # copies of one row numbered by one task
 SEED = 97
 EPS = 1e-9
 
@@ -132,7 +133,7 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = SEED
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
     cur = units.withColumn("blocks", blocks.cast("bigint")).withColumn(
         "block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy"), F.col("blocks")))
-    schema = "doc_id bigint, copy int, source string, size bigint, pi double, blocks bigint, block bigint"
+    schema = "doc_id bigint, copy bigint, source string, size bigint, pi double, blocks bigint, block bigint"
     settled: list[DataFrame] = []
     level = 0
     while True:
@@ -153,6 +154,20 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = SEED
     return out
 
 
+def numbered_copies(rows: DataFrame, most: int = COPIES) -> DataFrame:
+    """``rows`` (doc_id, source, size, m) as m units with copy = 1 .. m each, so no
+    two equal rows share a draw.  A row that occurs more than ``most`` times is
+    first cut into ranges of that many copies, which are dealt to all tasks."""
+    one = ["doc_id", "source", "size"]
+    few = rows.filter(F.col("m") <= most).select(*one, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("copy"))
+    last = F.expr(f"(m - 1) div {most}")
+    ranges = rows.filter(F.col("m") > most).select(*one, "m", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("range")) \
+                 .repartition("doc_id", "source", "size", "range")
+    many = ranges.select(*one, F.explode(F.sequence(F.col("range") * most + 1,
+                                                    F.least(F.col("m"), (F.col("range") + 1) * most))).alias("copy"))
+    return few.unionByName(many)
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
         weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """One row per document: key, source, size, source_size, target, taken.
@@ -161,9 +176,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     rows = materialize(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"),
                                    word_count(text).alias("size"))
                            .groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
-    # equal rows become numbered copies, so none of them shares a draw with another
-    units = rows.select("doc_id", "source", "size",
-                        F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy"))
+    units = numbered_copies(rows)
     targets = materialize(source_targets(units, weights, share, most))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target", "n")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

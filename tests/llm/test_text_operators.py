@@ -182,6 +182,26 @@ def test_mix_in_many_blocks(spark):
     assert abs(sum(r["pi"] * r["size"] for r in out) - want) < 1e-3
 
 
+def test_copies_of_a_row_repeated_often_are_numbered_in_ranges(spark):
+    grouped = spark.createDataFrame([(1, "a", 3, 25), (2, None, 4, 10), (None, "a", 0, 1), (3, "b", 5, 11)],
+                                    "doc_id long, source string, size long, m long")
+    got = [tuple(r) for r in mixing.numbered_copies(grouped, most=10).collect()]
+    want = [(d, s, z, i) for d, s, z, m in map(tuple, grouped.collect()) for i in range(1, m + 1)]
+    assert Counter(got) == Counter(want)
+
+
+def test_entries_of_a_slice_are_the_words_and_their_beginnings():
+    import pyarrow as pa
+    w = Words(pa.array(["Abcdefgh ab. abcde", None, "abcde"]))
+    lists = [(kind, doc.tolist(), h.tolist()) for kind, doc, h in toxicity._entry_lists(w)]
+    assert [k for k, _, _ in lists] == [0] + [1] * len(toxicity.PREFIX_BYTES)
+    assert lists[0][1] == [0, 0, 0, 2] and lists[0][2][2] == lists[0][2][3]
+    assert lists[1][1] == [0, 0, 2] and len(set(lists[1][2])) == 1      # abcd, three times
+    lexicons = [[np.sort(np.array(lists[0][2][2:3], np.uint64))], [np.sort(np.array(lists[1][2][:1] + lists[4][2], np.uint64))]]
+    hits = toxicity.hit_counts(pa.array(["Abcdefgh ab. abcde", None, "abcde"]), lexicons)
+    assert hits.tolist() == [[1, 3, 3], [0, 0, 0], [1, 1, 1]]
+
+
 def test_apply_mix_takes_what_mix_says(docs):
     mixed = mixing.mix(docs)
     out = mixing.apply_mix(docs, mixed)
