@@ -49,16 +49,15 @@ TIER_WORDS = 4096                 # most entries of one lexicon
 LABELLED_ROWS = 200_000           # labelled rows that are learnt from
 SAMPLE_ROWS = 40_000              # training rows of the classifier
 EM_ROUNDS = 40
+COUNT_BYTES = 8 << 20             # text whose entries are counted together
 KINDS = 2                         # words, beginnings
 
 
-def _prefix_hashes(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+def _prefix_hashes(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word numbers, hash) of the words longer than n bytes, per n."""
-    out = []
     for n in PREFIX_BYTES:
         at = np.flatnonzero(w.end - w.start > n)
-        out.append((at, w.spans(w.start[at], w.start[at] + n) + U64(n)))
-    return out
+        yield at, w.spans(w.start[at], w.start[at] + n) + U64(n)
 
 
 def _letters_only(w: Words) -> np.ndarray:
@@ -71,11 +70,12 @@ def _letters_only(w: Words) -> np.ndarray:
     return w.spans(w.start, end)
 
 
-def _entries(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per kind, (row number, entry hash) of every occurrence."""
-    starts = _prefix_hashes(w)
-    return [(w.doc, _letters_only(w)),
-            (np.concatenate([w.doc[a] for a, _ in starts]), np.concatenate([h for _, h in starts]))]
+def _entry_lists(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, row numbers, entry hashes) of every occurrence: the words, then
+    the beginnings of each length."""
+    yield 0, w.doc, _letters_only(w)
+    for at, h in _prefix_hashes(w):
+        yield 1, w.doc[at], h
 
 
 def entry_counts(labelled: DataFrame) -> DataFrame:
@@ -84,10 +84,11 @@ def entry_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 16 << 20):
+            for part in text_slices(batch, "text", COUNT_BYTES):
                 w = Words(part.column("text"))
                 y = part.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
-                for kind, (doc, h) in enumerate(_entries(w)):
+                # one length of beginnings at a time: only its entries are sorted and held
+                for kind, doc, h in _entry_lists(w):
                     order = np.lexsort((h, doc))
                     doc, h = doc[order], h[order]
                     new = np.ones(len(h), bool)
@@ -132,9 +133,11 @@ def _hits(doc: np.ndarray, h: np.ndarray, lexicon: np.ndarray, rows: int) -> np.
 def hit_counts(texts: pa.Array, lexicons: list[list[np.ndarray]]) -> np.ndarray:
     """Rows x (kinds * tiers + 1): occurrences of each lexicon, and words."""
     w = Words(texts)
-    columns = [_hits(doc, h, lexicon, len(texts))
-               for (doc, h), tiers in zip(_entries(w), lexicons, strict=True) for lexicon in tiers]
-    return np.stack([*columns, w.counts.astype(float)], 1)
+    columns = [np.zeros((len(texts), len(tiers))) for tiers in lexicons]
+    for kind, doc, h in _entry_lists(w):
+        for i, lexicon in enumerate(lexicons[kind]):
+            columns[kind][:, i] += _hits(doc, h, lexicon, len(texts))
+    return np.concatenate([*columns, w.counts.astype(float)[:, None]], 1)
 
 
 def features(hits: np.ndarray) -> np.ndarray:
