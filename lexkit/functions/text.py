@@ -1,18 +1,15 @@
 """Text functions as JVM-side column expressions.
 
-Everything here is built from ``pyspark.sql.functions`` so it stays inside
-whole-stage code generation; only ``nfd`` needs Python (there is no Unicode
-normalisation function in Spark SQL) and it is an Arrow-batched pandas UDF.
+Everything here is built from ``pyspark.sql.functions``, so the rows stay in
+the JVM; F2 (``nfd``) is in ``decompose.py``.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from lexkit.functions.decompose import nfd
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference behaviour exactly).
@@ -83,12 +80,6 @@ def normalize_text(text) -> Column:
     return out
 
 
-@F.pandas_udf(StringType())
-def nfd(s: pd.Series) -> pd.Series:
-    """Unicode canonical decomposition (Arrow-batched; no SQL built-in exists)."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFD", x))
-
-
 def simple_tokenize(text, uncased: bool = True) -> Column:
     """array of tokens (runs of letters/digits/marks, or one other visible char)."""
     t = _c(text)

@@ -192,12 +192,23 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.md5(n).alias("norm_md5"), F.length(n).cast("bigint").alias("n_chars"))
 
 
+#: Stand-ins of ``nfd_decompose``: one mark, two marks, marks in the wrong order, two Hangul forms.
+ACCENTED = [("a", "\u00e1"), ("e", "\u1ec1"), ("i", "\u00ef\u0323"), ("o", "\u01ed"), ("u", "\u01d6"),
+            ("q", "q\u0307\u0323"), (".", "\ud558"), (",", "\uac01")]
+
+
 @register("nfd_decompose")
 def nfd_decompose(spark: SparkSession, sf: str) -> DataFrame:
-    """canonical decomposition of every conversation turn (rows-only check)."""
-    c = td.table(spark, sf, "conversations")
-    n = T.nfd(F.col("text"))
-    return c.select("conv_id", "turn", F.length(n).cast("bigint").alias("n_chars_nfd"))
+    """canonical decomposition of every conversation turn.
+
+    The given turns are plain, so accented letters, Hangul syllables and marks out
+    of order are put in for letters and stops first."""
+    t = F.col("text")
+    for plain, accented in ACCENTED:
+        t = F.replace(t, F.lit(plain), F.lit(accented))
+    c = td.table(spark, sf, "conversations").select("conv_id", "turn", t.alias("text"))
+    n = T.nfd("text")
+    return c.select("conv_id", "turn", F.length(n).cast("bigint").alias("n_chars_nfd"), F.md5(n).alias("nfd_md5"))
 
 
 @register("simple_tokenize")

@@ -232,6 +232,31 @@ def sql_token_run(toks: str) -> str:
 
 assert RUN_SEP == chr(1)
 
+#: The Latin-1 letters of each combining mark, and their bases.
+LATIN_MARKS = [(0x300, "\u00c0\u00c8\u00cc\u00d2\u00d9\u00e0\u00e8\u00ec\u00f2\u00f9", "AEIOUaeiou"),
+               (0x301, "\u00c1\u00c9\u00cd\u00d3\u00da\u00dd\u00e1\u00e9\u00ed\u00f3\u00fa\u00fd", "AEIOUYaeiouy"),
+               (0x302, "\u00c2\u00ca\u00ce\u00d4\u00db\u00e2\u00ea\u00ee\u00f4\u00fb", "AEIOUaeiou"),
+               (0x303, "\u00c3\u00d1\u00d5\u00e3\u00f1\u00f5", "ANOano"),
+               (0x308, "\u00c4\u00cb\u00cf\u00d6\u00dc\u00e4\u00eb\u00ef\u00f6\u00fc\u00ff", "AEIOUaeiouy"),
+               (0x30A, "\u00c5\u00e5", "Aa"), (0x327, "\u00c7\u00e7", "Cc")]
+
+
+def sql_nfd(x: str) -> str:
+    """Accents put in as ``nfd_decompose`` does, then decomposed form by form."""
+    steps = [("a", "\u00e1"), ("e", "\u1ec1"), ("i", "\u00ef\u0323"), ("o", "\u01ed"), ("u", "\u01d6"),
+             ("q", "q\u0307\u0323"), (".", "\ud558"), (",", "\uac01"),
+             ("\u1ec1", "e\u0302\u0300"), ("\u00ef\u0323", "i\u0323\u0308"), ("\u01ed", "o\u0328\u0304"),
+             ("\u01d6", "u\u0308\u0304"), ("q\u0307\u0323", "q\u0323\u0307"), ("\ud558", "\u1112\u1161"),
+             ("\uac01", "\u1100\u1161\u11a8")]
+    steps += [(c, b + chr(mark)) for mark, letters, bases in LATIN_MARKS for c, b in zip(letters, bases, strict=True)]
+    for a, b in steps:
+        x = f"replace({x}, {sql_str(a)}, {sql_str(b)})"
+    return x
+
+
+ORACLE["nfd_decompose"] = f"""SELECT conv_id, turn, length(n) AS n_chars_nfd, md5(n) AS nfd_md5
+FROM (SELECT conv_id, turn, {sql_nfd('text')} AS n FROM conversations)"""
+
 ORACLE["normalize_text"] = f"""SELECT doc_id, md5({sql_normalize_text('text')}) AS norm_md5,
   length({sql_normalize_text('text')})::BIGINT AS n_chars FROM documents"""
 
