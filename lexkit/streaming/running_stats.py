@@ -54,8 +54,19 @@ def run_to_table(stream_df: DataFrame, output_path: str, checkpoint_location: st
     q.awaitTermination()
 
 
-def _source(spark: SparkSession, folder: str, schema, file_glob: str | None, max_files_per_trigger: int = 1):
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def _source(spark: SparkSession, folder: str, schema, file_glob: str | None, max_files_per_trigger: int | None = None):
+    """The parquet files of ``folder`` that match ``file_glob``, or those of the table
+    folder of that name.  A micro-batch takes a file per core."""
+    n = max_files_per_trigger or max(1, spark.sparkContext.defaultParallelism)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", n)
+    if file_glob and _is_folder(spark, f"{folder.rstrip('/')}/{file_glob}"):
+        return r.parquet(f"{folder.rstrip('/')}/{file_glob}")
     if file_glob:
         r = r.option("pathGlobFilter", file_glob)
     return r.parquet(folder)
