@@ -78,3 +78,25 @@ def test_flat_search_matches_relational_form(spark):
     assert fast.keys() == slow.keys()
     for k in fast:
         assert fast[k] == pytest.approx(slow[k])
+
+
+def test_segments_take_the_steps_one_by_one(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    word = lambda: f"t{rng.integers(0, 30)}"
+    rows = [(b, i, [word() for _ in range(4)], [word() for _ in range(rng.integers(0, 9))]) for b in range(3) for i in range(4)]
+    pairs = spark.createDataFrame(rows, "batch long, pos long, q_tokens array<string>, k_tokens array<string>").coalesce(1)
+    vocab = spark.createDataFrame([(f"t{i}",) for i in range(40)], "token string").coalesce(1)
+    one = TR.init_model(vocab, 1)
+    for i in range(3):
+        stats, grad, by_beta = TR.batch_scores.loss_and_gradients(pairs.filter(F.col("batch") == i), one.weights, one.beta)
+        r = stats.first()
+        one.log.append(pytest.approx((i + 1, r["loss"], r["acc"], TR.lr_at(i, 0.05, 2, 3)), abs=1e-9))
+        one = TR.adamw(one, grad, by_beta, one.log[-1].expected[3])
+    # no jobs of its own for a step; two segments: batches of 4 + 4 and of 4 pairs
+    monkeypatch.setattr(TR.batch_scores, "loss_and_gradients", None)
+    monkeypatch.setattr(TR, "SEGMENT_PAIRS", 9)
+    got = TR.train_lexical(pairs, TR.init_model(vocab, 1), 3, 0.05, 2, save_dir=f"{tmp_path}/m", save_every=2)
+    state = lambda m: {r["token"]: (r["weight"], r["m"], r["v"]) for r in m.weights.collect()}
+    assert state(got) == {t: pytest.approx(x, abs=1e-9) for t, x in state(one).items()} and len(state(got)) == 40
+    assert got.log == one.log and [got.beta, got.beta_m, got.beta_v] == pytest.approx([one.beta, one.beta_m, one.beta_v], abs=1e-9)
+    assert sorted(r["step"] for r in spark.read.parquet(f"{tmp_path}/m/params").collect()) == [1, 2, 3]
