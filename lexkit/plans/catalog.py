@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexkit.functions import scoring as S
@@ -463,8 +463,11 @@ def augmentations(spark: SparkSession, sf: str) -> DataFrame:
     ids, _ = _token_corpus(spark, sf)
     key = F.col("row_id")
     x = F.col("input_ids")
-    b = W.assign_batches(ids, PAD_BATCH, [F.col("row_id")])
-    b = W.pad_width(b, "input_ids")
+    # batches are made of the rows' numbers and sizes; the lists stay where they are
+    ids = ids.withColumn("_n", F.monotonically_increasing_id())
+    widths = W.assign_batches(ids.select("_n", "row_id", F.size("input_ids").alias("size")), PAD_BATCH, [F.col("row_id"), F.col("_n")])
+    widths = widths.withColumn("width", F.max("size").over(Window.partitionBy("batch"))).select("_n", "width")
+    b = ids.join(bounded_broadcast(materialize(widths)), "_n")
     b = SM.shuffle_tokens_rows(b, "row_id", "input_ids", AUG_P, SEED, "shuf", "shuffled")
     return b.select(
         "row_id",

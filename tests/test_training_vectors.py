@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexkit.functions import arrays as A
 from lexkit.operators import contrastive as CT
+from lexkit.operators import sampling as SM
 from lexkit.operators import training as TR
 from lexkit.operators import vectors as V
 
@@ -100,3 +102,29 @@ def test_segments_take_the_steps_one_by_one(spark, monkeypatch, tmp_path):
     assert state(got) == {t: pytest.approx(x, abs=1e-9) for t, x in state(one).items()} and len(state(got)) == 40
     assert got.log == one.log and [got.beta, got.beta_m, got.beta_v] == pytest.approx([one.beta, one.beta_m, one.beta_v], abs=1e-9)
     assert sorted(r["step"] for r in spark.read.parquet(f"{tmp_path}/m/params").collect()) == [1, 2, 3]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_ids_are_made_without_a_row_per_occurrence(spark, monkeypatch):
+    monkeypatch.setattr(SM, "CHUNK_TOKENS", 5)
+    rows = [(1, "s", "b a b"), (2, "s", None), (3, None, "c a"), (4, "t", ""), (5, "t", "a , b c d e f g"), (1, "s", "a d"), (1, "t", "g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").coalesce(1)
+    ids, vocab = SM.token_id_corpus(docs, "source")
+    number = {r["token"]: r["id"] for r in vocab.collect()}
+    assert number == {t: i for i, t in enumerate([",", *"abcdefg"], 1)}
+    got = {(r["dataset_id"], r["row_id"]): [" ,abcdefg"[i] for i in r["input_ids"]] for r in ids.collect()}
+    # rows of one key make one row, in order of position
+    assert got == {("s", 1): list("abadb"), ("s", 2): [], (None, 3): list("ca"), ("t", 4): [], ("t", 5): list("a,bcdefg"), ("t", 1): ["g"]}
+    assert "Exchange" not in plan(ids) and "Generate" not in plan(ids)
+
+
+def test_elements_are_shuffled_in_their_row(spark):
+    rows = [(i, list(range(100 * i, 100 * i + 7 * i))) for i in range(6)] + [(None, [1, 2])]
+    df = spark.createDataFrame(rows, "row_id bigint, ids array<int>")
+    out = SM.shuffle_tokens_rows(df, "row_id", "ids", 0.6, 5, "s", "new")
+    assert "Exchange" not in plan(out)
+    both = out.withColumn("old", A.shuffle_tokens("ids", 0.6, 5, "s", F.col("row_id"))).collect()
+    assert all(r["new"] == (r["old"] if r["row_id"] is not None else []) for r in both) and any(r["new"] != r["ids"] for r in both)
