@@ -44,7 +44,7 @@ from lexkit.session import shuffle_partitions, written
 FOLDS = 7
 SCORED_FOLD = 2            # never learnt from
 DELETED_FOLD = 3           # training rows the mixture weights are learnt on
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 RANGE_KEYS = 2 << 20       # distinct n-grams of one range
 KEPT, DELETED, SCORED = 0, 1, 2
 BUCKETS = 44
@@ -69,7 +69,7 @@ class Chunk:
         for x in (self.tokens, mix(before * _STEP + self.tokens)):
             keys, at, n = np.unique(x, return_inverse=True, return_counts=True)
             self.keys.append(keys)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))        # a chunk has fewer tokens than that
             self.n.append(n)
 
     def events(self, answers: pa.Table, column: str, n_docs: int) -> tuple[np.ndarray, ...]:
