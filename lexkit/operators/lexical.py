@@ -45,6 +45,15 @@ def doc_tokens(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   .withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0))))
 
 
+def titled_tokens(toks: DataFrame, title_col: str = "title", lower: bool = True) -> DataFrame:
+    """(doc_id, tokens, dl) of P1(title, text) from (doc_id, title, tokens of the text):
+    the blank between title and text keeps their tokens apart."""
+    none = F.array().cast("array<string>")
+    both = F.concat(analyze(F.col(title_col), lower), F.coalesce(F.col("tokens"), none))
+    return (toks.select("doc_id", F.when(F.coalesce(F.length(title_col), F.lit(0)) > 0, both).otherwise(F.col("tokens")).alias("tokens"))
+                .withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0))))
+
+
 def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              title_col: str | None = None, lower: bool = True, normalize: bool = False,
              max_len: int | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ the kind of the scorer, its parameters (beta, text options, batch size of the
 average length) and the counts that the tables are checked against.
 
 Queries against a stored retriever read its postings through a table definition
-with the same buckets, so the scores of a (query, document) need no shuffle, in
-any session.
+with the same buckets, so the scores of a (query, document) of a learned one need
+no shuffle, in any session; a BM25 one is searched by block maxima.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexkit.operators import block_max as BM
 from lexkit.operators import lexical as L
 from lexkit.operators.windows import top_k_per_key
 from lexkit.session import shuffle_partitions
@@ -48,26 +49,34 @@ class Retriever:
     def search(self, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
         """(query_id, doc_id, score, rank) of queries (query_id, text)."""
         terms = L.query_terms(queries, **{o: self.options[o] for o in TEXT_OPTIONS if o in self.options})
-        factor = (L.bm25_doc_term(L.CorpusStats(F.lit(float(self.n_docs)), F.lit(self.avgdl))) if self.kind == "bm25"
-                  else L.learned_doc_term(self.beta))
-        scored = L.score(self.posts, L.learned_query_weights(terms, self.weights), factor, L.query_side_is_small(terms))
-        if self.kind == "learned":          # weights may be negative: unscored documents count 0
+        stats = L.CorpusStats(F.lit(float(self.n_docs)), F.lit(self.avgdl))
+        weights = L.learned_query_weights(terms, self.weights)
+        if self.kind == "bm25":
+            # one more, in case the query's own document is left out
+            scored = BM.scored_pairs(BM.block_index(self.posts, stats=stats), weights, k + 1)
+        else:                               # weights may be negative: unscored documents count 0
+            scored = L.score(self.posts, weights, L.learned_doc_term(self.beta), L.query_side_is_small(terms))
             scored = L.with_zeros(scored, queries, self.posts, k + 1)
         return top_k_per_key(L.without_own(scored, exclude_self), k)
 
 
 def build_retriever(corpus: DataFrame, kind: str, weights: DataFrame | None = None, beta: float = 0.0, *,
                     doc_title: str | None = None, lower: bool = True, normalize: bool = False,
-                    max_len: int | None = None) -> Retriever:
+                    max_len: int | None = None, toks: DataFrame | None = None) -> Retriever:
     """A retriever over (doc_id, [title,] text).  Without ``weights`` a BM25 retriever
     takes the IDF of its own postings; given ones may come from another corpus
-    (a sampled statistics job, S8)."""
+    (a sampled statistics job, S8).  With weights and the written tokens of the
+    corpus (``toks``: doc_id, tokens, dl) the postings are left to be written by
+    ``save_retriever``, once."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     if kind == "learned" and weights is None:
         raise ValueError("a learned retriever needs weights")
-    posts = L.written_postings(corpus, doc_title=doc_title, lower=lower, normalize=normalize, max_len=max_len)
-    lengths = posts.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    if toks is not None and weights is not None:
+        posts, docs = L.postings_from_tokens(toks, True), toks
+    else:
+        posts = docs = L.written_postings(corpus, doc_title=doc_title, lower=lower, normalize=normalize, max_len=max_len)
+    lengths = docs.groupBy("doc_id").agg(F.first("dl").alias("dl"))
     n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
     if weights is None:
         weights = L.idf_table(posts, F.lit(float(n))).select("token", F.col("idf").alias("weight"))

@@ -504,10 +504,13 @@ def dataset_draws(spark: SparkSession, sf: str) -> DataFrame:
 SAMPLED_BATCH = 64
 
 
-def _sampled_idf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = td.table(spark, sf, "documents")
-    corpus = materialize(docs.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("row_id"),
-                                     L.analyze(F.col("text")).alias("tokens")))
+def _written_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, title, source, tokens of the text), written."""
+    return materialize(td.corpus(spark, sf).select("doc_id", "title", "source", L.analyze(F.col("text")).alias("tokens")))
+
+
+def _sampled_idf(toks: DataFrame) -> DataFrame:
+    corpus = toks.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("row_id"), "tokens")
     offs = SM.epoch_offsets(corpus, [1], CHUNK_LENGTH, SEED)
     return SM.sampled_idf(corpus, offs, CHUNK_LENGTH, CROP[0], CROP[1], SAMPLED_BATCH, 0.0, SEED)
 
@@ -517,7 +520,7 @@ def idf_sampled(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics job over one epoch of draws: as many draws as documents
     (whole batches), each a dataset (source), a row, the epoch's chunk and a crop;
     df counts the crops that hold a token."""
-    return _sampled_idf(spark, sf).select("token", "df", _r6(F.col("idf")).alias("idf"))
+    return _sampled_idf(_written_tokens(spark, sf)).select("token", "df", _r6(F.col("idf")).alias("idf"))
 
 
 @register("stored_bm25_eval")
@@ -525,9 +528,11 @@ def stored_bm25_eval(spark: SparkSession, sf: str) -> DataFrame:
     """S8 + V6 + V7: the sampled IDF is written, read back as the weights of a BM25
     retriever, the retriever is saved, loaded by kind, searched and evaluated."""
     root = _scratch(spark, "store")
-    RD.write_idf(_sampled_idf(spark, sf), f"{root}/idf")
+    toks = _written_tokens(spark, sf)
+    RD.write_idf(_sampled_idf(toks), f"{root}/idf")
     weights = RD.read_idf(spark, f"{root}/idf").select("token", F.col("idf").alias("weight"))
-    save_retriever(build_retriever(td.corpus(spark, sf), "bm25", weights, doc_title="title"), f"{root}/retriever")
+    save_retriever(build_retriever(td.corpus(spark, sf), "bm25", weights, doc_title="title", toks=L.titled_tokens(toks)),
+                   f"{root}/retriever")
     m = R.evaluate_retriever(load_retriever(spark, f"{root}/retriever", "bm25"), td.queries(spark, sf), td.qrels(spark, sf),
                              EVAL_K_VALUES)
     return m.select("metric", F.col("k").cast("bigint").alias("k"), _r6(F.col("value")).alias("value"))

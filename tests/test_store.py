@@ -159,6 +159,26 @@ def test_block_max_search_hands_on_k_documents_of_a_cell(spark, monkeypatch):
     assert ranking(BM.block_max_search(posts, qs, 3, index=index)) == ranking(L.bm25_search(docs, qs.filter("query_id IS NOT NULL"), 3, posts=posts))
 
 
+def test_a_retriever_from_written_tokens_reads_no_text(spark, questions, tmp_path):
+    """Tokens of the text serve the titled corpus, too; BM25 is searched without a row per pair."""
+    rows = [(1, "A\u03a3 title", "w1 W2, w2"), (2, "", "w2 w7"), (3, None, "w3"), (4, "only", None), (5, None, None), (1, "A\u03a3 title", "w1 W2, w2")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, title string, text string")
+    toks = L.titled_tokens(docs.select("doc_id", "title", L.analyze(F.col("text")).alias("tokens")))
+    as_rows = lambda df: sorted(map(str, df.select("doc_id", "tokens", "dl").collect()))
+    assert as_rows(toks) == as_rows(L.doc_tokens(docs, title_col="title"))
+    weights = spark.createDataFrame([("w1", 2.0), ("w2", 0.0), ("w3", 1.0), ("w7", -1.0)], "token string, weight double")
+    fresh = build_retriever(docs, "bm25", weights, doc_title="title")
+    lazy = build_retriever(docs.select("doc_id"), "bm25", weights, toks=toks)
+    assert (lazy.n_docs, lazy.avgdl) == (fresh.n_docs, fresh.avgdl)
+    save_retriever(lazy, str(tmp_path / "t"))
+    loaded = load_retriever(spark, str(tmp_path / "t"), "bm25")
+    terms = L.learned_query_weights(L.query_terms(questions), weights)
+    every = L.score(fresh.posts, terms, L.bm25_doc_term(L.CorpusStats(F.lit(float(fresh.n_docs)), F.lit(fresh.avgdl))))
+    for exclude in (False, True):
+        want = ranking(L.top_k_per_key(L.without_own(every, exclude), 2))
+        assert want and ranking(loaded.search(questions, 2, exclude)) == ranking(fresh.search(questions, 2, exclude)) == want
+
+
 def test_average_length_of_a_batch(spark):
     docs = spark.createDataFrame([(i, "x " * (i % 5 + 1)) for i in range(10)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["avgdl"] for r in L.batch_average_length(docs, L.written_postings(docs), 4).collect()}
