@@ -92,9 +92,10 @@ def _bucket(token: Column) -> Column:
 
 
 def rarity_codes(lines: DataFrame) -> Column:
-    """Array of 2 ** 16 numbers, the logarithm of each bucket's count in the high
-    bits, as a literal (its size does not depend on the corpus).  Lines of under
-    five words are not counted: their token is alone in its set."""
+    """Array of 2 ** 16 small numbers, the logarithm of each bucket's count, as a
+    literal: its size does not depend on the corpus, but the driver keeps it in every
+    text of the plan, so it is as short as it can be.  Lines of under five words are
+    not counted: their token is alone in its set."""
     # one row per shingle inside the scan stage, where its hash is compiled code
     at = hashed_words(lines).select("h", F.explode_outer(F.when(F.size("h") >= WORDS, F.sequence(
         F.lit(0), F.size("h") - WORDS))).alias("i"))
@@ -103,15 +104,16 @@ def rarity_codes(lines: DataFrame) -> Column:
         F.floor(8 * F.log2(F.count(F.lit(1)) + 1)).alias("code"))
     codes = ["0"] * (1 << BUCKET_BITS)
     for b, code in seen.filter("b IS NOT NULL").collect():
-        codes[b] = str(code << (64 - BUCKET_BITS))
-    return F.split(F.lit(",".join(codes)), ",").cast("array<bigint>")
+        codes[b] = str(code)
+    return F.split(F.lit(",".join(codes)), ",").cast("array<smallint>")
 
 
 def classes(lines: DataFrame, codes: Column) -> DataFrame:
     """One row per distinct line with words: id, d1, d2, first (earliest
     occurrence), occurrences, n, prefix."""
     low = F.lit((1 << (64 - BUCKET_BITS)) - 1)
-    order = lambda t: F.get(codes, _bucket(t)) + t.bitwiseAND(low)
+    high = lambda t: F.shiftleft(F.get(codes, _bucket(t)).cast("bigint"), 64 - BUCKET_BITS)
+    order = lambda t: high(t) + t.bitwiseAND(low)
     n = F.size("tokens")
     ranked = token_sets(digested(lines)).select("doc_id", "row", "line_no", "d1", "d2", n.alias("n"), F.slice(
         F.sort_array(F.transform("tokens", order)), F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix"))

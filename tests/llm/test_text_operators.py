@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from fixtures import COLUMNS, rows, stored, words
+from pyspark.sql import functions as F
 
 from lexkit.llm import language_model, line_dedup, mixing, ngram_join, packing, sharding, substrings, toxicity
 from lexkit.llm.flatwords import WORD_PATTERN, Words, shingle_sets
@@ -262,6 +263,15 @@ def test_near_lines(spark):
     assert got == brute_lines(data) and len(got) > 20
 
 
+def test_line_dedup_plan_stays_short_when_every_bucket_is_counted(spark):
+    """The driver keeps many texts of a plan: the table of rarities must not fill them."""
+    rng = np.random.default_rng(3)
+    lines = [(i, " ".join(map(str, rng.integers(0, 10**6, 300))), "en", "s", 0, 1, "", 1, 1, "") for i in range(1500)]
+    codes = line_dedup.rarity_codes(line_dedup.lines_of(stored(spark, lines), "doc_id", "text"))
+    plan = spark.range(1).select(F.get(codes, F.col("id").cast("int")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 600_000
+
+
 def test_without_matches_keeps_clean_documents(docs, data):
     out = line_dedup.without_matches(docs)
     kept = out.collect()
