@@ -7,21 +7,24 @@ fewer words has one token, all its words.  Two lines match when the Jaccard simi
 token sets is at least 0.75; of a match the later line, by (document, line), is
 removed.
 
-1. Equal strings (by a 128-bit digest of the line) are one class with its
-   earliest occurrence; every other occurrence is a later match of that one.
-   Lines that differ in case or blanks only are classes with equal token sets.
-2. Tokens are ordered by rarity.  Rarity is the count, over the whole corpus, of
-   a token's hash bucket: a table of fixed size (2 ** 16 counts) that tells
-   common tokens, whatever the size of the corpus.  Any one order gives the same
-   result; this one puts tokens of very common passages last.
-3. Matching lines share one of their first n - ceil(0.75 n) + 1 tokens.  Prefix
-   tokens are counted (combined before the shuffle); a class lists itself under
-   those of its tokens that more than one class has.
-4. Every class is verified against the earliest class of its lists (length and
-   positional filter first).  A match settles it, so a group of thousands of
-   near copies costs a star of pairs and not all of them.
+1. Lines are written with the first n - ceil(0.75 n) + 1 of their tokens in the
+   order of the tokens' hashes.  Equal strings (by a 128-bit digest of the line)
+   are one class with its earliest occurrence; every other occurrence is a later
+   match of that one.  Lines that differ in case or blanks only are classes with
+   equal token sets.
+2. Any one order of tokens gives the same matches, and matching lines share one of
+   these first tokens.  They are counted (combined before the shuffle); a class
+   lists itself under those of its tokens that more than one class has.
+3. Very common passages come last: if a token is listed by more than HOT classes,
+   all tokens of these classes are counted by hash bucket (2 ** 16 counts, whatever
+   the size of the corpus), and tokens of buckets far above the mean go behind all
+   others.  Only prefixes with such a token change; they alone are made anew.
+4. Every class in a list of more than LONG is verified against the earliest class of
+   such lists (length and positional filter first).  A match settles it, so a group
+   of thousands of near copies costs a star of pairs and not all of them.
 5. Classes still unsettled meet every earlier class of their lists that passes
-   the filters; Jaccard is verified on the full token sets.
+   the filters, the last of which counts the tokens shared so far; Jaccard is
+   verified on the full token sets.
 
 The result names one earlier line that a removed line matches: the best of those
 it was verified against, not necessarily the best of all.  Links are not listed.
@@ -35,6 +38,7 @@ pass through.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +49,23 @@ from lexkit.session import materialize
 WORDS = 5
 NUM, DEN = 3, 4
 BUCKET_BITS = 16
+HOT = 512                   # longest list of a token that is not looked at again
+LONG = 16                   # longest list whose classes meet each other at once
 LEADERS = 2
+HASHES = {"parquet.enable.dictionary": "false"}     # hashes hardly repeat
 LAST = (1 << 63) - 1
 
 
 def _words(line: Column) -> Column:
     """Lower-cased words of a line (split at [\\x20\\x09-\\x0D])."""
-    for blank in ("\t", "\x0b", "\x0c", "\r"):
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(F.lower(line), " "), "")
+    blanks = ("\t", "\x0b", "\x0c", "\r")
+    plain = line
+    for blank in blanks:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    uneven = (line == "") | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in (*blanks, "  "):
+        uneven = uneven | F.contains(line, F.lit(blank))
+    return F.when(uneven, F.array_remove(F.split(F.lower(plain), " "), "")).otherwise(F.split(F.lower(line), " "))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -82,9 +94,10 @@ def hashed_words(lines: DataFrame) -> DataFrame:
 
 def token_sets(lines: DataFrame) -> DataFrame:
     """``lines`` with ``tokens``, their distinct shingle hashes (empty for a line without words)."""
-    some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WORDS), _shingle))
+    some = F.array_distinct(F.transform(F.slice("h", F.lit(1), F.size("h") - WORDS + 1), lambda w, i: F.xxhash64(
+        w, *[F.get("h", i + k) for k in range(1, WORDS)])))
     return hashed_words(lines).withColumn("tokens", F.when(F.size("h") >= WORDS, some).when(
-        F.size("h") > 0, F.array(F.xxhash64("h"))).otherwise(F.array().cast("array<bigint>")))
+        F.size("h") > 0, F.array(F.xxhash64("h"))).otherwise(F.array().cast("array<bigint>"))).drop("h")
 
 
 def _bucket(token: Column) -> Column:
@@ -92,34 +105,69 @@ def _bucket(token: Column) -> Column:
 
 
 def rarity_codes(lines: DataFrame) -> Column:
-    """Array of 2 ** 16 small numbers, the logarithm of each bucket's count, as a
-    literal: its size does not depend on the corpus, but the driver keeps it in every
-    text of the plan, so it is as short as it can be.  Lines of under five words are
-    not counted: their token is alone in its set."""
+    """Array of 2 ** 16 small numbers, how far each bucket's count is above the
+    mean (0: not above), as a literal: its size does not depend on the corpus, but
+    the driver keeps it in every text of the plan, so it is as short as it can be.
+    Lines of under five words are not counted: their token is alone in its set."""
     # one row per shingle inside the scan stage, where its hash is compiled code
     at = hashed_words(lines).select("h", F.explode_outer(F.when(F.size("h") >= WORDS, F.sequence(
         F.lit(0), F.size("h") - WORDS))).alias("i"))
     token = _shingle(F.col("i"))
-    seen = at.select(F.when(F.col("i").isNotNull(), _bucket(token)).alias("b")).groupBy("b").agg(
-        F.floor(8 * F.log2(F.count(F.lit(1)) + 1)).alias("code"))
-    codes = ["0"] * (1 << BUCKET_BITS)
-    for b, code in seen.filter("b IS NOT NULL").collect():
-        codes[b] = str(code)
-    return F.split(F.lit(",".join(codes)), ",").cast("array<smallint>")
-
-
-def classes(lines: DataFrame, codes: Column) -> DataFrame:
-    """One row per distinct line with words: id, d1, d2, first (earliest
-    occurrence), occurrences, n, prefix."""
-    low = F.lit((1 << (64 - BUCKET_BITS)) - 1)
-    high = lambda t: F.shiftleft(F.get(codes, _bucket(t)).cast("bigint"), 64 - BUCKET_BITS)
-    order = lambda t: high(t) + t.bitwiseAND(low)
+    seen = at.select(F.when(F.col("i").isNotNull(), _bucket(token)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    count = np.zeros(1 << BUCKET_BITS)
+    for b, c in seen.filter("b IS NOT NULL").collect():
+        count[b] = c
+    codes = np.maximum(np.floor(8 * np.log2((count + 1) / (count.mean() + HOT))), 0).astype(int)
+    return F.split(F.lit(",".join(map(str, codes))), ",").cast("array<smallint>")
+
+
+def _prefix(tokens: Column) -> Column:
     n = F.size("tokens")
-    ranked = token_sets(digested(lines)).select("doc_id", "row", "line_no", "d1", "d2", n.alias("n"), F.slice(
-        F.sort_array(F.transform("tokens", order)), F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix"))
-    return (ranked.groupBy("d1", "d2").agg(F.min(occurrence()).alias("first"), F.count(F.lit(1)).alias("occurrences"),
-                                           F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-                  .filter("n > 0").withColumn("id", F.monotonically_increasing_id()))
+    return F.slice(tokens, F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
+
+
+def first_tokens(lines: DataFrame) -> DataFrame:
+    """One row per line: first (its place), d1, d2, n, prefix, id; tokens in the
+    order of their hashes."""
+    ranked = token_sets(digested(lines)).select(occurrence().alias("first"), "d1", "d2", F.size("tokens").alias("n"),
+                                                _prefix(F.sort_array("tokens")).alias("prefix"))
+    return ranked.withColumn("id", F.monotonically_increasing_id())
+
+
+def copies_of(table: DataFrame) -> DataFrame:
+    """(first, kept): every later occurrence of an equal line, with the earliest one."""
+    # two numbers a row; the lines that occur once stay where they are
+    again = table.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("d1", "d2")
+    found = materialize(table.select("d1", "d2", "first").join(checked_broadcast(materialize(again)), ["d1", "d2"]))
+    kept = found.groupBy("d1", "d2").agg(F.min("first").alias("kept"))
+    return found.join(kept, ["d1", "d2"]).filter(F.col("first") != F.col("kept")).select("first", "kept")
+
+
+def shared_tokens(table: DataFrame) -> DataFrame:
+    """(token, m) of the prefix tokens that more than one class has."""
+    return materialize(table.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+                       .filter("m > 1"))
+
+
+def common_last(table: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
+    """``table`` with tokens of common buckets last.  A prefix without such a
+    token is the same in both orders; only the others are made anew."""
+    hit = (table.select("id", "first", F.explode("prefix").alias("token")).join(checked_broadcast(hot), "token")
+                .select("id", "first").distinct())
+    codes = rarity_codes(lines_at(lines, materialize(hit)))
+    code = lambda t: F.get(codes, _bucket(t))
+    table = materialize(table.withColumn("common", F.exists("prefix", lambda t: code(t) > 0)), **HASHES)
+    ranked = F.sort_array(F.transform("tokens", lambda t: F.struct(code(t).alias("code"), t.alias("token"))))
+    anew = token_sets(lines_at(lines, table.filter("common").select("id", "first"))).select(
+        "id", "first", F.size("tokens").alias("n"), F.transform(_prefix(ranked), lambda x: x["token"]).alias("prefix"))
+    return table.filter("NOT common").select("id", "first", "n", "prefix").unionByName(materialize(anew, **HASHES))
+
+
+def lines_at(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """``lines`` at the places (id, first) of a written table, with both columns."""
+    # few numbers a row; the lines themselves are not shuffled to meet them
+    at = places.select("id", "first", F.col("first.row").alias("row"), F.col("first.line").alias("line_no"))
+    return lines.join(checked_broadcast(at), ["row", "line_no"])
 
 
 def occurrence() -> Column:
@@ -131,65 +179,83 @@ def _length_ok(a: str, b: str) -> Column:
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
+def _need(na: str, nb: str) -> Column:
+    """Common tokens that two sets of these sizes need."""
+    return F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN))
+
+
 def _position_ok(na: str, pa: str, nb: str, pb: str) -> Column:
-    need = F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN))
-    return F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) >= need
+    return F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) >= _need(na, nb)
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose token sets reach the threshold."""
+    """The pairs (a, b, fa, fb) whose token sets reach the threshold, with similarity."""
     def side(x: str) -> DataFrame:
         return full.select(F.col("id").alias(x), F.col("tokens").alias("t" + x))
 
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    sized = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"), F.size("ta").alias("na"),
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    sized = both.select("a", "b", "fa", "fb", F.size(F.array_intersect("ta", "tb")).alias("common"), F.size("ta").alias("na"),
                         F.size("tb").alias("nb")).withColumn("either", F.col("na") + F.col("nb") - F.col("common"))
     return sized.filter(F.col("common") * DEN >= F.col("either") * NUM).select(
-        "a", "b", (F.col("common") / F.col("either")).alias("similarity"))
+        "a", "b", "fa", "fb", (F.col("common") / F.col("either")).alias("similarity"))
+
+
+def places_of(pairs: DataFrame) -> DataFrame:
+    """(id, first) of the classes in any pair."""
+    return pairs.select(F.col("a").alias("id"), F.col("fa").alias("first")).unionByName(
+        pairs.select(F.col("b").alias("id"), F.col("fb").alias("first"))).distinct()
 
 
 def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per removed line: doc_id, row, line_no, kept_doc_id, kept_row,
     kept_line_no, similarity (an earlier line that it matches)."""
     lines = lines_of(docs, key, text)
-    table = materialize(classes(lines, rarity_codes(lines)))
-    # tokens that more than one class has; the others list nobody
-    shared = materialize(table.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-                         .filter("m > 1").select("token"))
+    # written first: a filter would be pushed below the tokens and compute them again
+    every = materialize(first_tokens(lines), **HASHES).filter("n > 0")
+    # later occurrences of a class match its first one and leave the join
+    copies = materialize(copies_of(every))
+    place = [F.col("first.row").alias("row"), F.col("first.line").alias("line_no")]
+    table = (every.select("id", "first", "n", "prefix", *place)
+                  .join(checked_broadcast(copies.select(*place)), ["row", "line_no"], "left_anti").select("id", "first", "n", "prefix"))
+    shared = shared_tokens(table)
+    hot = shared.filter(F.col("m") > HOT).select("token")
+    if not hot.isEmpty():
+        table = common_last(table, lines, hot)
+        shared = shared_tokens(table)
+    # the tokens that one class has list nobody
     lists = materialize(table.select("id", "first", "n", F.posexplode("prefix").alias("pos", "token"))
                         .join(checked_broadcast(shared), "token"))
-    lead = materialize(lists.groupBy("token").agg(F.min(F.struct("first", "id", "n", "pos")).alias("x"))
-                       .select("token", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")))
-    star = (lists.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "token")
-                 .join(lead, "token").filter((F.col("a") != F.col("b")) & _length_ok("na", "nb") & _position_ok("na", "pa", "nb", "pb"))
-                 .groupBy("b", "a").agg(F.count(F.lit(1)).alias("shared"))
-                 .withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.col("shared").desc(), "a")))
-                 .filter(F.col("place") <= LEADERS).select("a", "b"))
+    lead = materialize(lists.filter(F.col("m") > LONG).groupBy("token").agg(F.min(F.struct("first", "id", "n", "pos")).alias("x"))
+                       .select("token", F.col("x.id").alias("a"), F.col("x.first").alias("fa"), F.col("x.n").alias("na"),
+                               F.col("x.pos").alias("pa")))
+    member = lists.select(F.col("id").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "token")
+    near_enough = _length_ok("na", "nb") & _position_ok("na", "pa", "nb", "pb")
+    star = (member.join(lead, "token").filter((F.col("a") != F.col("b")) & near_enough)
+                  .groupBy("b", "a", "fb", "fa").agg(F.count(F.lit(1)).alias("shared"))
+                  .withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.col("shared").desc(), "fa")))
+                  .filter(F.col("place") <= LEADERS).select("a", "b", "fa", "fb"))
     star = materialize(star)
-    # full token sets of the classes in any list, read again from their lines
-    wanted = lists.select("id").distinct().join(table.select("id", "first"), "id") \
-                  .select("id", F.col("first.row").alias("row"), F.col("first.line").alias("line_no"))
-    # three numbers a row; the lines themselves are not shuffled to meet them
-    wanted = checked_broadcast(materialize(wanted))
-    full = materialize(token_sets(lines.join(wanted, ["row", "line_no"])).select("id", "tokens"))
+    # full token sets of the classes in any pair, read again from their lines
+    seen = materialize(places_of(star))
+    full = materialize(token_sets(lines_at(lines, seen)).select("id", "tokens"), **HASHES)
     settled = materialize(verified(star, full))
-    open_ = (lists.join(settled.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-                  .select(F.col("id").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "token"))
+    open_ = member.join(settled.select("b").distinct(), "b", "left_anti")
     earlier = lists.select(F.col("id").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"), F.col("pos").alias("pa"), "token")
-    rest = (open_.join(earlier, "token")
-                 .filter((F.col("fa") < F.col("fb")) & _length_ok("na", "nb") & _position_ok("na", "pa", "nb", "pb"))
-                 .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    near = settled.unionByName(verified(rest, full)).groupBy("b").agg(
-        F.max(F.struct("similarity", F.negative("a").alias("a"))).alias("x")).select(
-        F.col("b").alias("id"), "x.similarity", F.negative("x.a").alias("a"))
-    near = (near.join(table.select("id", "first"), "id")
-                .join(table.select(F.col("id").alias("a"), F.col("first").alias("kept")), "a")
-                .select("first", "kept", "similarity"))
-    # later occurrences of a class match its first one
-    again = checked_broadcast(materialize(table.filter("occurrences > 1").select("d1", "d2", F.col("first").alias("kept"))))
-    copies = (digested(lines).select("d1", "d2", occurrence().alias("first")).join(again, ["d1", "d2"])
-              .filter(F.col("first") != F.col("kept")).select("first", "kept", F.lit(1.0).alias("similarity")))
-    out = near.unionByName(copies)
+    # at most all tokens after the last shared one, or after the prefix that ends first, are shared too
+    tail = lambda n: F.ceil(F.col(n) * NUM / DEN)
+    within = (F.col("c") - 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"),
+                                       F.greatest(tail("na"), tail("nb"))) >= _need("na", "nb"))
+    rest = (open_.join(earlier, "token").filter((F.col("fa") < F.col("fb")) & _length_ok("na", "nb"))
+                 .groupBy("a", "b", "fa", "fb", "na", "nb")
+                 .agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")).filter(within)
+                 .select("a", "b", "fa", "fb").join(star, ["a", "b"], "left_anti"))
+    rest = materialize(rest)
+    more = materialize(places_of(rest).join(seen, "id", "left_anti"))
+    full = full.unionByName(materialize(token_sets(lines_at(lines, more)).select("id", "tokens"), **HASHES))
+    near = settled.unionByName(verified(rest, full)).groupBy("b", "fb").agg(
+        F.max_by("fa", F.struct("similarity", F.negative("a"))).alias("kept"), F.max("similarity").alias("similarity")).select(
+        F.col("fb").alias("first"), "kept", "similarity")
+    out = near.unionByName(copies.withColumn("similarity", F.lit(1.0)))
     name = lambda c: F.when(F.col(c) == LAST, F.lit(None)).otherwise(F.col(c)).cast("bigint")
     return out.select(name("first.doc").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.line").alias("line_no"),
                       name("kept.doc").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"),

@@ -99,7 +99,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
-def materialize(df, bucket_by: str | None = None, buckets: int | None = None):
+def materialize(df, bucket_by: str | None = None, buckets: int | None = None, **options):
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back: the lineage is cut, every consumer scans compact columnar files,
     and a lost executor never forces recomputation of the inputs.
@@ -107,7 +107,8 @@ def materialize(df, bucket_by: str | None = None, buckets: int | None = None):
     With ``bucket_by`` the table is written bucketed on that column (as a
     catalog table located in the same folder), so later aggregates and joins
     keyed by it need no exchange.  Only a refusal of the catalog (analysis
-    error, before any row is computed) falls back to plain files."""
+    error, before any row is computed) falls back to plain files; ``options``
+    are the writer's, for plain files."""
     spark = df.sparkSession
     path = new_scratch(spark)
     if bucket_by:
@@ -119,5 +120,5 @@ def materialize(df, bucket_by: str | None = None, buckets: int | None = None):
             return spark.table(os.path.basename(path))
         except AnalysisException:
             path = path + "-plain"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
