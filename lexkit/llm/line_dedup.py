@@ -7,9 +7,11 @@ fewer words has one token, all its words.  Two lines match when the Jaccard simi
 token sets is at least 0.75; of a match the later line, by (document, line), is
 removed.
 
-1. Equal strings (by a 128-bit digest of the line) are one class with its
-   earliest occurrence; every other occurrence is a later match of that one.
-   Lines that differ in case or blanks only are classes with equal token sets.
+1. The text is read, split and hashed once: every line is written with its
+   digest and its tokens, and all later steps read those.  Equal strings (by a
+   128-bit digest of the line) are one class with its earliest occurrence; every
+   other occurrence is a later match of that one.  Lines that differ in case or
+   blanks only are classes with equal token sets.
 2. Tokens are ordered by rarity.  Rarity is the count, over the whole corpus, of
    a token's hash bucket: a table of fixed size (2 ** 16 counts) that tells
    common tokens, whatever the size of the corpus.  Any one order gives the same
@@ -40,13 +42,16 @@ from pyspark.sql import functions as F
 
 from lexkit.llm.common import checked_broadcast, documents, free_names, numbered
 from lexkit.operators.joins import MAX_BROADCAST_ROWS
-from lexkit.session import materialize
+from lexkit.session import discard, materialize, written
 
 WORDS = 5
 NUM, DEN = 3, 4
 BUCKET_BITS = 16
 LEADERS = 2
 LAST = (1 << 63) - 1
+TOKEN_BITS = 48
+# tokens hardly repeat; this version packs numbers into as many bits as they have
+PACKED = {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0"}
 
 
 def _words(line: Column) -> Column:
@@ -68,8 +73,13 @@ def digested(lines: DataFrame) -> DataFrame:
     return lines.withColumn("d1", F.xxhash64("line")).withColumn("d2", F.xxhash64(F.lit(7), "line"))
 
 
+def _token(*hashes: Column | str) -> Column:
+    """48 bits, so that the written tokens take three quarters of the disk."""
+    return F.shiftrightunsigned(F.xxhash64(*hashes), 64 - TOKEN_BITS)
+
+
 def _shingle(i: Column) -> Column:
-    return F.xxhash64(*[F.get("h", i + k) for k in range(WORDS)])
+    return _token(*[F.get("h", i + k) for k in range(WORDS)])
 
 
 def hashed_words(lines: DataFrame) -> DataFrame:
@@ -81,45 +91,55 @@ def hashed_words(lines: DataFrame) -> DataFrame:
 
 
 def token_sets(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``tokens``, their distinct shingle hashes (empty for a line without words)."""
+    """``lines`` with ``words``, their number, and ``tokens``, their distinct
+    shingle hashes (empty for a line without words)."""
     some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WORDS), _shingle))
-    return hashed_words(lines).withColumn("tokens", F.when(F.size("h") >= WORDS, some).when(
-        F.size("h") > 0, F.array(F.xxhash64("h"))).otherwise(F.array().cast("array<bigint>")))
+    none = F.slice(F.array(F.lit(0).cast("bigint")), 1, 0)
+    return hashed_words(lines).select("*", F.size("h").alias("words"), F.when(F.size("h") >= WORDS, some).when(
+        F.size("h") > 0, F.array(_token("h"))).otherwise(none).alias("tokens")).drop("h")
+
+
+def tokenised(lines: DataFrame) -> tuple[DataFrame, str]:
+    """The written table of all lines and its path: id, first (its place), d1, d2, words, n, tokens."""
+    sets = token_sets(digested(lines)).select(occurrence().alias("first"), "d1", "d2", "words", F.size("tokens").alias("n"), "tokens")
+    return written(sets.withColumn("id", F.monotonically_increasing_id()), **PACKED)
 
 
 def _bucket(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 64 - BUCKET_BITS).cast("int")
+    return F.shiftright(token, TOKEN_BITS - BUCKET_BITS).cast("int")
 
 
 def rarity_codes(lines: DataFrame) -> Column:
     """Array of 2 ** 16 small numbers, the logarithm of each bucket's count, as a
     literal: its size does not depend on the corpus, but the driver keeps it in every
     text of the plan, so it is as short as it can be.  Lines of under five words are
-    not counted: their token is alone in its set."""
-    # one row per shingle inside the scan stage, where its hash is compiled code
-    at = hashed_words(lines).select("h", F.explode_outer(F.when(F.size("h") >= WORDS, F.sequence(
-        F.lit(0), F.size("h") - WORDS))).alias("i"))
-    token = _shingle(F.col("i"))
-    seen = at.select(F.when(F.col("i").isNotNull(), _bucket(token)).alias("b")).groupBy("b").agg(
-        F.floor(8 * F.log2(F.count(F.lit(1)) + 1)).alias("code"))
+    not counted: their token is alone in its set.  ``lines`` may have their tokens."""
+    sets = lines if "tokens" in lines.columns else token_sets(lines)
+    seen = sets.filter(F.col("words") >= WORDS).select(F.explode("tokens").alias("token")).groupBy(
+        _bucket(F.col("token")).alias("b")).agg(F.floor(8 * F.log2(F.count(F.lit(1)) + 1)).alias("code"))
     codes = ["0"] * (1 << BUCKET_BITS)
-    for b, code in seen.filter("b IS NOT NULL").collect():
+    for b, code in seen.collect():
         codes[b] = str(code)
     return F.split(F.lit(",".join(codes)), ",").cast("array<smallint>")
 
 
-def classes(lines: DataFrame, codes: Column) -> DataFrame:
-    """One row per distinct line with words: id, d1, d2, first (earliest
-    occurrence), occurrences, n, prefix."""
-    low = F.lit((1 << (64 - BUCKET_BITS)) - 1)
-    high = lambda t: F.shiftleft(F.get(codes, _bucket(t)).cast("bigint"), 64 - BUCKET_BITS)
-    order = lambda t: high(t) + t.bitwiseAND(low)
-    n = F.size("tokens")
-    ranked = token_sets(digested(lines)).select("doc_id", "row", "line_no", "d1", "d2", n.alias("n"), F.slice(
-        F.sort_array(F.transform("tokens", order)), F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix"))
-    return (ranked.groupBy("d1", "d2").agg(F.min(occurrence()).alias("first"), F.count(F.lit(1)).alias("occurrences"),
-                                           F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-                  .filter("n > 0").withColumn("id", F.monotonically_increasing_id()))
+def copies_of(sets: DataFrame) -> DataFrame:
+    """(id, first, kept): every later occurrence of an equal line, with the earliest one."""
+    again = (sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("occurrences"))
+                 .filter("occurrences > 1").select("d1", "d2", "kept"))
+    return (sets.select("id", "d1", "d2", "first").join(checked_broadcast(materialize(again)), ["d1", "d2"])
+                .filter(F.col("first") != F.col("kept")).select("id", "first", "kept"))
+
+
+def classes(sets: DataFrame, copies: DataFrame, codes: Column) -> DataFrame:
+    """One row per distinct line with words: id, first (earliest occurrence), n, prefix."""
+    high = lambda t: F.shiftleft(F.get(codes, _bucket(t)).cast("bigint"), TOKEN_BITS)
+    # never null, and Spark knows it: the numbers are sorted as they are
+    order = lambda t: F.coalesce(high(t).bitwiseOR(t), F.lit(0).cast("bigint"))
+    n = F.col("n")
+    return (sets.filter("n > 0").join(checked_broadcast(copies.select("id")), "id", "left_anti")
+                .select("id", "first", "n", F.slice(F.sort_array(F.transform("tokens", order)), F.lit(1),
+                                                    n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix")))
 
 
 def occurrence() -> Column:
@@ -148,16 +168,27 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
         "a", "b", (F.col("common") / F.col("either")).alias("similarity"))
 
 
+def sets_of(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The rows of ``full`` that are in any of the written pairs (a, b)."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    return full.join(checked_broadcast(ids), "id")
+
+
 def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per removed line: doc_id, row, line_no, kept_doc_id, kept_row,
     kept_line_no, similarity (an earlier line that it matches)."""
-    lines = lines_of(docs, key, text)
-    table = materialize(classes(lines, rarity_codes(lines)))
+    sets, sets_path = tokenised(lines_of(docs, key, text))
+    # later occurrences of a class match its first one and leave the join
+    copies = materialize(copies_of(sets))
+    table, table_path = written(classes(sets, copies, rarity_codes(sets)), **PACKED)
     # tokens that more than one class has; the others list nobody
     shared = materialize(table.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
                          .filter("m > 1").select("token"))
     lists = materialize(table.select("id", "first", "n", F.posexplode("prefix").alias("pos", "token"))
                         .join(checked_broadcast(shared), "token"))
+    # the sets of the classes in any list; the others have no match
+    full = written(sets.select("id", "tokens").join(checked_broadcast(materialize(lists.select("id").distinct())), "id"), **PACKED)[0]
+    discard(docs.sparkSession, sets_path, table_path)
     lead = materialize(lists.groupBy("token").agg(F.min(F.struct("first", "id", "n", "pos")).alias("x"))
                        .select("token", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")))
     star = (lists.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "token")
@@ -166,30 +197,20 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                  .withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.col("shared").desc(), "a")))
                  .filter(F.col("place") <= LEADERS).select("a", "b"))
     star = materialize(star)
-    # full token sets of the classes in any list, read again from their lines
-    wanted = lists.select("id").distinct().join(table.select("id", "first"), "id") \
-                  .select("id", F.col("first.row").alias("row"), F.col("first.line").alias("line_no"))
-    # three numbers a row; the lines themselves are not shuffled to meet them
-    wanted = checked_broadcast(materialize(wanted))
-    full = materialize(token_sets(lines.join(wanted, ["row", "line_no"])).select("id", "tokens"))
-    settled = materialize(verified(star, full))
+    settled = materialize(verified(star, sets_of(star, full)))
     open_ = (lists.join(settled.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
                   .select(F.col("id").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "token"))
     earlier = lists.select(F.col("id").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"), F.col("pos").alias("pa"), "token")
-    rest = (open_.join(earlier, "token")
+    rest = materialize(open_.join(earlier, "token")
                  .filter((F.col("fa") < F.col("fb")) & _length_ok("na", "nb") & _position_ok("na", "pa", "nb", "pb"))
                  .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    near = settled.unionByName(verified(rest, full)).groupBy("b").agg(
+    near = settled.unionByName(verified(rest, sets_of(rest, full))).groupBy("b").agg(
         F.max(F.struct("similarity", F.negative("a").alias("a"))).alias("x")).select(
         F.col("b").alias("id"), "x.similarity", F.negative("x.a").alias("a"))
-    near = (near.join(table.select("id", "first"), "id")
-                .join(table.select(F.col("id").alias("a"), F.col("first").alias("kept")), "a")
+    places = lists.select("id", "first").distinct()
+    near = (near.join(places, "id").join(places.select(F.col("id").alias("a"), F.col("first").alias("kept")), "a")
                 .select("first", "kept", "similarity"))
-    # later occurrences of a class match its first one
-    again = checked_broadcast(materialize(table.filter("occurrences > 1").select("d1", "d2", F.col("first").alias("kept"))))
-    copies = (digested(lines).select("d1", "d2", occurrence().alias("first")).join(again, ["d1", "d2"])
-              .filter(F.col("first") != F.col("kept")).select("first", "kept", F.lit(1.0).alias("similarity")))
-    out = near.unionByName(copies)
+    out = near.unionByName(copies.select("first", "kept", F.lit(1.0).alias("similarity")))
     name = lambda c: F.when(F.col(c) == LAST, F.lit(None)).otherwise(F.col(c)).cast("bigint")
     return out.select(name("first.doc").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.line").alias("line_no"),
                       name("kept.doc").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"),

@@ -82,12 +82,13 @@ def new_scratch(spark: SparkSession) -> str:
     return scratch_path(spark, "lexkit_" + uuid.uuid4().hex[:16])
 
 
-def written(df) -> tuple:
+def written(df, **options: str) -> tuple:
     """Write ``df`` as parquet under the shared folder; return (table, path).
 
-    The path can be given to ``discard`` once every reader of the table is done."""
+    The path can be given to ``discard`` once every reader of the table is done.
+    ``options`` are options of the Parquet writer."""
     path = new_scratch(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

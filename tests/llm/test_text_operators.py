@@ -263,6 +263,15 @@ def test_near_lines(spark):
     assert got == brute_lines(data) and len(got) > 20
 
 
+def test_lines_are_tokenised_once(docs, data, monkeypatch):
+    """Splitting and hashing the words is most of the work: every later step reads the written tokens."""
+    passes = []
+    hashed = line_dedup.hashed_words
+    monkeypatch.setattr(line_dedup, "hashed_words", lambda lines: passes.append(1) or hashed(lines))
+    got = Counter((r["doc_id"], r["line_no"]) for r in line_dedup.line_matches(docs).collect())
+    assert got == brute_lines(data) and len(passes) == 1
+
+
 def test_line_dedup_plan_stays_short_when_every_bucket_is_counted(spark):
     """The driver keeps many texts of a plan: the table of rarities must not fill them."""
     rng = np.random.default_rng(3)
