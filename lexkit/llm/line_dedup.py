@@ -2,8 +2,8 @@
 
 Only DataFrame and SQL functions: the work stays in the JVM.
 
-A line's tokens are its distinct 5-word shingles (words lower-cased); a line of
-fewer words has one token, all its words.  Two lines match when the Jaccard similarity of their
+A line's tokens are its distinct 5-word shingles (words lower-cased), as hashes of
+48 bits; a line of fewer words has one token, all its words.  Two lines match when the Jaccard similarity of their
 token sets is at least 0.75; of a match the later line, by (document, line), is
 removed.
 
