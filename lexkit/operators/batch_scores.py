@@ -30,6 +30,7 @@ from lexkit.session import materialize
 
 DOC_BLOCK = 512
 SLICE = 2 << 20            # (document, query, token) products made at a time
+DENSE = 1 << 20            # cells of a dense (row, token) table of a coded batch
 _ROWS = ("batch bigint, kind string, pos bigint, token string, m double, s double, own double, hit double")
 _SCHEMA = pa.schema([("batch", pa.int64()), ("kind", pa.string()), ("pos", pa.int64()), ("token", pa.string()), ("m", pa.float64()),
                      ("s", pa.float64()), ("own", pa.float64()), ("hit", pa.float64())])
@@ -95,10 +96,41 @@ def _lse(s: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
     return m, np.exp(s - np.expand_dims(m, axis)).sum(axis)
 
 
-def whole_batch(block: Block) -> tuple[float, float, np.ndarray, float]:
-    """(loss, acc, gradient per token, gradient of beta) of a batch that is one block:
-    its documents and queries are in the same order."""
-    s = block.scores()
+def coded_batch(n: int, d: np.ndarray, dt: np.ndarray, tf: np.ndarray, q: np.ndarray, qt: np.ndarray, weight: np.ndarray,
+                beta: float) -> tuple[float, float, np.ndarray, float]:
+    """(loss, acc, gradient per token, gradient of beta) of a batch of ``n`` documents and
+    queries, given as entries in order of the token: documents (``d``, ``dt``, ``tf``),
+    queries (``q``, ``qt``).  A stretch of tokens of bounded size at a time is a matrix
+    product."""
+    eb = np.exp(beta)
+    sat, slope = tf / (tf + eb), -tf * eb / (tf + eb) ** 2
+    value = weight[dt] * sat
+    cuts = np.arange(0, len(weight) + 1, max(DENSE // n, 1))
+    cuts = cuts if cuts[-1] == len(weight) else np.append(cuts, len(weight))
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        (e0, e1), (f0, f1) = np.searchsorted(dt, (a, b)), np.searchsorted(qt, (a, b))
+        parts.append((slice(e0, e1), d[e0:e1], dt[e0:e1] - a, q[f0:f1], qt[f0:f1] - a, b - a))
+
+    def asked(row: np.ndarray, token: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((n, width))
+        out[row, token] = 1.0
+        return out
+
+    s = np.zeros((n, n))
+    for e, row, token, other, of, width in parts:
+        docs = np.zeros((n, width))
+        docs[row, token] = value[e]
+        s += docs @ asked(other, of, width).T
+    loss, acc, g = _loss(s)
+    pull = np.empty(len(d))
+    for e, row, token, other, of, width in parts:
+        pull[e] = (g @ asked(other, of, width))[row, token]
+    return loss, acc, np.bincount(dt, pull * sat, len(weight)), float((pull * weight[dt] * slope).sum())
+
+
+def _loss(s: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """(loss, acc, gradient by score) of the scores of a batch, documents x queries."""
     n = len(s)
     at = np.arange(n)
     m, total = _lse(s, 1)
@@ -109,7 +141,7 @@ def whole_batch(block: Block) -> tuple[float, float, np.ndarray, float]:
     acc = float(np.mean(np.round(s, 9).argmax(1) == at))
     g = np.exp(s - lse_d[:, None]) + np.exp(s - lse_q[None])
     g[at, at] -= 2
-    return loss, acc, *block.gradients(g / n)
+    return loss, acc, g / n
 
 
 def _table(batch: int, parts: list[dict]) -> pa.Table:

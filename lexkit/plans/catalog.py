@@ -16,7 +16,7 @@ from lexkit.functions import scoring as S
 from lexkit.operators import block_max as BM
 from lexkit.operators import lexical as L
 from lexkit.operators.joins import bounded_broadcast
-from lexkit.session import materialize
+from lexkit.session import discard, materialize, written
 from lexkit.operators import metrics as M
 from lexkit.plans import retrieval as R
 from lexkit.sources import testdata as td
@@ -504,9 +504,13 @@ def dataset_draws(spark: SparkSession, sf: str) -> DataFrame:
 SAMPLED_BATCH = 64
 
 
+def _text_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, title, source, tokens of the text)."""
+    return td.corpus(spark, sf).select("doc_id", "title", "source", L.analyze(F.col("text")).alias("tokens"))
+
+
 def _written_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, title, source, tokens of the text), written."""
-    return materialize(td.corpus(spark, sf).select("doc_id", "title", "source", L.analyze(F.col("text")).alias("tokens")))
+    return materialize(_text_tokens(spark, sf))
 
 
 def _sampled_idf(toks: DataFrame) -> DataFrame:
@@ -544,10 +548,12 @@ def trained_eval(spark: SparkSession, sf: str) -> DataFrame:
     saved step is loaded into a learned retriever, which is saved, loaded by kind,
     searched and evaluated; the run is written and read back (S10)."""
     root = _scratch(spark, "trained")
-    _trained(spark, sf, f"{root}/model")
+    toks, path = written(_text_tokens(spark, sf))
+    _trained(spark, sf, f"{root}/model", toks)
     model = TR.load_model(spark, f"{root}/model")
-    save_retriever(build_retriever(td.corpus(spark, sf), "learned", model.weights, model.beta, doc_title="title"),
-                   f"{root}/retriever")
+    save_retriever(build_retriever(td.corpus(spark, sf), "learned", model.weights, model.beta, doc_title="title",
+                                   toks=L.titled_tokens(toks)), f"{root}/retriever")
+    discard(spark, path)
     qrels = td.qrels(spark, sf)
     judged = td.queries(spark, sf).join(qrels.select("query_id").distinct(), "query_id", "left_semi")
     RD.write_run(load_retriever(spark, f"{root}/retriever", "learned").search(judged, max(EVAL_K_VALUES)), f"{root}/run")
@@ -707,6 +713,21 @@ def _lexical_pairs(spark: SparkSession, sf: str):
     return pairs, w
 
 
+def _training_pairs(spark: SparkSession, sf: str, toks=None):
+    """The pairs of ``_lexical_pairs`` for a job that takes no IDF: the crops are
+    written and not the whole token lists (``toks`` if they are there); batches are
+    made of the rows' numbers.  Returns (pairs, path of the crops they are read from)."""
+    if toks is None:
+        toks = td.table(spark, sf, "documents").select("doc_id", "source", T.simple_tokenize(F.col("text"), uncased=True).alias("tokens"))
+    toks = toks.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("row_id"), F.col("tokens").alias("input_ids"))
+    crops = SM.make_pairs(toks, SM.epoch_offsets(toks, [1], CHUNK_LENGTH, SEED), CHUNK_LENGTH, CROP[0], CROP[1], SEED)
+    crops, path = written(crops.select(F.monotonically_increasing_id().alias("_n"), "row_id", "q_tokens", "k_tokens"))
+    order = crops.select("_n", "row_id", uniform(SEED, "shuffle", F.col("row_id")).alias("_u"))
+    b = W.drop_last(W.assign_batches(order, LEX_BATCH, [F.col("_u"), F.col("row_id"), F.col("_n")], pos_out="pos"), LEX_BATCH)
+    b = materialize(b.select("_n", "batch", F.col("pos").cast("bigint").alias("pos")))
+    return crops.join(bounded_broadcast(b), "_n").select("batch", "pos", "q_tokens", "k_tokens"), path
+
+
 @register("lexical_validate")
 def lexical_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Symmetric in-batch loss and doc->query accuracy of the
@@ -730,9 +751,9 @@ def train_lexical_log(spark: SparkSession, sf: str) -> DataFrame:
     return TR.training_log(spark, _trained(spark, sf))
 
 
-def _trained(spark: SparkSession, sf: str, save_dir: str | None = None) -> TR.LexicalModel:
+def _trained(spark: SparkSession, sf: str, save_dir: str | None = None, toks=None) -> TR.LexicalModel:
     """One epoch over the crop pairs of all documents."""
-    pairs, _ = _lexical_pairs(spark, sf)
+    pairs, path = _training_pairs(spark, sf, toks)
     vocab = pairs.select(F.explode("k_tokens").alias("token")).unionByName(
         pairs.select(F.explode("q_tokens").alias("token"))).distinct()
     model = TR.init_model(vocab, SEED)
@@ -741,6 +762,7 @@ def _trained(spark: SparkSession, sf: str, save_dir: str | None = None) -> TR.Le
         model = TR.train_lexical(pairs, model, steps, TRAIN_LR, TRAIN_WARMUP, total=steps, save_dir=save_dir)
     elif save_dir:
         TR.save_model(model, save_dir)
+    discard(spark, path)
     return model
 
 
