@@ -11,8 +11,10 @@ the kind of the scorer, its parameters (beta, text options, batch size of the
 average length) and the counts that the tables are checked against.
 
 Queries against a stored retriever read its postings through a table definition
-with the same buckets, so the scores of a (query, document) of a learned one need
-no shuffle, in any session; a BM25 one is searched by block maxima.
+with the same buckets, in any session, and are searched by block maxima: no row per
+(query, document) is made.  Only queries of a learned retriever with fewer than k
+documents above 0 list all documents that share a token, as the others compete
+with score 0.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexkit.operators import block_max as BM
 from lexkit.operators import lexical as L
 from lexkit.operators.windows import top_k_per_key
-from lexkit.session import shuffle_partitions
+from lexkit.session import materialize, shuffle_partitions
 
 KINDS = ("bm25", "learned")
 TEXT_OPTIONS = ("lower", "normalize", "max_len")
@@ -45,21 +47,34 @@ class Retriever:
     beta: float = 0.0
     options: dict = field(default_factory=dict)
     version: int | None = None
+    dealt: bool = False                     # the plan of the postings ends dealt by doc_id
 
     def search(self, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
         """(query_id, doc_id, score, rank) of queries (query_id, text)."""
         terms = L.query_terms(queries, **{o: self.options[o] for o in TEXT_OPTIONS if o in self.options})
         stats = L.CorpusStats(F.lit(float(self.n_docs)), F.lit(self.avgdl))
         weights = L.learned_query_weights(terms, self.weights)
-        if self.kind == "bm25":
-            # one more, in case the query's own document is left out
-            scored = BM.scored_pairs(BM.block_index(self.posts, stats=stats), weights, k + 1)
-        else:                               # weights may be negative: unscored documents count 0
-            scored = L.score(self.posts, weights, L.learned_doc_term(self.beta), L.query_side_is_small(terms))
-            scored = L.with_zeros(scored, queries, self.posts, k + 1)
+        factor = L.bm25_doc_term(stats) if self.kind == "bm25" else L.learned_doc_term(self.beta)
+        # one more, in case the query's own document is left out
+        scored = BM.scored_pairs(BM.block_index(self.posts, stats=stats, factor=factor), weights, k + 1)
+        if self.kind == "learned":          # weights may be negative: unscored documents count 0
+            scored = self._with_zeros(scored, queries, weights, factor, k + 1)
         return top_k_per_key(L.without_own(scored, exclude_self), k)
 
 
+    def _with_zeros(self, best: DataFrame, queries: DataFrame, weights: DataFrame, factor: Column, k: int) -> DataFrame:
+        """``best`` (with every query's k best scored documents), where queries with fewer
+        than k scores above 0 have all their scores and the documents without."""
+        best = materialize(top_k_per_key(best, k).select("query_id", "doc_id", "score"))
+        up = best.filter("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("up")).filter(F.col("up") >= k)
+        few = materialize(queries.select("query_id").distinct().join(up, "query_id", "left_anti"))
+        if few.isEmpty():
+            return best
+        weights = materialize(weights.join(few, "query_id", "left_semi"))
+        scored = L.score(self.posts, weights, factor, L.query_side_is_small(weights))
+        return best.join(few, "query_id", "left_anti").unionByName(L.with_zeros(scored, few, self.posts, k))
+
+
 def build_retriever(corpus: DataFrame, kind: str, weights: DataFrame | None = None, beta: float = 0.0, *,
                     doc_title: str | None = None, lower: bool = True, normalize: bool = False,
                     max_len: int | None = None, toks: DataFrame | None = None) -> Retriever:
@@ -81,7 +96,7 @@ def build_retriever(corpus: DataFrame, kind: str, weights: DataFrame | None = No
     if weights is None:
         weights = L.idf_table(posts, F.lit(float(n))).select("token", F.col("idf").alias("weight"))
     return Retriever(kind, posts, weights.select("token", "weight"), n, avgdl or 0.0, beta,
-                     {"lower": lower, "normalize": normalize, "max_len": max_len})
+                     {"lower": lower, "normalize": normalize, "max_len": max_len}, dealt=docs is toks)
 
 
 def _manifests(spark: SparkSession, root: str) -> dict[int, dict]:
@@ -102,7 +117,8 @@ def save_retriever(r: Retriever, root: str) -> int:
     buckets = shuffle_partitions(spark)
     name = _table_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    (r.posts.select("doc_id", "token", "tf", "dl").repartition(buckets, "doc_id").write.mode("overwrite")
+    posts = r.posts.select("doc_id", "token", "tf", "dl")
+    ((posts if r.dealt else posts.repartition(buckets, "doc_id")).write.mode("overwrite")
         .option("path", f"{path}/postings").bucketBy(buckets, "doc_id").saveAsTable(name))
     r.weights.write.mode("overwrite").parquet(f"{path}/weights")
     posts, weights = spark.read.parquet(f"{path}/postings").count(), spark.read.parquet(f"{path}/weights").count()
